@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 # (DuckDB oracle) agree; ``\s`` differs between the two on \x0B.
 WS = "[ \\t\\n\\r\\f\\x0B]"
 WS_RUN = WS + "+"
+WS_CHARS = " \t\n\r\f\x0b"
 
 # --- fixed values (must equal the reference for equal results) -------------
 # Default refusal markers, matched as lower-case substrings:
@@ -40,8 +41,9 @@ def _c(col) -> Column:
 
 
 def strip_ws(col) -> Column:
-    """Remove leading and trailing ASCII whitespace (Python ``strip``)."""
-    return F.regexp_replace(_c(col), f"^{WS_RUN}|{WS_RUN}$", "")
+    """Remove leading and trailing ASCII whitespace (Python ``strip``);
+    native ``trim(str, chars)``, no regex."""
+    return F.trim(_c(col), F.lit(WS_CHARS))
 
 
 def normalize_newlines(col) -> Column:
@@ -79,9 +81,9 @@ def markers_hit(col, markers) -> Column:
 
 
 def tokens(col) -> Column:
-    """Whitespace tokens of the stripped text; empty text -> empty array."""
-    s = strip_ws(col)
-    return F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, WS_RUN))
+    """Whitespace tokens; empty or blank text -> empty array.  One regex
+    split, then the empty edge pieces are removed (no strip pass)."""
+    return F.array_remove(F.split(_c(col), WS_RUN), "")
 
 
 def head_tokens(col, n: int) -> Column:

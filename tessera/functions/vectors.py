@@ -15,11 +15,24 @@ def _dbl(col) -> Column:
 
 
 def log_softmax(col) -> Column:
-    """x - logsumexp(x), shifted by the max for stability (vec_log_softmax)."""
+    """x - logsumexp(x) per row (vec_log_softmax).
+
+    One ``aggregate`` pass keeps a running (max, sum of exp(x - max)) - the
+    online, overflow-safe log-sum-exp - and its finish step subtracts the
+    result from every element.  Row scalars are bound once as lambda
+    variables, so the cost is O(n) per row (an outer expression referenced
+    inside ``transform`` would be re-evaluated for every element).
+    """
     x = _dbl(col)
-    m = F.array_max(x)
-    lse = m + F.log(F.aggregate(x, F.lit(0.0), lambda acc, v: acc + F.exp(v - m)))
-    return F.transform(x, lambda v: v - lse)
+    init = F.struct(F.lit(float("-inf")).alias("m"), F.lit(0.0).alias("s"))
+
+    def merge(acc, v):
+        m2 = F.greatest(acc["m"], v)
+        return F.struct(m2.alias("m"),
+                        (acc["s"] * F.exp(acc["m"] - m2) + F.exp(v - m2)).alias("s"))
+
+    return F.aggregate(x, init, merge,
+                       lambda acc: F.transform(x, lambda v: v - (acc["m"] + F.log(acc["s"]))))
 
 
 def l2_norm(col) -> Column:
@@ -27,9 +40,11 @@ def l2_norm(col) -> Column:
 
 
 def l2_normalize(col, eps: float = 1e-12) -> Column:
-    """Divide by the L2 norm clamped at ``eps``; a zero vector stays zero."""
-    n = F.greatest(l2_norm(col), F.lit(eps))
-    return F.transform(_dbl(col), lambda v: v / n)
+    """Divide by the L2 norm clamped at ``eps``; a zero vector stays zero.
+    The norm is bound once per row in the aggregate's finish step."""
+    x = _dbl(col)
+    return F.aggregate(x, F.lit(0.0), lambda acc, v: acc + v * v,
+                       lambda ss: F.transform(x, lambda v: v / F.greatest(F.sqrt(ss), F.lit(eps))))
 
 
 def last_state(col) -> Column:

@@ -38,7 +38,7 @@ def chunk_count(n_tokens, size: int, overlap: int):
 
 def chunk_tokens(df: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
                  text_col: str = "text", tokens_col: str = "tokens",
-                 keep=None) -> DataFrame:
+                 keep=None, min_n: int | None = None) -> DataFrame:
     """Sliding windows over tokens (seq_sliding_chunks).
 
     n <= size: one chunk, text unchanged.  Otherwise windows start at
@@ -46,15 +46,21 @@ def chunk_tokens(df: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVE
     1 + ceil((n - size) / (size - overlap)).  Multi-chunk text is the tokens
     joined by one space.  A generator done natively with posexplode; each
     input row expands independently (no shuffle).
+
+    ``min_n`` applies flt_min_tokens inside the generator (a segment under
+    ``min_n`` tokens yields no chunk), so the optimizer cannot push a
+    separate filter below the tokenisation and evaluate it twice.
     """
     if size <= 0 or overlap < 0 or overlap >= size:
         raise ValueError("need size > 0 and 0 <= overlap < size")
     step = size - overlap
     keep = [c for c in (keep if keep is not None else df.columns) if c not in (text_col, tokens_col)]
     n = F.size(tokens_col)
+    starts = F.sequence(F.lit(0), chunk_count(n, size, overlap) - 1)
+    if min_n is not None:
+        starts = F.when(n >= min_n, starts).otherwise(F.array().cast("array<int>"))
     exploded = df.select(*keep, text_col, tokens_col, n.alias("_n"),
-                         F.posexplode(F.sequence(F.lit(0), chunk_count(n, size, overlap) - 1))
-                         .alias("chunk_no", "_k"))
+                         F.posexplode(starts).alias("chunk_no", "_k"))
     start = F.col("chunk_no") * step
     piece = F.slice(tokens_col, start + 1, F.lit(size))
     return exploded.select(

@@ -50,16 +50,20 @@ def with_global_index(df: DataFrame, order_by, idx_col: str = "idx",
     ``order_by`` must be a total order (unique key): ties would make the
     numbering depend on shuffle fetch order.
 
-    The range-partitioned, numbered rows are checkpointed to the shared
-    ``spark.checkpoint.dir`` (reliable, survives executor loss) because the
-    count branch and the numbering branch must see the *same* range bounds;
-    Spark samples bounds per exchange, and column pruning makes the two
-    exchanges differ, so they would not be reused.
+    Only the key columns are range-partitioned, numbered and checkpointed to
+    the shared ``spark.checkpoint.dir`` (reliable, survives executor loss).
+    The checkpoint is needed because the count branch and the numbering
+    branch must see the *same* range bounds, and Spark samples bounds per
+    exchange.  The narrow (key, idx) table then joins back on the unique key,
+    so wide rows are shuffled once and never sampled or checkpointed.
     """
     keys = _cols(order_by)
+    names = [k if isinstance(k, str) else None for k in keys]
+    if None in names:
+        raise ValueError("with_global_index needs column names as order keys")
     n = _num_partitions(df, num_partitions)
     ensure_checkpoint_dir(df.sparkSession)
-    ranged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    ranged = (df.select(*keys).repartitionByRange(n, *keys).sortWithinPartitions(*keys)
               .withColumn("_mid", F.monotonically_increasing_id())
               .checkpoint(eager=True)
               .withColumn("_pid", F.shiftright("_mid", 33))
@@ -71,9 +75,13 @@ def with_global_index(df: DataFrame, order_by, idx_col: str = "idx",
                    Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
                    F.lit(0)))
                .select("_pid", "_off"))
-    return (ranged.join(F.broadcast(offsets), "_pid")
-            .withColumn(idx_col, (F.col("_off") + F.col("_loc")).cast("long"))
-            .drop("_mid", "_pid", "_loc", "_off"))
+    idx = (ranged.join(F.broadcast(offsets), "_pid")
+           .select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(names)],
+                   (F.col("_off") + F.col("_loc")).cast("long").alias(idx_col)))
+    if set(df.columns) <= set(names):
+        return idx.select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(names)], idx_col)
+    cond = [df[k].eqNullSafe(idx[f"_k{i}"]) for i, k in enumerate(names)]
+    return df.join(idx, cond).drop(*[f"_k{i}" for i in range(len(names))])
 
 
 def with_group_index(df: DataFrame, group_by, order_by, idx_col: str = "idx",

@@ -31,12 +31,11 @@ WS = "[ \\t\\n\\r\\f\\x0B]"
 
 
 def sql_strip(x: str) -> str:
-    return f"regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g')"
+    return f"trim({x}, chr(32) || chr(9) || chr(10) || chr(13) || chr(12) || chr(11))"
 
 
 def sql_tokens(x: str) -> str:
-    s = sql_strip(x)
-    return f"(CASE WHEN {s} = '' THEN []::VARCHAR[] ELSE regexp_split_to_array({s}, '{WS}+') END)"
+    return f"list_filter(regexp_split_to_array({x}, '{WS}+'), lambda t: t <> '')"
 
 
 def sql_markers(markers) -> str:

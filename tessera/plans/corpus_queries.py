@@ -32,8 +32,8 @@ def doc_segments(spark, sf):
 
 
 def chunks(spark, sf, size=1024, overlap=128):
-    segs = min_tokens(with_tokens(doc_segments(spark, sf)), 50)
-    return chunk_tokens(segs, size, overlap, keep=["doc_id", "segment_no"])
+    return chunk_tokens(with_tokens(doc_segments(spark, sf)), size, overlap,
+                        keep=["doc_id", "segment_no"], min_n=50)
 
 
 def examples(spark, sf):
@@ -170,7 +170,7 @@ def q_udf_batch_score(spark, sf):
 def q_str_corpus(spark, sf):
     src = stage_documents_as_files(spark, sf)
     out, ck = scratch_path(spark, "str_corpus_out"), scratch_path(spark, "str_corpus_ckpt")
-    run_append(stream_corpus(spark, src, max_files_per_trigger=250), out, ck)
+    run_append(stream_corpus(spark, src, max_files_per_trigger=500), out, ck)
     c = spark.read.parquet(out)
     return c.select(_doc_id_from_path("doc_path").alias("doc_id"), L("chunk_no").alias("chunk_no"),
                     L("start_token").alias("start_token"), L("n_tokens").alias("n_tokens"), "text")
