@@ -43,27 +43,18 @@ def _num_partitions(df: DataFrame, n: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def with_global_index(df: DataFrame, order_by, idx_col: str = "idx",
-                      num_partitions: int | None = None) -> DataFrame:
-    """Contiguous 0-based index over all rows in ``order_by`` order.
-
-    ``order_by`` must be a total order (unique key): ties would make the
-    numbering depend on shuffle fetch order.
+def _narrow_index(df: DataFrame, names, idx_col: str, num_partitions: int | None):
+    """(key..., idx) for the key columns of ``df`` in key order.
 
     Only the key columns are range-partitioned, numbered and checkpointed to
     the shared ``spark.checkpoint.dir`` (reliable, survives executor loss).
     The checkpoint is needed because the count branch and the numbering
     branch must see the *same* range bounds, and Spark samples bounds per
-    exchange.  The narrow (key, idx) table then joins back on the unique key,
-    so wide rows are shuffled once and never sampled or checkpointed.
+    exchange.
     """
-    keys = _cols(order_by)
-    names = [k if isinstance(k, str) else None for k in keys]
-    if None in names:
-        raise ValueError("with_global_index needs column names as order keys")
     n = _num_partitions(df, num_partitions)
     ensure_checkpoint_dir(df.sparkSession)
-    ranged = (df.select(*keys).repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    ranged = (df.select(*names).repartitionByRange(n, *names).sortWithinPartitions(*names)
               .withColumn("_mid", F.monotonically_increasing_id())
               .checkpoint(eager=True)
               .withColumn("_pid", F.shiftright("_mid", 33))
@@ -75,13 +66,38 @@ def with_global_index(df: DataFrame, order_by, idx_col: str = "idx",
                    Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
                    F.lit(0)))
                .select("_pid", "_off"))
-    idx = (ranged.join(F.broadcast(offsets), "_pid")
-           .select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(names)],
-                   (F.col("_off") + F.col("_loc")).cast("long").alias(idx_col)))
+    return (ranged.join(F.broadcast(offsets), "_pid")
+            .select(*names, (F.col("_off") + F.col("_loc")).cast("long").alias(idx_col)))
+
+
+def _names(cols):
+    names = [k if isinstance(k, str) else None for k in _cols(cols)]
+    if None in names:
+        raise ValueError("order and group keys must be column names")
+    return names
+
+
+def _join_back(df: DataFrame, idx: DataFrame, names, idx_col: str) -> DataFrame:
+    """Attach ``idx_col`` to the wide rows: one null-safe equi join on the
+    unique key (wide rows shuffled once; AQE broadcasts a small index)."""
     if set(df.columns) <= set(names):
-        return idx.select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(names)], idx_col)
-    cond = [df[k].eqNullSafe(idx[f"_k{i}"]) for i, k in enumerate(names)]
-    return df.join(idx, cond).drop(*[f"_k{i}" for i in range(len(names))])
+        return idx
+    ren = idx.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(names)], idx_col)
+    cond = [df[k].eqNullSafe(ren[f"_k{i}"]) for i, k in enumerate(names)]
+    return df.join(ren, cond).drop(*[f"_k{i}" for i in range(len(names))])
+
+
+def with_global_index(df: DataFrame, order_by, idx_col: str = "idx",
+                      num_partitions: int | None = None) -> DataFrame:
+    """Contiguous 0-based index over all rows in ``order_by`` order.
+
+    ``order_by`` must be a total order (unique key): ties would make the
+    numbering depend on shuffle fetch order.  The index is computed on the
+    narrow key columns (see :func:`_narrow_index`) and joined back on the
+    unique key, so wide rows are never sampled or checkpointed.
+    """
+    names = _names(order_by)
+    return _join_back(df, _narrow_index(df, names, idx_col, num_partitions), names, idx_col)
 
 
 def with_group_index(df: DataFrame, group_by, order_by, idx_col: str = "idx",
@@ -90,14 +106,17 @@ def with_group_index(df: DataFrame, group_by, order_by, idx_col: str = "idx",
 
     (group_by + order_by) must be unique.  Equivalent to
     ``row_number() over (partition by group order by order) - 1`` without
-    sending a whole group to one task.
+    sending a whole group to one task: global index minus the group's first
+    index, both on the narrow key table (the group minimum is a partial
+    aggregate; AQE splits a hot group in its join), then one join back.
     """
-    g = _cols(group_by)
-    gi = with_global_index(df, g + _cols(order_by), "_gidx", num_partitions)
+    g, o = _names(group_by), _names(order_by)
+    names = g + o
+    gi = _narrow_index(df, names, "_gidx", num_partitions)
     first = gi.groupBy(*g).agg(F.min("_gidx").alias("_gfirst"))
-    return (gi.join(first, g)
-            .withColumn(idx_col, (F.col("_gidx") - F.col("_gfirst")).cast("long"))
-            .drop("_gidx", "_gfirst"))
+    idx = (gi.join(first, g)
+           .select(*names, (F.col("_gidx") - F.col("_gfirst")).cast("long").alias(idx_col)))
+    return _join_back(df, idx, names, idx_col)
 
 
 def _bucket(seq: str, size: int) -> Column:
