@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.session import ensure_checkpoint_dir
 
@@ -43,8 +44,20 @@ def _num_partitions(df: DataFrame, n: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _narrow_index(df: DataFrame, names, idx_col: str, num_partitions: int | None):
-    """(key..., idx) for the key columns of ``df`` in key order.
+_FIXED_WIDTH = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
+def _carried(df: DataFrame, names):
+    """Non-key columns small enough to travel with the keys: fixed-width
+    types only (strings, arrays and maps could be arbitrarily large)."""
+    extra = [f for f in df.schema.fields if f.name not in names]
+    if all(isinstance(f.dataType, _FIXED_WIDTH) for f in extra):
+        return [f.name for f in extra]
+    return []
+
+
+def _narrow_index(df: DataFrame, names, idx_col: str, num_partitions: int | None, carry=()):
+    """(key..., carry..., idx) for the key columns of ``df`` in key order.
 
     Only the key columns are range-partitioned, numbered and checkpointed to
     the shared ``spark.checkpoint.dir`` (reliable, survives executor loss).
@@ -54,20 +67,24 @@ def _narrow_index(df: DataFrame, names, idx_col: str, num_partitions: int | None
     """
     n = _num_partitions(df, num_partitions)
     ensure_checkpoint_dir(df.sparkSession)
-    ranged = (df.select(*names).repartitionByRange(n, *names).sortWithinPartitions(*names)
+    ranged = (df.select(*names, *carry).repartitionByRange(n, *names).sortWithinPartitions(*names)
               .withColumn("_mid", F.monotonically_increasing_id())
               .checkpoint(eager=True)
               .withColumn("_pid", F.shiftright("_mid", 33))
               .withColumn("_loc", F.col("_mid").bitwiseAND(F.lit(_MASK33))))
-    # One row per range partition: exclusive prefix sum of the counts.  This
-    # window sees at most ``n`` rows; the result is broadcast (bounded by n).
-    offsets = (ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
-               .withColumn("_off", F.coalesce(F.sum("_cnt").over(
-                   Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)))
-               .select("_pid", "_off"))
+    # Per-range-partition row counts: at most ``n`` numbers, the same
+    # metadata ``RDD.zipWithIndex`` gathers.  Their prefix sums become a
+    # local table that is broadcast (bounded by n) - no single-partition
+    # exchange and no data on the driver.
+    counts = sorted((r[0], r[1]) for r in
+                    ranged.groupBy("_pid").agg(F.count(F.lit(1))).collect())
+    offs, acc = [], 0
+    for pid, cnt in counts:
+        offs.append((pid, acc))
+        acc += cnt
+    offsets = df.sparkSession.createDataFrame(offs, "_pid long, _off long")
     return (ranged.join(F.broadcast(offsets), "_pid")
-            .select(*names, (F.col("_off") + F.col("_loc")).cast("long").alias(idx_col)))
+            .select(*names, *carry, (F.col("_off") + F.col("_loc")).cast("long").alias(idx_col)))
 
 
 def _names(cols):
@@ -80,8 +97,8 @@ def _names(cols):
 def _join_back(df: DataFrame, idx: DataFrame, names, idx_col: str) -> DataFrame:
     """Attach ``idx_col`` to the wide rows: one null-safe equi join on the
     unique key (wide rows shuffled once; AQE broadcasts a small index)."""
-    if set(df.columns) <= set(names):
-        return idx
+    if set(df.columns) <= set(idx.columns):
+        return idx.select(*df.columns, idx_col)
     ren = idx.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(names)], idx_col)
     cond = [df[k].eqNullSafe(ren[f"_k{i}"]) for i, k in enumerate(names)]
     return df.join(ren, cond).drop(*[f"_k{i}" for i in range(len(names))])
@@ -93,11 +110,14 @@ def with_global_index(df: DataFrame, order_by, idx_col: str = "idx",
 
     ``order_by`` must be a total order (unique key): ties would make the
     numbering depend on shuffle fetch order.  The index is computed on the
-    narrow key columns (see :func:`_narrow_index`) and joined back on the
-    unique key, so wide rows are never sampled or checkpointed.
+    key columns (see :func:`_narrow_index`).  Fixed-width columns travel
+    with the keys (no join back); rows with strings, arrays or maps join the
+    (key, idx) table back on the unique key, so wide rows are shuffled once
+    and never sampled or checkpointed.
     """
     names = _names(order_by)
-    return _join_back(df, _narrow_index(df, names, idx_col, num_partitions), names, idx_col)
+    carry = _carried(df, names)
+    return _join_back(df, _narrow_index(df, names, idx_col, num_partitions, carry), names, idx_col)
 
 
 def with_group_index(df: DataFrame, group_by, order_by, idx_col: str = "idx",
@@ -112,10 +132,11 @@ def with_group_index(df: DataFrame, group_by, order_by, idx_col: str = "idx",
     """
     g, o = _names(group_by), _names(order_by)
     names = g + o
-    gi = _narrow_index(df, names, "_gidx", num_partitions)
+    carry = _carried(df, names)
+    gi = _narrow_index(df, names, "_gidx", num_partitions, carry)
     first = gi.groupBy(*g).agg(F.min("_gidx").alias("_gfirst"))
     idx = (gi.join(first, g)
-           .select(*names, (F.col("_gidx") - F.col("_gfirst")).cast("long").alias(idx_col)))
+           .select(*names, *carry, (F.col("_gidx") - F.col("_gfirst")).cast("long").alias(idx_col)))
     return _join_back(df, idx, names, idx_col)
 
 
@@ -166,6 +187,28 @@ def cumulative_max(df: DataFrame, group_by, seq_col: str, value, out_col: str,
             .drop("_bkt", "_v", "_loc", "_carry"))
 
 
+def cumulative_sum(df: DataFrame, group_by, order_col: str, value, out_col: str,
+                   bucket_size: int = 4096) -> DataFrame:
+    """Running sum of ``value`` over rows of the group with
+    ``order <= order(row)``.  ``order_col`` is a unique integer per group
+    (dense or not); buckets of ``bucket_size`` consecutive values bound every
+    window task, earlier buckets contribute a carried sum."""
+    g = _cols(group_by)
+    v = value if isinstance(value, Column) else F.col(value)
+    b = df.withColumn("_bkt", _bucket(order_col, bucket_size)).withColumn("_v", v)
+    local = b.withColumn("_loc", F.sum("_v").over(
+        Window.partitionBy(*g, "_bkt").orderBy(order_col)
+        .rowsBetween(Window.unboundedPreceding, 0)))
+    carry = (b.groupBy(*g, "_bkt").agg(F.sum("_v").alias("_bsum"))
+             .withColumn("_carry", F.sum("_bsum").over(
+                 Window.partitionBy(*g).orderBy("_bkt")
+                 .rowsBetween(Window.unboundedPreceding, -1)))
+             .select(*g, "_bkt", "_carry"))
+    return (local.join(carry, g + ["_bkt"], "left")
+            .withColumn(out_col, F.col("_loc") + F.coalesce(F.col("_carry"), F.lit(0)))
+            .drop("_bkt", "_v", "_loc", "_carry"))
+
+
 def with_halo(df: DataFrame, seq_col: str, width: int, bucket_size: int) -> DataFrame:
     """Assign ``_bkt`` by seq and copy the last ``width-1`` rows of every
     bucket into the next one (``_halo`` = true) so row frames of up to

@@ -42,18 +42,24 @@ def scored(trials: DataFrame) -> DataFrame:
             .withColumn("score", composite("divergence", "rate_pct")))
 
 
-def sequenced(trials: DataFrame, study=KEY, num_partitions: int | None = None) -> DataFrame:
+def sequenced(trials: DataFrame, study=KEY, bucket_size: int = BUCKET) -> DataFrame:
     """Completed, scored trials with ``seq`` = 1-based position among the
-    study's completed trials by trial_number (skew-safe group index)."""
-    c = scored(completed(trials))
-    return (ix.with_group_index(c, study, ["trial_number"], "_seq", num_partitions)
-            .withColumn("seq", (F.col("_seq") + 1).cast("long")).drop("_seq"))
+    study's completed trials by trial_number.
+
+    trial_number is a unique integer per study, so the position is a
+    running count of completed trials: a bucketed cumulative sum (windows per
+    (study, bucket) plus a carry) - no sort of a whole study in one task and
+    no second range-partitioned index.
+    """
+    s = scored(trials).withColumn("_done", (F.col("state") == "COMPLETE").cast("long"))
+    s = ix.cumulative_sum(s, study, "trial_number", "_done", "seq", bucket_size)
+    return s.where(F.col("state") == "COMPLETE").drop("_done").withColumn("seq", F.col("seq").cast("long"))
 
 
 def running_best(trials: DataFrame, study=KEY, bucket_size: int = BUCKET) -> DataFrame:
     """After each completed trial, the best trial so far by composite score;
     strict '<' so the earliest trial wins ties (win_running_best)."""
-    s = sequenced(trials, study)
+    s = sequenced(trials, study, bucket_size)
     key = F.struct("score", "trial_number")
     val = F.struct(F.col("trial_number").alias("t"), F.col("divergence").alias("d"),
                    F.col("hits").alias("h"), F.col("score").alias("s"))
@@ -68,7 +74,7 @@ def trend(trials: DataFrame, w: int = TREND_WINDOW, eps: float = TREND_EPS,
     """Trend label after each completed trial over the last ``w`` (win_trend):
     d = avg(first w//2) - avg(rest); > eps improving, < -eps degrading, else
     stable; fewer than w trials -> insufficient_data."""
-    s = ix.with_halo(sequenced(trials, study), "seq", w, bucket_size)
+    s = ix.with_halo(sequenced(trials, study, bucket_size), "seq", w, bucket_size)
     h1 = w // 2
     first = ix.sliding_frame(study, "seq", -(w - 1), -(w - h1))
     second = ix.sliding_frame(study, "seq", -(w - h1) + 1, 0)
@@ -88,7 +94,7 @@ def recent_avg(trials: DataFrame, n: int = RECENT_N, study=KEY,
                bucket_size: int = BUCKET) -> DataFrame:
     """Mean divergence and rate % of the last ``n`` completed trials; NULL
     under ``n`` (win_recent_avg)."""
-    s = ix.with_halo(sequenced(trials, study), "seq", n, bucket_size)
+    s = ix.with_halo(sequenced(trials, study, bucket_size), "seq", n, bucket_size)
     fr = ix.sliding_frame(study, "seq", -(n - 1), 0)
     r = (s.withColumn("avg_divergence", F.when(F.col("seq") >= n, F.avg("divergence").over(fr)))
          .withColumn("avg_rate_pct", F.when(F.col("seq") >= n, F.avg("rate_pct").over(fr))))

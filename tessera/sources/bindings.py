@@ -68,9 +68,12 @@ def trials(events: DataFrame, num_partitions: int | None = None) -> DataFrame:
     100, FAIL for 'error' events.  Parameters are derived from value and k
     with values exact at two decimals."""
     k = F.get_json_object("props", "$.k").cast("int")
+    # only fixed-width columns besides the key, so the index carries them
+    # through its range partitioning instead of joining back
     base = events.select(
         F.col("user_id").cast("string").alias("study"), "ts", "event_id",
-        "event_type", "value", k.alias("k"))
+        (F.col("event_type") == "error").alias("_err"),
+        (F.col("event_type") == "view").alias("_view"), "value", k.alias("k"))
     idx = with_group_index(base, ["study"], ["ts", "event_id"], "_tn",
                            num_partitions=num_partitions)
     kd = F.col("k").cast("double")
@@ -84,12 +87,12 @@ def trials(events: DataFrame, num_partitions: int | None = None) -> DataFrame:
     return idx.select(
         "study",
         (F.col("_tn") + 1).cast("int").alias("trial_number"),
-        F.when(F.col("event_type") == "error", F.lit("FAIL")).otherwise(F.lit("COMPLETE")).alias("state"),
+        F.when(F.col("_err"), F.lit("FAIL")).otherwise(F.lit("COMPLETE")).alias("state"),
         (F.col("value") / 100).alias("divergence"),
         F.col("k").alias("hits"),
         F.lit(100).alias("total"),
         params.alias("params"),
-        F.when(F.col("event_type") == "view", F.lit(None).cast("double"))
+        F.when(F.col("_view"), F.lit(None).cast("double"))
         .otherwise(kd / 4).alias("direction_index"),
         F.col("ts").alias("started_at"),
         (F.col("ts") + F.make_dt_interval(secs=F.col("value").cast("decimal(18,6)"))).alias("finished_at"))
