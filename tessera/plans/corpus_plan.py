@@ -16,6 +16,7 @@ from tessera.operators.chunking import CHUNK_OVERLAP, CHUNK_SIZE, MIN_TOKENS, ch
 from tessera.operators.examples import TEMPLATES, to_examples
 from tessera.operators.split import SPLIT_SEED, TRAIN_FRACTION, split_train_val
 from tessera.sources.corpus import DEFAULT_EXTS, pick_text_column, read_corpus, to_segments
+from tessera.session import materialize
 from tessera.sources.sinks import write_examples
 
 ORDER = ["doc_id", "segment_no", "chunk_no"]
@@ -46,8 +47,12 @@ def load_source(spark: SparkSession, source, exts=DEFAULT_EXTS, text_columns=Non
 def build_examples(docs: DataFrame, sep: str | None = "\n\n", size: int = CHUNK_SIZE,
                    overlap: int = CHUNK_OVERLAP, min_n: int = MIN_TOKENS, templates=TEMPLATES,
                    frac: float = TRAIN_FRACTION, seed: int = SPLIT_SEED, exact: bool = False,
-                   tokenizer=None):
-    """docs(doc_id, text) -> (segments, chunks, examples with split)."""
+                   tokenizer=None, materialize_chunks: bool = True):
+    """docs(doc_id, text) -> (segments, chunks, examples with split).
+
+    Chunks are written once to the shared checkpoint folder (default), so the
+    global index samples and numbers only their key columns and tokenisation
+    runs a single time."""
     if sep is None:
         from tessera.functions.text import strip_ws
         segs = docs.select("doc_id", F.lit(0).alias("segment_no"), strip_ws("text").alias("text"))
@@ -55,6 +60,8 @@ def build_examples(docs: DataFrame, sep: str | None = "\n\n", size: int = CHUNK_
         segs = to_segments(docs, sep)
     chunks = chunk_tokens(with_tokens(segs, tokenizer=tokenizer), size, overlap,
                           keep=["doc_id", "segment_no"], min_n=min_n)
+    if materialize_chunks:
+        chunks = materialize(chunks, "chunks")
     examples = split_train_val(to_examples(chunks, ORDER, templates, keep=ORDER), "example_id",
                                frac, seed, exact)
     return segs, chunks, examples

@@ -14,7 +14,7 @@ from tessera.operators.split import split_train_val
 from tessera.operators.training import ingest_stats, split_step_plan
 from tessera.plans.common import (CHUNKS_CTE, PROMPTS_CTE, T, L, examples_cte, sql_strip,
                                   sql_tokens, sql_topic)
-from tessera.session import scratch_path
+from tessera.session import materialize, scratch_path
 from tessera.sources import bindings as B
 from tessera.sources.corpus import (cohort_counts, cohorts, load_prompts, pick_text_column,
                                     read_corpus, to_segments)
@@ -36,8 +36,14 @@ def chunks(spark, sf, size=1024, overlap=128):
                         keep=["doc_id", "segment_no"], min_n=50)
 
 
+def stored_chunks(spark, sf):
+    """Chunks written once to the shared folder: the global index then scans
+    only the key columns and tokenisation runs a single time."""
+    return materialize(chunks(spark, sf), "chunks")
+
+
 def examples(spark, sf):
-    return split_train_val(to_examples(chunks(spark, sf), ORDER, keep=ORDER), "example_id")
+    return split_train_val(to_examples(stored_chunks(spark, sf), ORDER, keep=ORDER), "example_id")
 
 
 def stage_documents_as_files(spark, sf):
@@ -105,12 +111,12 @@ def q_seq_sliding_chunks(spark, sf):
 
 
 def q_idx_global(spark, sf):
-    g = with_global_index(chunks(spark, sf), ORDER, "idx")
+    g = with_global_index(stored_chunks(spark, sf), ORDER, "idx")
     return g.select(L("doc_id").alias("doc_id"), L("chunk_no").alias("chunk_no"), "idx")
 
 
 def q_txt_template_cycle(spark, sf):
-    a = assign_template(chunks(spark, sf), ORDER)
+    a = assign_template(stored_chunks(spark, sf), ORDER)
     return a.select("example_id", "template")
 
 
@@ -121,7 +127,7 @@ def q_txt_topic(spark, sf):
 
 
 def q_txt_instruction(spark, sf):
-    e = to_examples(chunks(spark, sf), ORDER)
+    e = to_examples(stored_chunks(spark, sf), ORDER)
     return e.select("example_id", "instruction", "response")
 
 
@@ -134,11 +140,11 @@ def q_top_preview(spark, sf):
 
 
 def q_txt_render(spark, sf):
-    return rendered(to_examples(chunks(spark, sf), ORDER)).select("example_id", "prompt")
+    return rendered(to_examples(stored_chunks(spark, sf), ORDER)).select("example_id", "prompt")
 
 
 def q_txt_truncate_tokens(spark, sf):
-    r = rendered(to_examples(chunks(spark, sf), ORDER))
+    r = rendered(to_examples(stored_chunks(spark, sf), ORDER))
     ids = truncate_tokens(tokens("prompt"), 2048)
     return r.select("example_id", ids.alias("input_ids")).select(
         "example_id", L(F.size("input_ids")).alias("n_input"),
@@ -148,7 +154,7 @@ def q_txt_truncate_tokens(spark, sf):
 
 def q_agg_ingest_stats(spark, sf):
     segs = doc_segments(spark, sf)
-    return ingest_stats(segs, chunks(spark, sf), examples(spark, sf)).select("metric", L("value").alias("value"))
+    return ingest_stats(segs, stored_chunks(spark, sf), examples(spark, sf)).select("metric", L("value").alias("value"))
 
 
 def q_num_step_plan(spark, sf):

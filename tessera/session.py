@@ -72,3 +72,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def table(spark: SparkSession, sf_dir: str, name: str):
     """Read one driver table; column pruning and filters reach the scan."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def materialize(df, name: str):
+    """Write ``df`` once as Parquet under the shared checkpoint folder and
+    read it back: cuts lineage (survives executor loss) and lets later
+    passes read only the columns they need.  Use before multi-pass
+    operators over an expensive upstream (e.g. the global index over
+    chunks, whose range sampling would otherwise recompute tokenisation)."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
