@@ -56,7 +56,8 @@ def _carried(df: DataFrame, names):
     return []
 
 
-def _narrow_index(df: DataFrame, names, idx_col: str, num_partitions: int | None, carry=()):
+def _narrow_index(df: DataFrame, names, idx_col: str, num_partitions: int | None, carry=(),
+                  keep_pid: bool = False):
     """(key..., carry..., idx) for the key columns of ``df`` in key order.
 
     Only the key columns are range-partitioned, numbered and checkpointed to
@@ -83,8 +84,9 @@ def _narrow_index(df: DataFrame, names, idx_col: str, num_partitions: int | None
         offs.append((pid, acc))
         acc += cnt
     offsets = df.sparkSession.createDataFrame(offs, "_pid long, _off long")
+    extra = ["_pid", "_loc"] if keep_pid else []
     return (ranged.join(F.broadcast(offsets), "_pid")
-            .select(*names, *carry, (F.col("_off") + F.col("_loc")).cast("long").alias(idx_col)))
+            .select(*names, *carry, *extra, (F.col("_off") + F.col("_loc")).cast("long").alias(idx_col)))
 
 
 def _names(cols):
@@ -126,17 +128,45 @@ def with_group_index(df: DataFrame, group_by, order_by, idx_col: str = "idx",
 
     (group_by + order_by) must be unique.  Equivalent to
     ``row_number() over (partition by group order by order) - 1`` without
-    sending a whole group to one task: global index minus the group's first
-    index, both on the narrow key table (the group minimum is a partial
-    aggregate; AQE splits a hot group in its join), then one join back.
+    ever shuffling on the group key alone (a hot group would land in one
+    task, and later group-keyed operators would inherit that layout):
+
+    1. global index over (group, order) on range partitions;
+    2. each group's start inside its range partition: a window over
+       (partition, group) - balanced, no piece exceeds one range partition;
+    3. only the first group of a partition can have started earlier: a
+       boundary table with one row per range partition (at most ``n``,
+       broadcast) carries its true start across partitions.
     """
     g, o = _names(group_by), _names(order_by)
     names = g + o
     carry = _carried(df, names)
-    gi = _narrow_index(df, names, "_gidx", num_partitions, carry)
-    first = gi.groupBy(*g).agg(F.min("_gidx").alias("_gfirst"))
-    idx = (gi.join(first, g)
-           .select(*names, *carry, (F.col("_gidx") - F.col("_gfirst")).cast("long").alias(idx_col)))
+    gi = _narrow_index(df, names, "_gidx", num_partitions, carry, keep_pid=True)
+    gi = gi.withColumn("_lstart", F.min("_gidx").over(Window.partitionBy("_pid", *g)))
+    gkey = F.struct(*[F.col(c) for c in g])
+    summ = (gi.groupBy("_pid").agg(
+        F.min_by(gkey, "_loc").alias("fg"), F.max_by(gkey, "_loc").alias("lg"),
+        F.min("_gidx").alias("pmin"), F.max_by("_lstart", "_loc").alias("llast"))
+        .collect())
+    # Driver-side walk over at most n partition summaries (like the offsets).
+    rows, prev_lg, prev_start = [], None, None
+    for r in sorted(summ, key=lambda x: x["_pid"]):
+        start_first = prev_start if (prev_lg is not None and r["fg"] == prev_lg) else r["pmin"]
+        start_last = start_first if r["lg"] == r["fg"] else r["llast"]
+        rows.append((r["_pid"], *[r["fg"][c] for c in g], start_first))
+        prev_lg, prev_start = r["lg"], start_last
+    schema = T.StructType([T.StructField("_pid", T.LongType())] +
+                          [T.StructField(f"_fg{i}", df.schema[c].dataType) for i, c in enumerate(g)] +
+                          [T.StructField("_fstart", T.LongType())])
+    bound = df.sparkSession.createDataFrame(rows, schema)
+    same = None
+    for i, c in enumerate(g):
+        e = F.col(c).eqNullSafe(F.col(f"_fg{i}"))
+        same = e if same is None else (same & e)
+    idx = (gi.join(F.broadcast(bound), "_pid")
+           .withColumn(idx_col, (F.col("_gidx") - F.when(same, F.col("_fstart"))
+                                 .otherwise(F.col("_lstart"))).cast("long"))
+           .select(*names, *carry, idx_col))
     return _join_back(df, idx, names, idx_col)
 
 
@@ -144,6 +174,13 @@ def _bucket(seq: str, size: int) -> Column:
     return F.floor((F.col(seq) - 1) / size).cast("long")
 
 
+def _spread(df: DataFrame, g) -> DataFrame:
+    """Hash-partition on (group, bucket) explicitly.  A child already
+    partitioned by the group alone would otherwise satisfy the window's
+    (group, bucket) clustering and keep a hot group in one task."""
+    return df.repartition(_num_partitions(df, None), *g, "_bkt")
+
+
 def cumulative_min_by(df: DataFrame, group_by, seq_col: str, value, key,
                       out_col: str, bucket_size: int = 4096) -> DataFrame:
     """For every row: ``min_by(value, key)`` over all rows of its group with
@@ -154,7 +191,7 @@ def cumulative_min_by(df: DataFrame, group_by, seq_col: str, value, key,
     v = value if isinstance(value, Column) else F.col(value)
     k = key if isinstance(key, Column) else F.col(key)
     pair = F.struct(k.alias("k"), v.alias("v"))
-    b = df.withColumn("_bkt", _bucket(seq_col, bucket_size)).withColumn("_pair", pair)
+    b = _spread(df.withColumn("_bkt", _bucket(seq_col, bucket_size)).withColumn("_pair", pair), g)
     w_local = (Window.partitionBy(*g, "_bkt").orderBy(seq_col)
                .rowsBetween(Window.unboundedPreceding, 0))
     local = b.withColumn("_loc", F.min("_pair").over(w_local))
@@ -173,7 +210,7 @@ def cumulative_max(df: DataFrame, group_by, seq_col: str, value, out_col: str,
     """Running max of ``value`` over rows with seq <= seq(row) in the group."""
     g = _cols(group_by)
     v = value if isinstance(value, Column) else F.col(value)
-    b = df.withColumn("_bkt", _bucket(seq_col, bucket_size)).withColumn("_v", v)
+    b = _spread(df.withColumn("_bkt", _bucket(seq_col, bucket_size)).withColumn("_v", v), g)
     local = b.withColumn("_loc", F.max("_v").over(
         Window.partitionBy(*g, "_bkt").orderBy(seq_col)
         .rowsBetween(Window.unboundedPreceding, 0)))
@@ -195,7 +232,7 @@ def cumulative_sum(df: DataFrame, group_by, order_col: str, value, out_col: str,
     window task, earlier buckets contribute a carried sum."""
     g = _cols(group_by)
     v = value if isinstance(value, Column) else F.col(value)
-    b = df.withColumn("_bkt", _bucket(order_col, bucket_size)).withColumn("_v", v)
+    b = _spread(df.withColumn("_bkt", _bucket(order_col, bucket_size)).withColumn("_v", v), g)
     local = b.withColumn("_loc", F.sum("_v").over(
         Window.partitionBy(*g, "_bkt").orderBy(order_col)
         .rowsBetween(Window.unboundedPreceding, 0)))
@@ -209,17 +246,20 @@ def cumulative_sum(df: DataFrame, group_by, order_col: str, value, out_col: str,
             .drop("_bkt", "_v", "_loc", "_carry"))
 
 
-def with_halo(df: DataFrame, seq_col: str, width: int, bucket_size: int) -> DataFrame:
+def with_halo(df: DataFrame, seq_col: str, width: int, bucket_size: int,
+              group_by=None) -> DataFrame:
     """Assign ``_bkt`` by seq and copy the last ``width-1`` rows of every
     bucket into the next one (``_halo`` = true) so row frames of up to
-    ``width`` rows are complete inside each (group, bucket)."""
+    ``width`` rows are complete inside each (group, bucket).  With
+    ``group_by`` the rows are hash-partitioned on (group, bucket)."""
     if width - 1 > bucket_size:
         raise ValueError("bucket_size must be at least width - 1")
     base = df.withColumn("_bkt", _bucket(seq_col, bucket_size))
     pos = (F.col(seq_col) - 1) % bucket_size
     halo = (base.where(pos >= bucket_size - (width - 1))
             .withColumn("_bkt", F.col("_bkt") + 1).withColumn("_halo", F.lit(True)))
-    return base.withColumn("_halo", F.lit(False)).unionByName(halo)
+    out = base.withColumn("_halo", F.lit(False)).unionByName(halo)
+    return _spread(out, _cols(group_by)) if group_by is not None else out
 
 
 def sliding_frame(group_by, seq_col: str, start: int, end: int):

@@ -74,7 +74,7 @@ def trend(trials: DataFrame, w: int = TREND_WINDOW, eps: float = TREND_EPS,
     """Trend label after each completed trial over the last ``w`` (win_trend):
     d = avg(first w//2) - avg(rest); > eps improving, < -eps degrading, else
     stable; fewer than w trials -> insufficient_data."""
-    s = ix.with_halo(sequenced(trials, study, bucket_size), "seq", w, bucket_size)
+    s = ix.with_halo(sequenced(trials, study, bucket_size), "seq", w, bucket_size, study)
     h1 = w // 2
     first = ix.sliding_frame(study, "seq", -(w - 1), -(w - h1))
     second = ix.sliding_frame(study, "seq", -(w - h1) + 1, 0)
@@ -94,7 +94,7 @@ def recent_avg(trials: DataFrame, n: int = RECENT_N, study=KEY,
                bucket_size: int = BUCKET) -> DataFrame:
     """Mean divergence and rate % of the last ``n`` completed trials; NULL
     under ``n`` (win_recent_avg)."""
-    s = ix.with_halo(sequenced(trials, study, bucket_size), "seq", n, bucket_size)
+    s = ix.with_halo(sequenced(trials, study, bucket_size), "seq", n, bucket_size, study)
     fr = ix.sliding_frame(study, "seq", -(n - 1), 0)
     r = (s.withColumn("avg_divergence", F.when(F.col("seq") >= n, F.avg("divergence").over(fr)))
          .withColumn("avg_rate_pct", F.when(F.col("seq") >= n, F.avg("rate_pct").over(fr))))
@@ -141,13 +141,14 @@ def top_trials(trials: DataFrame, k: int = TOP_K, study=KEY, min_trials: int = T
     on ties, shown only with >= ``min_trials`` trials; first is starred
     (top_trials).  ``row_number() <= k`` plans as a partial per-partition
     group limit before the shuffle, so a hot study sends only k rows per
-    partition."""
+    partition.  The eligibility semi join runs after the limit, on at most
+    k rows per study, so it cannot impose a study-only layout first."""
     s = scored(completed(trials))
     eligible = (s.groupBy(*study).agg(F.count(F.lit(1)).alias("_n"))
                 .where(F.col("_n") >= min_trials).select(*study))
     w = Window.partitionBy(*study).orderBy("score", "trial_number")
-    r = (s.join(eligible, study, "left_semi").withColumn("rank", F.row_number().over(w))
-         .where(F.col("rank") <= k))
+    r = (s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+         .join(eligible, study, "left_semi"))
     return r.select(*study, "rank", "trial_number", "divergence", "hits", "score",
                     (F.col("rank") == 1).alias("starred"))
 

@@ -79,3 +79,21 @@ def test_results_independent_of_partitioning(spark):
     b = sorted(map(tuple, q(spark, sf).collect()), key=str)
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert a == b
+
+
+def test_group_index_hot_group_spans_partitions(spark):
+    rows = [("hot", i) for i in range(2000)] + [(None, i) for i in range(5)] + \
+           [(f"c{j}", i) for j in range(30) for i in range(3)]
+    df = spark.createDataFrame(rows, "g string, o long")
+    got = ix.with_group_index(df, ["g"], ["o"], num_partitions=9)
+    chk = got.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("o")) - 1)
+    assert chk.where("rn != idx").count() == 0 and chk.count() == len(rows)
+
+
+def test_bucketed_windows_repartition_on_group_and_bucket(spark):
+    from tessera.plans import trial_queries as TQ
+    p = TQ.q_win_trend(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(study" in p and "_bkt" in p
+    for line in p.splitlines():
+        if "Exchange hashpartitioning(study" in line and "REPARTITION_BY_COL" in line:
+            assert "_bkt" in line
