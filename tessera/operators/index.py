@@ -56,37 +56,43 @@ def _carried(df: DataFrame, names):
     return []
 
 
-def _narrow_index(df: DataFrame, names, idx_col: str, num_partitions: int | None, carry=(),
-                  keep_pid: bool = False):
-    """(key..., carry..., idx) for the key columns of ``df`` in key order.
-
-    Only the key columns are range-partitioned, numbered and checkpointed to
-    the shared ``spark.checkpoint.dir`` (reliable, survives executor loss).
-    The checkpoint is needed because the count branch and the numbering
-    branch must see the *same* range bounds, and Spark samples bounds per
-    exchange.
+def _ranged(df: DataFrame, names, num_partitions: int | None, carry=()) -> DataFrame:
+    """Key (+ carried) columns range-partitioned on ``names``, sorted, with
+    ``_pid`` (range partition) and ``_loc`` (position inside it).
+
+    Checkpointed to the shared ``spark.checkpoint.dir`` (reliable, survives
+    executor loss): every later branch must see the *same* range bounds, and
+    Spark samples bounds per exchange.
     """
     n = _num_partitions(df, num_partitions)
     ensure_checkpoint_dir(df.sparkSession)
-    ranged = (df.select(*names, *carry).repartitionByRange(n, *names).sortWithinPartitions(*names)
-              .withColumn("_mid", F.monotonically_increasing_id())
-              .checkpoint(eager=True)
-              .withColumn("_pid", F.shiftright("_mid", 33))
-              .withColumn("_loc", F.col("_mid").bitwiseAND(F.lit(_MASK33))))
-    # Per-range-partition row counts: at most ``n`` numbers, the same
-    # metadata ``RDD.zipWithIndex`` gathers.  Their prefix sums become a
-    # local table that is broadcast (bounded by n) - no single-partition
-    # exchange and no data on the driver.
-    counts = sorted((r[0], r[1]) for r in
-                    ranged.groupBy("_pid").agg(F.count(F.lit(1))).collect())
-    offs, acc = [], 0
-    for pid, cnt in counts:
-        offs.append((pid, acc))
+    return (df.select(*names, *carry).repartitionByRange(n, *names).sortWithinPartitions(*names)
+            .withColumn("_mid", F.monotonically_increasing_id())
+            .checkpoint(eager=True)
+            .withColumn("_pid", F.shiftright("_mid", 33))
+            .withColumn("_loc", F.col("_mid").bitwiseAND(F.lit(_MASK33)))
+            .drop("_mid"))
+
+
+def _offsets(spark, counts):
+    """Exclusive prefix sums of per-range-partition counts (at most ``n``
+    numbers, the same metadata ``RDD.zipWithIndex`` gathers) as a local
+    table for a broadcast join - no single-partition exchange and no data
+    on the driver."""
+    offs, acc = {}, 0
+    for pid, cnt in sorted(counts):
+        offs[pid] = acc
         acc += cnt
-    offsets = df.sparkSession.createDataFrame(offs, "_pid long, _off long")
-    extra = ["_pid", "_loc"] if keep_pid else []
+    return offs, spark.createDataFrame(sorted(offs.items()), "_pid long, _off long")
+
+
+def _narrow_index(df: DataFrame, names, idx_col: str, num_partitions: int | None, carry=()):
+    """(key..., carry..., idx) for the key columns of ``df`` in key order."""
+    ranged = _ranged(df, names, num_partitions, carry)
+    counts = [(r[0], r[1]) for r in ranged.groupBy("_pid").agg(F.count(F.lit(1))).collect()]
+    _, offsets = _offsets(df.sparkSession, counts)
     return (ranged.join(F.broadcast(offsets), "_pid")
-            .select(*names, *carry, *extra, (F.col("_off") + F.col("_loc")).cast("long").alias(idx_col)))
+            .select(*names, *carry, (F.col("_off") + F.col("_loc")).cast("long").alias(idx_col)))
 
 
 def _names(cols):
@@ -141,20 +147,29 @@ def with_group_index(df: DataFrame, group_by, order_by, idx_col: str = "idx",
     g, o = _names(group_by), _names(order_by)
     names = g + o
     carry = _carried(df, names)
-    gi = _narrow_index(df, names, "_gidx", num_partitions, carry, keep_pid=True)
-    gi = gi.withColumn("_lstart", F.min("_gidx").over(Window.partitionBy("_pid", *g)))
+    ranged = _ranged(df, names, num_partitions, carry)
     gkey = F.struct(*[F.col(c) for c in g])
-    summ = (gi.groupBy("_pid").agg(
-        F.min_by(gkey, "_loc").alias("fg"), F.max_by(gkey, "_loc").alias("lg"),
-        F.min("_gidx").alias("pmin"), F.max_by("_lstart", "_loc").alias("llast"))
-        .collect())
-    # Driver-side walk over at most n partition summaries (like the offsets).
+    # One small collect: per range partition its row count, first group, and
+    # last group with that group's first position (at most n rows).
+    per_pg = ranged.groupBy("_pid", *g).agg(F.count(F.lit(1)).alias("_c"), F.min("_loc").alias("_lo"),
+                                           F.max("_loc").alias("_hi"))
+    summ = per_pg.groupBy("_pid").agg(
+        F.sum("_c").alias("cnt"), F.min_by(gkey, "_lo").alias("fg"),
+        F.max_by(F.struct(gkey.alias("g"), F.col("_lo").alias("lo")), "_hi").alias("last")).collect()
+    offs, offsets = _offsets(df.sparkSession, [(r["_pid"], r["cnt"]) for r in summ])
+    # Driver-side walk over the partition summaries: the true start of each
+    # partition's first group (it may have begun in an earlier partition).
     rows, prev_lg, prev_start = [], None, None
     for r in sorted(summ, key=lambda x: x["_pid"]):
-        start_first = prev_start if (prev_lg is not None and r["fg"] == prev_lg) else r["pmin"]
-        start_last = start_first if r["lg"] == r["fg"] else r["llast"]
+        off = offs[r["_pid"]]
+        start_first = prev_start if (prev_lg is not None and r["fg"] == prev_lg) else off
+        lg = r["last"]["g"]
+        start_last = start_first if lg == r["fg"] else off + r["last"]["lo"]
         rows.append((r["_pid"], *[r["fg"][c] for c in g], start_first))
-        prev_lg, prev_start = r["lg"], start_last
+        prev_lg, prev_start = lg, start_last
+    gi = (ranged.join(F.broadcast(offsets), "_pid")
+          .withColumn("_gidx", (F.col("_off") + F.col("_loc")).cast("long"))
+          .withColumn("_lstart", F.min("_gidx").over(Window.partitionBy("_pid", *g))))
     schema = T.StructType([T.StructField("_pid", T.LongType())] +
                           [T.StructField(f"_fg{i}", df.schema[c].dataType) for i, c in enumerate(g)] +
                           [T.StructField("_fstart", T.LongType())])
@@ -181,69 +196,74 @@ def _spread(df: DataFrame, g) -> DataFrame:
     return df.repartition(_num_partitions(df, None), *g, "_bkt")
 
 
+_AGG = {"sum": F.sum, "min": F.min, "max": F.max}
+
+
+def cumulative(df: DataFrame, group_by, order_col: str, specs, bucket_size: int = 4096) -> DataFrame:
+    """Several running aggregates in one pass, each over the rows of the
+    group with ``order <= order(row)``.
+
+    ``specs``: iterable of (out_col, kind, value) with kind in sum / min /
+    max (min and max work on structs, so ``min(struct(key, payload))`` is a
+    running argmin; NULL values are ignored).  ``order_col`` is a unique
+    integer per group, dense or not.  Rows are hash-partitioned on (group,
+    bucket of ``bucket_size`` consecutive order values); windows run per
+    (group, bucket) and a carry from earlier buckets completes the result, so
+    no task holds more than one bucket of a group.
+    """
+    g = _cols(group_by)
+    specs = [(o, k, v if isinstance(v, Column) else F.col(v)) for o, k, v in specs]
+    b = df.withColumn("_bkt", _bucket(order_col, bucket_size))
+    for i, (_, _, v) in enumerate(specs):
+        b = b.withColumn(f"_v{i}", v)
+    b = _spread(b, g)
+    w_local = (Window.partitionBy(*g, "_bkt").orderBy(order_col)
+               .rowsBetween(Window.unboundedPreceding, 0))
+    local = b
+    for i, (_, k, _) in enumerate(specs):
+        local = local.withColumn(f"_l{i}", _AGG[k](f"_v{i}").over(w_local))
+    per_bucket = b.groupBy(*g, "_bkt").agg(*[_AGG[k](f"_v{i}").alias(f"_b{i}")
+                                           for i, (_, k, _) in enumerate(specs)])
+    w_carry = (Window.partitionBy(*g).orderBy("_bkt")
+               .rowsBetween(Window.unboundedPreceding, -1))
+    carry = per_bucket.select(*g, "_bkt", *[_AGG[k](f"_b{i}").over(w_carry).alias(f"_c{i}")
+                                            for i, (_, k, _) in enumerate(specs)])
+    out = local.join(carry, g + ["_bkt"], "left")
+    tmp = ["_bkt"]
+    for i, (o, k, _) in enumerate(specs):
+        l, c = F.col(f"_l{i}"), F.col(f"_c{i}")
+        if k == "sum":
+            val = F.coalesce(l, F.lit(0)) + F.coalesce(c, F.lit(0))
+        elif k == "min":
+            val = F.least(l, c)
+        else:
+            val = F.greatest(l, c)
+        out = out.withColumn(o, val)
+        tmp += [f"_v{i}", f"_l{i}", f"_c{i}"]
+    return out.drop(*tmp)
+
+
 def cumulative_min_by(df: DataFrame, group_by, seq_col: str, value, key,
                       out_col: str, bucket_size: int = 4096) -> DataFrame:
     """For every row: ``min_by(value, key)`` over all rows of its group with
-    ``seq <= seq(row)``.  ``seq_col`` is a dense 1-based sequence in the
-    group; ``key`` a (total-order) struct; ties resolve by the key itself.
-    """
-    g = _cols(group_by)
+    ``seq <= seq(row)``; ``key`` a (total-order) struct."""
     v = value if isinstance(value, Column) else F.col(value)
     k = key if isinstance(key, Column) else F.col(key)
-    pair = F.struct(k.alias("k"), v.alias("v"))
-    b = _spread(df.withColumn("_bkt", _bucket(seq_col, bucket_size)).withColumn("_pair", pair), g)
-    w_local = (Window.partitionBy(*g, "_bkt").orderBy(seq_col)
-               .rowsBetween(Window.unboundedPreceding, 0))
-    local = b.withColumn("_loc", F.min("_pair").over(w_local))
-    per_bucket = b.groupBy(*g, "_bkt").agg(F.min("_pair").alias("_bmin"))
-    carry = (per_bucket.withColumn("_carry", F.min("_bmin").over(
-        Window.partitionBy(*g).orderBy("_bkt")
-        .rowsBetween(Window.unboundedPreceding, -1))).select(*g, "_bkt", "_carry"))
-    out = (local.join(carry, g + ["_bkt"], "left")
-           .withColumn("_cm", F.when(F.col("_carry").isNull(), F.col("_loc"))
-                       .otherwise(F.least("_carry", "_loc"))))
-    return out.withColumn(out_col, F.col("_cm.v")).drop("_bkt", "_pair", "_loc", "_carry", "_cm")
+    r = cumulative(df, group_by, seq_col, [("_cm", "min", F.struct(k.alias("k"), v.alias("v")))], bucket_size)
+    return r.withColumn(out_col, F.col("_cm.v")).drop("_cm")
 
 
 def cumulative_max(df: DataFrame, group_by, seq_col: str, value, out_col: str,
                    bucket_size: int = 4096) -> DataFrame:
     """Running max of ``value`` over rows with seq <= seq(row) in the group."""
-    g = _cols(group_by)
-    v = value if isinstance(value, Column) else F.col(value)
-    b = _spread(df.withColumn("_bkt", _bucket(seq_col, bucket_size)).withColumn("_v", v), g)
-    local = b.withColumn("_loc", F.max("_v").over(
-        Window.partitionBy(*g, "_bkt").orderBy(seq_col)
-        .rowsBetween(Window.unboundedPreceding, 0)))
-    carry = (b.groupBy(*g, "_bkt").agg(F.max("_v").alias("_bmax"))
-             .withColumn("_carry", F.max("_bmax").over(
-                 Window.partitionBy(*g).orderBy("_bkt")
-                 .rowsBetween(Window.unboundedPreceding, -1)))
-             .select(*g, "_bkt", "_carry"))
-    return (local.join(carry, g + ["_bkt"], "left")
-            .withColumn(out_col, F.greatest("_loc", "_carry"))
-            .drop("_bkt", "_v", "_loc", "_carry"))
+    return cumulative(df, group_by, seq_col, [(out_col, "max", value)], bucket_size)
 
 
 def cumulative_sum(df: DataFrame, group_by, order_col: str, value, out_col: str,
                    bucket_size: int = 4096) -> DataFrame:
     """Running sum of ``value`` over rows of the group with
-    ``order <= order(row)``.  ``order_col`` is a unique integer per group
-    (dense or not); buckets of ``bucket_size`` consecutive values bound every
-    window task, earlier buckets contribute a carried sum."""
-    g = _cols(group_by)
-    v = value if isinstance(value, Column) else F.col(value)
-    b = _spread(df.withColumn("_bkt", _bucket(order_col, bucket_size)).withColumn("_v", v), g)
-    local = b.withColumn("_loc", F.sum("_v").over(
-        Window.partitionBy(*g, "_bkt").orderBy(order_col)
-        .rowsBetween(Window.unboundedPreceding, 0)))
-    carry = (b.groupBy(*g, "_bkt").agg(F.sum("_v").alias("_bsum"))
-             .withColumn("_carry", F.sum("_bsum").over(
-                 Window.partitionBy(*g).orderBy("_bkt")
-                 .rowsBetween(Window.unboundedPreceding, -1)))
-             .select(*g, "_bkt", "_carry"))
-    return (local.join(carry, g + ["_bkt"], "left")
-            .withColumn(out_col, F.col("_loc") + F.coalesce(F.col("_carry"), F.lit(0)))
-            .drop("_bkt", "_v", "_loc", "_carry"))
+    ``order <= order(row)``."""
+    return cumulative(df, group_by, order_col, [(out_col, "sum", value)], bucket_size)
 
 
 def with_halo(df: DataFrame, seq_col: str, width: int, bucket_size: int,

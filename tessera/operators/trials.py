@@ -58,15 +58,21 @@ def sequenced(trials: DataFrame, study=KEY, bucket_size: int = BUCKET) -> DataFr
 
 def running_best(trials: DataFrame, study=KEY, bucket_size: int = BUCKET) -> DataFrame:
     """After each completed trial, the best trial so far by composite score;
-    strict '<' so the earliest trial wins ties (win_running_best)."""
-    s = sequenced(trials, study, bucket_size)
-    key = F.struct("score", "trial_number")
-    val = F.struct(F.col("trial_number").alias("t"), F.col("divergence").alias("d"),
-                   F.col("hits").alias("h"), F.col("score").alias("s"))
-    r = ix.cumulative_min_by(s, study, "seq", val, key, "_best", bucket_size)
-    return r.select(*study, "trial_number", "seq", "divergence", "hits", "score",
-                    F.col("_best.t").alias("best_trial"), F.col("_best.d").alias("best_divergence"),
-                    F.col("_best.h").alias("best_hits"), F.col("_best.s").alias("best_score"))
+    strict '<' so the earliest trial wins ties (win_running_best).
+
+    One bucketed pass over trial_number computes both the position among
+    completed trials (running count) and the running argmin.
+    """
+    s = scored(trials)
+    done = F.col("state") == "COMPLETE"
+    best = F.when(done, F.struct(F.col("score").alias("s"), F.col("trial_number").alias("t"),
+                                 F.col("divergence").alias("d"), F.col("hits").alias("h")))
+    r = ix.cumulative(s, study, "trial_number",
+                      [("seq", "sum", done.cast("long")), ("_best", "min", best)], bucket_size)
+    return r.where(done).select(
+        *study, "trial_number", F.col("seq").cast("long").alias("seq"), "divergence", "hits", "score",
+        F.col("_best.t").alias("best_trial"), F.col("_best.d").alias("best_divergence"),
+        F.col("_best.h").alias("best_hits"), F.col("_best.s").alias("best_score"))
 
 
 def trend(trials: DataFrame, w: int = TREND_WINDOW, eps: float = TREND_EPS,
@@ -125,10 +131,9 @@ def plateau(trials: DataFrame, stable_n: int = PLATEAU_STABLE, no_best_n: int =
     b = running_best(trials, study, bucket_size).select(*study, "trial_number", "best_trial")
     j = t.join(b, study + ["trial_number"])
     last_unstable = F.when(F.col("trend") != "stable", F.col("seq")).otherwise(F.lit(0))
-    j = ix.cumulative_max(j, study, "seq", last_unstable, "_lu", bucket_size)
     # seq of the current best trial = last seq where best_trial == trial_number
     newbest = F.when(F.col("best_trial") == F.col("trial_number"), F.col("seq")).otherwise(F.lit(0))
-    j = ix.cumulative_max(j, study, "seq", newbest, "_lb", bucket_size)
+    j = ix.cumulative(j, study, "seq", [("_lu", "max", last_unstable), ("_lb", "max", newbest)], bucket_size)
     return j.select(*study, "trial_number", "seq", "trend",
                     (F.col("seq") - F.col("_lu")).alias("stable_run"),
                     (F.col("seq") - F.col("_lb")).alias("since_best"),
