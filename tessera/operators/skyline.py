@@ -6,7 +6,7 @@ dominate each other, so duplicates stay.  Exact 2-objective algorithm,
 no pairs are ever formed:
 
 1. per (study, a): m(a) = min b                      (partial aggregate)
-2. number the distinct a values of a study (skew-safe group index)
+2. number the distinct (study, a) values (skew-safe global index)
 3. a survives iff m(a) is a strict new minimum over smaller a - a
    bucketed cumulative argmin, so a hot study is spread over many tasks
 4. a point survives iff its a survives and b = m(a)  (join back on (study, a))
@@ -30,7 +30,9 @@ def _oriented(col: str, direction: str):
 
 def _front_keys(points: DataFrame, by, bucket_size: int) -> DataFrame:
     mins = points.groupBy(*by, "_a").agg(F.min("_b").alias("_m"))
-    seq = (ix.with_group_index(mins, by, ["_a"], "_s")
+    # The global position over (group, a) is unique and increasing in a within
+    # each group - all the bucketed scan needs (no per-group renumbering).
+    seq = (ix.with_global_index(mins, by + ["_a"], "_s")
            .withColumn("_s", F.col("_s") + 1))
     best = ix.cumulative_min_by(seq, by, "_s", "_s", F.struct("_m", "_s"), "_arg", bucket_size)
     return best.where(F.col("_arg") == F.col("_s")).select(*by, "_a", "_m")
