@@ -116,6 +116,13 @@ def truncate_tokens(col, n: int = 2048) -> Column:
     return F.slice(_c(col), 1, n)
 
 
+def training_columns(prompt_tokens, n: int = 2048):
+    """``input_ids`` truncated to ``n`` (no padding) and ``labels`` = the same
+    array, as a causal-LM row needs (txt_truncate_tokens)."""
+    ids = truncate_tokens(prompt_tokens, n)
+    return {"input_ids": ids, "labels": ids}
+
+
 def as_chat(prompt, system: str = DEFAULT_SYSTEM_PROMPT) -> Column:
     """``[{system}, {user}]`` chat array (txt_chat)."""
     return F.array(
