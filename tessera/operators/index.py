@@ -5,9 +5,10 @@ None of these uses an unpartitioned window over the data or puts a whole
 group into one task:
 
 * ``with_global_index`` range-partitions on the order key, numbers rows
-  inside each range with ``monotonically_increasing_id`` and adds per-range
-  offsets.  The offsets table has one row per range partition (a proven
-  bound), so it is broadcast.
+  inside each range with ``monotonically_increasing_id`` (written once to
+  the shared checkpoint folder) and adds per-range offsets.  The offsets
+  table has one row per range partition (a proven bound), so it is
+  broadcast.
 * ``with_group_index`` derives the index inside a group from the global
   index minus the group's first index; the group minimum is a partial
   (map-side combined) aggregate and joins back on the group key, where AQE
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.session import ensure_checkpoint_dir
+from tessera.session import ensure_checkpoint_dir, materialize
 
 _MASK33 = (1 << 33) - 1
 
@@ -60,15 +61,17 @@ def _ranged(df: DataFrame, names, num_partitions: int | None, carry=()) -> DataF
     """Key (+ carried) columns range-partitioned on ``names``, sorted, with
     ``_pid`` (range partition) and ``_loc`` (position inside it).
 
-    Checkpointed to the shared ``spark.checkpoint.dir`` (reliable, survives
-    executor loss): every later branch must see the *same* range bounds, and
-    Spark samples bounds per exchange.
+    The numbered rows are written once as a Parquet table in the shared
+    ``spark.checkpoint.dir`` (one job; survives executor loss): every later
+    branch must see the *same* range bounds, and Spark samples bounds per
+    exchange.  Partition identity is kept as data (``_mid``), so later passes
+    do not depend on the physical file split and can prune columns.
     """
     n = _num_partitions(df, num_partitions)
     ensure_checkpoint_dir(df.sparkSession)
-    return (df.select(*names, *carry).repartitionByRange(n, *names).sortWithinPartitions(*names)
-            .withColumn("_mid", F.monotonically_increasing_id())
-            .checkpoint(eager=True)
+    numbered = (df.select(*names, *carry).repartitionByRange(n, *names).sortWithinPartitions(*names)
+                .withColumn("_mid", F.monotonically_increasing_id()))
+    return (materialize(numbered, "index")
             .withColumn("_pid", F.shiftright("_mid", 33))
             .withColumn("_loc", F.col("_mid").bitwiseAND(F.lit(_MASK33)))
             .drop("_mid"))
