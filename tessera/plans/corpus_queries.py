@@ -47,23 +47,20 @@ def examples(spark, sf):
 
 
 def stage_documents_as_files(spark, sf):
-    """Write every document as its own text file (derived from the table)."""
+    """Write every document of the table as its own text file (one record
+    per file, one flat folder) - the folder a corpus reader consumes."""
     path = scratch_path(spark, "docs_as_files")
-    (T(spark, sf, "documents").select("doc_id", "text").repartition("doc_id")
-     .write.partitionBy("doc_id").text(path))
+    (T(spark, sf, "documents").select("text")
+     .repartition(spark.sparkContext.defaultParallelism)  # spread the per-file writes
+     .write.option("maxRecordsPerFile", 1).text(path))
     return path
 
 
-def _doc_id_from_path(col="path"):
-    return F.regexp_extract(F.col(col), "doc_id=([0-9]+)", 1).cast("long")
-
-
 # ---------------------------------------------------------------- queries --
 def q_src_text_corpus(spark, sf):
     docs, _rejects = read_corpus(spark, stage_documents_as_files(spark, sf))
     t = F.regexp_replace("text", "\n$", "")
-    return docs.select(_doc_id_from_path().alias("doc_id"), t.alias("text"),
-                       L(F.length(t)).alias("n_chars"))
+    return docs.select(t.alias("text"), L(F.length(t)).alias("n_chars"))
 
 
 def q_src_paragraphs(spark, sf):
@@ -176,10 +173,10 @@ def q_udf_batch_score(spark, sf):
 def q_str_corpus(spark, sf):
     src = stage_documents_as_files(spark, sf)
     out, ck = scratch_path(spark, "str_corpus_out"), scratch_path(spark, "str_corpus_ckpt")
-    run_append(stream_corpus(spark, src, max_files_per_trigger=500), out, ck)
+    run_append(stream_corpus(spark, src), out, ck)
     c = spark.read.parquet(out)
-    return c.select(_doc_id_from_path("doc_path").alias("doc_id"), L("chunk_no").alias("chunk_no"),
-                    L("start_token").alias("start_token"), L("n_tokens").alias("n_tokens"), "text")
+    return c.select(L("chunk_no").alias("chunk_no"), L("start_token").alias("start_token"),
+                    L("n_tokens").alias("n_tokens"), "text")
 
 
 QUERIES = {
@@ -217,7 +214,7 @@ _SEGS = f"""segs AS (
 _RENDER = "'### Instruction:' || chr(10) || instruction || chr(10) || chr(10) || '### Response:' || chr(10) || response"
 
 ORACLES = {
-    "src_text_corpus": """SELECT doc_id, regexp_replace(text, '\\r\\n?', chr(10), 'g') AS text,
+    "src_text_corpus": """SELECT regexp_replace(text, '\\r\\n?', chr(10), 'g') AS text,
         CAST(length(regexp_replace(text, '\\r\\n?', chr(10), 'g')) AS BIGINT) AS n_chars FROM documents""",
     "src_paragraphs": f"WITH {_SEGS} SELECT doc_id, segment_no, text FROM segs",
     "src_text_column": """SELECT 'documents' AS source, doc_id AS id, text FROM documents
@@ -250,5 +247,5 @@ ORACLES = {
         FROM c""",
     "udf_tokenizer": f"SELECT doc_id, CAST(len({sql_tokens('text')}) AS BIGINT) AS n_tokens FROM documents",
     "udf_batch_score": "SELECT doc_id, CAST(length(text) AS BIGINT) AS score FROM documents",
-    "str_corpus": f"WITH {CHUNKS_CTE} SELECT doc_id, chunk_no, start_token, n_tokens, text FROM chunks",
+    "str_corpus": f"WITH {CHUNKS_CTE} SELECT chunk_no, start_token, n_tokens, text FROM chunks",
 }
