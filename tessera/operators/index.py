@@ -67,10 +67,13 @@ def _ranged(df: DataFrame, names, num_partitions: int | None, carry=()) -> DataF
     exchange.  Partition identity is kept as data (``_mid``), so later passes
     do not depend on the physical file split and can prune columns.
     """
-    n = _num_partitions(df, num_partitions)
     ensure_checkpoint_dir(df.sparkSession)
-    numbered = (df.select(*names, *carry).repartitionByRange(n, *names).sortWithinPartitions(*names)
-                .withColumn("_mid", F.monotonically_increasing_id()))
+    sel = df.select(*names, *carry)
+    # Without an explicit count AQE may coalesce adjacent ranges to its target
+    # partition size; coalesced ranges stay contiguous, so order is kept.
+    ranged = (sel.repartitionByRange(int(num_partitions), *names) if num_partitions
+              else sel.repartitionByRange(*names))
+    numbered = ranged.sortWithinPartitions(*names).withColumn("_mid", F.monotonically_increasing_id())
     return (materialize(numbered, "index")
             .withColumn("_pid", F.shiftright("_mid", 33))
             .withColumn("_loc", F.col("_mid").bitwiseAND(F.lit(_MASK33)))
@@ -195,8 +198,9 @@ def _bucket(seq: str, size: int) -> Column:
 def _spread(df: DataFrame, g) -> DataFrame:
     """Hash-partition on (group, bucket) explicitly.  A child already
     partitioned by the group alone would otherwise satisfy the window's
-    (group, bucket) clustering and keep a hot group in one task."""
-    return df.repartition(_num_partitions(df, None), *g, "_bkt")
+    (group, bucket) clustering and keep a hot group in one task.  No fixed
+    count: AQE may coalesce whole hash partitions of small data."""
+    return df.repartition(*g, "_bkt")
 
 
 _AGG = {"sum": F.sum, "min": F.min, "max": F.max}

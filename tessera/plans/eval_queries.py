@@ -154,7 +154,8 @@ def q_str_hit_rate(spark, sf):
     r.repartition(4, "prompt_id").write.parquet(src)
     stream = spark.readStream.schema(r.schema).option("maxFilesPerTrigger", "1").parquet(src)
     out, ck = scratch_path(spark, "str_hit_rate_out"), scratch_path(spark, "str_hit_rate_ckpt")
-    run_updates(stream_hit_rate(stream, QUERY_MARKERS), out, ck)
+    run_updates(stream_hit_rate(stream, QUERY_MARKERS), out, ck,
+                state_partitions=spark.sparkContext.defaultParallelism)
     h = read_latest(spark, out, ["model_id"])
     return h.select("model_id", L("hits").alias("hits"), L("total").alias("total"), r6("rate_pct").alias("rate_pct"))
 

@@ -158,6 +158,11 @@ def q_snk_report(spark, sf):
     return eval_report(best, kl_digits=4)
 
 
+def _state_parts(spark):
+    """State-store partitions sized to the cluster's parallelism."""
+    return spark.sparkContext.defaultParallelism
+
+
 def _stage_trials(spark, sf, n_files=4):
     src = scratch_path(spark, "trial_files")
     t = _trials(spark, sf)
@@ -169,7 +174,7 @@ def q_str_running_best(spark, sf):
     src, schema = _stage_trials(spark, sf)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", "1").parquet(src)
     out, ck = scratch_path(spark, "str_best_out"), scratch_path(spark, "str_best_ckpt")
-    run_updates(stream_best(stream), out, ck)
+    run_updates(stream_best(stream), out, ck, state_partitions=_state_parts(spark))
     b = read_latest(spark, out, ["study"])
     return b.select("study", L("completed").alias("completed"), L("best_trial").alias("best_trial"),
                     "best_divergence", L("best_hits").alias("best_hits"), r6("best_score").alias("best_score"))
@@ -179,7 +184,7 @@ def q_str_trend(spark, sf):
     src, schema = _stage_trials(spark, sf)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", "1").parquet(src)
     out, ck = scratch_path(spark, "str_trend_out"), scratch_path(spark, "str_trend_ckpt")
-    run_updates(stream_trend(stream), out, ck)
+    run_updates(stream_trend(stream), out, ck, state_partitions=_state_parts(spark))
     t = read_latest(spark, out, ["study"])
     return t.select("study", L("completed").alias("completed"), L("last_trial").alias("last_trial"),
                     r6("improvement").alias("improvement"), "trend", "symbol")
@@ -196,9 +201,11 @@ def q_str_resume(spark, sf):
     resent = first  # the restarted producer re-sends everything it had sent
     out, ck = scratch_path(spark, "resume_out"), scratch_path(spark, "resume_ckpt")
     first.write.parquet(f"{src}/part=1")
-    run_append(resume_stream(spark.readStream.schema(t.schema).parquet(src)), out, ck)
+    run_append(resume_stream(spark.readStream.schema(t.schema).parquet(src)), out, ck,
+               state_partitions=_state_parts(spark))
     second.unionByName(resent).write.parquet(f"{src}/part=2")
-    run_append(resume_stream(spark.readStream.schema(t.schema).parquet(src)), out, ck)
+    run_append(resume_stream(spark.readStream.schema(t.schema).parquet(src)), out, ck,
+               state_partitions=_state_parts(spark))
     r = spark.read.parquet(out)
     return r.select("study", L("trial_number").alias("trial_number"), "divergence", L("hits").alias("hits"))
 

@@ -11,7 +11,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def run_updates(stream: DataFrame, path: str, checkpoint: str, available_now: bool = True):
+def _start(writer, spark, state_partitions):
+    """Start a query; ``state_partitions`` fixes the number of state-store
+    partitions (taken from the session conf when a query first starts and
+    kept in its checkpoint), restoring the session setting afterwards."""
+    if not state_partitions:
+        return writer.start()
+    key = "spark.sql.shuffle.partitions"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(state_partitions))
+    try:
+        return writer.start()
+    finally:
+        spark.conf.set(key, old)
+
+
+def run_updates(stream: DataFrame, path: str, checkpoint: str, available_now: bool = True,
+                state_partitions: int | None = None):
     """Run an update-mode stream into ``path`` (one folder per batch)."""
     def _write(batch: DataFrame, batch_id: int):
         (batch.withColumn("_batch", F.lit(batch_id)).write.mode("overwrite")
@@ -19,17 +35,18 @@ def run_updates(stream: DataFrame, path: str, checkpoint: str, available_now: bo
 
     w = (stream.writeStream.outputMode("update").foreachBatch(_write)
          .option("checkpointLocation", checkpoint))
-    q = (w.trigger(availableNow=True) if available_now else w).start()
+    q = _start(w.trigger(availableNow=True) if available_now else w, stream.sparkSession, state_partitions)
     if available_now:
         q.awaitTermination()
     return q
 
 
-def run_append(stream: DataFrame, path: str, checkpoint: str, available_now: bool = True):
+def run_append(stream: DataFrame, path: str, checkpoint: str, available_now: bool = True,
+               state_partitions: int | None = None):
     """Run an append-mode stream into a Parquet folder (exactly-once file sink)."""
     w = (stream.writeStream.outputMode("append").format("parquet")
          .option("path", path).option("checkpointLocation", checkpoint))
-    q = (w.trigger(availableNow=True) if available_now else w).start()
+    q = _start(w.trigger(availableNow=True) if available_now else w, stream.sparkSession, state_partitions)
     if available_now:
         q.awaitTermination()
     return q
