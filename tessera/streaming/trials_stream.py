@@ -53,8 +53,11 @@ def stream_trend(trials_stream: DataFrame, w: int = TREND_WINDOW, eps: float = T
         else:
             completed, win = 0, []
         for pdf in pdfs:
+            # each Arrow chunk is cut to its w largest trial numbers in C
+            # (pandas nlargest) before it meets the O(w) state
             completed += len(pdf)
-            win.extend([[int(t), float(v)] for t, v in zip(pdf["trial_number"], pdf["score"])])
+            top = pdf.nlargest(w, "trial_number")
+            win.extend([[int(t), float(v)] for t, v in zip(top["trial_number"], top["score"])])
             win = sorted(win)[-w:]
         state.update((completed, json.dumps(win)))
         if completed >= w and len(win) == w:
