@@ -277,15 +277,17 @@ def with_halo(df: DataFrame, seq_col: str, width: int, bucket_size: int,
               group_by=None) -> DataFrame:
     """Assign ``_bkt`` by seq and copy the last ``width-1`` rows of every
     bucket into the next one (``_halo`` = true) so row frames of up to
-    ``width`` rows are complete inside each (group, bucket).  With
-    ``group_by`` the rows are hash-partitioned on (group, bucket)."""
+    ``width`` rows are complete inside each (group, bucket).  One pass: a
+    row in a bucket's tail explodes into itself and its halo copy (no union,
+    so the upstream is computed once).  With ``group_by`` the rows are
+    hash-partitioned on (group, bucket)."""
     if width - 1 > bucket_size:
         raise ValueError("bucket_size must be at least width - 1")
-    base = df.withColumn("_bkt", _bucket(seq_col, bucket_size))
-    pos = (F.col(seq_col) - 1) % bucket_size
-    halo = (base.where(pos >= bucket_size - (width - 1))
-            .withColumn("_bkt", F.col("_bkt") + 1).withColumn("_halo", F.lit(True)))
-    out = base.withColumn("_halo", F.lit(False)).unionByName(halo)
+    b0 = _bucket(seq_col, bucket_size)
+    tail = (F.col(seq_col) - 1) % bucket_size >= bucket_size - (width - 1)
+    targets = F.when(tail, F.array(b0, b0 + 1)).otherwise(F.array(b0))
+    out = (df.select("*", F.posexplode(targets).alias("_hk", "_bkt"))
+           .withColumn("_halo", F.col("_hk") == 1).drop("_hk"))
     return _spread(out, _cols(group_by)) if group_by is not None else out
 
 
