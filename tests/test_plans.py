@@ -32,3 +32,18 @@ def test_running_best_windows_are_bucketed(spark):
     for line in p.splitlines():
         if "Window [" in line and "min(_pair" in line:
             assert "_bkt" in line
+
+
+def test_idx_global_has_no_single_partition_exchange(spark):
+    df = C.q_idx_global(spark, SF)
+    qe = df._jdf.queryExecution()
+    qe.toRdd().count()
+    p = qe.executedPlan().toString()
+    assert "SinglePartition" not in p
+
+
+def test_indexes_on_empty_input(spark):
+    from tessera.operators import index as ix
+    e = spark.createDataFrame([], "g string, o long, v double")
+    assert ix.with_global_index(e, ["g", "o"]).count() == 0
+    assert ix.with_group_index(e, ["g"], ["o"]).count() == 0
