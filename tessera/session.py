@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -46,27 +45,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the setting points at shared storage and is only read.  When
-    it is unset (local tests) a private folder is created and registered.
+    it is unset (local tests) a private folder is registered with the
+    context (the setting itself is not modified at runtime).
     """
     sc = spark.sparkContext
     cur = sc.getCheckpointDir()
     if cur:
         return cur
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+    conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
         conf_dir = tempfile.mkdtemp(prefix="tessera-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", conf_dir)
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint folder (never machine-local
-    on a cluster).  Each call gets a new unique leaf."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark)
-    if root.startswith("file:"):
-        root = root[len("file:"):]
-    return os.path.join(root, "tessera", name, uuid.uuid4().hex)
+    """A fresh folder inside the shared checkpoint folder (never
+    machine-local on a cluster).  Each call gets a new unique leaf."""
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{root}/tessera/{name}/{uuid.uuid4().hex}"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str):
