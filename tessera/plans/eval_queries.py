@@ -6,7 +6,6 @@ import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from tessera.functions.numeric import rate_pct
 from tessera.functions.text import as_chat, head_tokens, normalize_response, strip_prompt
 from tessera.functions.udfs import batch_score
 from tessera.functions.vectors import l2_normalize, last_state, log_softmax
