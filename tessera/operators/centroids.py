@@ -44,10 +44,29 @@ def centroid_contrast(vectors: DataFrame, a: str, b: str, cohort_col: str = "coh
                       layer_col: str = "layer", vec_col: str = "vec",
                       method: str = "explode") -> DataFrame:
     """Per layer: unit(mean(b) - mean(a)) and the raw norm of the difference
-    (agg_centroid_contrast).  Equal means give a zero vector and norm 0.
-    Joins two centroid tables of layers x dim values each (tiny)."""
-    c = centroids(vectors.where(F.col(cohort_col).isin(a, b)), (cohort_col, layer_col), vec_col, method)
-    ca = c.where(F.col(cohort_col) == a).select(layer_col, F.col("centroid").alias("_a"))
-    cb = c.where(F.col(cohort_col) == b).select(layer_col, F.col("centroid").alias("_b"))
-    d = ca.join(cb, layer_col).select(layer_col, sub_arrays("_b", "_a").alias("_d"))
+    (agg_centroid_contrast).  Equal means give a zero vector and norm 0;
+    layers missing either cohort are left out.
+
+    method='explode': one partial aggregation per (layer, position) with
+    cohort-conditional means gives the difference directly - no second
+    centroid pass and no join; the per-layer re-assembly collects ``dim``
+    values.  method='summarizer': centroids per cohort, then a join of the
+    two small centroid tables.
+    """
+    v = vectors.where(F.col(cohort_col).isin(a, b))
+    if method == "explode":
+        ex = v.select(layer_col, cohort_col, F.posexplode(vec_col).alias("pos", "x"))
+        is_a, is_b = F.col(cohort_col) == a, F.col(cohort_col) == b
+        x = F.col("x").cast("double")
+        per_pos = (ex.groupBy(layer_col, "pos")
+                   .agg((F.avg(F.when(is_b, x)) - F.avg(F.when(is_a, x))).alias("d"),
+                        F.count_if(is_a).alias("na"), F.count_if(is_b).alias("nb"))
+                   .where((F.col("na") > 0) & (F.col("nb") > 0)))
+        d = (per_pos.groupBy(layer_col).agg(F.array_sort(F.collect_list(F.struct("pos", "d"))).alias("_pd"))
+             .select(layer_col, F.transform("_pd", lambda s: s["d"]).alias("_d")))
+    else:
+        c = centroids(v, (cohort_col, layer_col), vec_col, method)
+        ca = c.where(F.col(cohort_col) == a).select(layer_col, F.col("centroid").alias("_a"))
+        cb = c.where(F.col(cohort_col) == b).select(layer_col, F.col("centroid").alias("_b"))
+        d = ca.join(cb, layer_col).select(layer_col, sub_arrays("_b", "_a").alias("_d"))
     return d.select(layer_col, l2_normalize("_d").alias("direction"), l2_norm("_d").alias("norm"))
