@@ -18,7 +18,7 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
-    # checkpoint files written by the global index are removed with their RDDs
+    # RDD checkpoint files go with their RDDs; scratch tables go with the application
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
@@ -54,6 +54,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return cur
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf_dir = tempfile.mkdtemp(prefix="tessera-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir()
@@ -61,9 +63,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder inside the shared checkpoint folder (never
-    machine-local on a cluster).  Each call gets a new unique leaf."""
+    machine-local on a cluster).  Each call gets a new unique leaf, which is
+    removed when the application ends, or earlier by ``drop_scratch``."""
     root = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{root}/tessera/{name}/{uuid.uuid4().hex}"
+    path = f"{root}/tessera/{name}/{uuid.uuid4().hex}"
+    fs, leaf = _hadoop(spark, path)
+    fs.deleteOnExit(leaf)
+    return path
+
+
+def _hadoop(spark: SparkSession, path: str):
+    leaf = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return leaf.getFileSystem(spark._jsc.hadoopConfiguration()), leaf
+
+
+def drop_scratch(spark: SparkSession, *paths: str) -> None:
+    """Delete scratch folders that no later read needs."""
+    for path in paths:
+        fs, leaf = _hadoop(spark, path)
+        fs.delete(leaf, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str):
