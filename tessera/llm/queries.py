@@ -17,7 +17,67 @@ def op1_rans_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"), _tokenizer(), end_id=2)
 
 
+def op3_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import cascade
+    rows = cascade(table(spark, sf_dir, "documents"), stats=True)
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+    rows, _ = mix(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "size", "source_size", "target", "taken", "source", "stream_start")
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import read_archives, write_archives
+    return read_archives(write_archives(table(spark, sf_dir, "pages"))).drop("url")
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import find_leaks
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_rans_token_output": op1_rans_token_output,
+    "op3_quality_cascade": op3_quality_cascade,
+    "op6_mix_sources": op6_mix_sources,
+    "op9_warc": op9_warc,
+    "op10_decontaminate": op10_decontaminate,
+}
+_NIBBLES = "".join(f"{i:04b}" for i in range(16))
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+ORACLES: dict[str, str] = {
+    "op3_quality_cascade": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+win AS (SELECT r, unnest(range(1, len(ws) - 3)) AS i, ws FROM w WHERE len(ws) >= 5),
+keyed AS (SELECT r, i, array_to_string(ws[i:i+4], ' ') AS k FROM win),
+twice AS (SELECT r, i, count(*) OVER (PARTITION BY r, k) AS n FROM keyed),
+rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 5)) AS p FROM twice WHERE n > 1) GROUP BY r),
+f AS (SELECT doc_id, len(ws) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+        len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, len(ls) AS n_lines,
+        coalesce(rep.n, 0) AS n_repeat_words, len(regexp_extract_all(t, '!')) AS n_exclaims,
+        len(list_filter(range(2, len(ws) + 1), lambda i: ws[i] = ws[i-1])) AS n_stutter,
+        len(list_filter(ws, lambda x: x = upper(x) AND x <> lower(x) AND len(regexp_extract_all(x, '\p{L}')) > 1)) AS n_shouted
+      FROM w LEFT JOIN rep USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 100 * n_symbols > 10 * n_words OR 100 * n_exclaims > 30 * n_words
+       OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR 100 * n_stutter > 20 * n_words
+       OR 100 * n_shouted > 30 * n_words OR 100 * n_dup_lines > 50 * n_lines) AS kept
+FROM f""",
+    "op9_warc": f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS hex,
+             max(page_id) OVER (PARTITION BY sha1(html)) AS top FROM p),
+b AS (SELECT *, array_to_string([substr('{_NIBBLES}', 4 * instr('123456789abcdef', substr(hex, i, 1)) + 1, 4) FOR i IN range(1, 41)], '') AS bits FROM d)
+SELECT page_id, payload_bytes,
+  array_to_string([substr('{_BASE32}', 1 + 16 * substr(bits, 5*i+1, 1)::INT + 8 * substr(bits, 5*i+2, 1)::INT
+    + 4 * substr(bits, 5*i+3, 1)::INT + 2 * substr(bits, 5*i+4, 1)::INT + substr(bits, 5*i+5, 1)::INT, 1) FOR i IN range(32)], '') AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to
+FROM b""",
 }
-ORACLES: dict[str, str] = {}
