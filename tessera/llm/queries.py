@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import table
 
@@ -29,6 +30,21 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", "taken", "source", "stream_start")
 
 
+def op7_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .dart_minhash import classes
+    return classes(table(spark, sf_dir, "documents"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import learn, score
+    docs = table(spark, sf_dir, "documents")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    lexicon, weights = learn(docs, table(spark, sf_dir, "labels"), allowed=fold != 0)
+    rows = score(docs, lexicon, weights)
+    return rows.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score",
+                       (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import read_archives, write_archives
     return read_archives(write_archives(table(spark, sf_dir, "pages"))).drop("url")
@@ -43,6 +59,8 @@ QUERIES = {
     "op1_rans_token_output": op1_rans_token_output,
     "op3_quality_cascade": op3_quality_cascade,
     "op6_mix_sources": op6_mix_sources,
+    "op7_dart_minhash": op7_dart_minhash,
+    "op8_toxicity": op8_toxicity,
     "op9_warc": op9_warc,
     "op10_decontaminate": op10_decontaminate,
 }
