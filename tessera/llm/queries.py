@@ -18,12 +18,22 @@ def op1_rans_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"), _tokenizer(), end_id=2)
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import find_secrets
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import cascade
     rows = cascade(table(spark, sf_dir, "documents"), stats=True)
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
     rows, _ = mix(table(spark, sf_dir, "documents"))
@@ -57,7 +67,9 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_rans_token_output": op1_rans_token_output,
+    "op2_secrets": op2_secrets,
     "op3_quality_cascade": op3_quality_cascade,
+    "op5_html_text": op5_html_text,
     "op6_mix_sources": op6_mix_sources,
     "op7_dart_minhash": op7_dart_minhash,
     "op8_toxicity": op8_toxicity,
