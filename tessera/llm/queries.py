@@ -29,6 +29,11 @@ def op3_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pitman_yor import score_texts
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_text import extract
     return extract(table(spark, sf_dir, "pages"))
@@ -69,6 +74,7 @@ QUERIES = {
     "op1_rans_token_output": op1_rans_token_output,
     "op2_secrets": op2_secrets,
     "op3_quality_cascade": op3_quality_cascade,
+    "op4_pitman_yor": op4_pitman_yor,
     "op5_html_text": op5_html_text,
     "op6_mix_sources": op6_mix_sources,
     "op7_dart_minhash": op7_dart_minhash,
