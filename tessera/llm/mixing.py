@@ -133,3 +133,21 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     slots = slots.select("slot", "source", (first % F.col("source_size")).alias("block_start"),
                          F.floor(first / F.col("source_size")).alias("repeat"))
     return rows, slots
+
+
+def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+              block_words: int = BLOCK_WORDS, seed: int = 7) -> DataFrame:
+    """``docs``, all columns, each row as often as the mix takes it: the words
+    taken over the words it has, rounded (half up).  Rows that the mix takes
+    less than half of are left out."""
+    rows, _ = mix(docs, id_col, text_col, source_col, block_words, seed)
+    # rows equal in id and text share what is taken of them
+    per = rows.where("size > 0").groupBy("doc_id", "tie", "source").agg(
+        F.floor(F.sum("taken") / F.sum("size") + 0.5).cast("int").alias("_mix_times"))
+    per = per.where("_mix_times > 0").select(F.col("doc_id").alias("_mix_id"), F.col("tie").alias("_mix_tie"),
+                                             F.col("source").alias("_mix_source"), "_mix_times")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    same = (F.col(id_col).cast("long").eqNullSafe(F.col("_mix_id")) & (F.xxhash64(text) == F.col("_mix_tie"))
+            & F.col(source_col).cast("string").eqNullSafe(F.col("_mix_source")))
+    out = docs.join(per, same).withColumn("_mix_n", F.explode(F.sequence(F.lit(1), F.col("_mix_times"))))
+    return out.select(*(docs[c] for c in docs.columns))

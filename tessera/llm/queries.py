@@ -8,14 +8,18 @@ from pyspark.sql import functions as F
 from ..session import table
 
 
-def _tokenizer() -> str:
+#: Id that ends each document.
+END_ID = 2
+
+
+def tokenizer_path() -> str:
     import public_tokenizers
     return public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_rans_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_output import token_output
-    return token_output(table(spark, sf_dir, "documents"), _tokenizer(), end_id=2)
+    return token_output(table(spark, sf_dir, "documents"), tokenizer_path(), END_ID)
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
