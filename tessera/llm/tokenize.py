@@ -1,8 +1,9 @@
 """Word-level cache in front of a tokenizer of the ``tokenizers`` library.
 
 The vocabulary cuts a normalised text into pieces with a fixed pattern and
-codes each piece on its own, so a piece needs to be coded once per worker.  A
-text with characters whose normalisation depends on tables or context (outside
+codes each piece on its own; no piece spans white space.  So a word needs to
+be coded once per worker, and a new word only for its new pieces.  A text with
+characters whose normalisation depends on tables or context (outside
 Latin script and general punctuation) goes to the library whole.
 """
 
@@ -19,18 +20,41 @@ _OTHER = re.compile("[^\x00-\x1b\x20-ɏ‐-‧‰-⁞€]|[\xb2\xb3\xb9\xbc-\xbe
 #: The pattern of the vocabulary's pre-tokenizer (a fixed value of its format).
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 _WORKERS: dict = {}
+GROUP = 64                 # texts whose new words are coded together
+
+
+class _Memory:
+    """Entries of two generations: when the younger is full it becomes the
+    older one, from which entries in use come back, so common words stay."""
+
+    def __init__(self, most: int):
+        self.half, self.young, self.older = most // 2, {}, {}
+
+    def turn(self):
+        if len(self.young) > self.half:
+            self.young, self.older = {}, self.young
+
+    def missing(self, keys: set) -> list:
+        """The keys in neither generation; those of the older one come back."""
+        new = keys.difference(self.young)
+        older, out = self.older, []
+        for k in new:                 # word by word: a set operation would walk all of ``older``
+            if k in older:
+                self.young[k] = older[k]
+            else:
+                out.append(k)
+        return out
 
 
 class WordCacheTokenizer:
     """Ids as little-endian uint16 bytes per text; equal to the library's ids."""
 
-    def __init__(self, path: str, max_pieces: int = 400_000):
+    def __init__(self, path: str, max_words: int = 800_000, max_pieces: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.cache: dict[str, bytes] = {}
-        self.max_pieces = max_pieces       # memory bound; a full cache starts anew
+        self.words, self.pieces = _Memory(max_words), _Memory(max_pieces)   # bounds of memory
 
     @classmethod
     def of_worker(cls, path: str) -> "WordCacheTokenizer":
@@ -39,30 +63,37 @@ class WordCacheTokenizer:
         return _WORKERS[path]
 
     def _library(self, texts):
-        for e in self.tokenizer.encode_batch(texts, add_special_tokens=False):
+        for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
             yield np.asarray(e.ids, dtype="<u2").tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list = [None] * len(texts)
-        cut, whole, new = [], [], set()
-        if len(self.cache) > self.max_pieces:
-            self.cache.clear()
-        cache = self.cache
-        for i, t in enumerate(texts):
-            if _OTHER.search(t):
-                whole.append(i)
-            else:
-                pieces = _PIECE.findall(t.lower())
-                cut.append((i, pieces))
-                new.update(pieces)
-        new = list(new.difference(cache))
+    def _learn(self, words: list[str]) -> None:
+        cut = [_PIECE.findall(w) for w in words]
+        new = self.pieces.missing({p for ps in cut for p in ps})
         for i in range(0, len(new), 10_000):
             part = new[i:i + 10_000]
-            cache.update(zip(part, self._library(part)))
-        for i, pieces in cut:
-            out[i] = b"".join(map(cache.__getitem__, pieces))
-        for i in range(0, len(whole), 64):
-            part = whole[i:i + 64]
+            self.pieces.young.update(zip(part, self._library(part)))
+        get = self.pieces.young.__getitem__
+        self.words.young.update((w, get(ps[0]) if len(ps) == 1 else b"".join(map(get, ps))) for w, ps in zip(words, cut))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        out: list = [None] * len(texts)
+        whole = []
+        for first in range(0, len(texts), GROUP):
+            held = []
+            for i in range(first, min(len(texts), first + GROUP)):
+                if _OTHER.search(texts[i]):
+                    whole.append(i)
+                else:
+                    held.append((i, texts[i].lower().split()))
+            if new := self.words.missing(set().union(*(w for _, w in held))):
+                self._learn(new)
+            get = self.words.young.__getitem__
+            for i, words in held:
+                out[i] = b"".join(map(get, words))
+            self.words.turn()
+            self.pieces.turn()
+        for i in range(0, len(whole), GROUP):
+            part = whole[i:i + GROUP]
             for j, ids in zip(part, self._library([texts[k] for k in part])):
                 out[j] = ids
         return out
