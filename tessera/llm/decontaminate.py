@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import as_text
 
-BYTES_PER_ERROR = 16
+BYTES_PER_ERROR = 12
 MIN_BYTES = 40
 BLOCK_BYTES = 8 << 20
 _TO_SPACE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
