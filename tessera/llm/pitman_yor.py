@@ -120,7 +120,7 @@ class Subtree:
             own = level == lv
             all_ = np.unique(np.concatenate((keys[own], deeper)))
             self.keys[lv] = all_
-            self.direct[lv] = np.bincount(np.searchsorted(all_, keys[own]), weights=customers[own], minlength=len(all_))
+            self.direct[lv] = np.bincount(np.searchsorted(all_, keys[own]), weights=customers[own], minlength=len(all_)).astype(float)
             _, self.context[lv] = np.unique(all_ >> np.uint64(8), return_inverse=True)
             self.n_contexts[lv] = int(self.context[lv].max()) + 1 if len(all_) else 0
             deeper = shorten(all_, lv)

@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 
 import numpy as np
 
@@ -19,6 +21,10 @@ import numpy as np
 _OTHER = re.compile("[^\x00-\x1b\x20-ɏ‐-‧‰-⁞€]|[\xb2\xb3\xb9\xbc-\xbe]|<\\|")
 #: The pattern of the vocabulary's pre-tokenizer (a fixed value of its format).
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+#: Byte-level alphabet: printable Latin-1 characters stand for themselves, the
+#: other bytes for the code points from 256 on, in order (a fixed value).
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_ALPHABET = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - _PRINTABLE))}
 _WORKERS: dict = {}
 GROUP = 64                 # texts whose new words are coded together
 
@@ -49,7 +55,7 @@ class _Memory:
 class WordCacheTokenizer:
     """Ids as little-endian uint16 bytes per text; equal to the library's ids."""
 
-    def __init__(self, path: str, max_words: int = 800_000, max_pieces: int = 400_000):
+    def __init__(self, path: str, max_words: int = 500_000, max_pieces: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
@@ -69,9 +75,13 @@ class WordCacheTokenizer:
     def _learn(self, words: list[str]) -> None:
         cut = [_PIECE.findall(w) for w in words]
         new = self.pieces.missing({p for ps in cut for p in ps})
-        for i in range(0, len(new), 10_000):
-            part = new[i:i + 10_000]
-            self.pieces.young.update(zip(part, self._library(part)))
+        code = self.tokenizer.model.tokenize
+        for p in new:                 # the pieces are normal already: only the byte alphabet and the merges are left
+            ids = [t.id for t in code(p.encode().decode("latin-1").translate(_ALPHABET))]
+            a = array("H", ids)
+            if sys.byteorder == "big":
+                a.byteswap()
+            self.pieces.young[p] = a.tobytes()
         get = self.pieces.young.__getitem__
         self.words.young.update((w, get(ps[0]) if len(ps) == 1 else b"".join(map(get, ps))) for w, ps in zip(words, cut))
 
