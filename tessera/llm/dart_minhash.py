@@ -14,12 +14,11 @@ position lies below the weight.
 
 Grouping: texts with equal words are one class first, so copies are compared
 once.  Class representatives meet in ``BANDS`` bands of ``ROWS`` coordinates.
-A bucket compares each member with its smallest member (n - 1 pairs, not
-n * n) and linked members form groups.  A link can then be missing only
-between members of different groups in one bucket: such buckets get further
-hubs while that joins groups, and at last all pairs left, but for those that
-the distances to the hub rule out (the weighted Jaccard distance is a metric).
-Every link is decided by the exact weighted Jaccard similarity of two texts.
+A bucket compares each member with one hub (n - 1 pairs, not n * n) and linked
+members form groups.  A link can then be missing only between members of
+different groups in one bucket: such buckets get other hubs, and at last every
+pair left of different groups that agrees in two bands is compared.  Every
+link is decided by the exact weighted Jaccard similarity of two texts.
 
 Defined cases: texts of one to four words have one shingle, all their words;
 null and empty texts have none and stay alone; repeated rows are one class; a
@@ -34,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import drop_scratch, scratch_path
 from .common import as_bytes, mix64, word_hashes
 
 WINDOW = 5
@@ -42,6 +41,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 24, 5                    # a link at 0.8 is missed with 7e-5, at 0.85 with 1e-6
 K = BANDS * ROWS
 DARTS = int(K * (np.log(K) + 6))       # an empty coordinate is then rare
+HUB_ORDERS = 3
+_MADE: dict = {}                       # scratch tables of the run under way
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -184,6 +185,7 @@ def _text_key(words: list[bytes]) -> bytes:
 def _store(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    _MADE.setdefault(df.sparkSession, []).append(path)
     return df.sparkSession.read.parquet(path)
 
 
@@ -224,6 +226,7 @@ def connected(links: DataFrame, max_rounds: int = 100) -> DataFrame:
     both = _store(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
     label = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root"))
     label = _store(label, "labels")
+    before = []
     for _ in range(max_rounds):
         near = (both.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node"))
                 .agg(F.min("root").alias("near")))
@@ -231,47 +234,50 @@ def connected(links: DataFrame, max_rounds: int = 100) -> DataFrame:
         new = (label.join(near, "node").join(up, "root", "left")
                .select("node", F.col("root").alias("old"), F.least("root", "near", "up").alias("root")))
         new = _store(new, "labels")
+        before.append(_MADE[links.sparkSession].pop(-2))     # the labels before: read for the last time
         label = new.select("node", "root")
         if not new.where("old <> root").limit(1).count():
+            drop_scratch(links.sparkSession, *before)
             return label
     raise RuntimeError("components did not settle")
 
 
-def _mixed(members: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Component labels, and the members (band, key, rep, root, minor) of the
-    buckets that hold more than one component; minor: not in the largest."""
-    groups = connected(links)
+def _hub_pairs(members: DataFrame, salt: int) -> DataFrame:
+    """In each bucket, a hub against every other member.  The hub is the member
+    of least hash in one of ``HUB_ORDERS`` orders, taken in turn over the bands,
+    so that texts alike meet again under another hub."""
+    order = F.xxhash64("rep", F.pmod(F.col("band"), F.lit(HUB_ORDERS)) + F.lit(salt))
+    hubs = members.groupBy("band", "key").agg(F.min_by("rep", F.struct(order, F.col("rep"))).alias("hub"))
+    pairs = members.join(hubs, ["band", "key"]).where("rep <> hub")
+    return pairs.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+
+
+def _mixed(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """Members (band, key, rep, root, minor) of the buckets that hold more than
+    one component; minor: not in the largest of them."""
     at = members.join(groups.withColumnRenamed("node", "rep"), "rep", "left")
     at = at.withColumn("root", F.coalesce("root", "rep"))
     per = at.groupBy("band", "key", "root").agg(F.count(F.lit(1)).alias("c"))
     per = per.groupBy("band", "key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("groups"))
     at = at.join(per.where("groups > 1"), ["band", "key"])
-    return groups, at.select("band", "key", "hub", "rep", "root", (F.col("root") != F.col("main")).alias("minor"))
-
-
-def _next_hub_pairs(mixed: DataFrame) -> DataFrame:
-    """In each bucket, its smallest minor member against members of other groups."""
-    hubs = mixed.where("minor").groupBy("band", "key").agg(F.min(F.struct("rep", "root")).alias("h"))
-    pairs = mixed.join(hubs, ["band", "key"]).where(F.col("root") != F.col("h.root"))
-    return pairs.select(F.least("rep", "h.rep").alias("a"), F.greatest("rep", "h.rep").alias("b")).distinct()
-
-
-def _all_pairs_left(mixed: DataFrame, checked: DataFrame, min_similarity: float) -> DataFrame:
-    """Minor members against members of other groups, but for those pairs that
-    the distances to the bucket's hub rule out: d(x, y) >= |d(x, h) - d(y, h)|."""
-    known = checked.select(F.col("a").alias("hub"), F.col("b").alias("rep"), (1 - F.col("sim")).alias("d"))
-    at = mixed.join(known, ["hub", "rep"], "left")
-    at = at.withColumn("d", F.when(F.col("rep") == F.col("hub"), F.lit(0.0)).otherwise(F.col("d")))
-    x = at.where("minor").select("band", "key", F.col("rep").alias("x"), F.col("root").alias("rx"), F.col("d").alias("dx"))
-    y = at.select("band", "key", F.col("rep").alias("y"), F.col("root").alias("ry"), F.col("d").alias("dy"))
-    apart = F.coalesce(F.abs(F.col("dx") - F.col("dy")), F.lit(0.0)) <= 1 - min_similarity + 1e-9
-    pairs = x.join(y, ["band", "key"]).where((F.col("rx") != F.col("ry")) & apart)
+    return at.select("band", "key", "rep", "root", (F.col("root") != F.col("main")).alias("minor"))
+
+
+def _cross_pairs(mixed: DataFrame, reps: DataFrame) -> DataFrame:
+    """Minor members against members of other components in their buckets, if
+    they agree in two bands at least (a pair at 0.8 fails that with 9e-4)."""
+    at = mixed.join(reps.select("rep", "keys"), "rep")
+    x = at.where("minor").select("band", "key", F.col("rep").alias("x"), F.col("root").alias("rx"), F.col("keys").alias("kx"))
+    y = at.select("band", "key", F.col("rep").alias("y"), F.col("root").alias("ry"), F.col("keys").alias("ky"))
+    agree = F.aggregate(F.zip_with("kx", "ky", lambda p, q: (p == q).cast("int")), F.lit(0), lambda n, v: n + v)
+    pairs = x.join(y, ["band", "key"]).where((F.col("rx") != F.col("ry")) & (agree >= 2))
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_similarity: float = SIMILARITY) -> DataFrame:
     """One row per input row: doc_id, class_id (the smallest doc_id of its
     group) and copy_of (the smallest doc_id whose words are equal)."""
+    spark = docs.sparkSession
     rows = _keyed(docs, id_col, text_col)
     sketch = _store(_sketch(rows), "sketch")
     # one representative per distinct word sequence; copies end here
@@ -279,50 +285,42 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
         F.first("keys").alias("keys"), F.min("doc_id").alias("doc_id"))
     reps = _store(reps, "reps")
     buckets = reps.where("doc_id is not null").select("rep", "doc_id", F.posexplode("keys").alias("band", "key"))
-    sizes = buckets.groupBy("band", "key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = _store(buckets.join(sizes.select("band", "key", "hub"), ["band", "key"]), "buckets")
+    shared = buckets.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    members = _store(buckets.join(shared, ["band", "key"]), "buckets")
     texts = _store(_texts(rows, members.select("rep", "doc_id").distinct()), "texts")
     members = members.drop("doc_id")
-    pairs = members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    checked = _store(_verify(pairs, texts), "checked")
-    while True:
-        links = checked.where(F.col("sim") >= min_similarity)
-        groups, mixed = _mixed(members, links)
-        mixed = _store(mixed, "mixed")
-        # pairs that a full comparison would take, against one more hub a bucket
-        load = mixed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.count_if("minor").alias("m"))
-        load = load.agg(F.sum(F.col("n") * F.col("m")), F.sum("n")).first()
-        if not load[0]:
-            break
-        final = load[0] <= 8 * load[1]
-        new = _all_pairs_left(mixed, checked, min_similarity) if final else _next_hub_pairs(mixed)
-        new = _store(new.join(checked.select("a", "b"), ["a", "b"], "left_anti"), "pairs-left")
-        if final and not new.limit(1).count():
-            break
-        more = _store(_verify(new, texts), "checked")
-        linked = more.where(F.col("sim") >= min_similarity).limit(1).count()
-        if final and not linked:
-            break
-        if not final and not linked:           # hubs alone find no more: compare what is left
-            rest = _all_pairs_left(mixed, checked, min_similarity)
-            rest = rest.join(checked.unionByName(more).select("a", "b"), ["a", "b"], "left_anti")
-            more = _store(more.unionByName(_verify(rest, texts)), "checked")
-            if not more.where(F.col("sim") >= min_similarity).limit(1).count():
-                break
-        checked = _store(checked.unionByName(more), "checked")
+    checked = _store(_verify(_hub_pairs(members, 0), texts), "checked")
+    close = F.col("sim") >= min_similarity
+    groups = connected(checked.where(close))
+    # again with other hubs, in the buckets that hold several components
+    mixed = _store(_mixed(members, groups), "mixed")
+    new = _hub_pairs(mixed, HUB_ORDERS).join(checked.select("a", "b"), ["a", "b"], "left_anti")
+    again = _store(_verify(new, texts), "checked")
+    if again.where(close).limit(1).count():
+        groups = connected(checked.unionByName(again).where(close))
+        mixed = _store(_mixed(mixed.select("band", "key", "rep"), groups), "mixed")
+    # what is left: any two members of one bucket in different components
+    checked = checked.unionByName(again)
+    new = _cross_pairs(mixed, reps).join(checked.select("a", "b"), ["a", "b"], "left_anti")
+    rest = _store(_verify(new, texts), "checked")
+    if rest.where(close).limit(1).count():
+        groups = connected(checked.unionByName(rest).where(close))
     named = reps.select("rep", "doc_id").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.withColumn("root", F.coalesce("root", "rep"))
     first = named.groupBy("root").agg(F.min("doc_id").alias("class_of"))
     named = named.join(first, "root").select(F.col("rep").alias("words_key"), F.col("doc_id").alias("copy_"), "class_of")
     out = sketch.select("doc_id", "words_key").join(named, "words_key", "left")
-    return out.select("doc_id", F.coalesce("class_of", "doc_id").alias("class_id"), F.coalesce("copy_", "doc_id").alias("copy_of"))
+    out = _store(out.select("doc_id", F.coalesce("class_of", "doc_id").alias("class_id"),
+                            F.coalesce("copy_", "doc_id").alias("copy_of")), "classes")
+    drop_scratch(spark, *_MADE.pop(spark, [])[:-1])
+    return out
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, whose id is the class id of their
     group; of rows repeated with equal id and words one stays.  Rows with a
     null id stay."""
-    found = _store(classes(docs, id_col, text_col), "classes")
+    found = classes(docs, id_col, text_col)
     keep = found.where("doc_id = class_id").groupBy(F.col("doc_id").alias("_keep_id")).agg(F.count(F.lit(1)).alias("_rows"))
     keep = _store(keep, "keep")
     id_ = F.col(id_col).cast("long")
