@@ -55,7 +55,7 @@ class _Memory:
 class WordCacheTokenizer:
     """Ids as little-endian uint16 bytes per text; equal to the library's ids."""
 
-    def __init__(self, path: str, max_words: int = 500_000, max_pieces: int = 400_000):
+    def __init__(self, path: str, max_words: int = 500_000, max_pieces: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
@@ -77,7 +77,8 @@ class WordCacheTokenizer:
         new = self.pieces.missing({p for ps in cut for p in ps})
         code = self.tokenizer.model.tokenize
         for p in new:                 # the pieces are normal already: only the byte alphabet and the merges are left
-            ids = [t.id for t in code(p.encode().decode("latin-1").translate(_ALPHABET))]
+            plain = p.isascii() and p.isprintable()         # then its letters stand for themselves
+            ids = [t.id for t in code(p if plain else p.encode().decode("latin-1").translate(_ALPHABET))]
             a = array("H", ids)
             if sys.byteorder == "big":
                 a.byteswap()
