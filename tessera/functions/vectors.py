@@ -28,8 +28,10 @@ def log_softmax(col) -> Column:
 
     def merge(acc, v):
         m2 = F.greatest(acc["m"], v)
-        return F.struct(m2.alias("m"),
-                        (acc["s"] * F.exp(acc["m"] - m2) + F.exp(v - m2)).alias("s"))
+        s2 = acc["s"] * F.exp(acc["m"] - m2) + F.exp(v - m2)
+        # -inf so far (masked values): nothing to add up, and -inf - -inf is NaN
+        return F.struct(m2.alias("m"), F.when(m2 == float("-inf"), F.lit(0.0)).when(
+            acc["m"] == float("-inf"), F.lit(1.0)).otherwise(s2).alias("s"))
 
     return F.aggregate(x, init, merge,
                        lambda acc: F.transform(x, lambda v: v - (acc["m"] + F.log(acc["s"]))))

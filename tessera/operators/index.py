@@ -235,7 +235,14 @@ def cumulative(df: DataFrame, group_by, order_col: str, specs, bucket_size: int
                .rowsBetween(Window.unboundedPreceding, -1))
     carry = per_bucket.select(*g, "_bkt", *[_AGG[k](f"_b{i}").over(w_carry).alias(f"_c{i}")
                                             for i, (_, k, _) in enumerate(specs)])
-    out = local.join(carry, g + ["_bkt"], "left")
+    # null-safe: a NULL group key is a group like any other
+    keys = g + ["_bkt"]
+    carry = carry.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+                         *[f"_c{i}" for i in range(len(specs))])
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    out = local.join(carry, same, "left").drop(*[f"_k{i}" for i in range(len(keys))])
     tmp = ["_bkt"]
     for i, (o, k, _) in enumerate(specs):
         l, c = F.col(f"_l{i}"), F.col(f"_c{i}")
@@ -281,8 +288,7 @@ def with_halo(df: DataFrame, seq_col: str, width: int, bucket_size: int,
     row in a bucket's tail explodes into itself and its halo copy (no union,
     so the upstream is computed once).  With ``group_by`` the rows are
     hash-partitioned on (group, bucket)."""
-    if width - 1 > bucket_size:
-        raise ValueError("bucket_size must be at least width - 1")
+    bucket_size = max(bucket_size, width)
     b0 = _bucket(seq_col, bucket_size)
     tail = (F.col(seq_col) - 1) % bucket_size >= bucket_size - (width - 1)
     targets = F.when(tail, F.array(b0, b0 + 1)).otherwise(F.array(b0))
