@@ -17,8 +17,9 @@ once.  Class representatives meet in ``BANDS`` bands of ``ROWS`` coordinates.
 A bucket compares each member with one hub (n - 1 pairs, not n * n) and linked
 members form groups.  A link can then be missing only between members of
 different groups in one bucket: such buckets get other hubs, and at last every
-pair left of different groups that agrees in two bands is compared.  Every
-link is decided by the exact weighted Jaccard similarity of two texts.
+pair left of different groups in one bucket is tested on hashed cells inside
+the join.  Every link is decided by the exact weighted Jaccard similarity of
+two texts.
 
 Defined cases: texts of one to four words have one shingle, all their words;
 null and empty texts have none and stay alone; repeated rows are one class; a
@@ -42,6 +43,7 @@ BANDS, ROWS = 24, 5                    # a link at 0.8 is missed with 7e-5, at 0
 K = BANDS * ROWS
 DARTS = int(K * (np.log(K) + 6))       # an empty coordinate is then rare
 HUB_ORDERS = 3
+SPLIT = 4096                           # members of a bucket whose minor ones share a task
 _MADE: dict = {}                       # scratch tables of the run under way
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -263,15 +265,41 @@ def _mixed(members: DataFrame, groups: DataFrame) -> DataFrame:
     return at.select("band", "key", "rep", "root", (F.col("root") != F.col("main")).alias("minor"))
 
 
-def _cross_pairs(mixed: DataFrame, reps: DataFrame) -> DataFrame:
-    """Minor members against members of other components in their buckets, if
-    they agree in two bands at least (a pair at 0.8 fails that with 9e-4)."""
-    at = mixed.join(reps.select("rep", "keys"), "rep")
-    x = at.where("minor").select("band", "key", F.col("rep").alias("x"), F.col("root").alias("rx"), F.col("keys").alias("kx"))
-    y = at.select("band", "key", F.col("rep").alias("y"), F.col("root").alias("ry"), F.col("keys").alias("ky"))
-    agree = F.aggregate(F.zip_with("kx", "ky", lambda p, q: (p == q).cast("int")), F.lit(0), lambda n, v: n + v)
-    pairs = x.join(y, ["band", "key"]).where((F.col("rx") != F.col("ry")) & (agree >= 2))
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+def _cells(texts: DataFrame) -> DataFrame:
+    """(rep, n, cells): a 32-bit hash of every unit cell of the text's bag."""
+    def run(batches):
+        hasher = WordHasher()
+        for b in batches:
+            bags = [np.sort(shingles(w, hasher(w))) for w in (x.split() for x in as_bytes(b.column(1)))]
+            cells = []
+            for bag in bags:
+                at = np.arange(len(bag))
+                number = at - np.maximum.accumulate(np.where(np.concatenate(([True], bag[1:] != bag[:-1])), at, 0))
+                cells.append(mix64(bag ^ mix64(number.astype(np.uint64) + _ODD)).astype(np.uint32).view(np.int32))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(len, bags)), pa.int32()),
+                                              pa.array(cells, pa.list_(pa.int32()))], ["rep", "n", "cells"])
+    return texts.select("rep", "text").mapInArrow(run, "rep binary, n int, cells array<int>")
+
+
+def _cross_pairs(mixed: DataFrame, reps: DataFrame, texts: DataFrame, min_similarity: float) -> DataFrame:
+    """Pairs of a minor member and a member of another component that share a
+    bucket and, by their hashed cells, are similar enough.  The test is part of
+    the join, so only links leave it; a pair is tested in its first common
+    band; one cell of slack covers hash collisions inside a text.  The minor
+    members of a large bucket are spread over several tasks."""
+    cells = _cells(texts.join(mixed.select("rep").distinct(), "rep", "left_semi"))
+    per = mixed.groupBy("band", "key").agg((F.floor(F.count(F.lit(1)) / SPLIT) + 1).cast("int").alias("splits"))
+    at = mixed.join(per, ["band", "key"]).join(reps.select("rep", "keys"), "rep").join(cells, "rep")
+    side = lambda s: [F.col(c).alias(c + s) for c in ("rep", "root", "keys", "n", "cells")]
+    x = at.where("minor").select("band", "key", F.pmod(F.xxhash64("rep"), "splits").cast("int").alias("split"), *side("_x"))
+    y = at.select("band", "key", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)).alias("split"), *side("_y"))
+    first = F.array_position(F.zip_with("keys_x", "keys_y", lambda p, q: p == q), True) == F.col("band") + 1
+    both = F.size(F.array_intersect("cells_x", "cells_y")) + 1
+    alike = both >= min_similarity * (F.col("n_x") + F.col("n_y") - both)
+    near = F.least("n_x", "n_y") >= min_similarity * F.greatest("n_x", "n_y")
+    test = F.when(F.col("root_x") == F.col("root_y"), False).when(~near, False).when(~first, False).otherwise(alike)
+    pairs = x.join(y, ["band", "key", "split"]).where(test)
+    return pairs.select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct()
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_similarity: float = SIMILARITY) -> DataFrame:
@@ -301,7 +329,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
         mixed = _store(_mixed(mixed.select("band", "key", "rep"), groups), "mixed")
     # what is left: any two members of one bucket in different components
     checked = checked.unionByName(again)
-    new = _cross_pairs(mixed, reps).join(checked.select("a", "b"), ["a", "b"], "left_anti")
+    new = _cross_pairs(mixed, reps, texts, min_similarity).join(checked.select("a", "b"), ["a", "b"], "left_anti")
     rest = _store(_verify(new, texts), "checked")
     if rest.where(close).limit(1).count():
         groups = connected(checked.unionByName(rest).where(close))
