@@ -24,8 +24,10 @@ from .common import as_text, fresh_name, open_bytes, write_bytes
 TEXTS_PER_STEP = 256
 
 
-def tokenise_in_order(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """(shard, shard_start, doc_id, n, ids): shards follow one another in id order."""
+def tokenise_in_order(docs: DataFrame, tokenizer_path: str, end_id: int, vocab_size: int, id_col: str, text_col: str) -> DataFrame:
+    """(shard, shard_start, doc_id, n, ids, counts): shards follow one another in
+    id order.  The last row of a shard holds only the occurrences of every id
+    in it (``counts``), which is null in all others."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text"))
     rows = (rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("tie"))
@@ -37,6 +39,7 @@ def tokenise_in_order(docs: DataFrame, tokenizer_path: str, end_id: int, id_col:
         from .tokenize import WordCacheTokenizer
         tok, shard, at = WordCacheTokenizer.of_worker(tokenizer_path), TaskContext.get().partitionId(), 0
         end = np.asarray([end_id], "<u2").tobytes()
+        total = np.zeros(vocab_size, np.int64)
         for b in batches:
             for i in range(0, b.num_rows, TEXTS_PER_STEP):
                 part = b.slice(i, TEXTS_PER_STEP)
@@ -44,22 +47,28 @@ def tokenise_in_order(docs: DataFrame, tokenizer_path: str, end_id: int, id_col:
                 n = np.fromiter((len(x) // 2 for x in ids), np.int64, len(ids))
                 starts = at + np.concatenate(([0], np.cumsum(n)[:-1]))
                 at += int(n.sum())
+                total += np.bincount(np.frombuffer(b"".join(ids), "<u2"), minlength=vocab_size)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(ids), shard, np.int64)), pa.array(starts), part.column(0), pa.array(n),
-                     pa.array(ids, pa.binary())], ["shard", "shard_start", "doc_id", "n", "ids"])
-    return rows.mapInArrow(tokenise, "shard long, shard_start long, doc_id long, n long, ids binary")
+                     pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], names)
+        if at:
+            none = pa.nulls(1, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([shard]), none, none, none, pa.nulls(1, pa.binary()),
+                                              pa.array([total.astype("<i8").tobytes()], pa.binary())], names)
+    names = ["shard", "shard_start", "doc_id", "n", "ids", "counts"]
+    return rows.mapInArrow(tokenise, "shard long, shard_start long, doc_id long, n long, ids binary, counts binary")
 
 
 def count_ids(tokens: DataFrame, vocab_size: int) -> np.ndarray:
-    """Occurrences of every id over all documents."""
+    """Occurrences of every id over all documents, from the shards' counts."""
     def count(batches):
         total = np.zeros(vocab_size, np.int64)
         for b in batches:
-            for ids in b.column(0).to_pylist():
-                total += np.bincount(np.frombuffer(ids, "<u2"), minlength=vocab_size)
+            for counts in b.column(0).to_pylist():
+                total += np.frombuffer(counts, "<i8")
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["id", "n"])
-    rows = tokens.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = tokens.where("counts is not null").select("counts").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(vocab_size, np.int64)
     for r in rows:
         out[r["id"]] = r["n"]
@@ -73,9 +82,10 @@ def encode_corpus(docs: DataFrame, tokenizer_path: str, end_id: int = 2, vocab_s
     from . import rans
     spark = docs.sparkSession
     tokens_at = scratch_path(spark, "ids")
-    tokenise_in_order(docs, tokenizer_path, end_id, id_col, text_col).write.option("compression", "zstd").parquet(tokens_at)
+    tokenise_in_order(docs, tokenizer_path, end_id, vocab_size, id_col, text_col).write.option("compression", "lz4").parquet(tokens_at)
     tokens = spark.read.parquet(tokens_at)
     freq = rans.normalise(count_ids(tokens, vocab_size))
+    tokens = tokens.where("counts is null").drop("counts")
     folder = scratch_path(spark, "rans")
     table_at, _ = write_bytes(folder, "table.u4", [freq.astype("<u4").tobytes()])
     # one row per shard: the ids of all shards before it
