@@ -31,10 +31,6 @@ MARKER_HEAD_TOKENS = 20
 RESPONSE_HEAD_TOKENS = 100
 # ---------------------------------------------------------------------------
 
-# Above this many markers the OR chain is replaced by one ``exists`` over an
-# array literal, so generated code stays under the JVM method-size limit.
-_OR_CHAIN_MAX = 256
-
 
 def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
@@ -66,12 +62,12 @@ def has_marker(col, markers) -> Column:
     c = _c(col)
     if not ms:
         return F.lit(False)
-    if len(ms) <= _OR_CHAIN_MAX:
-        # OR chain of contains(): stays inside whole-stage codegen and
-        # short-circuits on the first hit.
-        return reduce(lambda a, b: a | b, [c.contains(m) for m in ms])
-    arr = F.array(*[F.lit(m) for m in ms])
-    return F.exists(arr, lambda m: F.contains(c, m))
+    # OR of contains(): short-circuits on the first hit.  A balanced tree, so
+    # a long list does not nest deeply.
+    tests = [c.contains(m) for m in ms]
+    while len(tests) > 1:
+        tests = [reduce(lambda a, b: a | b, tests[i:i + 2]) for i in range(0, len(tests), 2)]
+    return tests[0]
 
 
 def markers_hit(col, markers) -> Column:

@@ -7,7 +7,7 @@ from typing import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, IntegerType, StringType
+from pyspark.sql.types import ArrayType, DataType, IntegerType, LongType, StringType, StructField, StructType
 
 
 def batch_score(df: DataFrame, input_col: str, make_fn, return_type: DataType,
@@ -59,8 +59,52 @@ def tokenize(df: DataFrame, text_col: str, tokenizer, out: str = "tokens",
     return df.withColumn(out, _enc(F.col(text_col)))
 
 
+_CHUNKS = ArrayType(StructType([StructField("chunk_no", LongType()), StructField("start_token", LongType()),
+                                StructField("n_tokens", LongType()), StructField("text", StringType())]))
+
+
+def token_chunks(df: DataFrame, text_col: str, tokenizer, size: int = 1024, overlap: int = 128,
+                 min_n: int = 0, keep=()) -> DataFrame:
+    """Chunks of a caller tokenizer: encode, cut into windows of ``size``
+    tokens that share ``overlap``, decode each window (udf_tokenizer).
+
+    ``tokenizer`` is a zero-argument factory (built once per worker) whose
+    result has ``encode(str) -> list`` and ``decode(list) -> str``, or batch
+    forms ``encode_batch`` / ``decode_batch``, which are preferred.  A text of
+    at most ``size`` tokens keeps its own text; one under ``min_n`` tokens or
+    null gives no chunk.  Returns ``keep``, chunk_no, start_token, n_tokens, text.
+    """
+    if not 0 <= overlap < size:
+        raise ValueError("overlap must be at least 0 and under size")
+    step = size - overlap
+
+    @F.pandas_udf(_CHUNKS)
+    def _cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        tok = tokenizer()
+        encode = getattr(tok, "encode_batch", None) or (lambda xs: [tok.encode(x) for x in xs])
+        decode = getattr(tok, "decode_batch", None) or (lambda xs: [tok.decode(x) for x in xs])
+        for s in batches:
+            texts = s[s.notna()]
+            out = pd.Series([[] for _ in range(len(s))], index=s.index, dtype=object)
+            for i, text, ids in zip(texts.index, texts, encode(list(texts))):
+                n = len(ids)
+                if n < min_n:
+                    continue
+                starts = [0] if n <= size else range(0, n - overlap, step)
+                windows = [ids[at:at + size] for at in starts]
+                parts = [text] if n <= size else decode(windows)
+                out[i] = [{"chunk_no": k, "start_token": at, "n_tokens": len(w), "text": t}
+                          for k, (at, w, t) in enumerate(zip(starts, windows, parts))]
+            yield out
+
+    return df.select(*keep, F.inline(_cut(F.col(text_col))))
+
+
 class WhitespaceTokenizer:
     """Reference tokenizer for tests: Python ``str.split``."""
 
     def encode(self, text):
         return text.split()
+
+    def decode(self, tokens):
+        return " ".join(tokens)

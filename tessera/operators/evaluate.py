@@ -42,9 +42,24 @@ def marker_profile(df: DataFrame, markers=DEFAULT_MARKERS, text_col: str = "resp
             .groupBy(*_cols(by), "marker").agg(F.count(F.lit(1)).alias("hits")))
 
 
-def pair(prompts: DataFrame, responses: DataFrame) -> DataFrame:
-    """Prompt joined to its answer(s) on prompt_id (join_prompt_response)."""
-    return prompts.join(responses, "prompt_id")
+def pair(prompts: DataFrame, responses: DataFrame, on="prompt_id", how: str = "inner") -> DataFrame:
+    """Prompt joined to its answer(s) on the prompt key (join_prompt_response).
+    ``how='left'`` keeps prompts without an answer; :func:`match_report`
+    counts what an inner join leaves out."""
+    return prompts.join(responses, _cols(on), how)
+
+
+def match_report(left: DataFrame, right: DataFrame, on="prompt_id") -> DataFrame:
+    """One row of counts over distinct keys: matched, left_only, right_only,
+    left_repeated, right_repeated.  Both sides are reduced to key counts before the
+    shuffle; no join."""
+    on = _cols(on)
+    sides = (left.select(*on, F.lit(1).alias("_l"), F.lit(0).alias("_r"))
+             .unionByName(right.select(*on, F.lit(0).alias("_l"), F.lit(1).alias("_r"))))
+    k = sides.groupBy(*on).agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r"))
+    return k.agg(F.count_if((F.col("_l") > 0) & (F.col("_r") > 0)).alias("matched"),
+                 F.count_if(F.col("_r") == 0).alias("left_only"), F.count_if(F.col("_l") == 0).alias("right_only"),
+                 F.count_if(F.col("_l") > 1).alias("left_repeated"), F.count_if(F.col("_r") > 1).alias("right_repeated"))
 
 
 def kl_divergence(logprobs: DataFrame, base_model: str = "base",
@@ -81,18 +96,24 @@ def relative_score(metrics: DataFrame, base_model: str = "base", scale: float =
 
 
 def compare(responses: DataFrame, base_model: str = "base", markers=DEFAULT_MARKERS,
-            head: int | None = None) -> DataFrame:
+            head: int | None = None, on="prompt_id") -> DataFrame:
     """Candidate vs base answers on the same prompts (join_base_candidate).
 
-    Per candidate model: prompts compared, base hits, candidate hits, hits
+    A prompt that the base answers twice is refused.  Per candidate model:
+    prompts, those the base did not answer (``n_unmatched``), base hits, candidate hits, hits
     gained and lost, and candidate hits relative to base hits (NULL for 0).
     """
     f = flag_responses(responses, markers, head=head)
-    base = f.where(F.col("model_id") == base_model).select("prompt_id", F.col("hit").alias("_bh"))
-    cand = f.where(F.col("model_id") != base_model).select("model_id", "prompt_id", "hit")
-    j = cand.join(base, "prompt_id")
+    on = _cols(on)
+    base = f.where(F.col("model_id") == base_model).groupBy(*on).agg(
+        F.max("hit").alias("_h"), F.count(F.lit(1)).alias("_n"))
+    twice = F.raise_error(F.lit("compare: the base model answers a prompt twice")).cast("boolean")
+    base = base.select(*on, F.when(F.col("_n") > 1, twice).otherwise(F.col("_h")).alias("_bh"))
+    cand = f.where(F.col("model_id") != base_model).select("model_id", *on, "hit")
+    j = cand.join(base, on, "left")
     return (j.groupBy("model_id").agg(
         F.count(F.lit(1)).alias("n_prompts"),
+        F.count_if(F.col("_bh").isNull()).alias("n_unmatched"),
         F.count_if("_bh").alias("base_hits"),
         F.count_if("hit").alias("cand_hits"),
         F.count_if(F.col("hit") & ~F.col("_bh")).alias("gained"),

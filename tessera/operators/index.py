@@ -236,13 +236,7 @@ def cumulative(df: DataFrame, group_by, order_col: str, specs, bucket_size: int
     carry = per_bucket.select(*g, "_bkt", *[_AGG[k](f"_b{i}").over(w_carry).alias(f"_c{i}")
                                             for i, (_, k, _) in enumerate(specs)])
     # null-safe: a NULL group key is a group like any other
-    keys = g + ["_bkt"]
-    carry = carry.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-                         *[f"_c{i}" for i in range(len(specs))])
-    same = F.lit(True)
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    out = local.join(carry, same, "left").drop(*[f"_k{i}" for i in range(len(keys))])
+    out = join_null_safe(local, carry, g + ["_bkt"], "left")
     tmp = ["_bkt"]
     for i, (o, k, _) in enumerate(specs):
         l, c = F.col(f"_l{i}"), F.col(f"_c{i}")
@@ -257,6 +251,19 @@ def cumulative(df: DataFrame, group_by, order_col: str, specs, bucket_size: int
     return out.drop(*tmp)
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys, how: str = "inner") -> DataFrame:
+    """Equi join on ``keys`` in which a NULL key equals a NULL key; the keys
+    of ``left`` stay."""
+    keys = _cols(keys)
+    r = right.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+                     *[c for c in right.columns if c not in keys])
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    out = left.join(r, same, how)
+    return out if how in ("left_semi", "left_anti") else out.drop(*[f"_k{i}" for i in range(len(keys))])
+
+
 def cumulative_min_by(df: DataFrame, group_by, seq_col: str, value, key,
                       out_col: str, bucket_size: int = 4096) -> DataFrame:
     """For every row: ``min_by(value, key)`` over all rows of its group with

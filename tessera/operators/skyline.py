@@ -50,7 +50,7 @@ def pareto_front(df: DataFrame, objectives=("divergence", "hits"), directions=("
            .withColumn("_a", _oriented(a, directions[0]))
            .withColumn("_b", _oriented(b, directions[1])))
     keys = _front_keys(pts, by, bucket_size)
-    return (pts.join(keys, by + ["_a"])
+    return (ix.join_null_safe(pts, keys, by + ["_a"])
             .where(F.col("_b") == F.col("_m")).drop("_a", "_b", "_m"))
 
 
@@ -65,5 +65,5 @@ def dominated(df: DataFrame, objectives=("divergence", "hits"), directions=("min
            .withColumn("_a", _oriented(a, directions[0]))
            .withColumn("_b", _oriented(b, directions[1])))
     keys = _front_keys(pts, by, bucket_size)
-    kept = pts.join(keys, by + ["_a"], "left")
+    kept = ix.join_null_safe(pts, keys, by + ["_a"], "left")
     return kept.where(F.col("_m").isNull() | (F.col("_b") != F.col("_m"))).drop("_a", "_b", "_m")

@@ -56,6 +56,17 @@ def sequenced(trials: DataFrame, study=KEY, bucket_size: int = BUCKET) -> DataFr
     return s.where(F.col("state") == "COMPLETE").drop("_done").withColumn("seq", F.col("seq").cast("long"))
 
 
+def _with_best(trials: DataFrame, study, bucket_size: int) -> DataFrame:
+    """Completed trials with ``seq`` and ``_best`` (s, t, d, h), in one pass."""
+    s = scored(trials)
+    done = F.col("state") == "COMPLETE"
+    best = F.when(done, F.struct(F.col("score").alias("s"), F.col("trial_number").alias("t"),
+                                 F.col("divergence").alias("d"), F.col("hits").alias("h")))
+    r = ix.cumulative(s, study, "trial_number",
+                      [("seq", "sum", done.cast("long")), ("_best", "min", best)], bucket_size)
+    return r.where(done)
+
+
 def running_best(trials: DataFrame, study=KEY, bucket_size: int = BUCKET) -> DataFrame:
     """After each completed trial, the best trial so far by composite score;
     strict '<' so the earliest trial wins ties (win_running_best).
@@ -63,24 +74,16 @@ def running_best(trials: DataFrame, study=KEY, bucket_size: int = BUCKET) -> Dat
     One bucketed pass over trial_number computes both the position among
     completed trials (running count) and the running argmin.
     """
-    s = scored(trials)
-    done = F.col("state") == "COMPLETE"
-    best = F.when(done, F.struct(F.col("score").alias("s"), F.col("trial_number").alias("t"),
-                                 F.col("divergence").alias("d"), F.col("hits").alias("h")))
-    r = ix.cumulative(s, study, "trial_number",
-                      [("seq", "sum", done.cast("long")), ("_best", "min", best)], bucket_size)
-    return r.where(done).select(
+    r = _with_best(trials, study, bucket_size)
+    return r.select(
         *study, "trial_number", F.col("seq").cast("long").alias("seq"), "divergence", "hits", "score",
         F.col("_best.t").alias("best_trial"), F.col("_best.d").alias("best_divergence"),
         F.col("_best.h").alias("best_hits"), F.col("_best.s").alias("best_score"))
 
 
-def trend(trials: DataFrame, w: int = TREND_WINDOW, eps: float = TREND_EPS,
-          study=KEY, bucket_size: int = BUCKET) -> DataFrame:
-    """Trend label after each completed trial over the last ``w`` (win_trend):
-    d = avg(first w//2) - avg(rest); > eps improving, < -eps degrading, else
-    stable; fewer than w trials -> insufficient_data."""
-    s = ix.with_halo(sequenced(trials, study, bucket_size), "seq", w, bucket_size, study)
+def _with_trend(s: DataFrame, w: int, eps: float, study, bucket_size: int) -> DataFrame:
+    """``improvement`` and ``trend`` added to sequenced trials."""
+    s = ix.with_halo(s, "seq", w, bucket_size, study)
     h1 = w // 2
     first = ix.sliding_frame(study, "seq", -(w - 1), -(w - h1))
     second = ix.sliding_frame(study, "seq", -(w - h1) + 1, 0)
@@ -90,7 +93,15 @@ def trend(trials: DataFrame, w: int = TREND_WINDOW, eps: float = TREND_EPS,
              .when(F.col("improvement") > eps, F.lit("improving"))
              .when(F.col("improvement") < -eps, F.lit("degrading"))
              .otherwise(F.lit("stable")))
-    t = ix.drop_halo(t.withColumn("trend", label))
+    return ix.drop_halo(t.withColumn("trend", label))
+
+
+def trend(trials: DataFrame, w: int = TREND_WINDOW, eps: float = TREND_EPS,
+          study=KEY, bucket_size: int = BUCKET) -> DataFrame:
+    """Trend label after each completed trial over the last ``w`` (win_trend):
+    d = avg(first w//2) - avg(rest); > eps improving, < -eps degrading, else
+    stable; fewer than w trials -> insufficient_data."""
+    t = _with_trend(sequenced(trials, study, bucket_size), w, eps, study, bucket_size)
     sym = F.create_map(*[x for k, v in TREND_SYMBOLS.items() for x in (F.lit(k), F.lit(v))])
     return t.select(*study, "trial_number", "seq", "score", "improvement", "trend",
                     sym[F.col("trend")].alias("symbol"))
@@ -113,7 +124,7 @@ def eta(trials: DataFrame, total_trials: int, study=KEY) -> DataFrame:
     start.  The per-study start is a partial aggregate joined back."""
     s = sequenced(trials, study)
     start = trials.groupBy(*study).agg(F.min("started_at").alias("_t0"))
-    r = s.join(start, study).withColumn("elapsed_s", _dur_s("_t0", "finished_at"))
+    r = ix.join_null_safe(s, start, study).withColumn("elapsed_s", _dur_s("_t0", "finished_at"))
     return r.select(*study, "trial_number", "seq",
                     (F.col("seq") / F.lit(float(total_trials)) * 100).alias("pct"),
                     "elapsed_s",
@@ -126,10 +137,10 @@ def plateau(trials: DataFrame, stable_n: int = PLATEAU_STABLE, no_best_n: int =
     """Documented stop rules (win_plateau): trend stable for ``stable_n``+
     consecutive trials, or no new best for ``no_best_n``+ trials.  Island
     lengths come from running maxima (gaps-and-islands without a per-study
-    window)."""
-    t = trend(trials, w, eps, study, bucket_size)
-    b = running_best(trials, study, bucket_size).select(*study, "trial_number", "best_trial")
-    j = t.join(b, study + ["trial_number"])
+    window).  One frame carries sequence, best and trend: nothing is joined."""
+    best = _with_best(trials, study, bucket_size).select(
+        *study, "trial_number", F.col("seq").cast("long").alias("seq"), "score", F.col("_best.t").alias("best_trial"))
+    j = _with_trend(best, w, eps, study, bucket_size)
     last_unstable = F.when(F.col("trend") != "stable", F.col("seq")).otherwise(F.lit(0))
     # seq of the current best trial = last seq where best_trial == trial_number
     newbest = F.when(F.col("best_trial") == F.col("trial_number"), F.col("seq")).otherwise(F.lit(0))
@@ -152,8 +163,8 @@ def top_trials(trials: DataFrame, k: int = TOP_K, study=KEY, min_trials: int = T
     eligible = (s.groupBy(*study).agg(F.count(F.lit(1)).alias("_n"))
                 .where(F.col("_n") >= min_trials).select(*study))
     w = Window.partitionBy(*study).orderBy("score", "trial_number")
-    r = (s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-         .join(eligible, study, "left_semi"))
+    r = s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    r = ix.join_null_safe(r, eligible, study, "left_semi")
     return r.select(*study, "rank", "trial_number", "divergence", "hits", "score",
                     (F.col("rank") == 1).alias("starred"))
 
@@ -174,16 +185,22 @@ def run_summary(trials: DataFrame, study=KEY) -> DataFrame:
 def study_catalog(trials: DataFrame, study=KEY, with_size: bool = False) -> DataFrame:
     """Per study: completed trials, all trials and last modification
     (agg_study_catalog).  With ``with_size`` (a file-backed trial log) the
-    bytes of the distinct files holding the study, from ``_metadata``."""
+    bytes it takes in the files that hold it, from ``_metadata``."""
     cols = [F.count_if(F.col("state") == "COMPLETE").alias("completed"),
             F.count(F.lit(1)).alias("trials"), F.max("finished_at").alias("last_finished")]
     if not with_size:
         return trials.groupBy(*study).agg(*cols)
     t = trials.select("*", F.col("_metadata.file_path").alias("_fp"),
                       F.col("_metadata.file_size").alias("_fs"))
-    files = t.groupBy(*study, "_fp").agg(F.max("_fs").alias("_fs"))
-    size = files.groupBy(*study).agg(F.sum("_fs").alias("size_bytes"))
-    return t.groupBy(*study).agg(*cols).join(size, study)
+    # a file may hold several studies: its bytes are shared out by rows, to whole
+    # bytes that add up to the file (one summary row per file and study)
+    files = t.groupBy(*study, "_fp").agg(F.max("_fs").alias("_fs"), F.count(F.lit(1)).alias("_n"))
+    per_file = Window.partitionBy("_fp")
+    upto = F.sum("_n").over(per_file.orderBy(*study).rowsBetween(Window.unboundedPreceding, 0))
+    files = files.withColumn("_to", upto).withColumn("_all", F.sum("_n").over(per_file))
+    share = F.expr("_fs * _to div _all") - F.expr("_fs * (_to - _n) div _all")
+    size = files.groupBy(*study).agg(F.sum(share).alias("size_bytes"))
+    return ix.join_null_safe(t.groupBy(*study).agg(*cols), size, study)
 
 
 def resume_plan(trials: DataFrame, n_trials: int, study=KEY) -> DataFrame:

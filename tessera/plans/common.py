@@ -52,31 +52,25 @@ def sql_has_marker(x: str, markers) -> str:
     return "(" + " OR ".join(f"contains({x}, '" + m.lower().replace("'", "''") + "')" for m in markers) + ")"
 
 
-PAIRS_CTE = """pairs AS (
-  SELECT u.conv_id, u.turn, u.text AS prompt, a.text AS response,
-         u.conv_id * 100000 + u.turn AS prompt_id
-  FROM conversations u JOIN conversations a
-    ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
-  WHERE u.role = 'user' AND a.role = 'assistant')"""
-
-PROMPTS_CTE = PAIRS_CTE + """,
-prompts AS (
-  SELECT prompt_id,
+PROMPTS_CTE = """prompts AS (
+  SELECT conv_id, CAST(turn AS BIGINT) AS turn,
          CASE WHEN conv_id % 2 = 1 THEN 'bad' ELSE 'good' END AS cohort,
-         CASE WHEN (conv_id // 2) % 5 = 0 THEN 'evaluation' ELSE 'direction' END AS purpose,
-         prompt_id AS pos, prompt AS text
-  FROM pairs)"""
+         CASE WHEN (conv_id // 2) % 5 = 0 THEN 'evaluation' ELSE 'direction' END AS purpose, text
+  FROM conversations WHERE role = 'user')"""
 
-RESPONSES_CTE = PROMPTS_CTE + f""",
+ANSWERS_CTE = """answers AS (
+  SELECT conv_id, CAST(turn - 1 AS BIGINT) AS turn, text AS response FROM conversations WHERE role = 'assistant')"""
+
+RESPONSES_CTE = ANSWERS_CTE + f""",
 responses AS (
-  SELECT 'base' AS model_id, prompt_id, response FROM pairs
+  SELECT 'base' AS model_id, conv_id, turn, response FROM answers
   UNION ALL
-  SELECT 'head20' AS model_id, prompt_id,
+  SELECT 'head20' AS model_id, conv_id, turn,
          array_to_string(list_slice({sql_tokens('response')}, 1, 20), ' ') AS response
-  FROM pairs)"""
+  FROM answers)"""
 
 TRIALS_CTE = """trials AS (
-  SELECT CAST(user_id AS VARCHAR) AS study,
+  SELECT event_id, CAST(user_id AS VARCHAR) AS study,
          CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS trial_number,
          CASE WHEN event_type = 'error' THEN 'FAIL' ELSE 'COMPLETE' END AS state,
          value / 100 AS divergence,
@@ -176,7 +170,7 @@ logprobs AS (
 VECTORS_CTE = """vecs AS (
   SELECT vec_id, CASE WHEN label < 5 THEN 'a' ELSE 'b' END AS cohort, CAST(layer AS INTEGER) AS layer,
          list_slice(embedding, layer * 16 + 1, layer * 16 + 16) AS vec
-  FROM (SELECT *, unnest(range(0, len(embedding) // 16)) AS layer FROM embeddings)),
+  FROM (SELECT *, unnest(range(0, (len(embedding) + 15) // 16)) AS layer FROM embeddings)),
 vx AS (
   SELECT cohort, layer, vec_id, CAST(unnest(range(0, len(vec))) AS BIGINT) AS pos,
          CAST(unnest(vec) AS DOUBLE) AS x

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from tessera.functions.text import strip_ws, truncate_tokens, tokens
-from tessera.functions.udfs import WhitespaceTokenizer, batch_score, length_model, tokenize
+from tessera.functions.text import strip_ws, tokens, training_columns
+from tessera.functions.udfs import WhitespaceTokenizer, batch_score, length_model, token_chunks, tokenize
 from tessera.operators.chunking import chunk_tokens, min_tokens, with_tokens
 from tessera.operators.examples import TEMPLATES, assign_template, preview, rendered, to_examples
 from tessera.operators.index import with_global_index
@@ -16,7 +16,7 @@ from tessera.plans.common import (CHUNKS_CTE, PROMPTS_CTE, T, L, examples_cte, s
                                   sql_tokens, sql_topic)
 from tessera.session import materialize, scratch_path
 from tessera.sources import bindings as B
-from tessera.sources.corpus import (cohort_counts, cohorts, load_prompts, pick_text_column,
+from tessera.sources.corpus import (cohort_counts, load_prompts, pick_text_column,
                                     read_corpus, to_segments)
 from tessera.sources.sinks import write_examples
 from tessera.streaming.responses_stream import stream_corpus
@@ -77,14 +77,13 @@ def q_src_text_column(spark, sf):
 
 def q_src_prompt_slice(spark, sf):
     p = B.prompts(T(spark, sf, "conversations"))
-    return load_prompts(p, "text", "pos", split_col="cohort", split="good", limit=100)
+    s = load_prompts(p, "text", B.PROMPT_KEY, split_col="cohort", split="good", limit=100)
+    return s.select("conv_id", L("turn").alias("turn"), "text")
 
 
 def q_src_cohort_union(spark, sf):
     p = B.prompts(T(spark, sf, "conversations"))
-    specs = [(c, u, p.where((F.col("cohort") == c) & (F.col("purpose") == u)))
-             for c in ("good", "bad") for u in ("direction", "evaluation")]
-    return cohort_counts(cohorts(specs))
+    return cohort_counts(p)  # the cohort is a column of one table: no union of four scans
 
 
 def q_snk_split_dataset(spark, sf):
@@ -132,6 +131,12 @@ def q_split_train_val(spark, sf):
     return examples(spark, sf).select("example_id", "split")
 
 
+def q_split_exact(spark, sf):
+    """Exactly floor(fraction * n) training documents, keyed by doc_id."""
+    d = T(spark, sf, "documents").select("doc_id")
+    return split_train_val(d, "doc_id", exact=True).select("doc_id", "split")
+
+
 def q_top_preview(spark, sf):
     return preview(examples(spark, sf), 3)
 
@@ -142,16 +147,17 @@ def q_txt_render(spark, sf):
 
 def q_txt_truncate_tokens(spark, sf):
     r = rendered(to_examples(stored_chunks(spark, sf), ORDER))
-    ids = truncate_tokens(tokens("prompt"), 2048)
-    return r.select("example_id", ids.alias("input_ids")).select(
+    cols = training_columns(tokens("prompt"), 2048)
+    return r.select("example_id", *[v.alias(k) for k, v in cols.items()]).select(
         "example_id", L(F.size("input_ids")).alias("n_input"),
-        L(F.size(F.col("input_ids"))).alias("n_labels"),
+        L(F.size("labels")).alias("n_labels"),
         F.element_at("input_ids", -1).alias("last_token"))
 
 
 def q_agg_ingest_stats(spark, sf):
-    segs = doc_segments(spark, sf)
-    return ingest_stats(segs, stored_chunks(spark, sf), examples(spark, sf)).select("metric", L("value").alias("value"))
+    segs, c = doc_segments(spark, sf), stored_chunks(spark, sf)     # written once
+    ex = split_train_val(to_examples(c, ORDER, keep=ORDER), "example_id")
+    return ingest_stats(segs, c, ex).select("metric", L("value").alias("value"))
 
 
 def q_num_step_plan(spark, sf):
@@ -165,6 +171,11 @@ def q_udf_tokenizer(spark, sf):
     return d.select("doc_id", L(F.size("tokens")).alias("n_tokens"))
 
 
+def q_udf_token_chunks(spark, sf):
+    c = token_chunks(doc_segments(spark, sf), "text", WhitespaceTokenizer, min_n=50, keep=["doc_id"])
+    return c.select(L("doc_id").alias("doc_id"), "chunk_no", "start_token", "n_tokens", "text")
+
+
 def q_udf_batch_score(spark, sf):
     d = batch_score(T(spark, sf, "documents"), "text", length_model, IntegerType(), batch_size=64)
     return d.select("doc_id", L("score").alias("score"))
@@ -193,12 +204,14 @@ QUERIES = {
     "txt_topic": q_txt_topic,
     "txt_instruction": q_txt_instruction,
     "split_train_val": q_split_train_val,
+    "split_exact": q_split_exact,
     "top_preview": q_top_preview,
     "txt_render": q_txt_render,
     "txt_truncate_tokens": q_txt_truncate_tokens,
     "agg_ingest_stats": q_agg_ingest_stats,
     "num_step_plan": q_num_step_plan,
     "udf_tokenizer": q_udf_tokenizer,
+    "udf_token_chunks": q_udf_token_chunks,
     "udf_batch_score": q_udf_batch_score,
     "str_corpus": q_str_corpus,
 }
@@ -219,7 +232,7 @@ ORACLES = {
     "src_paragraphs": f"WITH {_SEGS} SELECT doc_id, segment_no, text FROM segs",
     "src_text_column": """SELECT 'documents' AS source, doc_id AS id, text FROM documents
         UNION ALL SELECT 'pages' AS source, page_id AS id, CAST(page_id AS VARCHAR) AS text FROM pages""",
-    "src_prompt_slice": f"WITH {PROMPTS_CTE} SELECT pos, text FROM prompts WHERE cohort = 'good' ORDER BY pos LIMIT 100",
+    "src_prompt_slice": f"WITH {PROMPTS_CTE} SELECT conv_id, turn, text FROM prompts WHERE cohort = 'good' ORDER BY conv_id, turn LIMIT 100",
     "src_cohort_union": f"WITH {PROMPTS_CTE} SELECT cohort, purpose, count(*) AS n_prompts FROM prompts GROUP BY cohort, purpose",
     "snk_split_dataset": f"WITH {_EX} SELECT example_id, split, instruction, response FROM examples",
     "flt_min_tokens": f"""WITH {_SEGS} SELECT doc_id, segment_no, CAST(len({sql_tokens('text')}) AS BIGINT) AS n_tokens
@@ -231,6 +244,10 @@ ORACLES = {
     "txt_topic": f"WITH {CHUNKS_CTE} SELECT doc_id, chunk_no, {sql_topic('text')} AS topic FROM chunks",
     "txt_instruction": f"WITH {_EX} SELECT example_id, instruction, response FROM examples",
     "split_train_val": f"WITH {_EX} SELECT example_id, split FROM examples",
+    "split_exact": """WITH r AS (
+          SELECT doc_id, row_number() OVER (ORDER BY substr(md5('42:' || CAST(doc_id AS VARCHAR)), 1, 8), doc_id) AS k,
+                 count(*) OVER () AS n FROM documents)
+        SELECT doc_id, CASE WHEN k <= CAST(floor(0.9 * n) AS BIGINT) THEN 'train' ELSE 'validation' END AS split FROM r""",
     "top_preview": f"""WITH {_EX} SELECT example_id, left(instruction, 150) AS instruction, left(response, 300) AS response
         FROM examples WHERE split = 'train' ORDER BY example_id LIMIT 3""",
     "txt_render": f"WITH {_EX} SELECT example_id, {_RENDER} AS prompt FROM examples",
@@ -246,6 +263,7 @@ ORACLES = {
                CAST(floor((n // 4 // 8) * 3 * 0.1) AS BIGINT) AS warmup_steps, CAST(32 AS BIGINT) AS effective_batch
         FROM c""",
     "udf_tokenizer": f"SELECT doc_id, CAST(len({sql_tokens('text')}) AS BIGINT) AS n_tokens FROM documents",
+    "udf_token_chunks": f"WITH {CHUNKS_CTE} SELECT doc_id, chunk_no, start_token, n_tokens, text FROM chunks",
     "udf_batch_score": "SELECT doc_id, CAST(length(text) AS BIGINT) AS score FROM documents",
     "str_corpus": f"WITH {CHUNKS_CTE} SELECT chunk_no, start_token, n_tokens, text FROM chunks",
 }

@@ -12,8 +12,8 @@ from tessera.functions.vectors import l2_normalize, last_state, log_softmax
 from tessera.operators.centroids import centroid_contrast, centroids
 from tessera.operators.conversation import conversations
 from tessera.operators.evaluate import (compare, flag_responses, hit_rate, kl_divergence,
-                                        marker_profile, pair, relative_score)
-from tessera.plans.common import (LOGPROBS_CTE, PAIRS_CTE, PROMPTS_CTE, QUERY_MARKERS,
+                                        marker_profile, match_report, pair, relative_score)
+from tessera.plans.common import (ANSWERS_CTE, LOGPROBS_CTE, PROMPTS_CTE, QUERY_MARKERS,
                                   RESPONSES_CTE, VECTORS_CTE, L, T, r6, sql_has_marker,
                                   sql_markers, sql_norm, sql_strip, sql_tokens)
 from tessera.session import scratch_path
@@ -27,17 +27,24 @@ from tessera.streaming.sinks import read_latest, run_updates
 CONFIDENT_LP = float(np.log(0.03))
 
 
+def _key():
+    return ["conv_id", L("turn").alias("turn")]
+
+
 def _responses(spark, sf):
     return B.responses(T(spark, sf, "conversations"))
 
 
+def _answers(spark, sf):
+    return B.answers(T(spark, sf, "conversations"))
+
+
 def q_txt_normalize(spark, sf):
-    r = _responses(spark, sf).where(F.col("model_id") == "base")
-    return r.select("prompt_id", normalize_response("response").alias("normalized"))
+    return _answers(spark, sf).select(*_key(), normalize_response("response").alias("normalized"))
 
 
 def q_txt_marker_flag(spark, sf):
-    return flag_responses(_responses(spark, sf), QUERY_MARKERS).select("model_id", "prompt_id", "hit")
+    return flag_responses(_responses(spark, sf), QUERY_MARKERS).select("model_id", *_key(), "hit")
 
 
 def q_txt_marker_profile(spark, sf):
@@ -46,20 +53,19 @@ def q_txt_marker_profile(spark, sf):
 
 
 def q_txt_head_tokens(spark, sf):
-    r = _responses(spark, sf).where(F.col("model_id") == "base")
-    return r.select("prompt_id", head_tokens("response", 20).alias("head"))
+    return _answers(spark, sf).select(*_key(), head_tokens("response", 20).alias("head"))
 
 
 def q_txt_strip_prompt(spark, sf):
-    p = B.prompt_pairs(T(spark, sf, "conversations"))
-    full = F.concat(F.col("prompt"), F.col("response"))
-    return p.select("prompt_id", strip_prompt(full, F.col("prompt")).alias("answer"))
+    p = pair(B.prompts(T(spark, sf, "conversations")), _answers(spark, sf), B.PROMPT_KEY)
+    full = F.concat(F.col("text"), F.col("response"))
+    return p.select(*_key(), strip_prompt(full, F.col("text")).alias("answer"))
 
 
 def q_txt_chat(spark, sf):
     p = B.prompts(T(spark, sf, "conversations"))
-    c = p.select("prompt_id", as_chat("text").alias("chat"))
-    return c.select("prompt_id", L(F.size("chat")).alias("n_messages"),
+    c = p.select(*B.PROMPT_KEY, as_chat("text").alias("chat"))
+    return c.select(*_key(), L(F.size("chat")).alias("n_messages"),
                     F.col("chat")[0]["content"].alias("system"), F.col("chat")[1]["content"].alias("user"))
 
 
@@ -71,8 +77,14 @@ def q_agg_conversation(spark, sf):
 
 
 def q_join_prompt_response(spark, sf):
-    j = pair(B.prompts(T(spark, sf, "conversations")), _responses(spark, sf))
-    return j.select("prompt_id", "model_id", "cohort", "purpose", "response")
+    j = pair(B.prompts(T(spark, sf, "conversations")), _responses(spark, sf), B.PROMPT_KEY)
+    return j.select(*_key(), "model_id", "cohort", "purpose", "response")
+
+
+def q_join_match_report(spark, sf):
+    """Prompts without an answer, answers without a prompt, repeated keys."""
+    r = match_report(B.prompts(T(spark, sf, "conversations")), _answers(spark, sf), B.PROMPT_KEY)
+    return r.select(*[L(c).alias(c) for c in r.columns])
 
 
 def q_agg_hit_rate(spark, sf):
@@ -81,8 +93,8 @@ def q_agg_hit_rate(spark, sf):
 
 
 def q_join_base_candidate(spark, sf):
-    c = compare(_responses(spark, sf), "base", QUERY_MARKERS)
-    return c.select("model_id", *[L(x).alias(x) for x in ("n_prompts", "base_hits", "cand_hits", "gained", "lost")],
+    c = compare(_responses(spark, sf), "base", QUERY_MARKERS, on=B.PROMPT_KEY)
+    return c.select("model_id", *[L(x).alias(x) for x in ("n_prompts", "n_unmatched", "base_hits", "cand_hits", "gained", "lost")],
                     r6("relative_hits").alias("relative_hits"))
 
 
@@ -150,8 +162,8 @@ def q_agg_centroid_contrast(spark, sf):
 def q_str_hit_rate(spark, sf):
     src = scratch_path(spark, "responses_files")
     r = _responses(spark, sf)
-    r.repartition(4, "prompt_id").write.parquet(src)
-    stream = spark.readStream.schema(r.schema).option("maxFilesPerTrigger", "1").parquet(src)
+    r.write.parquet(src)
+    stream = spark.readStream.schema(r.schema).parquet(src)
     out, ck = scratch_path(spark, "str_hit_rate_out"), scratch_path(spark, "str_hit_rate_ckpt")
     run_updates(stream_hit_rate(stream, QUERY_MARKERS), out, ck,
                 state_partitions=spark.sparkContext.defaultParallelism)
@@ -168,6 +180,7 @@ QUERIES = {
     "txt_chat": q_txt_chat,
     "agg_conversation": q_agg_conversation,
     "join_prompt_response": q_join_prompt_response,
+    "join_match_report": q_join_match_report,
     "agg_hit_rate": q_agg_hit_rate,
     "join_base_candidate": q_join_base_candidate,
     "agg_kl": q_agg_kl,
@@ -182,7 +195,7 @@ QUERIES = {
 }
 
 _M = QUERY_MARKERS
-_FLAGS = f"{RESPONSES_CTE}, flags AS (SELECT model_id, prompt_id, {sql_has_marker(sql_norm('response'), _M)} AS hit FROM responses)"
+_FLAGS = f"{RESPONSES_CTE}, flags AS (SELECT model_id, conv_id, turn, {sql_has_marker(sql_norm('response'), _M)} AS hit FROM responses)"
 _HIT_RATE = f"""WITH {_FLAGS}
     SELECT model_id, CAST(count(*) FILTER (WHERE hit) AS BIGINT) AS hits, CAST(count(*) AS BIGINT) AS total,
            round(CASE WHEN count(*) <> 0 THEN CAST(count(*) FILTER (WHERE hit) AS DOUBLE) / count(*) * 100 ELSE 0.0 END, 6) AS rate_pct
@@ -196,29 +209,41 @@ _KL = f"""{LOGPROBS_CTE},
 _CENT = f"""{VECTORS_CTE}, cent AS (SELECT cohort, layer, pos, avg(x) AS m, count(*) AS n FROM vx GROUP BY cohort, layer, pos)"""
 
 ORACLES = {
-    "txt_normalize": f"WITH {PAIRS_CTE} SELECT prompt_id, {sql_norm('response')} AS normalized FROM pairs",
-    "txt_marker_flag": f"WITH {_FLAGS} SELECT model_id, prompt_id, hit FROM flags",
+    "txt_normalize": f"WITH {ANSWERS_CTE} SELECT conv_id, turn, {sql_norm('response')} AS normalized FROM answers",
+    "txt_marker_flag": f"WITH {_FLAGS} SELECT model_id, conv_id, turn, hit FROM flags",
     "txt_marker_profile": f"""WITH {RESPONSES_CTE}, m AS (SELECT unnest({sql_markers(_M)}) AS marker)
         SELECT r.model_id, m.marker, CAST(count(*) AS BIGINT) AS hits
         FROM responses r JOIN m ON contains({sql_norm('r.response')}, m.marker) GROUP BY r.model_id, m.marker""",
-    "txt_head_tokens": f"WITH {PAIRS_CTE} SELECT prompt_id, array_to_string(list_slice({sql_tokens('response')}, 1, 20), ' ') AS head FROM pairs",
-    "txt_strip_prompt": f"""WITH {PAIRS_CTE} SELECT prompt_id,
-        left({sql_strip("substr(prompt || response, length(prompt) + 1)")}, 500) AS answer FROM pairs""",
-    "txt_chat": f"""WITH {PROMPTS_CTE} SELECT prompt_id, CAST(2 AS BIGINT) AS n_messages,
-        'You are a helpful assistant.' AS system, text AS user FROM prompts""",
+    "txt_head_tokens": f"""WITH {ANSWERS_CTE} SELECT conv_id, turn,
+        array_to_string(list_slice({sql_tokens('response')}, 1, 20), ' ') AS head FROM answers""",
+    "txt_strip_prompt": f"""SELECT u.conv_id, CAST(u.turn AS BIGINT) AS turn,
+        left({sql_strip("substr(u.text || a.text, length(u.text) + 1)")}, 500) AS answer
+        FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+        WHERE u.role = 'user' AND a.role = 'assistant'""",
+    "txt_chat": """SELECT conv_id, CAST(turn AS BIGINT) AS turn, CAST(2 AS BIGINT) AS n_messages,
+        'You are a helpful assistant.' AS system, text AS "user" FROM conversations WHERE role = 'user'""",
     "agg_conversation": """SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns, string_agg(role, ',' ORDER BY turn) AS roles,
         CAST(sum(length(text)) AS BIGINT) AS n_chars FROM conversations GROUP BY conv_id""",
-    "join_prompt_response": f"""WITH {RESPONSES_CTE} SELECT p.prompt_id, r.model_id, p.cohort, p.purpose, r.response
-        FROM prompts p JOIN responses r ON r.prompt_id = p.prompt_id""",
+    "join_prompt_response": f"""WITH {PROMPTS_CTE}, {RESPONSES_CTE} SELECT p.conv_id, p.turn, r.model_id, p.cohort, p.purpose, r.response
+        FROM prompts p JOIN responses r ON r.conv_id = p.conv_id AND r.turn = p.turn""",
+    "join_match_report": """WITH k AS (
+          SELECT conv_id, CASE role WHEN 'user' THEN turn ELSE turn - 1 END AS turn,
+                 count(*) FILTER (WHERE role = 'user') AS p, count(*) FILTER (WHERE role = 'assistant') AS a
+          FROM conversations WHERE role IN ('user', 'assistant') GROUP BY 1, 2)
+        SELECT CAST(count(*) FILTER (WHERE p > 0 AND a > 0) AS BIGINT) AS matched,
+               CAST(count(*) FILTER (WHERE a = 0) AS BIGINT) AS left_only, CAST(count(*) FILTER (WHERE p = 0) AS BIGINT) AS right_only,
+               CAST(count(*) FILTER (WHERE p > 1) AS BIGINT) AS left_repeated,
+               CAST(count(*) FILTER (WHERE a > 1) AS BIGINT) AS right_repeated FROM k""",
     "agg_hit_rate": _HIT_RATE,
     "join_base_candidate": f"""WITH {_FLAGS}
         SELECT c.model_id, CAST(count(*) AS BIGINT) AS n_prompts,
+               CAST(count(*) FILTER (WHERE b.hit IS NULL) AS BIGINT) AS n_unmatched,
                CAST(count(*) FILTER (WHERE b.hit) AS BIGINT) AS base_hits,
                CAST(count(*) FILTER (WHERE c.hit) AS BIGINT) AS cand_hits,
                CAST(count(*) FILTER (WHERE c.hit AND NOT b.hit) AS BIGINT) AS gained,
                CAST(count(*) FILTER (WHERE NOT c.hit AND b.hit) AS BIGINT) AS lost,
                round(CAST(count(*) FILTER (WHERE c.hit) AS DOUBLE) / nullif(count(*) FILTER (WHERE b.hit), 0), 6) AS relative_hits
-        FROM flags c JOIN flags b ON b.prompt_id = c.prompt_id AND b.model_id = 'base'
+        FROM flags c LEFT JOIN flags b ON b.conv_id = c.conv_id AND b.turn = c.turn AND b.model_id = 'base'
         WHERE c.model_id <> 'base' GROUP BY c.model_id""",
     "agg_kl": f"WITH {_KL} SELECT model_id, round(kl, 6) AS kl, CAST(n_prompts AS BIGINT) AS n_prompts FROM kl",
     "agg_relative_score": f"""WITH {_KL},

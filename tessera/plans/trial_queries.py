@@ -25,54 +25,58 @@ def _trials(spark, sf):
     return B.trials(T(spark, sf, "events"))
 
 
+def _trial_rows(spark, sf):
+    return B.trial_rows(T(spark, sf, "events"))
+
+
 def _micros(col):
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(col))
 
 
 def q_flt_completed(spark, sf):
-    c = TR.completed(_trials(spark, sf))
-    return c.select("study", L("trial_number").alias("trial_number"), "divergence", L("hits").alias("hits"))
+    c = TR.completed(_trial_rows(spark, sf))
+    return c.select("event_id", "divergence", L("hits").alias("hits"))
 
 
 def q_num_composite(spark, sf):
-    s = TR.scored(_trials(spark, sf))
-    return s.select("study", L("trial_number").alias("trial_number"), r6("rate_pct").alias("rate_pct"),
+    s = TR.scored(_trial_rows(spark, sf))
+    return s.select("event_id", r6("rate_pct").alias("rate_pct"),
                     r6("score").alias("score"))
 
 
 def q_num_grade(spark, sf):
-    s = TR.scored(_trials(spark, sf))
-    return s.select("study", L("trial_number").alias("trial_number"), grade("divergence", "rate_pct").alias("grade"))
+    s = TR.scored(_trial_rows(spark, sf))
+    return s.select("event_id", grade("divergence", "rate_pct").alias("grade"))
 
 
 def q_fmt_duration(spark, sf):
-    t = _trials(spark, sf)
+    t = _trial_rows(spark, sf)
     secs = F.timestamp_diff("MICROSECOND", F.col("started_at"), F.col("finished_at")) * 37 / 1e6
-    return t.select("study", L("trial_number").alias("trial_number"),
+    return t.select("event_id",
                     fmt_duration(secs, "round").alias("rounded"), fmt_duration(secs, "trunc").alias("truncated"))
 
 
 def q_fmt_quality_bar(spark, sf):
-    t = _trials(spark, sf)
-    return t.select("study", L("trial_number").alias("trial_number"), quality_bar("divergence").alias("bar"))
+    t = _trial_rows(spark, sf)
+    return t.select("event_id", quality_bar("divergence").alias("bar"))
 
 
 def q_fmt_params(spark, sf):
-    p = flatten_params(_trials(spark, sf))
-    return p.select("study", L("trial_number").alias("trial_number"), "param", "value")
+    p = flatten_params(_trial_rows(spark, sf), keys=("event_id",))
+    return p.select("event_id", "param", "value")
 
 
 def q_fmt_params_json(spark, sf):
-    t = _trials(spark, sf).withColumn("_j", params_to_json("params"))
+    t = _trial_rows(spark, sf).withColumn("_j", params_to_json("params"))
     back = t.withColumn("_p", params_from_json("_j"))
-    return back.select("study", L("trial_number").alias("trial_number"),
+    return back.select("event_id",
                        F.col("_p")["attn.o_proj"]["max_weight"].alias("attn_max_weight"),
                        F.col("_p")["mlp.down_proj"]["min_weight_distance"].alias("mlp_min_weight_distance"),
                        (params_to_json("_p") == F.col("_j")).alias("roundtrip_ok"))
 
 
 def q_fmt_study_key(spark, sf):
-    s = _trials(spark, sf).select("study").distinct()
+    s = _trial_rows(spark, sf).select("study").distinct()
     m = F.concat(F.lit("org/model-"), F.col("study"))
     return s.select("study", study_key(m, "study").alias("key"))
 
@@ -124,19 +128,19 @@ def q_join_dominates(spark, sf):
 
 
 def q_agg_run_summary(spark, sf):
-    s = TR.run_summary(_trials(spark, sf))
+    s = TR.run_summary(_trial_rows(spark, sf))
     return s.select("study", L("n_trials").alias("n_trials"), r6("total_s").alias("total_s"),
                     r6("mean_s").alias("mean_s"), "total_fmt", "mean_fmt")
 
 
 def q_agg_study_catalog(spark, sf):
-    c = TR.study_catalog(_trials(spark, sf))
+    c = TR.study_catalog(_trial_rows(spark, sf))
     return c.select("study", L("completed").alias("completed"), L("trials").alias("trials"),
                     _micros("last_finished").alias("last_finished_us"))
 
 
 def q_agg_resume_plan(spark, sf):
-    r = TR.resume_plan(_trials(spark, sf), N_TRIALS)
+    r = TR.resume_plan(_trial_rows(spark, sf), N_TRIALS)
     return r.select("study", L("completed").alias("completed"), L("remaining").alias("remaining"), "status")
 
 
@@ -151,11 +155,14 @@ def q_snk_trial_log(spark, sf):
 
 
 def q_snk_report(spark, sf):
-    s = TR.scored(TR.completed(_trials(spark, sf)))
+    t = _trials(spark, sf)
+    # the first trial of a study stands for the model before any change
+    base = t.where("trial_number = 1").select("study", F.col("hits").alias("base_hits"))
+    s = TR.scored(TR.completed(t))
     best = (s.groupBy("study").agg(F.min_by(F.struct(*[c for c in s.columns if c != "study"]),
                                             F.struct("score", "trial_number")).alias("_b"))
             .select("study", "_b.*"))
-    return eval_report(best, kl_digits=4)
+    return eval_report(best, base_hits=base, kl_digits=4)
 
 
 def _state_parts(spark):
@@ -163,16 +170,20 @@ def _state_parts(spark):
     return spark.sparkContext.defaultParallelism
 
 
-def _stage_trials(spark, sf, n_files=4):
+def _stage_trials(spark, sf):
+    """The trial log as files, and all of it again as a producer that
+    restarted would send it: a stream must count each trial once."""
     src = scratch_path(spark, "trial_files")
     t = _trials(spark, sf)
-    t.repartitionByRange(n_files, "finished_at").write.parquet(src)
+    t.write.parquet(f"{src}/sent=1")
+    spark.read.parquet(f"{src}/sent=1").write.parquet(f"{src}/sent=2")
     return src, t.schema
 
 
 def q_str_running_best(spark, sf):
     src, schema = _stage_trials(spark, sf)
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", "1").parquet(src)
+    stream = spark.readStream.schema(schema).option(
+        "maxFilesPerTrigger", spark.sparkContext.defaultParallelism).parquet(src)
     out, ck = scratch_path(spark, "str_best_out"), scratch_path(spark, "str_best_ckpt")
     run_updates(stream_best(stream), out, ck, state_partitions=_state_parts(spark))
     b = read_latest(spark, out, ["study"])
@@ -182,7 +193,8 @@ def q_str_running_best(spark, sf):
 
 def q_str_trend(spark, sf):
     src, schema = _stage_trials(spark, sf)
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", "1").parquet(src)
+    stream = spark.readStream.schema(schema).option(
+        "maxFilesPerTrigger", spark.sparkContext.defaultParallelism).parquet(src)
     out, ck = scratch_path(spark, "str_trend_out"), scratch_path(spark, "str_trend_ckpt")
     run_updates(stream_trend(stream), out, ck, state_partitions=_state_parts(spark))
     t = read_latest(spark, out, ["study"])
@@ -215,7 +227,7 @@ def _steps(spark, sf):
 
 
 def q_agg_perplexity(spark, sf):
-    p = perplexity(_steps(spark, sf))
+    p = perplexity(B.step_rows(T(spark, sf, "orders")))
     return p.select("run", L("step").alias("step"), "eval_loss", r6("perplexity").alias("perplexity"))
 
 
@@ -283,15 +295,15 @@ def _dur_fmt(x):
 
 
 _PARAMS = """params AS (
-  SELECT study, trial_number, 'attn.o_proj.max_weight' AS param, printf('%.2f', value) AS value FROM trials
-  UNION ALL SELECT study, trial_number, 'attn.o_proj.max_weight_position', printf('%.2f', k::DOUBLE) FROM trials
-  UNION ALL SELECT study, trial_number, 'attn.o_proj.min_weight', printf('%.2f', k / 4.0) FROM trials
-  UNION ALL SELECT study, trial_number, 'attn.o_proj.min_weight_distance', printf('%.2f', k / 2.0) FROM trials
-  UNION ALL SELECT study, trial_number, 'mlp.down_proj.max_weight', printf('%.2f', k::DOUBLE) FROM trials
-  UNION ALL SELECT study, trial_number, 'mlp.down_proj.max_weight_position', printf('%.2f', value) FROM trials
-  UNION ALL SELECT study, trial_number, 'mlp.down_proj.min_weight', printf('%.2f', k / 2.0) FROM trials
-  UNION ALL SELECT study, trial_number, 'mlp.down_proj.min_weight_distance', printf('%.2f', k / 4.0) FROM trials
-  UNION ALL SELECT study, trial_number, 'direction_index', coalesce(printf('%.2f', direction_index), 'per layer') FROM trials)"""
+  SELECT event_id, study, trial_number, 'attn.o_proj.max_weight' AS param, printf('%.2f', value) AS value FROM trials
+  UNION ALL SELECT event_id, study, trial_number, 'attn.o_proj.max_weight_position', printf('%.2f', k::DOUBLE) FROM trials
+  UNION ALL SELECT event_id, study, trial_number, 'attn.o_proj.min_weight', printf('%.2f', k / 4.0) FROM trials
+  UNION ALL SELECT event_id, study, trial_number, 'attn.o_proj.min_weight_distance', printf('%.2f', k / 2.0) FROM trials
+  UNION ALL SELECT event_id, study, trial_number, 'mlp.down_proj.max_weight', printf('%.2f', k::DOUBLE) FROM trials
+  UNION ALL SELECT event_id, study, trial_number, 'mlp.down_proj.max_weight_position', printf('%.2f', value) FROM trials
+  UNION ALL SELECT event_id, study, trial_number, 'mlp.down_proj.min_weight', printf('%.2f', k / 2.0) FROM trials
+  UNION ALL SELECT event_id, study, trial_number, 'mlp.down_proj.min_weight_distance', printf('%.2f', k / 4.0) FROM trials
+  UNION ALL SELECT event_id, study, trial_number, 'direction_index', coalesce(printf('%.2f', direction_index), 'per layer') FROM trials)"""
 
 _BAR = "CAST(trunc((1 - divergence / 1.0) * 10) AS INTEGER)"
 
@@ -309,20 +321,20 @@ _TREND_LAST = f"""WITH {TREND_CTE},
     FROM agg a JOIN trend t ON t.study = a.study AND t.seq = a.mseq"""
 
 ORACLES = {
-    "flt_completed": f"WITH {TRIALS_CTE} SELECT study, trial_number, divergence, CAST(hits AS BIGINT) AS hits FROM trials WHERE state = 'COMPLETE'",
-    "num_composite": f"WITH {SCORED_CTE} SELECT study, trial_number, round(rate_pct, 6) AS rate_pct, round(score, 6) AS score FROM scored",
-    "num_grade": f"""WITH {SCORED_CTE} SELECT study, trial_number,
+    "flt_completed": f"WITH {TRIALS_CTE} SELECT event_id, divergence, CAST(hits AS BIGINT) AS hits FROM trials WHERE state = 'COMPLETE'",
+    "num_composite": f"WITH {SCORED_CTE} SELECT event_id, round(rate_pct, 6) AS rate_pct, round(score, 6) AS score FROM scored",
+    "num_grade": f"""WITH {SCORED_CTE} SELECT event_id,
         CASE WHEN divergence IS NULL THEN 'unknown'
              WHEN divergence < 0.15 AND rate_pct < 1.0 THEN 'excellent'
              WHEN divergence < 0.25 AND rate_pct < 2.5 THEN 'very_good'
              WHEN divergence < 0.40 AND rate_pct < 5.0 THEN 'good'
              WHEN divergence < 0.60 AND rate_pct < 10.0 THEN 'acceptable' ELSE 'poor' END AS grade FROM scored""",
-    "fmt_duration": f"WITH {TRIALS_CTE} SELECT study, trial_number, {_dur_sql('round')} AS rounded, {_dur_sql('trunc')} AS truncated FROM trials",
-    "fmt_quality_bar": f"""WITH {TRIALS_CTE} SELECT study, trial_number,
+    "fmt_duration": f"WITH {TRIALS_CTE} SELECT event_id, {_dur_sql('round')} AS rounded, {_dur_sql('trunc')} AS truncated FROM trials",
+    "fmt_quality_bar": f"""WITH {TRIALS_CTE} SELECT event_id,
         repeat('█', greatest({_BAR}, 0)) || repeat('▓', greatest(floor((10 - {_BAR}) / 2), 0)::INTEGER)
         || repeat('░', greatest(10 - {_BAR} - floor((10 - {_BAR}) / 2)::INTEGER, 0)) AS bar FROM trials""",
-    "fmt_params": f"WITH {TRIALS_CTE}, {_PARAMS} SELECT study, trial_number, param, value FROM params",
-    "fmt_params_json": f"""WITH {TRIALS_CTE} SELECT study, trial_number, value AS attn_max_weight,
+    "fmt_params": f"WITH {TRIALS_CTE}, {_PARAMS} SELECT event_id, param, value FROM params",
+    "fmt_params_json": f"""WITH {TRIALS_CTE} SELECT event_id, value AS attn_max_weight,
         k / 4.0 AS mlp_min_weight_distance, true AS roundtrip_ok FROM trials""",
     "fmt_study_key": f"""WITH {TRIALS_CTE}, s AS (SELECT DISTINCT study FROM trials)
         SELECT study, 'study_' || regexp_extract('org/model-' || study, '([^/]*)/*$', 1) || '_'
@@ -387,13 +399,14 @@ ORACLES = {
             || chr(10) || rows.r || chr(10) || chr(10) || '## Performance' || chr(10) || chr(10)
             || '| Metric | This model | Original model |' || chr(10) || '| :----- | :--------: | :------------: |' || chr(10)
             || '| **KL divergence** | ' || printf('%.4f', bt.divergence) || ' | 0 *(by definition)* |' || chr(10)
-            || '| **Hits** | ' || CAST(bt.hits AS VARCHAR) || '/' || CAST(bt.total AS VARCHAR) || ' | ?/' || CAST(bt.total AS VARCHAR) || ' |'
+            || '| **Hits** | ' || CAST(bt.hits AS VARCHAR) || '/' || CAST(bt.total AS VARCHAR) || ' | ' || CAST(b1.hits AS VARCHAR) || '/' || CAST(bt.total AS VARCHAR) || ' |'
             AS markdown
-        FROM bt JOIN rows ON rows.study = bt.study""",
+        FROM bt JOIN rows ON rows.study = bt.study JOIN trials b1 ON b1.study = bt.study AND b1.trial_number = 1""",
     "str_running_best": _BEST_STATE,
     "str_trend": _TREND_LAST,
     "str_resume": f"WITH {TRIALS_CTE} SELECT study, trial_number, divergence, CAST(hits AS BIGINT) AS hits FROM trials",
-    "agg_perplexity": f"""WITH {STEPS_CTE}, l AS (SELECT run, max(step) AS step, arg_max(eval_loss, step) AS el FROM steps GROUP BY run)
+    "agg_perplexity": """WITH l AS (SELECT CAST(o_custkey AS VARCHAR) AS run, max(o_orderkey) AS step,
+          arg_max(o_totalprice / 100000, o_orderkey) AS el FROM orders GROUP BY o_custkey)
         SELECT run, CAST(step AS BIGINT) AS step, el AS eval_loss, round(exp(el), 6) AS perplexity FROM l""",
     "win_checkpoint_keep": f"""WITH {STEPS_CTE}, r AS (SELECT run, step, eval_loss,
           row_number() OVER (PARTITION BY run ORDER BY eval_loss, step) AS rk FROM steps)

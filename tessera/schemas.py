@@ -6,13 +6,13 @@ from pyspark.sql.types import (ArrayType, BinaryType, BooleanType, DoubleType, F
                                TimestampType)
 
 PROMPTS = StructType([
-    StructField("prompt_id", LongType()), StructField("cohort", StringType()),
-    StructField("purpose", StringType()), StructField("pos", LongType()),
+    StructField("conv_id", LongType()), StructField("turn", LongType()),
+    StructField("cohort", StringType()), StructField("purpose", StringType()),
     StructField("text", StringType())])
 
 RESPONSES = StructType([
-    StructField("model_id", StringType()), StructField("prompt_id", LongType()),
-    StructField("response", StringType())])
+    StructField("model_id", StringType()), StructField("conv_id", LongType()),
+    StructField("turn", LongType()), StructField("response", StringType())])
 
 LOGPROBS = StructType([
     StructField("model_id", StringType()), StructField("prompt_id", LongType()),

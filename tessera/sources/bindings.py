@@ -19,21 +19,8 @@ from tessera.functions.text import head_tokens
 from tessera.functions.vectors import log_softmax
 from tessera.operators.index import with_group_index
 
-# Conversation turns are bounded by the model context, far below this.
-TURN_STRIDE = 100000
 LAYER_WIDTH = 16
-
-
-def prompt_pairs(conversations: DataFrame) -> DataFrame:
-    """(prompt_id, conv_id, turn, prompt, response): user turn t answered by
-    the assistant turn t+1 of the same conversation (equi join on the
-    composite key, so no single key is hot)."""
-    u = conversations.where(F.col("role") == "user").select(
-        "conv_id", "turn", F.col("text").alias("prompt"))
-    a = conversations.where(F.col("role") == "assistant").select(
-        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("response"))
-    return (u.join(a, ["conv_id", "turn"])
-            .withColumn("prompt_id", F.col("conv_id") * TURN_STRIDE + F.col("turn")))
+PROMPT_KEY = ["conv_id", "turn"]
 
 
 def cohort_of(conv_id) -> F.Column:
@@ -45,37 +32,38 @@ def purpose_of(conv_id) -> F.Column:
 
 
 def prompts(conversations: DataFrame) -> DataFrame:
-    """``prompts`` schema from the user turns that have an answer."""
-    p = prompt_pairs(conversations)
-    return p.select("prompt_id", cohort_of("conv_id").alias("cohort"),
-                    purpose_of("conv_id").alias("purpose"),
-                    F.col("prompt_id").alias("pos"), F.col("prompt").alias("text"))
+    """``prompts`` schema from all user turns, answered or not; the key is
+    the pair (conv_id, turn)."""
+    return conversations.where(F.col("role") == "user").select(
+        *PROMPT_KEY, cohort_of("conv_id").alias("cohort"), purpose_of("conv_id").alias("purpose"), "text")
+
+
+def answers(conversations: DataFrame) -> DataFrame:
+    """(conv_id, turn, response): the assistant turn t+1 answers turn t.  A
+    projection of the assistant rows, no join."""
+    return conversations.where(F.col("role") == "assistant").select(
+        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("response"))
 
 
 def responses(conversations: DataFrame, head: int = 20) -> DataFrame:
     """``responses`` for two models: 'base' = the full assistant answer and
-    'head20' = its first ``head`` tokens (the short marker-check answer)."""
-    p = prompt_pairs(conversations)
-    base = p.select(F.lit("base").alias("model_id"), "prompt_id", "response")
-    short = p.select(F.lit(f"head{head}").alias("model_id"), "prompt_id",
-                     head_tokens("response", head).alias("response"))
-    return base.unionByName(short)
+    'head20' = its first ``head`` tokens (the short marker-check answer).
+    One scan; every row explodes into its two models."""
+    both = F.array(F.struct(F.lit("base").alias("model_id"), F.col("response")),
+                   F.struct(F.lit(f"head{head}").alias("model_id"), head_tokens("response", head).alias("response")))
+    return answers(conversations).select(*PROMPT_KEY, F.inline(both)).select("model_id", *PROMPT_KEY, "response")
 
 
-def trials(events: DataFrame, num_partitions: int | None = None) -> DataFrame:
-    """``trials`` from ``events``: study = user_id, trial_number = order of
-    (ts, event_id) in the study, divergence = value / 100, hits = props.k of
-    100, FAIL for 'error' events.  Parameters are derived from value and k
-    with values exact at two decimals."""
-    k = F.get_json_object("props", "$.k").cast("int")
-    # only fixed-width columns besides the key, so the index carries them
-    # through its range partitioning instead of joining back
-    base = events.select(
+def _trial_base(events: DataFrame) -> DataFrame:
+    """Fixed-width columns of a trial, so an index carries them through its
+    range partitioning instead of joining back."""
+    return events.select(
         F.col("user_id").cast("string").alias("study"), "ts", "event_id",
-        (F.col("event_type") == "error").alias("_err"),
-        (F.col("event_type") == "view").alias("_view"), "value", k.alias("k"))
-    idx = with_group_index(base, ["study"], ["ts", "event_id"], "_tn",
-                           num_partitions=num_partitions)
+        F.col("event_type").eqNullSafe("error").alias("_err"), (F.col("event_type") == "view").alias("_view"),
+        "value", F.get_json_object("props", "$.k").cast("int").alias("k"))
+
+
+def _trial_columns() -> list:
     kd = F.col("k").cast("double")
     params = F.create_map(
         F.lit("attn.o_proj"), F.create_map(
@@ -84,25 +72,40 @@ def trials(events: DataFrame, num_partitions: int | None = None) -> DataFrame:
         F.lit("mlp.down_proj"), F.create_map(
             F.lit("max_weight"), kd, F.lit("max_weight_position"), F.col("value"),
             F.lit("min_weight"), kd / 2, F.lit("min_weight_distance"), kd / 4))
-    return idx.select(
-        "study",
-        (F.col("_tn") + 1).cast("int").alias("trial_number"),
-        F.when(F.col("_err"), F.lit("FAIL")).otherwise(F.lit("COMPLETE")).alias("state"),
-        (F.col("value") / 100).alias("divergence"),
-        F.col("k").alias("hits"),
-        F.lit(100).alias("total"),
-        params.alias("params"),
-        F.when(F.col("_view"), F.lit(None).cast("double"))
-        .otherwise(kd / 4).alias("direction_index"),
-        F.col("ts").alias("started_at"),
-        (F.col("ts") + F.make_dt_interval(secs=F.col("value").cast("decimal(18,6)"))).alias("finished_at"))
+    return [F.when(F.col("_err"), F.lit("FAIL")).otherwise(F.lit("COMPLETE")).alias("state"),
+            (F.col("value") / 100).alias("divergence"),
+            F.col("k").alias("hits"),
+            F.lit(100).alias("total"),
+            params.alias("params"),
+            F.when(F.col("_view"), F.lit(None).cast("double")).otherwise(kd / 4).alias("direction_index"),
+            F.col("ts").alias("started_at"),
+            (F.col("ts") + F.make_dt_interval(secs=F.col("value").cast("decimal(18,6)"))).alias("finished_at")]
+
+
+def trial_rows(events: DataFrame) -> DataFrame:
+    """Trials keyed by ``event_id``, without a position in the study: a
+    projection of ``events`` (no shuffle, filters reach the scan)."""
+    return _trial_base(events).select("event_id", "study", *_trial_columns())
+
+
+def trials(events: DataFrame, num_partitions: int | None = None) -> DataFrame:
+    """``trials`` from ``events``: study = user_id, trial_number = order of
+    (ts, event_id) in the study, divergence = value / 100, hits = props.k of
+    100, FAIL for 'error' events.  Parameters are derived from value and k
+    with values exact at two decimals.  Use :func:`trial_rows` where the
+    position is not needed."""
+    idx = with_group_index(_trial_base(events), ["study"], ["ts", "event_id"], "_tn",
+                           num_partitions=num_partitions)
+    return idx.select("study", (F.col("_tn") + 1).cast("int").alias("trial_number"), *_trial_columns())
 
 
 def vectors(embeddings: DataFrame, width: int = LAYER_WIDTH) -> DataFrame:
     """``vectors``: cohort 'a' for label < 5 else 'b'; layer = position div
-    ``width`` (one row per embedding and layer)."""
-    e = embeddings.select("vec_id", "label", "embedding",
-                          F.explode(F.sequence(F.lit(0), F.floor(F.size("embedding") / width).cast("int") - 1)).alias("layer"))
+    ``width`` (one row per embedding and layer; the last layer holds what is
+    left, an empty or null vector gives no row)."""
+    n_layers = F.ceil(F.size("embedding") / width).cast("int")
+    layers = F.when(F.size("embedding") > 0, F.sequence(F.lit(0), n_layers - 1))
+    e = embeddings.select("vec_id", "label", "embedding", F.explode(layers).alias("layer"))
     return e.select(
         "vec_id",
         F.when(F.col("label") < 5, F.lit("a")).otherwise(F.lit("b")).alias("cohort"),
@@ -120,6 +123,13 @@ def logprobs(embeddings: DataFrame) -> DataFrame:
     return base.unionByName(cand)
 
 
+def step_rows(orders: DataFrame) -> DataFrame:
+    """Steps keyed by o_orderkey, which orders them, without a position."""
+    return orders.select(F.col("o_custkey").cast("string").alias("run"), F.col("o_orderkey").alias("step"),
+                         (F.col("o_totalprice") / 125000).alias("train_loss"),
+                         (F.col("o_totalprice") / 100000).alias("eval_loss"))
+
+
 def steps(orders: DataFrame, num_partitions: int | None = None) -> DataFrame:
     """``steps``: run = o_custkey, step = order of o_orderkey in the run,
     eval_loss = o_totalprice / 100000, train_loss = o_totalprice / 125000."""

@@ -110,12 +110,12 @@ def load_prompts(df: DataFrame, column: str, order_by, split_col: str | None = N
 def cohorts(specs) -> DataFrame:
     """Union of tagged cohort frames (src_cohort_union).
 
-    ``specs`` = iterable of (cohort, purpose, DataFrame with prompt_id, pos,
+    ``specs`` = iterable of (cohort, purpose, DataFrame with the prompt key and
     text).  Returns the ``prompts`` schema."""
     out = None
     for cohort, purpose, df in specs:
-        t = df.select("prompt_id", F.lit(cohort).alias("cohort"), F.lit(purpose).alias("purpose"),
-                      "pos", "text")
+        tags = ("cohort", "purpose")
+        t = df.select(*[c for c in df.columns if c not in tags], F.lit(cohort).alias("cohort"), F.lit(purpose).alias("purpose"))
         out = t if out is None else out.unionByName(t)
     return out
 

@@ -6,9 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.fmt import flatten_params
+from tessera.operators.index import join_null_safe
 from tessera.schemas import TRIALS
 
 
+LOG_FOLDERS = 16
+
+
 def write_examples(examples: DataFrame, path: str, fmt: str = "parquet",
                    mode: str = "overwrite") -> None:
     """Hand over train and validation sets as one folder per split
@@ -17,10 +21,13 @@ def write_examples(examples: DataFrame, path: str, fmt: str = "parquet",
 
 
 def append_trials(trials: DataFrame, path: str) -> None:
-    """Append completed trials, partitioned by study (snk_trial_log).  A
+    """Append completed trials in ``LOG_FOLDERS`` folders by hash of the study
+    (snk_trial_log), so files do not grow with the number of studies.  A
     failed task leaves no partial file (Spark's commit protocol), so an
     interrupted trial leaves no row."""
-    trials.write.mode("append").partitionBy("study").parquet(path)
+    n = LOG_FOLDERS
+    (trials.withColumn("bucket", F.pmod(F.hash("study"), F.lit(n)))
+     .write.mode("append").partitionBy("bucket").parquet(path))
 
 
 def read_trials(spark: SparkSession, path: str) -> DataFrame:
@@ -44,7 +51,7 @@ def eval_report(best: DataFrame, base_hits: DataFrame | None = None, total_col:
         F.format_string("| **%s** | %s |", "param", "value"))).alias("_rows")))
     b = best
     if base_hits is not None:
-        b = b.join(base_hits, study, "left")
+        b = join_null_safe(b, base_hits, study, "left")
     else:
         b = b.withColumn("base_hits", F.lit(None).cast("int"))
     metrics = b.select(study, F.concat_ws(
@@ -55,7 +62,7 @@ def eval_report(best: DataFrame, base_hits: DataFrame | None = None, total_col:
         F.format_string("| **Hits** | %d/%d | %s/%d |", "hits", total_col,
                         F.coalesce(F.col("base_hits").cast("string"), F.lit("?")), total_col)
     ).alias("_metrics"))
-    return (rows.join(metrics, study).select(study, F.concat_ws(
+    return (join_null_safe(rows, metrics, study).select(study, F.concat_ws(
         "\n", F.lit("## Parameters"), F.lit(""), F.lit("| Parameter | Value |"),
         F.lit("| :-------- | :---: |"), F.array_join("_rows", "\n"), F.lit(""),
         F.lit("## Performance"), F.lit(""), F.col("_metrics")).alias("markdown")))

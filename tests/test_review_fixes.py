@@ -25,3 +25,52 @@ def test_running_sum_of_a_null_group_over_buckets(spark):
     df = spark.range(1, 11).select(F.lit(None).cast("string").alias("g"), F.col("id").alias("seq"))
     out = cumulative(df, "g", "seq", [("n", "sum", F.lit(1))], bucket_size=4)
     assert {r["seq"]: r["n"] for r in out.collect()} == {i: i for i in range(1, 11)}
+
+
+def test_null_study_in_pareto_top_and_eta(spark):
+    from tessera.operators import trials as TR
+    from tessera.operators.skyline import dominated, pareto_front
+    rows = [(s, i, "COMPLETE", float(9 - i), i, 100, "2024-01-01 00:00:00", "2024-01-01 00:01:00")
+            for s in (None, "a") for i in range(1, 8)]
+    df = spark.createDataFrame(rows, "study string, trial_number int, state string, divergence double, hits int, "
+                                     "total int, started_at string, finished_at string")
+    df = df.withColumn("started_at", df.started_at.cast("timestamp_ntz")).withColumn("finished_at", df.finished_at.cast("timestamp_ntz"))
+    for frame, n in ((pareto_front(df), 7), (dominated(df), 0), (TR.top_trials(df, 3), 3), (TR.eta(df, 10), 7),
+                     (TR.plateau(df, bucket_size=3), 7)):
+        got = {r["study"]: r["count"] for r in frame.groupBy("study").count().collect()}
+        assert got == ({None: n, "a": n} if n else {})
+
+
+def test_vectors_keep_their_tail(spark):
+    from tessera.sources.bindings import vectors
+    df = spark.createDataFrame([(1, 3, [float(i) for i in range(20)]), (2, 7, [1.0] * 8), (3, 7, []), (4, 7, None)],
+                               "vec_id long, label int, embedding array<float>")
+    got = {(r.vec_id, r.layer): len(r.vec) for r in vectors(df).collect()}
+    assert got == {(1, 0): 16, (1, 1): 4, (2, 0): 8}
+
+
+def test_token_chunks_decode_ids(spark):
+    from tessera.functions.udfs import token_chunks
+
+    class Numbers:
+        def encode(self, text):
+            return [int(w[1:]) for w in text.split()]
+
+        def decode(self, ids):
+            return " ".join(f"w{i}" for i in ids)
+
+    long = " ".join(f"w{i}" for i in range(25))
+    df = spark.createDataFrame([(1, long), (2, "w5  w6"), (3, None), (4, "")], "doc_id long, text string")
+    got = {(r.doc_id, r.chunk_no): (r.start_token, r.n_tokens, r.text)
+           for r in token_chunks(df, "text", Numbers, 10, 2, 1, ["doc_id"]).collect()}
+    words = long.split()
+    want = {(1, k): (8 * k, len(words[8 * k:8 * k + 10]), " ".join(words[8 * k:8 * k + 10])) for k in range(3)}
+    assert got == want | {(2, 0): (0, 2, "w5  w6")}
+
+
+def test_match_report_counts(spark):
+    from tessera.operators.evaluate import match_report
+    a = spark.createDataFrame([(1,), (2,), (2,), (3,)], "prompt_id long")
+    b = spark.createDataFrame([(2,), (3,), (3,), (4,)], "prompt_id long")
+    assert match_report(a, b).first().asDict() == {"matched": 2, "left_only": 1, "right_only": 1,
+                                                   "left_repeated": 1, "right_repeated": 1}
