@@ -1,16 +1,19 @@
 """Operator 4: hierarchical Pitman-Yor language model of words and their spelling.
 
-Restaurants: at the top one of words (tokens are words and one end per text),
-whose base distribution spells a word byte by byte; below it one restaurant
-per context of up to ``ORDER`` preceding bytes of the word, each sharing as
-parent the context shortened by its oldest byte, down to the empty context
-and a uniform distribution over bytes.  Customers are seated by the Chinese
+Restaurants: one per preceding word (tokens are words and one end per text; a
+text starts after an end), all with one parent, the restaurant of words
+without context; the base distribution of that one spells a word byte by
+byte, with one restaurant per context of up to ``ORDER`` preceding bytes of
+the word, each sharing as parent the context shortened by its oldest byte,
+down to the empty context and a uniform distribution over bytes.  Customers are seated by the Chinese
 restaurant process with a discount: a customer opens a table with weight
 (strength + discount * tables) * parent probability, and each table sends one
 customer to the parent.  ``SWEEPS`` Gibbs sweeps resample the tables of every
 dish given all others; the predictive probabilities of the last ``SAMPLES``
 are averaged.  In a sweep, restaurants of one level are resampled side by side
-from the same state, which is what lets them run in parallel.
+from the same state, which is what lets them run in parallel.  The word
+contexts start with one table per pair, are swept under the parent that this
+gives, and the parent is seated again by the tables they end with.
 
 Unknown words are one outcome of ``score``, as they are of the smoothed
 unigram ``base_score`` that it stands beside (V + 1 outcomes each): the chance
@@ -21,7 +24,11 @@ Scale: a task turns its texts into chunks (about ``CHUNK_BYTES``) and sends
 each distinct word of a chunk once, packed by hash bucket, so hot words and
 copied texts cost one entry a chunk.  Word servers (one group per bucket) add
 up counts; byte servers (one group per pair of last context bytes) hold whole
-subtrees of contexts; answers go back the same way.  Only the 256 x 256 table
+subtrees of contexts; answers go back the same way.  Pairs of words are counted
+per chunk, all of them, and sent once to the bucket of the preceding word as
+numbers (frequent words have small ones); the pairs of one preceding word lie
+in one group, at most one entry per word that follows it.  The texts of a chunk
+stay in a file of the shared folder, so they are not shuffled.  Only the 256 x 256 table
 of the shortest contexts and a few sums reach the driver; nothing that grows
 with the input is broadcast.
 
@@ -41,12 +48,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import drop_scratch, scratch_path
-from .common import as_bytes, mix64, pack, unpack
+from .common import as_bytes, fresh_name, mix64, open_bytes, pack, unpack, write_bytes
 
 ORDER = 5                        # bytes of context
 CHUNK_BYTES = 32 << 20           # text in a chunk
 CHUNK_WORDS = 400_000            # or distinct words in a chunk
-WORD_STRENGTH = 10.0             # the discount of words comes from their counts
+WORD_STRENGTH = 10.0             # the discounts of words and pairs come from their counts
+PAIR_STRENGTH = 1.0
 BYTE_DISCOUNT, BYTE_STRENGTH = 0.6, 1.0
 SWEEPS, SAMPLES = 6, 3
 SEED = 20
@@ -182,6 +190,72 @@ def shortest_contexts(pairs: np.ndarray, rng) -> np.ndarray:
     return out.reshape(256, 256)
 
 
+# ---- pairs of words ---------------------------------------------------------
+
+_PLACE = np.int64(40)            # a pair is context << 40 | word
+
+
+def _planes(a: np.ndarray) -> bytes:
+    """Integers as compressed byte planes."""
+    return pack(np.ascontiguousarray(a, "<i8").view(np.uint8).reshape(-1, 8).T)
+
+
+def _from_planes(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(unpack(b, np.uint8).reshape(8, -1).T).view("<i8").reshape(-1)
+
+
+def pack_pairs(keys: np.ndarray) -> tuple[bytes, bytes]:
+    """Ascending pairs as (contexts and their sizes, steps of the words)."""
+    context, word = keys >> _PLACE, keys & ((1 << _PLACE) - 1)
+    at = np.flatnonzero(np.diff(context, prepend=-1))
+    step = np.diff(word, prepend=0)
+    step[at] = word[at]
+    return _planes(np.concatenate((np.diff(context[at], prepend=0), np.diff(np.append(at, len(keys)))))), _planes(step)
+
+
+def unpack_pairs(a: bytes, b: bytes) -> np.ndarray:
+    context, size = _from_planes(a).reshape(2, -1)
+    step = _from_planes(b)
+    at = np.cumsum(size) - size
+    word = np.cumsum(step)
+    word -= np.repeat(word[at] - step[at], size)
+    return np.repeat(np.cumsum(context), size) << _PLACE | word
+
+
+def chunk_tokens(d: dict):
+    """Of a row 'd': ids, known and held out per text, the tokens (each text
+    ended by the end token), the text of each, and the token before each."""
+    with open_bytes(d["b"].decode()) as f:
+        flat = unpack(f.read(), np.int32)
+    doc, n, known, held = unpack(d["a"], np.int64).reshape(4, -1)
+    tokens = np.insert(flat, np.cumsum(n), d["n"])
+    return doc, known, held, tokens, np.repeat(np.arange(len(doc)), n + 1), np.concatenate(([d["n"]], tokens[:-1]))
+
+
+def chunk_pairs(tokens, before, q: list[dict], buckets: int):
+    """The distinct pairs of a chunk in the order (bucket, context, word), the
+    bucket of each and the pair of each token.  ``q``: rows by bucket."""
+    place = [unpack(r["a"], np.int32).astype(np.int64) for r in q]
+    bucket = np.repeat(np.array([r["bucket"] for r in q], np.int64), [len(x) for x in place])
+    place = np.concatenate(place)
+    word = place * buckets + bucket
+    by_context, by_word = np.lexsort((place, bucket)), np.argsort(word)
+    c, w = np.empty(len(place), np.int64), np.empty(len(place), np.int64)
+    c[by_context] = w[by_word] = np.arange(len(place))
+    keys, inverse = np.unique(c[before] * len(place) + w[tokens], return_inverse=True)
+    context = by_context[keys // len(place)]
+    return place[context] << _PLACE | word[by_word[keys % len(place)]], bucket[context], inverse
+
+
+def by_bucket(words: np.ndarray, buckets: int):
+    """Distinct ascending words -> (bucket, positions) of each bucket met."""
+    bucket = words % buckets
+    order = np.argsort(bucket, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+        if len(part):
+            yield int(bucket[part[0]]), part
+
+
 # ---- the Spark stages -------------------------------------------------------
 
 def held_out(doc_id) -> bool:
@@ -208,9 +282,9 @@ def _words(blob):
     return zstandard.ZstdDecompressor().decompress(blob).split(b"\n")
 
 
-def _to_chunks(buckets: int, is_held):
-    """Texts of a task -> rows 'd' (the texts of a chunk as word numbers) and
-    'w' (its distinct words in one bucket with their training counts).  The
+def _to_chunks(buckets: int, is_held, folder: str):
+    """Texts of a task -> rows 'd' (the texts of a chunk; b: the file of their
+    word numbers, n: the end token's) and 'w' (its distinct words in one bucket with their training counts).  The
     end token is the empty word."""
     def run(batches):
         import xxhash
@@ -232,7 +306,8 @@ def _to_chunks(buckets: int, is_held):
             train[number[0]] += int((~held).sum())
             known = np.array([d is not None for d in docs], bool)
             doc = np.array([d or 0 for d in docs], np.int64)
-            yield _row("d", -1, chunk, pack(np.stack([doc, n, known, held]).astype("<i8")), pack(flat), None, int(number[0]), len(docs))
+            yield _row("d", -1, chunk, pack(np.stack([doc, n, known, held]).astype("<i8")),
+                       write_bytes(folder, fresh_name("chunk"), [pack(flat)])[0].encode(), None, int(number[0]), len(docs))
             sorted_bucket = bucket[order]
             cuts = np.flatnonzero(np.diff(sorted_bucket)) + 1
             for part in np.split(order, cuts):
@@ -279,12 +354,16 @@ def _merge_words(shards: int):
         place, counts, out = {}, [], []
         for chunk, a, b in rows:
             at = np.array([place.setdefault(w, len(place)) for w in _words(a)], np.int32)
-            counts.append((at, unpack(b, np.int64)))
-            out.append(_row("q", bucket, chunk, pack(at)))
+            counts.append((chunk, at, unpack(b, np.int64)))
         c = np.zeros(len(place), np.int64)
-        for at, n in counts:
+        for _, at, n in counts:
             c[at] += n
+        order = np.argsort(-c, kind="stable")         # frequent words get small numbers
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        out += [_row("q", bucket, chunk, pack(rank[at])) for chunk, at, _ in counts]
         words = list(place)
+        words, c = [words[i] for i in order], c[order]
         out.append(_row("v", bucket, -1, _zip_words(words), pack(c), None, int(c.sum()), int((c > 0).sum())))
         out.append(_row("s", bucket, -1, n=int((c == 1).sum()), m=int((c == 2).sum())))
         keys, step, begin, shard = _requests(words, shards)
@@ -327,10 +406,10 @@ def _byte_server(first: np.ndarray):
     return run
 
 
-def _seat_words(shards: int, first: np.ndarray, types: int, discount: float):
-    """Rows 'v' and 'p' of a bucket -> row 'h': log base probability of each
-    word, its tables in each sample, its count; n: tables per sample, summed;
-    m: base probability of all known words together, in units of 1e-15."""
+def _spell_words(shards: int, first: np.ndarray):
+    """Rows 'v' and 'p' of a bucket -> row 'l': log base probability of each
+    word and its count; m: base probability of all known words together, in
+    units of 1e-15."""
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         bucket = rows[0]["bucket"]
@@ -345,27 +424,151 @@ def _seat_words(shards: int, first: np.ndarray, types: int, discount: float):
                 lo, hi = np.searchsorted(shard, [r["chunk"], r["chunk"] + 1])
                 logp[lo:hi] = unpack(r["a"], np.float32)
         log_h = np.add.reduceat(logp[step], begin)
+        return pa.Table.from_batches([_batch([_row("l", bucket, -1, pack(log_h), None, pack(c), 0, int(1e15 * np.exp(log_h[c > 0]).sum()))])])
+    return run
+
+
+def _pair_chunk(buckets: int):
+    """Rows 'd' and 'q' of a chunk -> rows 'j': per bucket the chunk's pairs
+    whose first word is there, and their training counts."""
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: r["bucket"])
+        d = rows[0]                                   # bucket -1
+        _, _, held, tokens, owner, before = chunk_tokens(d)
+        keys, bucket, inverse = chunk_pairs(tokens, before, rows[1:], buckets)
+        train = np.bincount(inverse, weights=held[owner] == 0, minlength=len(keys)).astype(np.int64)
+        out = []
+        for part in np.split(np.arange(len(keys)), np.flatnonzero(np.diff(bucket)) + 1):
+            out.append(_row("j", int(bucket[part[0]]), d["chunk"], *pack_pairs(keys[part]), _planes(train[part])))
+        return pa.Table.from_batches([_batch(out)])
+    return run
+
+
+def _merge_pairs(buckets: int):
+    """Rows 'j' of a bucket -> 'm' (its training pairs and counts; n, m: pairs
+    met once and twice), 'i' (per chunk its contexts, which of its pairs are
+    training pairs, and which ones) and 'k' (for another bucket: its words met
+    here and the contexts of each)."""
+    def run(table: pa.Table) -> pa.Table:
+        bucket = table.column("bucket")[0].as_py()
+        rows = sorted(zip(*(table.column(x).to_pylist() for x in ("chunk", "a", "b", "c"))))
+        asked = [unpack_pairs(a, b) for _, a, b, _ in rows]
+        train = [_from_planes(c) for *_, c in rows]
+        keys, inverse = np.unique(np.concatenate([k[n > 0] for k, n in zip(asked, train)]), return_inverse=True)
+        c = np.bincount(inverse, weights=np.concatenate([n[n > 0] for n in train]), minlength=len(keys)).astype(np.int64)
+        out = [_row("m", bucket, -1, *pack_pairs(keys), _planes(c), int((c == 1).sum()), int((c == 2).sum()))] if len(keys) else []
+        for (chunk, *_), k in zip(rows, asked):
+            at = np.searchsorted(keys, k)
+            seen = keys[np.minimum(at, len(keys) - 1)] == k if len(keys) else np.zeros(len(k), bool)
+            context = (k >> _PLACE)[np.flatnonzero(np.diff(k >> _PLACE, prepend=-1))]
+            out.append(_row("i", bucket, chunk, _planes(np.diff(context, prepend=0)), pack(np.packbits(seen)),
+                            _planes(np.diff(at[seen], prepend=0)), len(k)))
+        words, contexts = np.unique(keys & ((1 << _PLACE) - 1), return_counts=True)
+        for to, at in by_bucket(words, buckets):
+            out.append(_row("k", to, bucket, _planes(np.diff(words[at] // buckets, prepend=0)), _planes(contexts[at])))
+        return pa.Table.from_batches([_batch(out)])
+    return run
+
+
+def _seat_words(types: int, discount: float, last: bool):
+    """Rows 'l' and 'k' of a bucket -> row 'h': log base probability of each
+    word, its customers (the tables of its contexts) and tables in each sample,
+    its count; n: tables, summed; m: customers."""
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        row = next(r for r in rows if r["kind"] == "l")
+        log_h, c = unpack(row["a"], np.float64), unpack(row["c"], np.int64)
+        customers = np.zeros(len(c), np.int64)
+        for r in rows:
+            if r["kind"] == "k":
+                customers[np.cumsum(_from_planes(r["a"]))] += _from_planes(r["b"])
         weight = (WORD_STRENGTH + discount * types) * np.exp(log_h)
-        rng = np.random.default_rng([SEED, 1 << 20, bucket])
-        tables = np.stack([seat(c, weight, discount, rng) for _ in range(SAMPLES)])
-        out = [_row("h", bucket, -1, pack(log_h), pack(tables.astype(np.int64)), pack(c), int(tables.sum()), int(1e15 * np.exp(log_h[c > 0]).sum()))]
+        rng = np.random.default_rng([SEED, 1 << 20, int(last), row["bucket"]])
+        tables = np.stack([seat(customers, weight, discount, rng) for _ in range(SAMPLES)])
+        return pa.Table.from_batches([_batch([_row("h", row["bucket"], -1, pack(log_h), pack(np.stack([customers, tables.sum(axis=0)])),
+                                                   pack(c), int(tables.sum()), int(customers.sum()))])])
+    return run
+
+
+def _word_odds(h: dict, customers: int, tables: float, discount: float):
+    """Probability of each word of a row 'h' without context, and of a new table."""
+    n, t = unpack(h["b"], np.int64).reshape(2, -1)
+    new = (WORD_STRENGTH + discount * tables) / (WORD_STRENGTH + customers)
+    log_h = unpack(h["a"], np.float64)
+    return np.maximum(n - discount * t / SAMPLES, 0) / (WORD_STRENGTH + customers) + new * np.exp(log_h), new, log_h
+
+
+def _give_odds(customers: int, tables: float, discount: float):
+    """Rows 'h' and 'k' of a bucket -> rows 'g': the probabilities of the words
+    that a bucket of pairs met."""
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        p, _, _ = _word_odds(next(r for r in rows if r["kind"] == "h"), customers, tables, discount)
+        return pa.Table.from_batches([_batch([_row("g", r["chunk"], r["bucket"], pack(p[np.cumsum(_from_planes(r["a"]))].astype(np.float32)))
+                                              for r in rows if r["kind"] == "k"] or [_row("-", -1, -1)])])
+    return run
+
+
+def seat_pairs(context: np.ndarray, c: np.ndarray, parent: np.ndarray, discount: float, rng):
+    """Sweeps over the restaurants of contexts (0, 1, ...): the tables of each
+    pair at the end, the averaged probability of each pair without its parent's
+    share, and the averaged share of the parent in each context."""
+    total = PAIR_STRENGTH + np.bincount(context, weights=c)
+    t, direct, share = (c > 0).astype(np.int64), np.zeros(len(c)), np.zeros(len(total))
+    for sweep in range(SWEEPS):
+        mass = PAIR_STRENGTH + discount * np.bincount(context, weights=t)
+        t = seat(c, mass[context] * parent, discount, rng)
+        if sweep >= SWEEPS - SAMPLES:
+            direct += (c - discount * t) / total[context] / SAMPLES
+            share += (PAIR_STRENGTH + discount * np.bincount(context, weights=t)) / total / SAMPLES
+    return t, direct, share
+
+
+def _seat_pairs(buckets: int, discount: float):
+    """Rows 'm', 'i' and 'g' of a bucket -> rows 'k' as before with the tables
+    of each word here, and 'a': per chunk the probabilities of its pairs
+    without the parent's share, and that share in each of its contexts."""
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        bucket = rows[0]["bucket"]
+        m = next((r for r in rows if r["kind"] == "m"), None)
+        places, direct, share, out = np.zeros(0, np.int64), np.zeros(0), np.zeros(0), []
+        if m:
+            keys, c = unpack_pairs(m["a"], m["b"]), _from_planes(m["c"])
+            words, word = np.unique(keys & ((1 << _PLACE) - 1), return_inverse=True)
+            places, context = np.unique(keys >> _PLACE, return_inverse=True)
+            odds, given = np.zeros(len(words)), {r["chunk"]: r["a"] for r in rows if r["kind"] == "g"}
+            for to, at in by_bucket(words, buckets):
+                odds[at] = unpack(given[to], np.float32)
+            t, direct, share = seat_pairs(context, c, odds[word], discount, np.random.default_rng([SEED, 1 << 21, bucket]))
+            tables = np.bincount(word, weights=t).astype(np.int64)
+            for to, at in by_bucket(words, buckets):
+                out.append(_row("k", to, bucket, _planes(np.diff(words[at] // buckets, prepend=0)), _planes(tables[at])))
+        for r in rows:
+            if r["kind"] == "i":
+                p = np.zeros(r["n"], np.float32)
+                p[np.unpackbits(unpack(r["b"], np.uint8), count=r["n"]).astype(bool)] = direct[np.cumsum(_from_planes(r["c"]))]
+                asked = np.cumsum(_from_planes(r["a"]))
+                at = np.searchsorted(places, asked)
+                known = places[np.minimum(at, len(places) - 1)] == asked if len(places) else np.zeros(len(asked), bool)
+                back = np.ones(len(asked), np.float32)
+                back[known] = share[at[known]]
+                out.append(_row("a", bucket, r["chunk"], pack(p), pack(back)))
         return pa.Table.from_batches([_batch(out)])
     return run
 
 
-def _answer(train_tokens: int, tables: float, discount: float, known: float):
-    """Rows 'h' and 'q' of a bucket -> rows 'r': count, log10 probability and
-    log10 probability with unknown words spelled out, of each word of a chunk."""
+def _answer(customers: int, tables: float, discount: float, known: float):
+    """Rows 'h' and 'q' of a bucket -> rows 'r': count, log10 probability
+    without context and the same with unknown words spelled out, of each word
+    of a chunk."""
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         h = next(r for r in rows if r["kind"] == "h")
-        log_h, c = unpack(h["a"], np.float64), unpack(h["c"], np.int64)
-        t = unpack(h["b"], np.int64).reshape(SAMPLES, -1).mean(axis=0)
-        new = (WORD_STRENGTH + discount * tables) / (WORD_STRENGTH + train_tokens)      # a token opens a table
-        seen = np.maximum(c - discount * t, 0) / (WORD_STRENGTH + train_tokens) + new * np.exp(log_h)
+        c = unpack(h["c"], np.int64)
+        seen, new, log_h = _word_odds(h, customers, tables, discount)
         spelled = np.log10(new) + log_h / np.log(10)
-        open_ = np.where(c > 0, np.log10(np.maximum(seen, 1e-300)), spelled)
-        closed = np.where(c > 0, open_, np.log10(new * max(1 - known, 1e-6)))
+        closed = np.where(c > 0, np.log10(np.maximum(seen, 1e-300)), np.log10(new * max(1 - known, 1e-6)))
         out = []
         for r in rows:
             if r["kind"] == "q":
@@ -376,23 +579,31 @@ def _answer(train_tokens: int, tables: float, discount: float, known: float):
     return run
 
 
-def _score_chunk(train_tokens: int, types: int):
+def _score_chunk(buckets: int, train_tokens: int, types: int):
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "open_score"]
 
     def run(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["bucket"])
-        d = rows[0]                                   # bucket -1
-        doc, n, known, held = unpack(d["a"], np.int64).reshape(4, -1)
-        flat = unpack(d["b"], np.int32)
-        c = np.concatenate([unpack(r["a"], np.int64) for r in rows[1:]])
-        logp = np.concatenate([unpack(r["b"], np.float32) for r in rows[1:]]).astype(np.float64)
+        d, q, r, a = rows[0], *([x for x in rows if x["kind"] == kind] for kind in "qra")
+        doc, known, held, tokens, owner, before = chunk_tokens(d)
+        pairs, bucket, pair = chunk_pairs(tokens, before, q, buckets)
+        context = np.cumsum((np.diff(pairs >> _PLACE, prepend=-1) != 0) | (np.diff(bucket, prepend=-1) != 0)) - 1
+        direct = np.concatenate([unpack(x["a"], np.float32) for x in a]).astype(np.float64)[pair]
+        share = np.concatenate([unpack(x["b"], np.float32) for x in a]).astype(np.float64)[context[pair]]
+        c = np.concatenate([unpack(x["a"], np.int64) for x in r])
+        logp = np.concatenate([unpack(x["b"], np.float32) for x in r]).astype(np.float64)
         open_ = logp.copy()
-        open_[c == 0] = np.concatenate([unpack(r["c"], np.float32) for r in rows[1:]])
+        open_[c == 0] = np.concatenate([unpack(x["c"], np.float32) for x in r])
         base = np.log10((c + 0.5) / (train_tokens + 0.5 * (types + 1)))
-        owner = np.repeat(np.arange(len(doc)), n)
-        add = lambda x: np.bincount(owner, weights=x[flat], minlength=len(doc)) + x[d["n"]]
-        cols = [pa.array(doc, mask=known == 0), pa.array(held.astype(bool)), pa.array(n + 1), pa.array(add((c > 0).astype(float)).astype(np.int64)),
-                pa.array(np.full(len(doc), train_tokens, np.int64)), pa.array(add(base)), pa.array(add(logp)), pa.array(add(open_))]
+
+        def score(log_word):         # logs are added where a pair was never met: spelled words may be below 1e-300
+            x = np.log10(share) + log_word[tokens]
+            met = direct > 0
+            x[met] = np.log10(direct[met] + 10.0 ** x[met])
+            return x
+        add = lambda x: np.bincount(owner, weights=x, minlength=len(doc))
+        cols = [pa.array(doc, mask=known == 0), pa.array(held.astype(bool)), pa.array(np.bincount(owner, minlength=len(doc))), pa.array(add((c > 0)[tokens]).astype(np.int64)),
+                pa.array(np.full(len(doc), train_tokens, np.int64)), pa.array(add(base[tokens])), pa.array(add(score(logp))), pa.array(add(score(open_)))]
         return pa.Table.from_arrays(cols, names)
     return run
 
@@ -409,7 +620,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         df.write.parquet(made[-1])
         return spark.read.parquet(made[-1])
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    chunks = store(rows.mapInArrow(_to_chunks(buckets, is_held), _PARTS), "lm-chunks")
+    folder = scratch_path(spark, "lm-texts")
+    chunks = store(rows.mapInArrow(_to_chunks(buckets, is_held, folder), _PARTS), "lm-chunks")
     vocab = store(chunks.where("kind = 'w'").groupBy("bucket").applyInArrow(_merge_words(buckets), _PARTS), "lm-vocab")
     total = vocab.where("kind = 'v'").agg(F.sum("n"), F.sum("m")).first()
     train_tokens, types = total[0] or 0, total[1] or 0
@@ -428,17 +640,34 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = shortest_contexts(pairs, np.random.default_rng(SEED))
     keys = vocab.where("kind = 'n'")
     spelled = keys.groupBy("chunk").applyInArrow(_byte_server(first), _PARTS)
-    seated = vocab.where("kind = 'v'").unionByName(spelled).groupBy("bucket").applyInArrow(
-        _seat_words(buckets, first, types, discount), _PARTS)
-    seated = store(seated, "lm-words")
-    total = seated.agg(F.sum("n"), F.sum("m")).first()
-    tables, known = (total[0] or 0) / SAMPLES, (total[1] or 0) / 1e15
-    answers = vocab.where("kind = 'q'").unionByName(seated).groupBy("bucket").applyInArrow(_answer(train_tokens, tables, discount, known), _PARTS)
-    scored = chunks.where("kind = 'd'").unionByName(answers).groupBy("chunk").applyInArrow(
-        _score_chunk(train_tokens, types),
+    words = vocab.where("kind = 'v'").unionByName(spelled).groupBy("bucket").applyInArrow(_spell_words(buckets, first), _PARTS)
+    words = store(words, "lm-words")
+    known = (words.agg(F.sum("m")).first()[0] or 0) / 1e15
+    texts, numbers = chunks.where("kind = 'd'"), vocab.where("kind = 'q'")
+    pairs = texts.unionByName(numbers).groupBy("chunk").applyInArrow(_pair_chunk(buckets), _PARTS)
+    pairs = store(pairs.groupBy("bucket").applyInArrow(_merge_pairs(buckets), _PARTS), "lm-pairs")
+    once = pairs.where("kind = 'm'").agg(F.sum("n"), F.sum("m")).first()
+    pair_discount = min(0.95, max(0.05, (once[0] or 0) / max(1, (once[0] or 0) + 2 * (once[1] or 0))))
+
+    def seated(links, last):
+        """Rows 'h' by the tables in ``links``; customers and tables over all."""
+        h = words.unionByName(links).groupBy("bucket").applyInArrow(_seat_words(types, discount, last), _PARTS)
+        h = store(h, "lm-seated")
+        total = h.agg(F.sum("m"), F.sum("n")).first()
+        return h, total[0] or 0, (total[1] or 0) / SAMPLES
+    links = pairs.where("kind = 'k'")
+    h, customers, tables = seated(links, False)
+    odds = h.unionByName(links).groupBy("bucket").applyInArrow(_give_odds(customers, tables, discount), _PARTS).where("kind = 'g'")
+    contexts = pairs.where("kind in ('m', 'i')").unionByName(odds).groupBy("bucket").applyInArrow(_seat_pairs(buckets, pair_discount), _PARTS)
+    contexts = store(contexts, "lm-contexts")
+    h, customers, tables = seated(contexts.where("kind = 'k'"), True)
+    answers = numbers.unionByName(h).groupBy("bucket").applyInArrow(_answer(customers, tables, discount, known), _PARTS)
+    parts = texts.unionByName(numbers).unionByName(contexts.where("kind = 'a'")).unionByName(answers)
+    scored = parts.groupBy("chunk").applyInArrow(
+        _score_chunk(buckets, train_tokens, types),
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, open_score double")
     out = store(scored, "lm-scores")
-    drop_scratch(spark, *made[:-1])
+    drop_scratch(spark, folder, *made[:-1])
     return out
 
 

@@ -236,3 +236,48 @@ def test_leaks(spark, docs, empty):
     assert {(x["doc_id"], x["item_id"]) for x in decontaminate.find_leaks(held, items).collect()} == {(1, 1), (2, 1)}
     assert {x["doc_id"] for x in decontaminate.drop_leaks(held, items).collect()} == {3, 4}
     assert decontaminate.find_leaks(empty, items).count() == 0 and decontaminate.drop_leaks(docs, items).count() == docs.count()
+
+
+def test_language_model_knows_the_word_before(spark):
+    r = random.Random(8)
+    follows = {w: r.sample(WORDS, 2) for w in WORDS}
+
+    def walk(n):
+        out = [r.choice(WORDS)]
+        while len(out) < n:
+            out.append(r.choice(follows[out[-1]]))
+        return out
+    texts = [walk(60) for _ in range(60)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(100 + i, " ".join(r.sample(t, len(t)))) for i, t in enumerate(texts)]
+    rows += [(200, "unheard alpha unheard"), (201, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {x["doc_id"]: x for x in pitman_yor.score_texts(df, is_held=lambda d: d >= 40).collect()}
+    for i in range(40, 60):                    # held out, in order and shuffled
+        assert got[i]["base_score"] == pytest.approx(got[100 + i]["base_score"])
+        assert got[i]["score"] > got[100 + i]["score"] + 10
+    assert got[200]["n_known"] == 2 and got[200]["open_score"] < got[200]["score"] < 0
+
+
+def test_pairs_of_words_against_a_count(spark):
+    r = np.random.default_rng(4)
+    keys = np.unique(r.integers(0, 50, 500) << pitman_yor._PLACE | r.integers(0, 1 << 30, 500))
+    assert (pitman_yor.unpack_pairs(*pitman_yor.pack_pairs(keys)) == keys).all()
+    context, c, parent = np.array([0, 0, 0, 1, 1]), np.array([5, 1, 1, 2, 90]), np.array([.4, .2, .1, .2, .4])
+    _, direct, share = pitman_yor.seat_pairs(context, c, parent, 0.7, r)
+    total = np.bincount(context, weights=direct) + share
+    assert np.allclose(total, 1)               # the parent's probabilities add up to one
+    texts = [(i, prose(i, 300)) for i in range(30)] + [(31, None), (31, "alpha1 alpha1"), (None, "alpha1 alpha1")]
+    made = []
+    real = pitman_yor.drop_scratch
+    pitman_yor.drop_scratch = lambda spark, *paths: made.extend(paths)
+    try:
+        pitman_yor.score_texts(spark.createDataFrame(texts, "doc_id long, text string").repartition(3)).count()
+    finally:
+        pitman_yor.drop_scratch = real
+    want = Counter(p for d, t in texts if not pitman_yor.held_out(d) for w in [[""] + (t or "").split() + [""]] for p in zip(w, w[1:]))
+    path = next(p for p in made if "lm-pairs" in p)
+    got = Counter()
+    for m in spark.read.parquet(path).where("kind = 'm'").collect():
+        got.update(pitman_yor._from_planes(m["c"]).tolist())
+    assert got == Counter(want.values())
+    real(spark, *made)
