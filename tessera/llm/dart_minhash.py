@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from ..session import drop_scratch, scratch_path
 from .common import as_bytes, mix64, word_hashes
@@ -302,9 +303,11 @@ def _cross_pairs(mixed: DataFrame, reps: DataFrame, texts: DataFrame, min_simila
     return pairs.select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct()
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_similarity: float = SIMILARITY) -> DataFrame:
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_similarity: float = SIMILARITY,
+            with_words: bool = False) -> DataFrame:
     """One row per input row: doc_id, class_id (the smallest doc_id of its
-    group) and copy_of (the smallest doc_id whose words are equal)."""
+    group) and copy_of (the smallest doc_id whose words are equal); with
+    ``with_words`` also words_key and group_key, null where the text has no word."""
     spark = docs.sparkSession
     rows = _keyed(docs, id_col, text_col)
     sketch = _store(_sketch(rows), "sketch")
@@ -336,25 +339,42 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     named = reps.select("rep", "doc_id").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.withColumn("root", F.coalesce("root", "rep"))
     first = named.groupBy("root").agg(F.min("doc_id").alias("class_of"))
-    named = named.join(first, "root").select(F.col("rep").alias("words_key"), F.col("doc_id").alias("copy_"), "class_of")
+    named = named.join(first, "root").select(F.col("rep").alias("words_key"), F.col("doc_id").alias("copy_"), "class_of",
+                                              F.col("root").alias("group_key"))
     out = sketch.select("doc_id", "words_key").join(named, "words_key", "left")
     out = _store(out.select("doc_id", F.coalesce("class_of", "doc_id").alias("class_id"),
-                            F.coalesce("copy_", "doc_id").alias("copy_of")), "classes")
+                            F.coalesce("copy_", "doc_id").alias("copy_of"), *["words_key", "group_key"] * with_words), "classes")
     drop_scratch(spark, *_MADE.pop(spark, [])[:-1])
     return out
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, whose id is the class id of their
-    group; of rows repeated with equal id and words one stays.  Rows with a
-    null id stay."""
-    found = classes(docs, id_col, text_col)
-    keep = found.where("doc_id = class_id").groupBy(F.col("doc_id").alias("_keep_id")).agg(F.count(F.lit(1)).alias("_rows"))
-    keep = _store(keep, "keep")
+    group; of rows repeated with equal id and words one stays, and rows of one
+    id with different words are told apart.  Rows with a null id stay."""
+    found = classes(docs, id_col, text_col, with_words=True)
+    is_first = F.col("doc_id") == F.col("class_id")
+    keep = _store(found.groupBy(F.col("doc_id").alias("_keep_id")).agg(F.count(F.lit(1)).alias("_rows"), F.max(is_first).alias("_first"))
+                  .where("_first"), "keep")
     id_ = F.col(id_col).cast("long")
-    stay = docs.join(keep.select("_keep_id"), id_ == F.col("_keep_id"), "left_semi")
-    if keep.where("_rows > 1").limit(1).count():
-        twice = keep.where("_rows > 1").select("_keep_id")
-        once = stay.join(twice, id_ == F.col("_keep_id"), "left_anti")
-        stay = once.unionByName(stay.join(twice, id_ == F.col("_keep_id"), "left_semi").dropDuplicates([id_col]))
+    stay = docs.join(keep.where("_rows = 1").select("_keep_id"), id_ == F.col("_keep_id"), "left_semi")
+    # ids that stand for several rows: one row of each group, found by its words
+    several = keep.where("_rows > 1").select("_keep_id")
+    if several.limit(1).count():
+        rows = docs.join(several, id_ == F.col("_keep_id"), "left_semi")
+        names = [f"_c{i}" for i in range(len(docs.columns))]
+        at = docs.columns.index(text_col)
+
+        def key(batches):
+            for b in batches:
+                words = [_text_key(x.split()) for x in as_bytes(b.column(at).cast(pa.string()))]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(words, pa.binary())], [*names, "_words"])
+        fields = [StructField(n, f.dataType) for n, f in zip(names, docs.schema)] + [StructField("_words", BinaryType())]
+        rows = rows.mapInArrow(key, StructType(fields))
+        i = names[docs.columns.index(id_col)]
+        wanted = found.where(is_first).join(several, F.col("doc_id") == F.col("_keep_id")).groupBy("_keep_id", "group_key").agg(
+            F.coalesce(F.min("words_key"), F.lit(_text_key([]))).alias("_keep_words"))
+        rows = rows.join(wanted, (F.col(i).cast("long") == F.col("_keep_id")) & (F.col("_words") == F.col("_keep_words")), "left_semi")
+        rows = rows.dropDuplicates([i, "_words"]).select(*names).toDF(*docs.columns)
+        stay = stay.unionByName(rows)
     return stay.unionByName(docs.where(F.col(id_col).isNull()))

@@ -281,3 +281,15 @@ def test_pairs_of_words_against_a_count(spark):
         got.update(pitman_yor._from_planes(m["c"]).tolist())
     assert got == Counter(want.values())
     real(spark, *made)
+
+
+def test_keep_first_tells_rows_of_one_id_apart(spark, docs):
+    kept = dart_minhash.keep_first(docs)
+    assert kept.schema == docs.schema
+    assert sorted(r["text"] for r in kept.collect() if r["doc_id"] == 9) == sorted([prose(9, 60), prose(10, 60)])
+    a, b, c = prose(60, 80), prose(61, 80), prose(62, 80)
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, c + " more"), (4, None), (4, ""), (4, b + " " + a), (4, b + " " + a), (None, a)]
+    kept = dart_minhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = Counter((r["doc_id"], r["text"] or "") for r in kept)
+    assert got.pop((3, c), 0) + got.pop((3, c + " more"), 0) == 1            # near copies with one id
+    assert got == Counter([(1, a), (2, b), (4, ""), (4, b + " " + a), (None, a)])
