@@ -98,9 +98,9 @@ class Text:
     @cached_property
     def n_shouted(self):
         """Words of two or more letters, all of them capitals."""
-        if not any(65 <= c <= 90 for c in set(self.raw)):
+        if self.raw.isascii() and self.raw.islower():
             return 0
-        return sum(w[0] < 97 and (s := w.decode()).isupper() and sum(map(str.isalpha, s)) > 1 for w in self.words)
+        return sum(not 97 <= w[0] <= 122 and (s := w.decode()).isupper() and sum(map(str.isalpha, s)) > 1 for w in self.words)
 
     @cached_property
     def n_exclaims(self):

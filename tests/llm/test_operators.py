@@ -293,3 +293,11 @@ def test_keep_first_tells_rows_of_one_id_apart(spark, docs):
     got = Counter((r["doc_id"], r["text"] or "") for r in kept)
     assert got.pop((3, c), 0) + got.pop((3, c + " more"), 0) == 1            # near copies with one id
     assert got == Counter([(1, a), (2, b), (4, ""), (4, b + " " + a), (None, a)])
+
+
+def test_shouting_beyond_ascii():
+    for word in ("ПРИВЕТ", "ÉCOLE", "ÑANDÚ", "ΑΘΗΝΑ", "~HELLO", "LOUD", "«ВНИМАНИЕ»"):
+        assert quality.Text(f"{word} тихо quiet éa A Я 1".encode()).n_shouted == 1, word
+    assert quality.Text("東京 ёлка ünder 12 É".encode()).n_shouted == 0
+    loud = quality.Text(" ".join(f"ГРОМКО{'АБВГДЕЖЗИКЛМ'[i]}" for i in range(12)).encode())
+    assert quality.RULES["shouting"][1](loud)
