@@ -10,8 +10,11 @@ decides each.
 The items are sent to the tasks in blocks of about ``BLOCK_BYTES``; a larger
 item table means more passes over the documents, not a larger broadcast.
 
-Defined cases: null or empty texts match nothing; items whose normal form has
-under ``MIN_BYTES`` bytes are not looked for (too short to be a leak); repeated
+Items whose normal form has under ``MIN_BYTES`` bytes must occur unchanged and
+as whole words; they count like the others.
+
+Defined cases: null or empty texts match nothing, nor do items without a
+letter, digit or byte beyond ASCII (their normal form is empty); repeated
 rows are reported once each; a null id is reported as null.  Only the columns
 named are read (``drop_leaks`` passes the others through untouched).
 """
@@ -36,7 +39,11 @@ def normal_form(text: str) -> str:
 
 
 def budget(n: int) -> int:
-    return n // BYTES_PER_ERROR
+    return n // BYTES_PER_ERROR if n >= MIN_BYTES else 0
+
+
+def whole_words(form: str, start: int, end: int) -> bool:
+    return (start == 0 or form[start - 1] == " ") and (end == len(form) or form[end] == " ")
 
 
 def pieces(item: str, errors: int) -> list[tuple[int, str]]:
@@ -86,7 +93,7 @@ class Matcher:
         where: dict[str, list] = {}
         for item_id, text in items:
             form = normal_form(text or "")
-            if len(form) < MIN_BYTES:
+            if not form:
                 continue
             e = budget(len(form))
             self.items.append((item_id, form, e, pattern_masks(form)))
@@ -113,7 +120,8 @@ class Matcher:
         for item, starts in places.items():
             item_id, pattern, e, masks = self.items[item]
             m, best = len(pattern), None
-            exact = next((s for s in starts if s >= 0 and form.startswith(pattern, s)), None)
+            exact = next((s for s in starts if s >= 0 and form.startswith(pattern, s)
+                          and (m >= MIN_BYTES or whole_words(form, s, s + m))), None)
             if exact is not None:
                 best = (0, exact, exact + m)
             elif e:

@@ -301,3 +301,12 @@ def test_shouting_beyond_ascii():
     assert quality.Text("東京 ёлка ünder 12 É".encode()).n_shouted == 0
     loud = quality.Text(" ".join(f"ГРОМКО{'АБВГДЕЖЗИКЛМ'[i]}" for i in range(12)).encode())
     assert quality.RULES["shouting"][1](loud)
+
+
+def test_short_items_are_leaks_too(spark):
+    items = spark.createDataFrame([(1, "Who is Ada?"), (2, "?!"), (3, "tiny"), (4, "été")], "item_id long, text string")
+    held = spark.createDataFrame([(1, "so: who is ADA, then"), (2, "who is adam"), (3, "destiny ?! tinyx"), (4, "a tiny-ish one; tiny"), (5, "Été")],
+                                 "doc_id long, text string")
+    got = sorted(tuple(x) for x in decontaminate.find_leaks(held, items).collect())
+    assert got == [(1, 1, 0, 3, 13), (4, 3, 0, 2, 6), (5, 4, 0, 0, 5)]
+    assert {x["doc_id"] for x in decontaminate.drop_leaks(held, items).collect()} == {2, 3}
