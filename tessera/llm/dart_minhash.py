@@ -267,7 +267,8 @@ def _mixed(members: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def _cells(texts: DataFrame) -> DataFrame:
-    """(rep, n, cells): a 32-bit hash of every unit cell of the text's bag."""
+    """(rep, n, cells, repeats): a 32-bit hash of every unit cell of the text's
+    bag, and how many of them equal another one before."""
     def run(batches):
         hasher = WordHasher()
         for b in batches:
@@ -278,24 +279,26 @@ def _cells(texts: DataFrame) -> DataFrame:
                 number = at - np.maximum.accumulate(np.where(np.concatenate(([True], bag[1:] != bag[:-1])), at, 0))
                 cells.append(mix64(bag ^ mix64(number.astype(np.uint64) + _ODD)).astype(np.uint32).view(np.int32))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(len, bags)), pa.int32()),
-                                              pa.array(cells, pa.list_(pa.int32()))], ["rep", "n", "cells"])
-    return texts.select("rep", "text").mapInArrow(run, "rep binary, n int, cells array<int>")
+                                              pa.array(cells, pa.list_(pa.int32())),
+                                              pa.array([len(c) - len(np.unique(c)) for c in cells], pa.int32())], ["rep", "n", "cells", "repeats"])
+    return texts.select("rep", "text").mapInArrow(run, "rep binary, n int, cells array<int>, repeats int")
 
 
 def _cross_pairs(mixed: DataFrame, reps: DataFrame, texts: DataFrame, min_similarity: float) -> DataFrame:
     """Pairs of a minor member and a member of another component that share a
     bucket and, by their hashed cells, are similar enough.  The test is part of
     the join, so only links leave it; a pair is tested in its first common
-    band; one cell of slack covers hash collisions inside a text.  The minor
-    members of a large bucket are spread over several tasks."""
+    band; the hashes repeated inside a text are added, as the intersection drops
+    them, so no similar pair is refused.  The minor members of a large bucket
+    are spread over several tasks."""
     cells = _cells(texts.join(mixed.select("rep").distinct(), "rep", "left_semi"))
     per = mixed.groupBy("band", "key").agg((F.floor(F.count(F.lit(1)) / SPLIT) + 1).cast("int").alias("splits"))
     at = mixed.join(per, ["band", "key"]).join(reps.select("rep", "keys"), "rep").join(cells, "rep")
-    side = lambda s: [F.col(c).alias(c + s) for c in ("rep", "root", "keys", "n", "cells")]
+    side = lambda s: [F.col(c).alias(c + s) for c in ("rep", "root", "keys", "n", "cells", "repeats")]
     x = at.where("minor").select("band", "key", F.pmod(F.xxhash64("rep"), "splits").cast("int").alias("split"), *side("_x"))
     y = at.select("band", "key", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)).alias("split"), *side("_y"))
     first = F.array_position(F.zip_with("keys_x", "keys_y", lambda p, q: p == q), True) == F.col("band") + 1
-    both = F.size(F.array_intersect("cells_x", "cells_y")) + 1
+    both = F.size(F.array_intersect("cells_x", "cells_y")) + F.least("repeats_x", "repeats_y")
     alike = both >= min_similarity * (F.col("n_x") + F.col("n_y") - both)
     near = F.least("n_x", "n_y") >= min_similarity * F.greatest("n_x", "n_y")
     test = F.when(F.col("root_x") == F.col("root_y"), False).when(~near, False).when(~first, False).otherwise(alike)

@@ -310,3 +310,13 @@ def test_short_items_are_leaks_too(spark):
     got = sorted(tuple(x) for x in decontaminate.find_leaks(held, items).collect())
     assert got == [(1, 1, 0, 3, 13), (4, 3, 0, 2, 6), (5, 4, 0, 0, 5)]
     assert {x["doc_id"] for x in decontaminate.drop_leaks(held, items).collect()} == {2, 3}
+
+
+def test_long_near_copies_pass_the_cell_test(spark):
+    words = [f"w{i}" for i in range(300_000)]
+    texts = spark.createDataFrame([(b"a", " ".join(words)), (b"b", " ".join(words[:270_000]))], "rep binary, text string")
+    mixed = spark.createDataFrame([(0, 5, b"a", b"a", True), (0, 5, b"b", b"b", False)], "band int, key long, rep binary, root binary, minor boolean")
+    reps = spark.createDataFrame([(b"a", [5]), (b"b", [5])], "rep binary, keys array<long>")
+    true = (270_000 - 4) / (300_000 - 4)
+    for least, n in ((true - 1e-9, 1), (true + 1e-3, 0)):
+        assert dart_minhash._cross_pairs(mixed, reps, texts, least).count() == n
