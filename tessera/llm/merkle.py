@@ -8,9 +8,9 @@ the slots gives the parent's hash; the slots without a child's own one are its
 siblings.
 
 Work goes in rounds.  A round cuts the consecutive nodes of a group into blocks
-of ``fanout ** levels`` (at most ``BLOCK``), shuffles once by (group, block) and
-aggregates level by level inside that partitioning, so no further shuffle is
-needed; the rows of a block carry their siblings along.  A block's hash is a
+of ``fanout ** levels`` (at most ``BLOCK``), shuffles and sorts once by (group,
+block, place) and aggregates level by level in that order, so no further shuffle
+or sort is needed; the rows of a block carry their siblings along.  A block's hash is a
 node of the next round.  So the nodes of ``n`` leaves need
 log(n) / log(BLOCK) shuffles, a hot group is spread over its blocks, and on the
 way back every join is on (group, block), unique on both sides.
@@ -80,16 +80,21 @@ def _round(nodes: DataFrame, fanout: int) -> DataFrame:
     the nodes of the block, each with the siblings on its way to ``hash``."""
     levels = _levels(fanout)
     none = F.array().cast(f"array<{_STEP}>")
-    rows = nodes.select("grp", F.expr(f"idx div {fanout ** levels}").alias("block"), "idx", "hash",
-                        F.array(F.struct("idx", none.alias("path"))).alias("members"))
-    rows = rows.repartition("grp", "block")
-    for _ in range(levels):
-        slot = F.col("idx") % fanout
-        rows = rows.groupBy("grp", "block", F.expr(f"idx div {fanout}").alias("idx")).agg(
-            *[F.max(F.when(slot == k, F.col("hash"))).alias(f"s{k}") for k in range(fanout)],
-            *[F.first(F.when(slot == k, F.col("members")), ignorenulls=True).alias(f"m{k}") for k in range(fanout)])
+    # the place of a node in its block, digit by digit: one sort by all of them serves every level
+    digits = [f"d{k}" for k in reversed(range(levels))]
+    rows = nodes.select("grp", F.expr(f"idx div {fanout ** levels}").alias("block"), "hash",
+                        F.array(F.struct("idx", none.alias("path"))).alias("members"),
+                        *[F.expr(f"idx div {fanout ** k} % {fanout}").alias(f"d{k}") for k in reversed(range(levels))])
+    rows = rows.repartition("grp", "block").sortWithinPartitions("grp", "block", *digits)
+    while digits:
+        *parent, slot = digits
+        rows = rows.groupBy("grp", "block", *parent).agg(
+            *[F.max(F.when(F.col(slot) == k, F.col("hash"))).alias(f"s{k}") for k in range(fanout)],
+            *[F.first(F.when(F.col(slot) == k, F.col("members")), ignorenulls=True).alias(f"m{k}") for k in range(fanout)])
         # the first node of a group's first block has no sibling only if it is the last one left of the group
-        alone = (F.col("block") == 0) & (F.col("idx") == 0)
+        alone = F.col("block") == 0
+        for c in parent:
+            alone = alone & (F.col(c) == 0)
         for k in range(1, fanout):
             alone = alone & F.col(f"s{k}").isNull()
         s = [F.coalesce(f"s{k}", F.lit("")) for k in range(fanout)]
@@ -98,8 +103,9 @@ def _round(nodes: DataFrame, fanout: int) -> DataFrame:
             step = F.struct(F.concat(F.lit(""), *s[:k]).alias("l"), F.concat(F.lit(""), *s[k + 1:]).alias("r"))
             up = F.transform(f"m{k}", lambda m: F.struct(m["idx"].alias("idx"), F.concat(m["path"], F.array(step)).alias("path")))
             return F.coalesce(F.when(alone, F.col(f"m{k}")).otherwise(up), F.array().cast(f"array<struct<idx:bigint,path:array<{_STEP}>>>"))
-        rows = rows.select("grp", "block", "idx", F.when(alone, F.col("s0")).otherwise(digest(*s)).alias("hash"),
+        rows = rows.select("grp", "block", *parent, F.when(alone, F.col("s0")).otherwise(digest(*s)).alias("hash"),
                            F.concat(*[climbed(k) for k in range(fanout)]).alias("members"))
+        digits = parent
     return rows.select("grp", "block", "hash", "members")
 
 
@@ -145,7 +151,8 @@ def manifest(df: DataFrame, id_col: str = "doc_id", group_col: str = "lang", fie
     leaves = _written(with_group_index(keyed, ["grp"], ["id", "leaf", "other"], "idx"), "merkle-leaves", made)
     rounds, subroots = trees(leaves.select("grp", "idx", F.col("leaf").alias("hash")), made, fanout)
     subroots = _written(with_global_index(subroots.withColumnRenamed("root", "subroot"), ["grp", "subroot"], "pos"), "merkle-subroots", made)
-    over, root = trees(subroots.select(F.lit("").alias("grp"), F.col("pos").alias("idx"), F.col("subroot").alias("hash")), made, fanout)
+    one = F.substr("grp", F.lit(1), F.lit(0))            # one group; a literal would be no key to partition by
+    over, root = trees(subroots.select(one.alias("grp"), F.col("pos").alias("idx"), F.col("subroot").alias("hash")), made, fanout)
     top = descend(over, root.withColumn("path", F.array().cast(f"array<{_STEP}>")))
     top = top.select(F.col("idx").alias("pos"), "path", "root").join(subroots, "pos").drop("pos")
     paths = descend(rounds, top)
