@@ -57,10 +57,11 @@ def sequenced(trials: DataFrame, study=KEY, bucket_size: int = BUCKET) -> DataFr
 
 
 def _with_best(trials: DataFrame, study, bucket_size: int) -> DataFrame:
-    """Completed trials with ``seq`` and ``_best`` (s, t, d, h), in one pass."""
+    """Completed trials with ``seq`` and ``_best`` (s, t, d, h), in one pass; a
+    trial without a score counts but is never best."""
     s = scored(trials)
     done = F.col("state") == "COMPLETE"
-    best = F.when(done, F.struct(F.col("score").alias("s"), F.col("trial_number").alias("t"),
+    best = F.when(done & F.col("score").isNotNull(), F.struct(F.col("score").alias("s"), F.col("trial_number").alias("t"),
                                  F.col("divergence").alias("d"), F.col("hits").alias("h")))
     r = ix.cumulative(s, study, "trial_number",
                       [("seq", "sum", done.cast("long")), ("_best", "min", best)], bucket_size)
@@ -154,8 +155,8 @@ def plateau(trials: DataFrame, stable_n: int = PLATEAU_STABLE, no_best_n: int =
 
 def top_trials(trials: DataFrame, k: int = TOP_K, study=KEY, min_trials: int = TOP_K) -> DataFrame:
     """Top ``k`` completed trials per study by composite score, earlier first
-    on ties, shown only with >= ``min_trials`` trials; first is starred
-    (top_trials).  ``row_number() <= k`` plans as a partial per-partition
+    on ties, shown only with >= ``min_trials`` trials; first is starred; a trial
+    without a score is not ranked (top_trials).  ``row_number() <= k`` plans as a partial per-partition
     group limit before the shuffle, so a hot study sends only k rows per
     partition.  The eligibility semi join runs after the limit, on at most
     k rows per study, so it cannot impose a study-only layout first."""
@@ -163,7 +164,7 @@ def top_trials(trials: DataFrame, k: int = TOP_K, study=KEY, min_trials: int = T
     eligible = (s.groupBy(*study).agg(F.count(F.lit(1)).alias("_n"))
                 .where(F.col("_n") >= min_trials).select(*study))
     w = Window.partitionBy(*study).orderBy("score", "trial_number")
-    r = s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    r = s.where("score is not null").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     r = ix.join_null_safe(r, eligible, study, "left_semi")
     return r.select(*study, "rank", "trial_number", "divergence", "hits", "score",
                     (F.col("rank") == 1).alias("starred"))

@@ -127,6 +127,29 @@ def q_join_dominates(spark, sf):
     return d.select("study", L("trial_number").alias("trial_number"))
 
 
+def _three_objectives(spark, sf):
+    """Completed trials with a third objective, the start, as microseconds."""
+    return TR.completed(_trial_rows(spark, sf)).withColumn("started_us", _micros("started_at"))
+
+
+THREE = ("divergence", "hits", "started_us"), ("min", "max", "min")
+
+
+def q_top_pareto_k(spark, sf):
+    f = pareto_front(_three_objectives(spark, sf), *THREE)
+    return f.select("study", "event_id", "divergence", L("hits").alias("hits"), "started_us")
+
+
+def q_join_dominates_k(spark, sf):
+    return dominated(_three_objectives(spark, sf), *THREE).select("study", "event_id")
+
+
+def q_top_pareto_all(spark, sf):
+    """The front over all studies: one group holds every row."""
+    f = pareto_front(_three_objectives(spark, sf), *THREE, by=())
+    return f.select("study", "event_id", "divergence", L("hits").alias("hits"), "started_us")
+
+
 def q_agg_run_summary(spark, sf):
     s = TR.run_summary(_trial_rows(spark, sf))
     return s.select("study", L("n_trials").alias("n_trials"), r6("total_s").alias("total_s"),
@@ -158,7 +181,7 @@ def q_snk_report(spark, sf):
     t = _trials(spark, sf)
     # the first trial of a study stands for the model before any change
     base = t.where("trial_number = 1").select("study", F.col("hits").alias("base_hits"))
-    s = TR.scored(TR.completed(t))
+    s = TR.scored(TR.completed(t)).where("score is not null")
     best = (s.groupBy("study").agg(F.min_by(F.struct(*[c for c in s.columns if c != "study"]),
                                             F.struct("score", "trial_number")).alias("_b"))
             .select("study", "_b.*"))
@@ -208,8 +231,8 @@ def q_str_resume(spark, sf):
     t = _trials(spark, sf)
     src = scratch_path(spark, "resume_files")
     cut = t.agg(F.percentile_approx(F.col("finished_at").cast("timestamp"), 0.5).alias("c")).first()["c"]
-    first = t.where(F.col("finished_at").cast("timestamp") <= F.lit(cut))
-    second = t.where(F.col("finished_at").cast("timestamp") > F.lit(cut))
+    early = F.coalesce(F.col("finished_at").cast("timestamp") <= F.lit(cut), F.lit(True))
+    first, second = t.where(early), t.where(~early)
     resent = first  # the restarted producer re-sends everything it had sent
     out, ck = scratch_path(spark, "resume_out"), scratch_path(spark, "resume_ckpt")
     first.write.parquet(f"{src}/part=1")
@@ -264,6 +287,9 @@ QUERIES = {
     "top_trials": q_top_trials,
     "top_pareto": q_top_pareto,
     "join_dominates": q_join_dominates,
+    "top_pareto_k": q_top_pareto_k,
+    "top_pareto_all": q_top_pareto_all,
+    "join_dominates_k": q_join_dominates_k,
     "agg_run_summary": q_agg_run_summary,
     "agg_study_catalog": q_agg_study_catalog,
     "agg_resume_plan": q_agg_resume_plan,
@@ -320,6 +346,10 @@ _TREND_LAST = f"""WITH {TREND_CTE},
            round(t.improvement, 6) AS improvement, t.trend, {SYMBOL_SQL} AS symbol
     FROM agg a JOIN trend t ON t.study = a.study AND t.seq = a.mseq"""
 
+_THREE_CTE = "c AS (SELECT *, epoch_us(started_at) AS started_us FROM trials WHERE state = 'COMPLETE')"
+_DOMINATES = """q.divergence <= p.divergence AND q.hits >= p.hits AND q.started_us <= p.started_us
+          AND (q.divergence < p.divergence OR q.hits > p.hits OR q.started_us < p.started_us)"""
+
 ORACLES = {
     "flt_completed": f"WITH {TRIALS_CTE} SELECT event_id, divergence, CAST(hits AS BIGINT) AS hits FROM trials WHERE state = 'COMPLETE'",
     "num_composite": f"WITH {SCORED_CTE} SELECT event_id, round(rate_pct, 6) AS rate_pct, round(score, 6) AS score FROM scored",
@@ -378,6 +408,17 @@ ORACLES = {
         SELECT p.study, p.trial_number FROM c p
         WHERE EXISTS (SELECT 1 FROM c q WHERE q.study = p.study AND q.divergence <= p.divergence
                       AND q.hits <= p.hits AND (q.divergence < p.divergence OR q.hits < p.hits))""",
+    "top_pareto_k": f"""WITH {TRIALS_CTE}, {_THREE_CTE}
+        SELECT p.study, p.event_id, p.divergence, CAST(p.hits AS BIGINT) AS hits, p.started_us FROM c p
+        WHERE p.divergence IS NOT NULL AND p.hits IS NOT NULL AND p.started_us IS NOT NULL
+          AND NOT EXISTS (SELECT 1 FROM c q WHERE q.study = p.study AND {_DOMINATES})""",
+    "top_pareto_all": f"""WITH {TRIALS_CTE}, {_THREE_CTE}
+        SELECT p.study, p.event_id, p.divergence, CAST(p.hits AS BIGINT) AS hits, p.started_us FROM c p
+        WHERE p.divergence IS NOT NULL AND p.hits IS NOT NULL AND p.started_us IS NOT NULL
+          AND NOT EXISTS (SELECT 1 FROM c q WHERE {_DOMINATES})""",
+    "join_dominates_k": f"""WITH {TRIALS_CTE}, {_THREE_CTE}
+        SELECT p.study, p.event_id FROM c p
+        WHERE EXISTS (SELECT 1 FROM c q WHERE q.study = p.study AND {_DOMINATES})""",
     "agg_run_summary": f"""WITH {TRIALS_CTE}, a AS (
           SELECT study, count(*) AS n, (epoch_us(max(finished_at)) - epoch_us(min(started_at))) / 1e6 AS tot
           FROM trials WHERE state = 'COMPLETE' GROUP BY study)

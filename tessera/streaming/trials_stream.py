@@ -23,10 +23,10 @@ def once(trials_stream: DataFrame) -> DataFrame:
 def stream_best(trials_stream: DataFrame) -> DataFrame:
     """Per study: completed count and best completed trial so far by
     composite score, earliest on ties (str_running_best).  Update mode.
-    A trial sent again is dropped."""
+    A trial sent again is dropped; one without a score counts but is never best."""
     s = scored(once(trials_stream))
     done = F.col("state") == "COMPLETE"
-    key = F.when(done, F.struct("score", "trial_number"))
+    key = F.when(done & F.col("score").isNotNull(), F.struct("score", "trial_number"))
     val = F.struct(F.col("trial_number").alias("best_trial"), F.col("divergence").alias("best_divergence"),
                    F.col("hits").alias("best_hits"), F.col("score").alias("best_score"))
     return (s.groupBy("study").agg(F.count_if(done).alias("completed"),
