@@ -2,19 +2,25 @@
 
 The vocabulary's pattern starts a new piece at every single space between two
 characters that are not white space.  So a text falls apart at its single
-spaces into chunks that can be coded on their own, and a chunk needs the
-library once per worker.  A text in which a space meets other white space, or
-that holds a special token, goes to the library whole.
+spaces into chunks that can be coded on their own, and a chunk is coded once
+per worker, and of a new chunk only its new pieces.  A text in which a space
+meets other white space, or that holds a special token, goes to the library
+whole; so does a chunk with characters outside Latin script and punctuation.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 
 import numpy as np
 
-from .tokenize import _Memory
+from .tokenize import _ALPHABET, _OTHER, _Memory
+
+#: The pattern of the vocabulary's pre-tokenizer (a fixed value of its format).
+_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 
 #: A space beside white space, or at the end after white space.
 _RUN = re.compile(r"\s (?:\s|\Z)")
@@ -26,14 +32,14 @@ _WORKERS: dict = {}
 class ChunkCacheTokenizer:
     """Ids as little-endian bytes per text (``dtype``); equal to the library's ids."""
 
-    def __init__(self, path: str, max_chunks: int = 600_000):
+    def __init__(self, path: str, max_chunks: int = 600_000, max_pieces: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
-        self.known = _Memory(max_chunks)
+        self.known, self.pieces = _Memory(max_chunks), _Memory(max_pieces)     # bounds of memory
 
     @classmethod
     def of_worker(cls, path: str) -> "ChunkCacheTokenizer":
@@ -44,6 +50,29 @@ class ChunkCacheTokenizer:
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, chunks: list[str]) -> list[bytes]:
+        """Ids of new chunks; those that begin with a space have none in the text, the others have one."""
+        cut: list = []
+        for c in chunks:
+            text = c[1:] if c[:1] == " " else " " + c
+            if c.isascii() and c.isalpha():          # a word
+                cut.append((text,))
+            else:
+                cut.append(None if _OTHER.search(text) else _PIECE.findall(text))
+        new = self.pieces.missing({p for ps in cut if ps is not None for p in ps})
+        code, young = self.tokenizer.model.tokenize, self.pieces.young
+        kind = "H" if self.dtype == "<u2" else "I"
+        for p in new:
+            letters = p.replace(" ", "\u0120") if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(_ALPHABET)
+            ids = array(kind, [t.id for t in code(letters)])
+            if sys.byteorder == "big":
+                ids.byteswap()
+            young[p] = ids.tobytes()
+        whole = iter(self._library([c[1:] if c[:1] == " " else " " + c for c, ps in zip(chunks, cut) if ps is None]))
+        out = [next(whole) if ps is None else young[ps[0]] if len(ps) == 1 else b"".join(map(young.__getitem__, ps)) for ps in cut]
+        self.pieces.turn()
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list = [None] * len(texts)
         whole = []
@@ -58,8 +87,7 @@ class ChunkCacheTokenizer:
                 held.append((i, chunks))
             once: dict = {}
             if new := self.known.missing(set().union(*(c for _, c in held))):
-                ids = self._library([c[1:] if c[:1] == " " else " " + c for c in new])
-                for c, x in zip(new, ids):
+                for c, x in zip(new, self._learn(new)):
                     (once if len(c) > LONGEST else self.known.young)[c] = x
             young = self.known.young
             for i, chunks in held:
