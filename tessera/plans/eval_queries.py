@@ -19,7 +19,7 @@ from tessera.plans.common import (ANSWERS_CTE, LOGPROBS_CTE, PROMPTS_CTE, QUERY_
 from tessera.session import scratch_path
 from tessera.sources import bindings as B
 from tessera.streaming.responses_stream import stream_hit_rate
-from tessera.streaming.sinks import read_latest, run_updates
+from tessera.streaming.sinks import read_latest, run_updates, stream_session
 
 # A first token is "confident" when its probability exceeds this bound; the
 # per-model count of confident prompts plays the role of hits for the
@@ -163,10 +163,9 @@ def q_str_hit_rate(spark, sf):
     src = scratch_path(spark, "responses_files")
     r = _responses(spark, sf)
     r.write.parquet(src)
-    stream = spark.readStream.schema(r.schema).parquet(src)
+    stream = stream_session(spark).readStream.schema(r.schema).parquet(src)
     out, ck = scratch_path(spark, "str_hit_rate_out"), scratch_path(spark, "str_hit_rate_ckpt")
-    run_updates(stream_hit_rate(stream, QUERY_MARKERS), out, ck,
-                state_partitions=spark.sparkContext.defaultParallelism)
+    run_updates(stream_hit_rate(stream, QUERY_MARKERS), out, ck)
     h = read_latest(spark, out, ["model_id"])
     return h.select("model_id", L("hits").alias("hits"), L("total").alias("total"), r6("rate_pct").alias("rate_pct"))
 

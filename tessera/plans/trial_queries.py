@@ -12,10 +12,11 @@ from tessera.operators.skyline import dominated, pareto_front
 from tessera.operators.training import best_batch, keep_checkpoints, perplexity, usable_sweep
 from tessera.plans.common import (BENCH_CTE, SCORED_CTE, STEPS_CTE, SYMBOL_SQL, TREND_CTE,
                                   TRIALS_CTE, L, T, r6)
-from tessera.session import scratch_path
+from tessera.session import materialize, scratch_path
 from tessera.sources import bindings as B
 from tessera.sources.sinks import append_trials, eval_report, read_trials
-from tessera.streaming.sinks import read_latest, run_append, run_updates
+from tessera.streaming.event_time import late_trials, on_time, windowed_trials
+from tessera.streaming.sinks import read_latest, run_append, run_updates, stream_session
 from tessera.streaming.trials_stream import resume_stream, stream_best, stream_trend
 
 N_TRIALS = 60
@@ -188,11 +189,6 @@ def q_snk_report(spark, sf):
     return eval_report(best, base_hits=base, kl_digits=4)
 
 
-def _state_parts(spark):
-    """State-store partitions sized to the cluster's parallelism."""
-    return spark.sparkContext.defaultParallelism
-
-
 def _stage_trials(spark, sf):
     """The trial log as files, and all of it again as a producer that
     restarted would send it: a stream must count each trial once."""
@@ -205,10 +201,10 @@ def _stage_trials(spark, sf):
 
 def q_str_running_best(spark, sf):
     src, schema = _stage_trials(spark, sf)
-    stream = spark.readStream.schema(schema).option(
+    stream = stream_session(spark).readStream.schema(schema).option(
         "maxFilesPerTrigger", spark.sparkContext.defaultParallelism).parquet(src)
     out, ck = scratch_path(spark, "str_best_out"), scratch_path(spark, "str_best_ckpt")
-    run_updates(stream_best(stream), out, ck, state_partitions=_state_parts(spark))
+    run_updates(stream_best(stream), out, ck)
     b = read_latest(spark, out, ["study"])
     return b.select("study", L("completed").alias("completed"), L("best_trial").alias("best_trial"),
                     "best_divergence", L("best_hits").alias("best_hits"), r6("best_score").alias("best_score"))
@@ -216,10 +212,10 @@ def q_str_running_best(spark, sf):
 
 def q_str_trend(spark, sf):
     src, schema = _stage_trials(spark, sf)
-    stream = spark.readStream.schema(schema).option(
+    stream = stream_session(spark).readStream.schema(schema).option(
         "maxFilesPerTrigger", spark.sparkContext.defaultParallelism).parquet(src)
     out, ck = scratch_path(spark, "str_trend_out"), scratch_path(spark, "str_trend_ckpt")
-    run_updates(stream_trend(stream), out, ck, state_partitions=_state_parts(spark))
+    run_updates(stream_trend(stream), out, ck)
     t = read_latest(spark, out, ["study"])
     return t.select("study", L("completed").alias("completed"), L("last_trial").alias("last_trial"),
                     r6("improvement").alias("improvement"), "trend", "symbol")
@@ -235,16 +231,53 @@ def q_str_resume(spark, sf):
     first, second = t.where(early), t.where(~early)
     resent = first  # the restarted producer re-sends everything it had sent
     out, ck = scratch_path(spark, "resume_out"), scratch_path(spark, "resume_ckpt")
+    live = stream_session(spark)
     first.write.parquet(f"{src}/part=1")
-    run_append(resume_stream(spark.readStream.schema(t.schema).parquet(src)), out, ck,
-               state_partitions=_state_parts(spark))
+    run_append(resume_stream(live.readStream.schema(t.schema).parquet(src)), out, ck)
     second.unionByName(resent).write.parquet(f"{src}/part=2")
-    run_append(resume_stream(spark.readStream.schema(t.schema).parquet(src)), out, ck,
-               state_partitions=_state_parts(spark))
+    run_append(resume_stream(live.readStream.schema(t.schema).parquet(src)), out, ck)
     r = spark.read.parquet(out)
     return r.select("study", L("trial_number").alias("trial_number"), "divergence", L("hits").alias("hits"))
 
 
+DELAY, WINDOW = "2 days", "1 day"
+
+
+def _late_log(spark, sf):
+    """The batch log and its files as they arrive: first nine trials of ten,
+    then, sent late, the tenth ones and again every seventh of the first."""
+    src = scratch_path(spark, "late_files")
+    t = _trials(spark, sf)
+    late = F.coalesce(F.pmod("trial_number", F.lit(10)) == 0, F.lit(False))
+    log = materialize(t, "batch_log")
+    log.where(~late).write.parquet(f"{src}/part=1")
+    yield src, log
+    log.where(late).unionByName(log.where(~late & (F.pmod("trial_number", F.lit(7)) == 0))).write.parquet(f"{src}/part=2")
+    yield src, log
+
+
+def q_str_windows(spark, sf):
+    """Tumbling windows over trials by their end: two arrivals of one stream,
+    stopped and started in between, the second of which is partly late."""
+    out, ck = scratch_path(spark, "windows_out"), scratch_path(spark, "windows_ckpt")
+    live = stream_session(spark)
+    for src, log in _late_log(spark, sf):
+        run_updates(windowed_trials(live.readStream.schema(log.schema).parquet(src), WINDOW, DELAY), out, ck)
+    w = read_latest(spark, out, ["study", "window"])
+    return w.select("study", _micros("window.start").alias("window_start_us"), L("trials").alias("trials"),
+                    L("completed").alias("completed"), r6("mean_score").alias("mean_score"), r6("best_score").alias("best_score"))
+
+
+def q_str_late(spark, sf):
+    """Late new trials: in the batch log, but not let through by event time."""
+    out, ck = scratch_path(spark, "on_time_out"), scratch_path(spark, "on_time_ckpt")
+    live = stream_session(spark)
+    for src, log in _late_log(spark, sf):
+        run_append(on_time(live.readStream.schema(log.schema).parquet(src), DELAY), out, ck)
+    late = late_trials(log, spark.read.parquet(out))
+    return late.select("study", L("trial_number").alias("trial_number"), "divergence", _micros("finished_at").alias("finished_us"))
+
+
 def _steps(spark, sf):
     return B.steps(T(spark, sf, "orders"))
 
@@ -298,6 +331,8 @@ QUERIES = {
     "str_running_best": q_str_running_best,
     "str_trend": q_str_trend,
     "str_resume": q_str_resume,
+    "str_windows": q_str_windows,
+    "str_late": q_str_late,
     "agg_perplexity": q_agg_perplexity,
     "win_checkpoint_keep": q_win_checkpoint_keep,
     "win_first_failure": q_win_first_failure,
@@ -350,6 +385,10 @@ _THREE_CTE = "c AS (SELECT *, epoch_us(started_at) AS started_us FROM trials WHE
 _DOMINATES = """q.divergence <= p.divergence AND q.hits >= p.hits AND q.started_us <= p.started_us
           AND (q.divergence < p.divergence OR q.hits > p.hits OR q.started_us < p.started_us)"""
 
+# The watermark after the first arrival, in whole milliseconds.
+_SENT_LATE = "trial_number % 10 = 0"
+_LATE_CTE = f"mark AS (SELECT max(epoch_us(finished_at)) // 1000 * 1000 - 2 * 86400000000 AS w FROM scored WHERE NOT ({_SENT_LATE}))"
+
 ORACLES = {
     "flt_completed": f"WITH {TRIALS_CTE} SELECT event_id, divergence, CAST(hits AS BIGINT) AS hits FROM trials WHERE state = 'COMPLETE'",
     "num_composite": f"WITH {SCORED_CTE} SELECT event_id, round(rate_pct, 6) AS rate_pct, round(score, 6) AS score FROM scored",
@@ -446,6 +485,14 @@ ORACLES = {
     "str_running_best": _BEST_STATE,
     "str_trend": _TREND_LAST,
     "str_resume": f"WITH {TRIALS_CTE} SELECT study, trial_number, divergence, CAST(hits AS BIGINT) AS hits FROM trials",
+    "str_windows": f"""WITH {SCORED_CTE}, {_LATE_CTE}
+        SELECT study, epoch_us(finished_at) // 86400000000 * 86400000000 AS window_start_us, count(*) AS trials,
+               count(*) FILTER (WHERE state = 'COMPLETE') AS completed, round(avg(score) FILTER (WHERE state = 'COMPLETE'), 6) AS mean_score,
+               round(min(score) FILTER (WHERE state = 'COMPLETE'), 6) AS best_score
+        FROM scored, mark WHERE NOT (sent_late AND epoch_us(finished_at) <= w) GROUP BY ALL""".replace("sent_late", _SENT_LATE),
+    "str_late": f"""WITH {TRIALS_CTE}, {_LATE_CTE.replace('scored', 'trials')}
+        SELECT study, trial_number, divergence, epoch_us(finished_at) AS finished_us
+        FROM trials, mark WHERE {_SENT_LATE} AND epoch_us(finished_at) <= w""",
     "agg_perplexity": """WITH l AS (SELECT CAST(o_custkey AS VARCHAR) AS run, max(o_orderkey) AS step,
           arg_max(o_totalprice / 100000, o_orderkey) AS el FROM orders GROUP BY o_custkey)
         SELECT run, CAST(step AS BIGINT) AS step, el AS eval_loss, round(exp(el), 6) AS perplexity FROM l""",

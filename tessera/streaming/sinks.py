@@ -11,23 +11,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _start(writer, spark, state_partitions):
-    """Start a query; ``state_partitions`` fixes the number of state-store
-    partitions (taken from the session conf when a query first starts and
-    kept in its checkpoint), restoring the session setting afterwards."""
-    if not state_partitions:
-        return writer.start()
-    key = "spark.sql.shuffle.partitions"
-    old = spark.conf.get(key)
-    spark.conf.set(key, str(state_partitions))
-    try:
-        return writer.start()
-    finally:
-        spark.conf.set(key, old)
-
-
-def run_updates(stream: DataFrame, path: str, checkpoint: str, available_now: bool = True,
-                state_partitions: int | None = None):
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def stream_session(spark: SparkSession, state_partitions: int | None = None) -> SparkSession:
+    """A session for streams that shares the context, catalog cache and shared
+    folder of ``spark`` and starts with its settings, so what a stream needs
+    changes nothing for other queries: the state store on disk, and
+    ``state_partitions`` (fixed in a stream's checkpoint when it first starts;
+    the cluster's default parallelism, if not given)."""
+    own = spark.newSession()
+    for k, v in spark.conf.getAll.items():
+        if spark.conf.isModifiable(k):
+            own.conf.set(k, v)
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    own.conf.set("spark.sql.shuffle.partitions", str(state_partitions or spark.sparkContext.defaultParallelism))
+    return own
+
+
+def _run(writer, available_now: bool):
+    q = (writer.trigger(availableNow=True) if available_now else writer).start()
+    if available_now:
+        q.awaitTermination()
+    return q
+
+
+def run_updates(stream: DataFrame, path: str, checkpoint: str, available_now: bool = True):
     """Run an update-mode stream into ``path`` (one folder per batch)."""
     def _write(batch: DataFrame, batch_id: int):
         (batch.withColumn("_batch", F.lit(batch_id)).write.mode("overwrite")
@@ -35,21 +44,14 @@ def run_updates(stream: DataFrame, path: str, checkpoint: str, available_now: bo
 
     w = (stream.writeStream.outputMode("update").foreachBatch(_write)
          .option("checkpointLocation", checkpoint))
-    q = _start(w.trigger(availableNow=True) if available_now else w, stream.sparkSession, state_partitions)
-    if available_now:
-        q.awaitTermination()
-    return q
+    return _run(w, available_now)
 
 
-def run_append(stream: DataFrame, path: str, checkpoint: str, available_now: bool = True,
-               state_partitions: int | None = None):
+def run_append(stream: DataFrame, path: str, checkpoint: str, available_now: bool = True):
     """Run an append-mode stream into a Parquet folder (exactly-once file sink)."""
     w = (stream.writeStream.outputMode("append").format("parquet")
          .option("path", path).option("checkpointLocation", checkpoint))
-    q = _start(w.trigger(availableNow=True) if available_now else w, stream.sparkSession, state_partitions)
-    if available_now:
-        q.awaitTermination()
-    return q
+    return _run(w, available_now)
 
 
 def read_latest(spark: SparkSession, path: str, keys) -> DataFrame:

@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import (DoubleType, LongType, StringType, StructField,
-                               StructType)
 
-from tessera.functions.fmt import TREND_SYMBOLS
 from tessera.operators.trials import TREND_EPS, TREND_WINDOW, scored
+from tessera.streaming.trial_state import SLOTS, first_rows, two_level_trend
 
 
 def once(trials_stream: DataFrame) -> DataFrame:
@@ -34,57 +30,15 @@ def stream_best(trials_stream: DataFrame) -> DataFrame:
             .select("study", "completed", "_b.*"))
 
 
-_TREND_OUT = StructType([
-    StructField("study", StringType()), StructField("completed", LongType()),
-    StructField("last_trial", LongType()), StructField("improvement", DoubleType()),
-    StructField("trend", StringType()), StructField("symbol", StringType())])
-_TREND_STATE = StructType([StructField("completed", LongType()), StructField("window", StringType())])
-
-
-def stream_trend(trials_stream: DataFrame, w: int = TREND_WINDOW, eps: float = TREND_EPS) -> DataFrame:
-    """Live trend label per study (str_trend).
-
-    State per study (``applyInPandasWithState``): the completed count and
-    the ``w`` completed trials with the largest trial numbers - so arrival
-    order inside or across micro-batches does not change the label, and the
-    state stays O(w) per study however long the study runs.
-    """
-    s = scored(once(trials_stream)).where(F.col("state") == "COMPLETE").select(
-        "study", F.col("trial_number").cast("long").alias("trial_number"), "score")
-    h1 = w // 2
-
-    def update(key, pdfs, state):
-        import pandas as pd
-        if state.exists:
-            completed, window = state.get
-            win = json.loads(window)
-        else:
-            completed, win = 0, []
-        for pdf in pdfs:
-            # each Arrow chunk is cut to its w largest trial numbers in C
-            # (pandas nlargest) before it meets the O(w) state
-            completed += len(pdf)
-            top = pdf.nlargest(w, "trial_number")
-            win.extend([[int(t), float(v)] for t, v in zip(top["trial_number"], top["score"])])
-            win = sorted(win)[-w:]
-        state.update((completed, json.dumps(win)))
-        if completed >= w and len(win) == w:
-            first = sum(v for _, v in win[:h1]) / h1
-            second = sum(v for _, v in win[h1:]) / (w - h1)
-            imp = first - second
-            label = "improving" if imp > eps else "degrading" if imp < -eps else "stable"
-        else:
-            imp, label = None, "insufficient_data"
-        yield pd.DataFrame([{"study": key[0], "completed": completed,
-                             "last_trial": win[-1][0] if win else None,
-                             "improvement": imp, "trend": label, "symbol": TREND_SYMBOLS[label]}])
-
-    return s.groupBy("study").applyInPandasWithState(
-        update, _TREND_OUT, _TREND_STATE, "update", "NoTimeout")
+def stream_trend(trials_stream: DataFrame, w: int = TREND_WINDOW, eps: float = TREND_EPS, slots: int = SLOTS) -> DataFrame:
+    """Live trend label per study (str_trend), in two levels of state, so a hot
+    study is ``slots`` groups and no single one."""
+    return two_level_trend(trials_stream, w, eps, slots)
 
 
-def resume_stream(trials_stream: DataFrame) -> DataFrame:
+def resume_stream(trials_stream: DataFrame, slots: int = SLOTS) -> DataFrame:
     """Stop and restart without losing or repeating a trial (str_resume):
     each (study, trial_number) once, however late it comes.  Progress lives in
-    the query's checkpointLocation."""
-    return once(trials_stream)
+    the query's checkpointLocation; what was seen is kept as runs of numbers, so
+    the state grows with the gaps and not with the trials."""
+    return first_rows(trials_stream, slots)

@@ -65,14 +65,14 @@ def test_stream_trend_out_of_order_equals_batch(spark):
     from tessera.operators import trials as TR
     from tessera.session import scratch_path
     from tessera.sources import bindings as B
-    from tessera.streaming.sinks import read_latest, run_updates
+    from tessera.streaming.sinks import read_latest, run_updates, stream_session
     from tessera.streaming.trials_stream import stream_trend
     t = B.trials(spark.read.parquet(f"{SF}/events.parquet"))
     src = scratch_path(spark, "t_files")
     ordered = t.withColumn("_half", F.col("trial_number") > 25)
     for half in (True, False):  # later trials first
         ordered.where(F.col("_half") == half).drop("_half").write.mode("append").parquet(src)
-    stream = spark.readStream.schema(t.schema).option("maxFilesPerTrigger", "1").parquet(src)
+    stream = stream_session(spark, 4).readStream.schema(t.schema).option("maxFilesPerTrigger", "1").parquet(src)
     out, ck = scratch_path(spark, "t_out"), scratch_path(spark, "t_ck")
     run_updates(stream_trend(stream), out, ck)
     live = {r.study: (r.trend, r.last_trial) for r in read_latest(spark, out, ["study"]).collect()}

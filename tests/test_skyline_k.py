@@ -87,6 +87,6 @@ def test_a_streamed_trial_without_score_is_never_best(spark, tmp_path):
     df = _log(spark)
     df.write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
-    run_updates(stream_best(stream), f"{tmp_path}/out", f"{tmp_path}/ck", state_partitions=2)
+    run_updates(stream_best(stream), f"{tmp_path}/out", f"{tmp_path}/ck")
     got = {r.study: (r.completed, r.best_trial) for r in read_latest(spark, f"{tmp_path}/out", ["study"]).collect()}
     assert got == {"s": (7, 7), "none": (1, None)}
