@@ -3,9 +3,9 @@
 The vocabulary's pattern starts a new piece at every single space between two
 characters that are not white space.  So a text falls apart at its single
 spaces into chunks that can be coded on their own, and a chunk is coded once
-per worker, and of a new chunk only its new pieces.  A text in which a space
-meets other white space, or that holds a special token, goes to the library
-whole; so does a chunk with characters outside Latin script and punctuation.
+per worker, piece by piece.  A text in which a space meets other white space,
+or that holds a special token, goes to the library whole; so does a chunk with
+characters outside Latin script and punctuation.
 """
 
 from __future__ import annotations
@@ -14,32 +14,70 @@ import os
 import re
 import sys
 from array import array
+from operator import itemgetter
 
 import numpy as np
 
-from .tokenize import _ALPHABET, _OTHER, _Memory
+from .tokenize import _ALPHABET, _OTHER
 
 #: The pattern of the vocabulary's pre-tokenizer (a fixed value of its format).
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-
 #: A space beside white space, or at the end after white space.
 _RUN = re.compile(r"\s (?:\s|\Z)")
 LONGEST = 64               # code points of a chunk that is remembered
-GROUP = 64                 # texts whose new chunks are coded together
+GROUP = 64                 # texts coded together by the library
 _WORKERS: dict = {}
 
 
+class _Chunks(dict):
+    """Ids by chunk, learned when first asked for.  A chunk stands for itself
+    after one space; with a space before it, for itself without one.  When full,
+    the entries become the older ones, from which those in use come back."""
+
+    def __init__(self, library, code, kind: str, most: int):
+        self.library, self.code, self.kind, self.half, self.older = library, code, kind, most // 2, {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.older.get(chunk)
+        if ids is None:
+            ids = self.learn(chunk)
+        if len(chunk) <= LONGEST:
+            self[chunk] = ids
+        return ids
+
+    def turn(self):
+        if len(self) > self.half:
+            self.older = dict(self)
+            self.clear()
+
+    def learn(self, chunk: str) -> bytes:
+        if chunk.isascii() and chunk.isalpha():          # one piece of letters that stand for themselves
+            letters = "Ġ" + chunk
+        else:
+            text = chunk[1:] if chunk[:1] == " " else " " + chunk
+            if _OTHER.search(text):
+                return self.library([text])[0]
+            pieces = _PIECE.findall(text)
+            if len(pieces) != 1:
+                return b"".join([self[p[1:] if p[0] == " " else " " + p] for p in pieces])
+            letters = text.encode().decode("latin-1").translate(_ALPHABET)
+        ids = array(self.kind, [t.id for t in self.code(letters)])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
+
+
 class ChunkCacheTokenizer:
     """Ids as little-endian bytes per text (``dtype``); equal to the library's ids."""
 
-    def __init__(self, path: str, max_chunks: int = 600_000, max_pieces: int = 600_000):
+    def __init__(self, path: str, max_chunks: int = 800_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
-        self.known, self.pieces = _Memory(max_chunks), _Memory(max_pieces)     # bounds of memory
+        self.chunks = _Chunks(self._library, self.tokenizer.model.tokenize, "H" if self.dtype == "<u2" else "I", max_chunks)
 
     @classmethod
     def of_worker(cls, path: str) -> "ChunkCacheTokenizer":
@@ -50,49 +88,17 @@ class ChunkCacheTokenizer:
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, chunks: list[str]) -> list[bytes]:
-        """Ids of new chunks; those that begin with a space have none in the text, the others have one."""
-        cut: list = []
-        for c in chunks:
-            text = c[1:] if c[:1] == " " else " " + c
-            if c.isascii() and c.isalpha():          # a word
-                cut.append((text,))
-            else:
-                cut.append(None if _OTHER.search(text) else _PIECE.findall(text))
-        new = self.pieces.missing({p for ps in cut if ps is not None for p in ps})
-        code, young = self.tokenizer.model.tokenize, self.pieces.young
-        kind = "H" if self.dtype == "<u2" else "I"
-        for p in new:
-            letters = p.replace(" ", "\u0120") if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(_ALPHABET)
-            ids = array(kind, [t.id for t in code(letters)])
-            if sys.byteorder == "big":
-                ids.byteswap()
-            young[p] = ids.tobytes()
-        whole = iter(self._library([c[1:] if c[:1] == " " else " " + c for c, ps in zip(chunks, cut) if ps is None]))
-        out = [next(whole) if ps is None else young[ps[0]] if len(ps) == 1 else b"".join(map(young.__getitem__, ps)) for ps in cut]
-        self.pieces.turn()
-        return out
-
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list = [None] * len(texts)
-        whole = []
-        for first in range(0, len(texts), GROUP):
-            held = []
-            for i in range(first, min(len(texts), first + GROUP)):
-                if _RUN.search(texts[i]) or (self.special and self.special.search(texts[i])):
-                    whole.append(i)
-                    continue
-                chunks = texts[i].split(" ")
-                chunks[0] = " " + chunks[0]          # stands for the first chunk, which no space precedes
-                held.append((i, chunks))
-            once: dict = {}
-            if new := self.known.missing(set().union(*(c for _, c in held))):
-                for c, x in zip(new, self._learn(new)):
-                    (once if len(c) > LONGEST else self.known.young)[c] = x
-            young = self.known.young
-            for i, chunks in held:
-                out[i] = b"".join([once[c] if c in once else young[c] for c in chunks] if once else map(young.__getitem__, chunks))
-            self.known.turn()
+        whole, known = [], self.chunks
+        for i, text in enumerate(texts):
+            if _RUN.search(text) or (self.special and self.special.search(text)):
+                whole.append(i)
+                continue
+            chunks = text.split(" ")
+            chunks[0] = " " + chunks[0]              # no space precedes it
+            out[i] = b"".join(itemgetter(*chunks)(known)) if len(chunks) > 1 else known[chunks[0]]
+            known.turn()
         for i in range(0, len(whole), GROUP):
             part = whole[i:i + GROUP]
             for j, ids in zip(part, self._library([texts[k] for k in part])):
