@@ -67,10 +67,14 @@ def kl_divergence(logprobs: DataFrame, base_model: str = "base",
     """First-token KL(base || candidate) per candidate model (agg_kl):
     sum_v exp(b)*(b-c) per prompt, averaged over prompts (batchmean).
 
-    Arrays stay packed (no explode).  One equi join on prompt_id shuffles each
-    row once; AQE splits a hot prompt (skew join) or broadcasts a small base.
+    A prompt that the base answers twice is refused.  Arrays stay packed (no
+    explode).  One equi join on prompt_id shuffles each row once; AQE splits a
+    hot prompt (skew join) or broadcasts a small base.  To compare a base with
+    model after model, store it (:mod:`tessera.operators.stored_base`).
     """
-    base = logprobs.where(F.col(by) == base_model).select("prompt_id", F.col("lp").alias("_b"))
+    base = logprobs.where(F.col(by) == base_model).groupBy("prompt_id").agg(F.first("lp").alias("_b"), F.count(F.lit(1)).alias("_n"))
+    twice = F.raise_error(F.lit("kl_divergence: the base model answers a prompt twice")).cast("array<double>")
+    base = base.select("prompt_id", F.when(F.col("_n") > 1, twice).otherwise(F.col("_b")).alias("_b"))
     cand = logprobs.where(F.col(by) != base_model)
     j = cand.join(base, "prompt_id")
     return (j.groupBy(by).agg(F.avg(kl_term_sum("_b", "lp")).alias("kl"),

@@ -3,7 +3,7 @@ checkpoint retention, step plans and ingest statistics."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.numeric import step_plan
@@ -86,7 +86,21 @@ def ingest_stats(segments: DataFrame, chunks: DataFrame, examples: DataFrame,
 def observe_ingest(segments: DataFrame, chunks: DataFrame):
     """Attach observed counts to the corpus plan without a second pass; the
     values are available after the first action on the returned frames."""
-    from pyspark.sql import Observation
     o_seg, o_chk = Observation("segments"), Observation("chunks")
     return (segments.observe(o_seg, F.count(F.lit(1)).alias("segments")),
             chunks.observe(o_chk, F.count(F.lit(1)).alias("chunks")), o_seg, o_chk)
+
+
+def count_while_chunking(segments: DataFrame, chunk):
+    """(chunks, seen, made) with ``chunks = chunk(segments)``, both frames' rows
+    counted as they pass: ``seen.get`` and ``made.get`` are there after the first
+    action on ``chunks``, which is the only pass."""
+    seen, made = Observation("segments"), Observation("chunks")
+    counted = segments.observe(seen, F.count(F.lit(1)).alias("segments"))
+    return chunk(counted).observe(made, F.count(F.lit(1)).alias("chunks")), seen, made
+
+
+def observed_stats(spark, seen: dict, made: dict, examples: DataFrame, split_col: str = "split") -> DataFrame:
+    """The rows of :func:`ingest_stats` from observed counts; only the examples are read."""
+    known = spark.createDataFrame([("segments", seen["segments"]), ("chunks", made["chunks"])], "metric string, value long")
+    return known.unionByName(examples.groupBy(F.col(split_col).alias("metric")).agg(F.count(F.lit(1)).alias("value")))

@@ -3,22 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, StringType, StructField, StructType
 
 from tessera.functions.text import strip_ws, tokens, training_columns
 from tessera.functions.udfs import WhitespaceTokenizer, batch_score, length_model, token_chunks, tokenize
+from tessera.operators.append_index import append_indexed, read_indexed
 from tessera.operators.chunking import chunk_tokens, min_tokens, with_tokens
 from tessera.operators.examples import TEMPLATES, assign_template, preview, rendered, to_examples
 from tessera.operators.index import with_global_index
+from tessera.operators.scoring import score_missing
 from tessera.operators.split import split_train_val
-from tessera.operators.training import ingest_stats, split_step_plan
+from tessera.operators.training import count_while_chunking, observed_stats, split_step_plan
 from tessera.plans.common import (CHUNKS_CTE, PROMPTS_CTE, T, L, examples_cte, sql_strip,
                                   sql_tokens, sql_topic)
 from tessera.session import materialize, scratch_path
 from tessera.sources import bindings as B
-from tessera.sources.corpus import (cohort_counts, load_prompts, pick_text_column,
-                                    read_corpus, to_segments)
+from tessera.sources.corpus import cohort_counts, load_prompts, load_slice, pick_text_column, to_segments
 from tessera.sources.sinks import write_examples
+from tessera.sources.text_files import open_path, read_text_files
 from tessera.streaming.responses_stream import stream_corpus
 from tessera.streaming.sinks import run_append
 
@@ -46,21 +48,49 @@ def examples(spark, sf):
     return split_train_val(to_examples(stored_chunks(spark, sf), ORDER, keep=ORDER), "example_id")
 
 
-def stage_documents_as_files(spark, sf):
-    """Write every document of the table as its own text file (one record
-    per file, one flat folder) - the folder a corpus reader consumes."""
+FILE_DOCS = 50          # documents in one staged file
+DOC_END = "\f"          # stands after each document; the tables' texts hold none
+_SUFFIX = [".txt", ".MD", ".markdown"]
+
+
+def stage_documents_as_files(spark, sf, odd: bool = False):
+    """The documents as a folder tree of text files, ``FILE_DOCS`` in each; every
+    task writes its own files.  With ``odd`` some files are not UTF-8 and some
+    have a suffix that a corpus does not take."""
     path = scratch_path(spark, "docs_as_files")
-    (T(spark, sf, "documents").select("text")
-     .repartition(spark.sparkContext.defaultParallelism)  # spread the per-file writes
-     .write.option("maxRecordsPerFile", 1).text(path))
+    n = F.col("doc_id").cast("long")
+    file = F.floor(n / FILE_DOCS).alias("file")
+    docs = T(spark, sf, "documents").where("text is not null").groupBy(file).agg(
+        F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("docs"))       # at most FILE_DOCS
+
+    def write(batches):
+        for b in batches:
+            for k, rows in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                data = "".join(r["text"] + DOC_END for r in rows).encode()
+                suffix = ".log" if odd and k % 5 == 4 else _SUFFIX[k % 3]
+                if odd and k % 6 == 5:
+                    data = data[:10] + b"\xff" + data[10:]
+                files, root = open_path(path)
+                files.create_dir(f"{root}/d{k % 7}", recursive=True)
+                with files.open_output_stream(f"{root}/d{k % 7}/f{k}{suffix}", compression=None) as f:
+                    f.write(data)
+            yield b.select(["file"])
+    docs.mapInArrow(write, "file long").write.format("noop").mode("overwrite").save()
     return path
 
 
 # ---------------------------------------------------------------- queries --
 def q_src_text_corpus(spark, sf):
-    docs, _rejects = read_corpus(spark, stage_documents_as_files(spark, sf))
-    t = F.regexp_replace("text", "\n$", "")
-    return docs.select(t.alias("text"), L(F.length(t)).alias("n_chars"))
+    docs = read_text_files(spark, stage_documents_as_files(spark, sf), DOC_END).where("reason is null")
+    return docs.select("text", L(F.length("text")).alias("n_chars"))
+
+
+def q_src_corpus_files(spark, sf):
+    """Per file of a mixed folder: its texts, or the reason why it was refused."""
+    rows = read_text_files(spark, stage_documents_as_files(spark, sf, odd=True), DOC_END, bytes_per_task=1 << 20)
+    file = F.regexp_extract("path", "/f([0-9]+)[.][a-zA-Z]+$", 1).cast("long").alias("file")
+    return rows.groupBy(file).agg(F.count("part").alias("n_texts"), L(F.coalesce(F.sum(F.length("text")), F.lit(0))).alias("n_chars"),
+                                  F.regexp_replace(F.max("reason"), " at byte.*", "").alias("reason"))
 
 
 def q_src_paragraphs(spark, sf):
@@ -81,6 +111,19 @@ def q_src_prompt_slice(spark, sf):
     return s.select("conv_id", L("turn").alias("turn"), "text")
 
 
+SLICES = ["good[100:250]", "good[10%:20%]", "bad[-30:]", "bad[95%:]", "good[:1%]"]
+
+
+def q_src_prompt_range(spark, sf):
+    """Slices by position and by share, from both ends."""
+    p = materialize(B.prompts(T(spark, sf, "conversations")), "prompts")
+    out = None
+    for s in SLICES:
+        rows = load_slice(p, s, "text", B.PROMPT_KEY, split_col="cohort").select(F.lit(s).alias("slice"), "conv_id", L("turn").alias("turn"), "text")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def q_src_cohort_union(spark, sf):
     p = B.prompts(T(spark, sf, "conversations"))
     return cohort_counts(p)  # the cohort is a column of one table: no union of four scans
@@ -111,6 +154,17 @@ def q_idx_global(spark, sf):
     return g.select(L("doc_id").alias("doc_id"), L("chunk_no").alias("chunk_no"), "idx")
 
 
+def q_idx_append(spark, sf):
+    """Chunks arrive in three appends (by doc_id modulo 3); each takes the
+    numbers that follow, and the templates go on from there."""
+    path, rows = scratch_path(spark, "indexed"), stored_chunks(spark, sf).select(*ORDER)
+    for part in range(3):
+        append_indexed(rows.where(F.pmod("doc_id", F.lit(3)) == part), path, ORDER, segment=part)
+    got = read_indexed(spark, path)
+    template = F.element_at(F.array(*map(F.lit, TEMPLATES)), (F.col("idx") % len(TEMPLATES)).cast("int") + 1)
+    return got.select(L("doc_id").alias("doc_id"), L("chunk_no").alias("chunk_no"), "segment", "idx", template.alias("template"))
+
+
 def q_txt_template_cycle(spark, sf):
     a = assign_template(stored_chunks(spark, sf), ORDER)
     return a.select("example_id", "template")
@@ -155,9 +209,12 @@ def q_txt_truncate_tokens(spark, sf):
 
 
 def q_agg_ingest_stats(spark, sf):
-    segs, c = doc_segments(spark, sf), stored_chunks(spark, sf)     # written once
-    ex = split_train_val(to_examples(c, ORDER, keep=ORDER), "example_id")
-    return ingest_stats(segs, c, ex).select("metric", L("value").alias("value"))
+    """Segments and chunks are counted while the chunks are written, once."""
+    chunked, seen, made = count_while_chunking(doc_segments(spark, sf), lambda s: chunk_tokens(
+        with_tokens(s), 1024, 128, keep=["doc_id", "segment_no"], min_n=50))
+    stored = materialize(chunked, "chunks")
+    ex = split_train_val(to_examples(stored, ORDER, keep=ORDER), "example_id")
+    return observed_stats(spark, seen.get, made.get, ex).select("metric", L("value").alias("value"))
 
 
 def q_num_step_plan(spark, sf):
@@ -181,10 +238,40 @@ def q_udf_batch_score(spark, sf):
     return d.select("doc_id", L("score").alias("score"))
 
 
+MOST_CHARS, BATCH_CHARS = 60_000, 20_000
+
+
+def small_memory_model():
+    """A stand-in model that cannot take batches of over BATCH_CHARS characters,
+    nor any text of over MOST_CHARS."""
+    import math
+
+    def score(texts):
+        n = [len(t or "") for t in texts]
+        if len(texts) > 1 and sum(n) > BATCH_CHARS or max(n) > MOST_CHARS:
+            raise MemoryError("too long")
+        return [{"text": (t or "")[:20][::-1], "logprobs": [-math.log(1 + k), math.log((1 + k) / (2 + k))], "vector": [float(k), float((t or "").count(" "))]}
+                for t, k in zip(texts, n)]
+    return score
+
+
+SCORED = StructType([StructField("text", StringType()), StructField("logprobs", ArrayType(DoubleType())), StructField("vector", ArrayType(FloatType()))])
+
+
+def q_udf_batch_adaptive(spark, sf):
+    """Batches halved where the model fails; a first run that stops at half of
+    the rows, and a second one that scores the rest."""
+    docs, path = T(spark, sf, "documents"), scratch_path(spark, "scored")
+    score_missing(docs.where("doc_id % 2 = 0"), "doc_id", "text", small_memory_model, SCORED, path, retry_errors=False)
+    r = score_missing(docs, "doc_id", "text", small_memory_model, SCORED, path, retry_errors=False)
+    return r.select("doc_id", "text", F.round(F.element_at("logprobs", 1), 6).alias("lp"), L(F.element_at("vector", 1)).alias("n_chars"),
+                    L(F.element_at("vector", 2)).alias("n_spaces"), "error")
+
+
 def q_str_corpus(spark, sf):
     src = stage_documents_as_files(spark, sf)
-    out, ck = scratch_path(spark, "str_corpus_out"), scratch_path(spark, "str_corpus_ckpt")
-    run_append(stream_corpus(spark, src), out, ck)
+    out, ck, log = (scratch_path(spark, f"str_corpus_{x}") for x in ("out", "ckpt", "log"))
+    run_append(stream_corpus(spark, src, log, DOC_END), out, ck)
     c = spark.read.parquet(out)
     return c.select(L("chunk_no").alias("chunk_no"), L("start_token").alias("start_token"),
                     L("n_tokens").alias("n_tokens"), "text")
@@ -213,6 +300,10 @@ QUERIES = {
     "udf_tokenizer": q_udf_tokenizer,
     "udf_token_chunks": q_udf_token_chunks,
     "udf_batch_score": q_udf_batch_score,
+    "src_corpus_files": q_src_corpus_files,
+    "src_prompt_range": q_src_prompt_range,
+    "idx_append": q_idx_append,
+    "udf_batch_adaptive": q_udf_batch_adaptive,
     "str_corpus": q_str_corpus,
 }
 
@@ -226,7 +317,27 @@ _SEGS = f"""segs AS (
               FROM documents)))"""
 _RENDER = "'### Instruction:' || chr(10) || instruction || chr(10) || chr(10) || '### Response:' || chr(10) || response"
 
+_SLICED = " UNION ALL ".join(
+    f"SELECT '{s}' AS slice, conv_id, turn, text FROM numbered WHERE cohort = '{s[:s.index('[')]}' AND {cond}" for s, cond in zip(SLICES, (
+        "i >= 100 AND i < 250", "i >= round_even(n * 0.10, 0) AND i < round_even(n * 0.20, 0)", "i >= n - 30",
+        "i >= round_even(n * 0.95, 0)", "i < round_even(n * 0.01, 0)")))
+
 ORACLES = {
+    "src_corpus_files": f"""SELECT doc_id // {FILE_DOCS} AS file, CASE WHEN bad THEN 0 ELSE count(*) END AS n_texts,
+        CAST(CASE WHEN bad THEN 0 ELSE sum(length(regexp_replace(text, '\\r\\n?', chr(10), 'g'))) END AS BIGINT) AS n_chars,
+        CASE WHEN bad THEN 'invalid utf-8' END AS reason
+        FROM (SELECT *, doc_id // {FILE_DOCS} % 6 = 5 AS bad FROM documents WHERE text IS NOT NULL)
+        WHERE doc_id // {FILE_DOCS} % 5 <> 4 GROUP BY doc_id // {FILE_DOCS}, bad""",
+    "src_prompt_range": f"""WITH {PROMPTS_CTE}, numbered AS (SELECT *, row_number() OVER (PARTITION BY cohort ORDER BY conv_id, turn) - 1 AS i,
+          count(*) OVER (PARTITION BY cohort) AS n FROM prompts) {_SLICED}""",
+    "idx_append": f"""WITH {CHUNKS_CTE}, numbered AS (
+          SELECT *, CAST(doc_id % 3 AS BIGINT) AS segment, CAST(row_number() OVER (ORDER BY doc_id % 3, doc_id, segment_no, chunk_no) - 1 AS BIGINT) AS idx FROM chunks)
+        SELECT doc_id, chunk_no, segment, idx, list_extract([{', '.join("'" + t.replace("'", "''") + "'" for t in TEMPLATES)}], CAST(idx % {len(TEMPLATES)} AS INTEGER) + 1) AS template
+        FROM numbered""",
+    "udf_batch_adaptive": f"""SELECT doc_id, CASE WHEN fits THEN reverse(left(t, 20)) END AS text, CASE WHEN fits THEN round(-ln(1 + length(t)), 6) END AS lp,
+        CASE WHEN fits THEN length(t) END AS n_chars, CASE WHEN fits THEN length(t) - length(replace(t, ' ', '')) END AS n_spaces,
+        CASE WHEN NOT fits THEN 'MemoryError: too long' END AS error
+        FROM (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) <= {MOST_CHARS} AS fits FROM documents)""",
     "src_text_corpus": """SELECT regexp_replace(text, '\\r\\n?', chr(10), 'g') AS text,
         CAST(length(regexp_replace(text, '\\r\\n?', chr(10), 'g')) AS BIGINT) AS n_chars FROM documents""",
     "src_paragraphs": f"WITH {_SEGS} SELECT doc_id, segment_no, text FROM segs",

@@ -12,7 +12,9 @@ from tessera.functions.vectors import l2_normalize, last_state, log_softmax
 from tessera.operators.centroids import centroid_contrast, centroids
 from tessera.operators.conversation import conversations
 from tessera.operators.evaluate import (compare, flag_responses, hit_rate, kl_divergence,
-                                        marker_profile, match_report, pair, relative_score)
+                                        marker_profile, match_report, pair)
+from tessera.operators.marker_index import flag_rows, indexed_profile
+from tessera.operators.stored_base import kl_against, relative_against, store_base
 from tessera.plans.common import (ANSWERS_CTE, LOGPROBS_CTE, PROMPTS_CTE, QUERY_MARKERS,
                                   RESPONSES_CTE, VECTORS_CTE, L, T, r6, sql_has_marker,
                                   sql_markers, sql_norm, sql_strip, sql_tokens)
@@ -52,6 +54,24 @@ def q_txt_marker_profile(spark, sf):
     return p.select("model_id", "marker", L("hits").alias("hits"))
 
 
+# A long marker list made by rule: every three of these syllables of the invented prose.
+SYLLABLES = ["que", "ción", "mente", "ado", "ar", "er", "os", "as", "es", "en", "la", "ie", "ue", "ra", "ll", "rr", "bo"]
+
+
+def long_markers():
+    return sorted({a + b + c for a in SYLLABLES for b in SYLLABLES for c in SYLLABLES})
+
+
+def q_txt_marker_index(spark, sf):
+    p = indexed_profile(_responses(spark, sf), long_markers(), ["model_id", *B.PROMPT_KEY], by=["model_id"])
+    return p.select("model_id", "marker", L("hits").alias("hits"))
+
+
+def q_txt_marker_index_flag(spark, sf):
+    f = flag_rows(_responses(spark, sf), long_markers(), ["model_id", *B.PROMPT_KEY])
+    return f.select("model_id", *_key(), "hit")
+
+
 def q_txt_head_tokens(spark, sf):
     return _answers(spark, sf).select(*_key(), head_tokens("response", 20).alias("head"))
 
@@ -107,13 +127,19 @@ def q_agg_kl(spark, sf):
     return k.select("model_id", r6("kl").alias("kl"), L("n_prompts").alias("n_prompts"))
 
 
-def q_agg_relative_score(spark, sf):
+def _stored(spark, sf):
+    """The base stored by prompt, and the candidates' log-probabilities."""
     lp = _logprobs(spark, sf)
-    hits = (lp.groupBy("model_id").agg(F.count_if(F.array_max("lp") > CONFIDENT_LP).alias("hits")))
-    kl = kl_divergence(lp).select("model_id", "kl")
-    metrics = hits.join(kl, "model_id", "left").withColumn(
-        "kl", F.when(F.col("model_id") == "base", F.lit(0.0)).otherwise(F.col("kl")))
-    s = relative_score(metrics, "base", scale=1.0)
+    return store_base(lp), lp.where("model_id <> 'base'")
+
+
+def q_agg_kl_stored(spark, sf):
+    k = kl_against(*_stored(spark, sf))
+    return k.select("model_id", r6("kl").alias("kl"), L("n_prompts").alias("n_prompts"))
+
+
+def q_agg_relative_score(spark, sf):
+    s = relative_against(*_stored(spark, sf), hit=lambda c: F.array_max(c) > CONFIDENT_LP)
     return s.select("model_id", r6("kl_score").alias("kl_score"), r6("hit_score").alias("hit_score"))
 
 
@@ -174,6 +200,8 @@ QUERIES = {
     "txt_normalize": q_txt_normalize,
     "txt_marker_flag": q_txt_marker_flag,
     "txt_marker_profile": q_txt_marker_profile,
+    "txt_marker_index": q_txt_marker_index,
+    "txt_marker_index_flag": q_txt_marker_index_flag,
     "txt_head_tokens": q_txt_head_tokens,
     "txt_strip_prompt": q_txt_strip_prompt,
     "txt_chat": q_txt_chat,
@@ -183,6 +211,7 @@ QUERIES = {
     "agg_hit_rate": q_agg_hit_rate,
     "join_base_candidate": q_join_base_candidate,
     "agg_kl": q_agg_kl,
+    "agg_kl_stored": q_agg_kl_stored,
     "agg_relative_score": q_agg_relative_score,
     "vec_log_softmax": q_vec_log_softmax,
     "vec_l2_normalize": q_vec_l2_normalize,
@@ -194,6 +223,8 @@ QUERIES = {
 }
 
 _M = QUERY_MARKERS
+_LONG = f"""syl AS (SELECT unnest({sql_markers(SYLLABLES)}) AS x),
+m AS (SELECT DISTINCT a.x || b.x || c.x AS marker FROM syl a, syl b, syl c)"""
 _FLAGS = f"{RESPONSES_CTE}, flags AS (SELECT model_id, conv_id, turn, {sql_has_marker(sql_norm('response'), _M)} AS hit FROM responses)"
 _HIT_RATE = f"""WITH {_FLAGS}
     SELECT model_id, CAST(count(*) FILTER (WHERE hit) AS BIGINT) AS hits, CAST(count(*) AS BIGINT) AS total,
@@ -213,6 +244,12 @@ ORACLES = {
     "txt_marker_profile": f"""WITH {RESPONSES_CTE}, m AS (SELECT unnest({sql_markers(_M)}) AS marker)
         SELECT r.model_id, m.marker, CAST(count(*) AS BIGINT) AS hits
         FROM responses r JOIN m ON contains({sql_norm('r.response')}, m.marker) GROUP BY r.model_id, m.marker""",
+    "txt_marker_index": f"""WITH {RESPONSES_CTE}, {_LONG}
+        SELECT r.model_id, m.marker, CAST(count(*) AS BIGINT) AS hits
+        FROM responses r JOIN m ON contains({sql_norm('r.response')}, m.marker) GROUP BY r.model_id, m.marker""",
+    "txt_marker_index_flag": f"""WITH {RESPONSES_CTE}, {_LONG}
+        SELECT model_id, conv_id, turn, CASE WHEN response IS NOT NULL THEN EXISTS (SELECT 1 FROM m WHERE contains({sql_norm('response')}, m.marker)) END AS hit
+        FROM responses""",
     "txt_head_tokens": f"""WITH {ANSWERS_CTE} SELECT conv_id, turn,
         array_to_string(list_slice({sql_tokens('response')}, 1, 20), ' ') AS head FROM answers""",
     "txt_strip_prompt": f"""SELECT u.conv_id, CAST(u.turn AS BIGINT) AS turn,
@@ -244,6 +281,7 @@ ORACLES = {
                round(CAST(count(*) FILTER (WHERE c.hit) AS DOUBLE) / nullif(count(*) FILTER (WHERE b.hit), 0), 6) AS relative_hits
         FROM flags c LEFT JOIN flags b ON b.conv_id = c.conv_id AND b.turn = c.turn AND b.model_id = 'base'
         WHERE c.model_id <> 'base' GROUP BY c.model_id""",
+    "agg_kl_stored": f"WITH {_KL} SELECT model_id, round(kl, 6) AS kl, CAST(n_prompts AS BIGINT) AS n_prompts FROM kl",
     "agg_kl": f"WITH {_KL} SELECT model_id, round(kl, 6) AS kl, CAST(n_prompts AS BIGINT) AS n_prompts FROM kl",
     "agg_relative_score": f"""WITH {_KL},
         h AS (SELECT model_id, count(*) FILTER (WHERE list_max(lp) > {CONFIDENT_LP!r}) AS hits FROM logprobs GROUP BY model_id),

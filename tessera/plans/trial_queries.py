@@ -163,6 +163,19 @@ def q_agg_study_catalog(spark, sf):
                     _micros("last_finished").alias("last_finished_us"))
 
 
+def q_agg_study_catalog_size(spark, sf):
+    """The catalogue of a log in files: every study's share of the bytes, and
+    whether all shares add up to the files."""
+    path = scratch_path(spark, "catalog_log")
+    append_trials(_trials(spark, sf), path)
+    log = spark.read.parquet(path)
+    c = materialize(TR.study_catalog(log, with_size=True), "catalog")
+    files = log.select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("b")).distinct().agg(F.sum("b")).first()[0]
+    whole = c.agg(F.sum("size_bytes")).first()[0] == files
+    return c.select("study", L("completed").alias("completed"), L("trials").alias("trials"), (F.col("size_bytes") > 0).alias("has_size"),
+                    F.lit(whole).alias("adds_up"))
+
+
 def q_agg_resume_plan(spark, sf):
     r = TR.resume_plan(_trial_rows(spark, sf), N_TRIALS)
     return r.select("study", L("completed").alias("completed"), L("remaining").alias("remaining"), "status")
@@ -325,6 +338,7 @@ QUERIES = {
     "join_dominates_k": q_join_dominates_k,
     "agg_run_summary": q_agg_run_summary,
     "agg_study_catalog": q_agg_study_catalog,
+    "agg_study_catalog_size": q_agg_study_catalog_size,
     "agg_resume_plan": q_agg_resume_plan,
     "snk_trial_log": q_snk_trial_log,
     "snk_report": q_snk_report,
@@ -465,6 +479,8 @@ ORACLES = {
                {_dur_fmt('tot')} AS total_fmt, {_dur_fmt('tot / n')} AS mean_fmt FROM a""",
     "agg_study_catalog": f"""WITH {TRIALS_CTE} SELECT study, CAST(count(*) FILTER (WHERE state = 'COMPLETE') AS BIGINT) AS completed,
         CAST(count(*) AS BIGINT) AS trials, epoch_us(max(finished_at)) AS last_finished_us FROM trials GROUP BY study""",
+    "agg_study_catalog_size": f"""WITH {TRIALS_CTE} SELECT study, CAST(count(*) FILTER (WHERE state = 'COMPLETE') AS BIGINT) AS completed,
+        CAST(count(*) AS BIGINT) AS trials, true AS has_size, true AS adds_up FROM trials GROUP BY study""",
     "agg_resume_plan": f"""WITH {TRIALS_CTE}, a AS (SELECT study, count(*) FILTER (WHERE state = 'COMPLETE') AS c FROM trials GROUP BY study)
         SELECT study, CAST(c AS BIGINT) AS completed, CAST(greatest({N_TRIALS} - c, 0) AS BIGINT) AS remaining,
                CASE WHEN c = 0 THEN 'new' WHEN c >= {N_TRIALS} THEN 'done' ELSE 'partial' END AS status FROM a""",

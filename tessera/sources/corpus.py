@@ -3,10 +3,13 @@ prompt slices and cohort unions."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import normalize_newlines, strip_ws
+from tessera.operators.index import with_global_index
 from tessera.schemas import BINARY_FILE
 
 DEFAULT_EXTS = (".txt", ".md", ".markdown")
@@ -54,17 +57,6 @@ def read_corpus(spark: SparkSession, path: str, exts=DEFAULT_EXTS, on_error: str
     return decode_files(files, exts, on_error)
 
 
-def read_corpus_stream(spark: SparkSession, path: str, exts=DEFAULT_EXTS,
-                       max_files_per_trigger: int | None = None) -> DataFrame:
-    """Streaming variant: newly arrived files become docs (bad files dropped)."""
-    r = (spark.readStream.format("binaryFile").schema(BINARY_FILE)
-         .option("recursiveFileLookup", "true"))
-    if max_files_per_trigger:
-        r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    docs, _ = decode_files(r.load(path), exts, "skip")
-    return docs
-
-
 def _split_literal(col, sep: str):
     return F.split(col, "\\Q" + sep + "\\E", -1)
 
@@ -107,6 +99,43 @@ def load_prompts(df: DataFrame, column: str, order_by, split_col: str | None = N
     return d
 
 
+_SLICE = re.compile(r"^([^\[\]]+)(?:\[(-?\d+)?(%?):(-?\d+)?(%?)\])?$")
+
+
+def parse_slice(spec: str):
+    """``name[from:to]`` -> (name, from, to); a bound is None, a position or, as
+    ``n%``, a share (percent, True).  Negative positions count from the end."""
+    m = _SLICE.match(spec.strip())
+    if not m:
+        raise ValueError(f"not a slice: {spec!r}")
+    name, a, pa, b, pb = m.groups()
+    bound = lambda x, share: None if x is None else (int(x), bool(share))
+    return name, bound(a, pa), bound(b, pb)
+
+
+def load_slice(df: DataFrame, spec: str, column: str, order_by, split_col: str) -> DataFrame:
+    """One column of the rows that ``spec`` names, such as ``train[:400]``,
+    ``train[100:250]``, ``train[10%:20%]`` or ``train[-50:]`` (src_prompt_slice).
+
+    Shares are of the split's rows, rounded to the nearest row (halves to the
+    even one).  A slice from the start is a top-k; any other one numbers the
+    split's rows over range partitions."""
+    name, first, last = parse_slice(spec)
+    keys = [order_by] if isinstance(order_by, str) else list(order_by)
+    if first is None and (last is None or (last[0] >= 0 and not last[1])):
+        return load_prompts(df, column, keys, split_col, name, None if last is None else last[0])
+    rows = df.where(F.col(split_col) == name).select(*keys, F.col(column).alias("text"))
+    n = rows.count()
+
+    def place(bound, default):
+        if bound is None:
+            return default
+        x = round(bound[0] * n / 100) if bound[1] else bound[0]
+        return min(max(x + n if x < 0 else x, 0), n)
+    lo, hi = place(first, 0), place(last, n)
+    return with_global_index(rows, keys, "_at").where((F.col("_at") >= lo) & (F.col("_at") < hi)).drop("_at")
+
+
 def cohorts(specs) -> DataFrame:
     """Union of tagged cohort frames (src_cohort_union).
 
