@@ -71,8 +71,9 @@ def frequent_grams(words: DataFrame, shortest: int = SHORTEST, longest: int = LO
     """Grams of ``shortest`` to ``longest - 1`` code points that stand in more than
     1 of ``frequent`` places, with the number of places: under ``frequent`` of each length."""
     places = words.agg(F.sum(F.length("word") - (shortest - 1))).first()[0] or 0
-    each = [F.transform(F.sequence(F.lit(1), F.length("word") - (size - 1)), lambda i, size=size: F.substr("word", i, F.lit(size)))
-            for size in range(shortest, longest)]
+    def of_size(size):
+        return F.transform(F.sequence(F.lit(1), F.length("word") - (size - 1)), lambda i: F.substr("word", i, F.lit(size)))
+    each = [of_size(size) for size in range(shortest, longest)]
     grams = words.where(F.length("word") >= longest).select(F.explode(F.concat(*each)).alias("gram"))
     found = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * frequent > places)
     return {r["gram"]: r["n"] for r in found.collect()}
