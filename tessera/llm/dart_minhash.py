@@ -16,15 +16,17 @@ Grouping: texts with equal words are one class first, so copies are compared
 once.  Class representatives meet in ``BANDS`` bands of ``ROWS`` coordinates.
 A bucket compares each member with one hub (n - 1 pairs, not n * n) and linked
 members form groups.  A link can then be missing only between members of
-different groups in one bucket: such buckets get other hubs, and at last every
-pair left of different groups in one bucket is tested on hashed cells inside
-the join.  Every link is decided by the exact weighted Jaccard similarity of
-two texts.
+different groups in one bucket: such buckets get other hubs, and at last each
+member outside a bucket's largest group is tested, inside the join, against the
+members of other groups; one link to each group goes on, which is all that the
+group needs.  Links found later join groups, not texts: only their roots are
+gone through again.  Every link is decided by the exact weighted Jaccard
+similarity of two texts.
 
 Defined cases: texts of one to four words have one shingle, all their words;
 null and empty texts have none and stay alone; repeated rows are one class; a
-row with a null id joins the class of rows with equal words, else stays alone;
-other columns are not read, so they cannot clash; an empty table gives no rows.
+row with a null id takes part like any other, and a class without any id has a
+null class id; other columns are not read, so they cannot clash; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -45,7 +47,6 @@ K = BANDS * ROWS
 DARTS = int(K * (np.log(K) + 6))       # an empty coordinate is then rare
 HUB_ORDERS = 3
 SPLIT = 4096                           # members of a bucket whose minor ones share a task
-_MADE: dict = {}                       # scratch tables of the run under way
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -185,10 +186,11 @@ def _text_key(words: list[bytes]) -> bytes:
     return xxhash.xxh3_128_digest(b" ".join(words))
 
 
-def _store(df: DataFrame, name: str) -> DataFrame:
+def _store(df: DataFrame, name: str, made: list) -> DataFrame:
+    """``df`` written as a scratch table, whose path is added to ``made``."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    _MADE.setdefault(df.sparkSession, []).append(path)
+    made.append(path)
     return df.sparkSession.read.parquet(path)
 
 
@@ -200,7 +202,15 @@ def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
         for b in batches:                 # an id may also stand for other texts
             same = [_text_key(x.split()) == k for k, x in zip(b.column(0).to_pylist(), as_bytes(b.column(1)))]
             yield b.filter(pa.array(same, pa.bool_()))
-    return found.mapInArrow(run, "rep binary, text string").groupBy("rep").agg(F.first("text").alias("text"))
+
+    def key(batches):
+        for b in batches:
+            keys = [_text_key(x.split()) for x in as_bytes(b.column(0))]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), b.column(0)], ["rep", "text"])
+    found = found.mapInArrow(run, "rep binary, text string")
+    nameless = rows.where("doc_id is null").select("text").mapInArrow(key, "rep binary, text string")
+    nameless = nameless.join(wanted.where("doc_id is null").select("rep"), "rep", "left_semi")
+    return found.unionByName(nameless).groupBy("rep").agg(F.first("text").alias("text"))
 
 
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -223,28 +233,41 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a binary, b binary, sim double")
 
 
-def connected(links: DataFrame, max_rounds: int = 100) -> DataFrame:
+def connected(links: DataFrame, made: list | None = None, max_rounds: int = 100) -> DataFrame:
     """(node, root): the smallest node of its component, for all nodes of
     ``links`` (a, b).  Smallest neighbour, then pointer jumping, until stable."""
-    both = _store(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
+    made, spark = [] if made is None else made, links.sparkSession
+    both = _store(links.select("a", "b").union(links.select("b", "a")).distinct(), "links", made)
     label = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root"))
-    label = _store(label, "labels")
-    before = []
+    label = _store(label, "labels", made)
     for _ in range(max_rounds):
         near = (both.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node"))
                 .agg(F.min("root").alias("near")))
         up = label.select(F.col("node").alias("root"), F.col("root").alias("up"))
         new = (label.join(near, "node").join(up, "root", "left")
                .select("node", F.col("root").alias("old"), F.least("root", "near", "up").alias("root")))
-        new = _store(new, "labels")
-        before.append(_MADE[links.sparkSession].pop(-2))     # the labels before: read for the last time
+        before = made.pop()
+        new = _store(new, "labels", made)
         label = new.select("node", "root")
-        if not new.where("old <> root").limit(1).count():
-            drop_scratch(links.sparkSession, *before)
+        settled = not new.where("old <> root").limit(1).count()
+        drop_scratch(spark, before)              # the labels before: read for the last time
+        if settled:
             return label
     raise RuntimeError("components did not settle")
 
 
+def _joined(groups: DataFrame, links: DataFrame, made: list) -> DataFrame:
+    """(node, root) of ``groups`` with more links: only the roots that the links
+    touch are gone through."""
+    at = lambda c: groups.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    ends = links.select("a", "b").join(at("a"), "a", "left").join(at("b"), "b", "left")
+    a, b = F.coalesce("root_a", "a"), F.coalesce("root_b", "b")
+    up = connected(ends.select(a.alias("a"), b.alias("b")).where("a <> b").distinct(), made)
+    old = groups.join(up.select(F.col("node").alias("root"), F.col("root").alias("up")), "root", "left")
+    old = old.select("node", F.coalesce("up", "root").alias("root"))
+    return _store(old.unionByName(up.join(groups, "node", "left_anti").select("node", "root")), "groups", made)
+
+
 def _hub_pairs(members: DataFrame, salt: int) -> DataFrame:
     """In each bucket, a hub against every other member.  The hub is the member
     of least hash in one of ``HUB_ORDERS`` orders, taken in turn over the bands,
@@ -267,7 +290,7 @@ def _mixed(members: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def _cells(texts: DataFrame) -> DataFrame:
-    """(rep, n, cells, repeats): a 32-bit hash of every unit cell of the text's
+    """(rep, n, cells, repeats): a 64-bit hash of every unit cell of the text's
     bag, and how many of them equal another one before."""
     def run(batches):
         hasher = WordHasher()
@@ -277,20 +300,21 @@ def _cells(texts: DataFrame) -> DataFrame:
             for bag in bags:
                 at = np.arange(len(bag))
                 number = at - np.maximum.accumulate(np.where(np.concatenate(([True], bag[1:] != bag[:-1])), at, 0))
-                cells.append(mix64(bag ^ mix64(number.astype(np.uint64) + _ODD)).astype(np.uint32).view(np.int32))
+                cells.append(mix64(bag ^ mix64(number.astype(np.uint64) + _ODD)).view(np.int64))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(len, bags)), pa.int32()),
-                                              pa.array(cells, pa.list_(pa.int32())),
+                                              pa.array(cells, pa.list_(pa.int64())),
                                               pa.array([len(c) - len(np.unique(c)) for c in cells], pa.int32())], ["rep", "n", "cells", "repeats"])
-    return texts.select("rep", "text").mapInArrow(run, "rep binary, n int, cells array<int>, repeats int")
+    return texts.select("rep", "text").mapInArrow(run, "rep binary, n int, cells array<long>, repeats int")
 
 
 def _cross_pairs(mixed: DataFrame, reps: DataFrame, texts: DataFrame, min_similarity: float) -> DataFrame:
-    """Pairs of a minor member and a member of another component that share a
-    bucket and, by their hashed cells, are similar enough.  The test is part of
-    the join, so only links leave it; a pair is tested in its first common
-    band; the hashes repeated inside a text are added, as the intersection drops
-    them, so no similar pair is refused.  The minor members of a large bucket
-    are spread over several tasks."""
+    """Links between a minor member and members of other components that share a
+    bucket with it and are similar enough: one for each member and component,
+    taken where they are found, before any shuffle.  The test is part of the
+    join.  It is the exact similarity on 64-bit cells; repeated ones, which the
+    intersection drops, are added, so no similar pair is refused.  A pair is
+    tested in its first common band; the minor members of a large bucket are
+    spread over several tasks."""
     cells = _cells(texts.join(mixed.select("rep").distinct(), "rep", "left_semi"))
     per = mixed.groupBy("band", "key").agg((F.floor(F.count(F.lit(1)) / SPLIT) + 1).cast("int").alias("splits"))
     at = mixed.join(per, ["band", "key"]).join(reps.select("rep", "keys"), "rep").join(cells, "rep")
@@ -302,8 +326,8 @@ def _cross_pairs(mixed: DataFrame, reps: DataFrame, texts: DataFrame, min_simila
     alike = both >= min_similarity * (F.col("n_x") + F.col("n_y") - both)
     near = F.least("n_x", "n_y") >= min_similarity * F.greatest("n_x", "n_y")
     test = F.when(F.col("root_x") == F.col("root_y"), False).when(~near, False).when(~first, False).otherwise(alike)
-    pairs = x.join(y, ["band", "key", "split"]).where(test)
-    return pairs.select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct()
+    found = x.join(y, ["band", "key", "split"]).where(test).groupBy("rep_x", "root_y").agg(F.min("rep_y").alias("rep_y"))
+    return found.select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct()
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_similarity: float = SIMILARITY,
@@ -311,34 +335,32 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     """One row per input row: doc_id, class_id (the smallest doc_id of its
     group) and copy_of (the smallest doc_id whose words are equal); with
     ``with_words`` also words_key and group_key, null where the text has no word."""
-    spark = docs.sparkSession
+    made: list = []
     rows = _keyed(docs, id_col, text_col)
-    sketch = _store(_sketch(rows), "sketch")
+    sketch = _store(_sketch(rows), "sketch", made)
     # one representative per distinct word sequence; copies end here
     reps = sketch.where("keys is not null").groupBy(F.col("words_key").alias("rep")).agg(
         F.first("keys").alias("keys"), F.min("doc_id").alias("doc_id"))
-    reps = _store(reps, "reps")
-    buckets = reps.where("doc_id is not null").select("rep", "doc_id", F.posexplode("keys").alias("band", "key"))
+    reps = _store(reps, "reps", made)
+    buckets = reps.select("rep", "doc_id", F.posexplode("keys").alias("band", "key"))
     shared = buckets.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    members = _store(buckets.join(shared, ["band", "key"]), "buckets")
-    texts = _store(_texts(rows, members.select("rep", "doc_id").distinct()), "texts")
+    members = _store(buckets.join(shared, ["band", "key"]), "buckets", made)
+    texts = _store(_texts(rows, members.select("rep", "doc_id").distinct()), "texts", made)
     members = members.drop("doc_id")
-    checked = _store(_verify(_hub_pairs(members, 0), texts), "checked")
+    checked = _store(_verify(_hub_pairs(members, 0), texts), "checked", made)
     close = F.col("sim") >= min_similarity
-    groups = connected(checked.where(close))
+    groups = connected(checked.where(close), made)
     # again with other hubs, in the buckets that hold several components
-    mixed = _store(_mixed(members, groups), "mixed")
+    mixed = _store(_mixed(members, groups), "mixed", made)
     new = _hub_pairs(mixed, HUB_ORDERS).join(checked.select("a", "b"), ["a", "b"], "left_anti")
-    again = _store(_verify(new, texts), "checked")
+    again = _store(_verify(new, texts), "checked", made)
     if again.where(close).limit(1).count():
-        groups = connected(checked.unionByName(again).where(close))
-        mixed = _store(_mixed(mixed.select("band", "key", "rep"), groups), "mixed")
-    # what is left: any two members of one bucket in different components
-    checked = checked.unionByName(again)
-    new = _cross_pairs(mixed, reps, texts, min_similarity).join(checked.select("a", "b"), ["a", "b"], "left_anti")
-    rest = _store(_verify(new, texts), "checked")
+        groups = _joined(groups, again.where(close), made)
+        mixed = _store(_mixed(mixed.select("band", "key", "rep"), groups), "mixed", made)
+    # what is left: members of one bucket in different components
+    rest = _store(_verify(_cross_pairs(mixed, reps, texts, min_similarity), texts), "checked", made)
     if rest.where(close).limit(1).count():
-        groups = connected(checked.unionByName(rest).where(close))
+        groups = _joined(groups, rest.where(close), made)
     named = reps.select("rep", "doc_id").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.withColumn("root", F.coalesce("root", "rep"))
     first = named.groupBy("root").agg(F.min("doc_id").alias("class_of"))
@@ -346,8 +368,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
                                               F.col("root").alias("group_key"))
     out = sketch.select("doc_id", "words_key").join(named, "words_key", "left")
     out = _store(out.select("doc_id", F.coalesce("class_of", "doc_id").alias("class_id"),
-                            F.coalesce("copy_", "doc_id").alias("copy_of"), *["words_key", "group_key"] * with_words), "classes")
-    drop_scratch(spark, *_MADE.pop(spark, [])[:-1])
+                            F.coalesce("copy_", "doc_id").alias("copy_of"), *["words_key", "group_key"] * with_words), "classes", made)
+    drop_scratch(docs.sparkSession, *made[:-1])
     return out
 
 
@@ -358,7 +380,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     found = classes(docs, id_col, text_col, with_words=True)
     is_first = F.col("doc_id") == F.col("class_id")
     keep = _store(found.groupBy(F.col("doc_id").alias("_keep_id")).agg(F.count(F.lit(1)).alias("_rows"), F.max(is_first).alias("_first"))
-                  .where("_first"), "keep")
+                  .where("_first"), "keep", [])
     id_ = F.col(id_col).cast("long")
     stay = docs.join(keep.where("_rows = 1").select("_keep_id"), id_ == F.col("_keep_id"), "left_semi")
     # ids that stand for several rows: one row of each group, found by its words
