@@ -4,7 +4,8 @@ The vocabulary cuts a normalised text into pieces with a fixed pattern and
 codes each piece on its own; no piece spans white space.  So a word needs to
 be coded once per worker, and a new word only for its new pieces.  A text with
 characters whose normalisation depends on tables or context (outside
-Latin script and general punctuation) goes to the library whole.
+Latin script and general punctuation), or that may hold a special token, goes
+to the library whole.
 """
 
 from __future__ import annotations
@@ -58,8 +59,7 @@ class WordCacheTokenizer:
     def __init__(self, path: str, max_words: int = 500_000, max_pieces: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer = Tokenizer.from_file(path)      # a special token's string in a text is that token, as the library has it
         self.words, self.pieces = _Memory(max_words), _Memory(max_pieces)   # bounds of memory
 
     @classmethod
