@@ -2,18 +2,20 @@
 
 Strong parts (assignments, access ids, long hex) are always reported.  Weak
 parts - short assigned values, random-looking tokens, user names, endpoints -
-are reported only where complementary parts lie within ``REACH`` code points
-of them in the same scope (a part of a text between blank lines):
+are reported only where complementary parts lie in the same scope (a part of a
+text between blank lines), however far apart, or, with ``reach``, within so many
+code points:
 
 * a short value or token needs an identifier (access id or user) or an endpoint,
 * a user needs a secret, an endpoint needs both an identifier and a secret.
 
-Parts are found per text; the linking is an interval join in Spark.  Positions
-are cut into bins of REACH, each (scope, bin, role) is summed up by its first
-start and last end, and a weak part looks at its own bins and the two next to
-them.  That is exact, since inside one bin everything is within reach, and it
-makes a handful of rows per part instead of a row per pair.  Texts are never
-shuffled, parts are few.
+Parts are found per text; the linking is an interval join in Spark: a scope is
+the interval, summed up by role, and a weak part looks up the roles it needs.
+With ``reach``, positions are cut into bins of that size, each (scope, bin,
+role) is summed up by its first start and last end, and a weak part looks at
+its own bins and the two next to them.  That is exact, since inside one bin
+everything is within reach, and it makes a handful of rows per part instead of a
+row per pair.  Texts are never shuffled, parts are few.
 
 Defined cases: null and empty texts have no parts; repeated rows are scanned
 and linked on their own; a null id is kept; other columns are not read; an
@@ -24,6 +26,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,7 +36,6 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 from .common import as_text
 
-REACH = 256
 KINDS = ("assign", "access", "hex", "short", "token", "user", "endpoint")
 ROLE = {"assign": "secret", "access": "identifier", "hex": "secret", "short": "secret", "token": "secret",
         "user": "identifier", "endpoint": "endpoint"}
@@ -68,6 +71,19 @@ def strong_parts(text: str) -> list[tuple[int, str, int]]:
     return out
 
 
+class Spans:
+    """Spans sorted by start, with the furthest end so far: an overlap is one bisection."""
+
+    def __init__(self, spans):
+        spans = sorted(spans)
+        self.starts = [a for a, _ in spans]
+        self.ends = list(accumulate((b for _, b in spans), max))
+
+    def meet(self, start: int, end: int) -> bool:
+        at = bisect_left(self.starts, end)           # spans that begin before ``end``
+        return at > 0 and self.ends[at - 1] > start
+
+
 def weak_parts(text: str, strong: list) -> list[tuple[int, str, int]]:
     """Candidates that overlap no strong part."""
     out = []
@@ -82,9 +98,9 @@ def weak_parts(text: str, strong: list) -> list[tuple[int, str, int]]:
             t = m[0]
             if len(t) >= 20 and any(map(str.isdigit, t)) and any(map(str.isupper, t)) and any(map(str.islower, t)) and "//" not in t:
                 out.append((at + m.start(), "token", at + m.end()))
-    taken = [(a, b) for a, _, b in strong] + [(a, b) for a, k, b in out if k != "token"]
-    free = lambda a, b, spans: not any(a < y and x < b for x, y in spans)
-    return [p for p in out if free(p[0], p[2], taken if p[1] == "token" else taken[:len(strong)])]
+    strong_spans = Spans((a, b) for a, _, b in strong)
+    all_spans = Spans([(a, b) for a, _, b in strong] + [(a, b) for a, k, b in out if k != "token"])
+    return [p for p in out if not (all_spans if p[1] == "token" else strong_spans).meet(p[0], p[2])]
 
 
 def _join(parts) -> str:
@@ -111,39 +127,43 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 counts.append([names.count(k) for k in KINDS[:3]])
                 base.append(_join(strong))
                 shas.append(hashlib.sha256(base[-1].encode()).hexdigest())
-                parts.append([{"kind": k, "start": a, "end": e, "scope": sum(x < a for x in breaks)} for a, k, e in every] if weak else [])
+                parts.append([{"kind": k, "start": a, "end": e, "scope": bisect_left(breaks, a)} for a, k, e in every] if weak else [])
             cols = [b.column(0), *(pa.array([c[i] for c in counts], pa.int64()) for i in range(3)),
                     pa.array(base, pa.string()), pa.array(shas, pa.string()), pa.array(parts, pa.list_(kind))]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_assign", "n_access", "n_hex", "base", "base_sha256", "parts"])
     return rows.mapInArrow(run, f"doc_id {id_type}, n_assign long, n_access long, n_hex long, base string, base_sha256 string, parts array<{part}>")
 
 
-def link(parts: DataFrame, reach: int = REACH) -> DataFrame:
+def link(parts: DataFrame, reach: int | None = None) -> DataFrame:
     """The weak parts that complementary parts support.  ``parts``: (row, scope,
     kind, start, end); returns the same columns."""
     role = F.create_map(*(F.lit(x) for kv in ROLE.items() for x in kv))
     parts = parts.withColumn("role", role[F.col("kind")])
-    first, last = F.floor(F.col("start") / reach), F.floor((F.col("end") - 1) / reach)
-    bins = (parts.withColumn("bin", F.explode(F.sequence(first, last)))
-            .groupBy("row", "scope", "role", "bin").agg(F.min("start").alias("lo"), F.max("end").alias("hi")))
     weak = parts.where(~F.col("kind").isin(*KINDS[:3]))
     wanted = F.when(F.col("role") == "secret", F.array(F.lit("identifier"), F.lit("endpoint"))).when(
         F.col("role") == "identifier", F.array(F.lit("secret"))).otherwise(F.array(F.lit("identifier"), F.lit("secret")))
-    looks = weak.withColumn("other", F.explode(wanted)).withColumn("bin", F.explode(F.sequence(first - 1, last + 1)))
-    near = looks.join(bins.withColumnRenamed("role", "other"), ["row", "scope", "other", "bin"])
-    near = near.where((F.col("lo") - F.col("end") <= reach) & (F.col("start") - F.col("hi") <= reach))
+    looks = weak.withColumn("other", F.explode(wanted))
+    if reach is None:
+        there = parts.select("row", "scope", F.col("role").alias("other")).distinct()
+        near = looks.join(there, ["row", "scope", "other"])
+    else:
+        first, last = F.floor(F.col("start") / reach), F.floor((F.col("end") - 1) / reach)
+        bins = (parts.withColumn("bin", F.explode(F.sequence(first, last)))
+                .groupBy("row", "scope", F.col("role").alias("other"), "bin").agg(F.min("start").alias("lo"), F.max("end").alias("hi")))
+        near = looks.withColumn("bin", F.explode(F.sequence(first - 1, last + 1))).join(bins, ["row", "scope", "other", "bin"])
+        near = near.where((F.col("lo") - F.col("end") <= reach) & (F.col("start") - F.col("hi") <= reach))
     key = ["row", "scope", "kind", "start", "end", "role"]
     found = near.groupBy(*key).agg(F.count_distinct("other").alias("n"))
     return found.where((F.col("role") != "endpoint") | (F.col("n") == 2)).select(*key[:-1])
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int | None = None) -> DataFrame:
     """doc_id, counts and digest of the strong parts, and all reported spans."""
     spark = docs.sparkSession
     path = scratch_path(spark, "secret-parts")
     scan(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()).write.parquet(path)
     rows = spark.read.parquet(path)
-    linked = link(rows.select("row", F.inline("parts")).select("row", "scope", "kind", "start", "end"))
+    linked = link(rows.select("row", F.inline("parts")).select("row", "scope", "kind", "start", "end"), reach)
     spans = F.concat_ws(":", "kind", F.col("start").cast("string"), F.col("end").cast("string"))
     order = F.create_map(*(F.lit(x) for i, k in enumerate(KINDS) for x in (k, i)))
     added = linked.groupBy("row").agg(F.collect_list(F.struct("start", order[F.col("kind")].alias("at"), spans.alias("span"))).alias("added"))
