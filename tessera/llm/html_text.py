@@ -1,14 +1,20 @@
 """Operator 5: main text of a page by minimum-cut labelling of its blocks.
 
-A page is read into blocks of text (runs of text between block-level tags)
-with the element path of each.  A linear classifier gives every block a cost
-for either label, which become the capacities of its edges to the terminals.
-Neighbouring blocks are joined by smoothness edges, and every block with the
-elements that hold it (an element is a node without costs of its own, so
-blocks close in the DOM pull each other and edges grow only with the page).
-The minimum cut gives the labelling of least total cost.  Blocks whose own
-cost outweighs all their edges are fixed first, which keeps the cut exact and
-leaves few nodes for the max-flow.
+A page is read into blocks of text (runs of text between block-level tags) and
+the tree of the elements that hold them.  Blocks and elements are the nodes of
+one graph; a cut gives each the label content or boilerplate.
+
+* Terminal capacities: a block's cost is a linear classifier of its words, end,
+  links and tag, with weights fitted on a bounded sample of pages, where blocks
+  in elements of known meaning are the examples.  An element's cost is what its
+  own tag and names say, once for every block that it holds.
+* Smoothness: neighbouring blocks, and each block or element with the element
+  that holds it.  The latter are directed: boilerplate inside content costs a
+  little, content inside boilerplate more than the content can be worth.
+
+So a menu takes its paragraphs with it, a short caption stays with the article
+around it, and the cut decides every block from all of this at once.  Nodes whose
+own cost outweighs all their edges are fixed first, which keeps the cut exact.
 
 Defined cases: null and empty pages give an empty text; repeated rows give
 equal rows; a null id or url is kept; other columns are not read; unclosed
@@ -21,6 +27,7 @@ import re
 from collections import deque
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,32 +51,56 @@ _BAD_NAME = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|captc
                        r"login|masthead|menu|modal|nav\w*|newsletter|notice|pagination|popup|promo\w*|related|replies|search|share|"
                        r"sidebar|signup|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
 _GOOD_NAME = re.compile(r"(?:^|[\s_-])(?:article|content|entry|main|post|story|text|body)(?:$|[\s_-])", re.I)
-#: Cost of calling a block boilerplate (positive) or content (negative) by the
-#: elements that hold it; the strongest of each sign counts.
+#: What an element's tag says about each block in it (positive: content).
 HOLDER = {"article": 4.0, "main": 3.0, "nav": -9.0, "footer": -8.0, "header": -6.0, "aside": -8.0, "form": -7.0, "menu": -8.0,
           "dialog": -8.0, "head": -20.0, "fieldset": -6.0, "figcaption": 0.5}
-NEIGHBOUR, CONTAINER = 0.6, 0.5
+BAD_NAME, GOOD_NAME = -8.0, 2.0
+NEIGHBOUR = 0.6                   # two blocks that follow one another with different labels
+HOLDS, CONTAINS = 1.5, 0.5        # a boilerplate block, or element, in an element that is content
+FEATURES = ("bias", "words", "sentence", "linked", "heading", "paragraph", "item")
+#: Weights before any page is seen, and how many blocks they are worth in the fit.
+WEIGHTS = (-0.8, 1.5, 0.5, -3.0, 0.0, 0.0, 0.0)
+PRIOR = 30.0
+LIMIT = 4.0                       # largest cost of a block
+SAMPLE_PAGES = 2000
+_TAG_KIND = {**dict.fromkeys(("h1", "h2", "h3", "h4", "h5", "h6"), 1), "p": 2, "blockquote": 2, "pre": 2,
+             **dict.fromkeys(("li", "td", "th", "dd", "dt", "option"), 3)}
 
 
 class Block:
-    __slots__ = ("text", "path", "linked", "pull")
+    __slots__ = ("text", "holder", "linked", "kind")
+
+    def __init__(self, text, holder, linked, kind):
+        self.text, self.holder, self.linked, self.kind = text, holder, linked, kind
+
+    def traits(self) -> tuple[int, int, int, int]:
+        """Words (up to 12), ends like a sentence, mostly links, kind of tag."""
+        return (min(self.text.count(" ") + 1, 12), int(self.text[-1] in ".!?\"'”’:;…"), int(self.linked > 0.5), self.kind)
+
+
+class Page:
+    """Blocks in page order; per element its parent and what its tag and names say."""
 
-    def __init__(self, text, path, linked, pull):
-        self.text, self.path, self.linked, self.pull = text, path, linked, pull
+    def __init__(self):
+        self.blocks, self.parent, self.evidence = [], [-1], [0.0]
 
 
-def blocks(html: str) -> list[Block]:
-    """Text blocks in page order with the numbers of the elements that hold them."""
-    out, parts, linked = [], [], 0
-    stack = [("html", 0, 0.0, 0.0)]          # name, element number, best and worst holder cost
-    number, in_link, at = 0, 0, 0
+def vector(traits) -> list[float]:
+    words, sentence, linked, kind = traits
+    return [1.0, words / 12, sentence, linked, float(kind == 1), float(kind == 2), float(kind == 3)]
+
+
+def parse(html: str) -> Page:
+    page, parts, linked = Page(), [], 0
+    stack = [("html", 0)]                    # name, element number
+    in_link, at = 0, 0
 
     def flush():
         nonlocal parts, linked
         text = " ".join("".join(parts).split())
         if text:
-            _, _, good, bad = stack[-1]
-            out.append(Block(text, [e[1] for e in stack], min(1.0, linked / len(text)), good + bad))
+            name, element = stack[-1]
+            page.blocks.append(Block(text, element, min(1.0, linked / len(text)), _TAG_KIND.get(name, 0)))
         parts, linked = [], 0
 
     def take(text):
@@ -123,34 +154,77 @@ def blocks(html: str) -> list[Block]:
                     break
         if name in VOID:
             continue
-        number += 1
-        _, _, good, bad = stack[-1]
-        cost = HOLDER.get(name, 0.0)
+        said = HOLDER.get(name, 0.0)
         for names in _NAMES.findall(m[3]) if m[3] else ():
             names = "".join(names)
             if _BAD_NAME.search(names):
-                cost = min(cost, -8.0)
-            elif cost >= 0 and _GOOD_NAME.search(names):
-                cost = max(cost, 2.0)
-        stack.append((name, number, max(good, cost), min(bad, cost)))
+                said = min(said, BAD_NAME)
+            elif said >= 0 and _GOOD_NAME.search(names):
+                said = max(said, GOOD_NAME)
+        stack.append((name, len(page.parent)))
+        page.parent.append(stack[-2][1])
+        page.evidence.append(said)
     flush()
-    return out
+    return page
+
 
+def cost(b: Block, weights=WEIGHTS) -> float:
+    """Cost of leaving the block out, less the cost of keeping it, for itself."""
+    return max(-LIMIT, min(LIMIT, sum(w * x for w, x in zip(weights, vector(b.traits())))))
 
-def cost(b: Block) -> float:
-    """Cost of leaving the block out, less the cost of keeping it."""
-    words = b.text.count(" ") + 1
-    c = -0.8 + b.pull
-    c += 0.25 * min(words, 12) / 2
-    if b.text[-1] in ".!?\"'”’:;…":
-        c += 0.5
-    if b.linked > 0.5:
-        c -= 3.0 * b.linked
-    return c
+
+def examples(page: Page):
+    """(traits, label) of the blocks in elements of known meaning: 0 where some
+    element around says boilerplate, 1 where one says content and none the other."""
+    good, bad = [], []
+    for parent, said in zip(page.parent, page.evidence):        # a parent comes before its children
+        good.append(said >= 3 or parent >= 0 and good[parent])
+        bad.append(said <= -6 or parent >= 0 and bad[parent])
+    for b in page.blocks:
+        if bad[b.holder] or good[b.holder]:
+            yield b.traits(), int(not bad[b.holder])
+
+
+def fit(counts: dict, prior=WEIGHTS, strength: float = PRIOR) -> tuple[float, ...]:
+    """Logistic regression on (traits, label) -> number of blocks, held to
+    ``prior`` as by ``strength`` blocks; Newton's method."""
+    w = start = np.array(prior, float)
+    if counts:
+        x = np.array([vector(t) for t, _ in counts], float)
+        y = np.array([label for _, label in counts], float)
+        n = np.array(list(counts.values()), float)
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            slope = x.T @ (n * (y - p)) - strength * (w - start)
+            step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + strength * np.eye(len(w)), slope)
+            w = w + step
+            if np.abs(step).max() < 1e-9:
+                break
+    return tuple(float(v) for v in w)
+
+
+def learn(pages: DataFrame, html_col: str = "html", sample_pages: int = SAMPLE_PAGES) -> tuple[float, ...]:
+    """Weights of the block costs from about ``sample_pages`` pages, chosen by a
+    hash of the whole row.  Only numbers of blocks by traits reach the driver."""
+    total = pages.count()
+    every = max(1, -(-total // sample_pages))
+    rows = pages.where(F.pmod(F.xxhash64(*pages.columns), F.lit(every)) == 0).select(F.col(html_col).cast("string").alias("html"))
+    names = ["words", "sentence", "linked", "kind", "label"]
+
+    def count(batches):
+        found: dict = {}
+        for b in batches:
+            for html in as_text(b.column(0)):
+                for traits, label in examples(parse(html)):
+                    found[*traits, label] = found.get((*traits, label), 0) + 1
+        columns = list(zip(*found)) or [()] * 5
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int32()) for c in columns), pa.array(list(found.values()), pa.int64())], [*names, "n"])
+    seen = rows.mapInArrow(count, ", ".join(f"{c} int" for c in names) + ", n long").groupBy(*names).agg(F.sum("n").alias("n"))
+    return fit({(tuple(r[:4]), r[4]): r["n"] for r in seen.collect()})
 
 
 def _max_flow(n: int, unary: list[float], edges: dict) -> list[bool]:
-    """Source side of a minimum cut (Dinic).  ``edges``: (i, j) -> capacity both ways."""
+    """Source side of a minimum cut (Dinic).  ``edges``: (i, j) -> capacities i to j and j to i."""
     s, t = n, n + 1
     to, cap, adj = [], [], [[] for _ in range(n + 2)]
 
@@ -166,8 +240,8 @@ def _max_flow(n: int, unary: list[float], edges: dict) -> list[bool]:
             add(s, i, u, 0.0)
         elif u < 0:
             add(i, t, -u, 0.0)
-    for (i, j), c in edges.items():
-        add(i, j, c, c)
+    for (i, j), (c, back) in edges.items():
+        add(i, j, c, back)
     while True:
         level = [-1] * (n + 2)
         level[s] = 0
@@ -207,73 +281,115 @@ def _max_flow(n: int, unary: list[float], edges: dict) -> list[bool]:
                 u = to[path.pop() ^ 1]
 
 
-def min_cut(unary: list[float], edges: dict) -> list[bool]:
-    """The labelling (True: content) of least cost: a block called boilerplate
-    pays max(0, unary), one called content max(0, -unary), and an edge between
-    different labels its capacity."""
-    n = len(unary)
-    near: list[dict] = [{} for _ in range(n)]
+def _reduced(unary: list[float], edges: dict) -> tuple[list, list[float], dict]:
+    """Labels that follow from costs above all edges (None: open), the costs of
+    the open nodes with what the fixed ones add, and the edges between them."""
+    n, unary = len(unary), list(unary)
+    to: list[dict] = [{} for _ in range(n)]              # to[i][j]: paid if i is content and j is not
     for (i, j), c in edges.items():
-        near[i][j] = near[i].get(j, 0.0) + c
-        near[j][i] = near[j].get(i, 0.0) + c
-    unary, label = list(unary), [None] * n
+        there, back = c if isinstance(c, tuple) else (c, c)
+        to[i][j] = to[i].get(j, 0.0) + there
+        to[j][i] = to[j].get(i, 0.0) + back
+    out = [sum(x.values()) for x in to]
+    into = [0.0] * n
+    for x in to:
+        for j, c in x.items():
+            into[j] += c
+    label: list = [None] * n
     todo = deque(range(n))
-    while todo:                               # a cost above all edges decides a node
+    while todo:
         i = todo.popleft()
-        if label[i] is not None or abs(unary[i]) <= sum(near[i].values()) and near[i]:
+        if label[i] is not None:
+            continue
+        if not to[i]:
+            label[i] = unary[i] > 0
+        elif unary[i] > out[i] + 1e-9:
+            label[i] = True
+        elif -unary[i] > into[i] + 1e-9:
+            label[i] = False
+        else:
             continue
-        label[i] = unary[i] > 0
-        for j, c in near[i].items():
-            del near[j][i]
-            unary[j] += c if label[i] else -c
-            if label[j] is None:
-                todo.append(j)
-        near[i] = {}
-    open_ = [i for i in range(n) if label[i] is None]
+        for j in to[i]:
+            there, back = to[i][j], to[j].pop(i)
+            out[j] -= back
+            into[j] -= there
+            unary[j] += there if label[i] else -back
+            todo.append(j)
+        to[i] = {}
+    return label, unary, {(i, j): (c, to[j][i]) for i in range(n) for j, c in to[i].items() if i < j}
+
+
+def min_cut(unary: list[float], edges: dict) -> list[bool]:
+    """The labelling (True: content) of least cost: a node called boilerplate
+    pays max(0, unary), one called content max(0, -unary), and an edge (i, j)
+    between different labels its capacity, or, if it has two, the first where i
+    is the content and the second where j is."""
+    label, unary, edges = _reduced(unary, edges)
+    open_ = [i for i, x in enumerate(label) if x is None]
     if open_:
         place = {i: k for k, i in enumerate(open_)}
-        rest = {(place[i], place[j]): c for i in open_ for j, c in near[i].items() if i < j}
+        rest = {(place[i], place[j]): c for (i, j), c in edges.items()}
         for i, keep in zip(open_, _max_flow(len(open_), [unary[i] for i in open_], rest)):
             label[i] = keep
     return label
 
 
-def graph(found: list[Block]) -> tuple[list[float], dict]:
-    """Costs and edges: blocks first, then the elements that hold them."""
-    unary, edges, place = [cost(b) for b in found], {}, {}
-
-    def node(element):
-        if element not in place:
-            place[element] = len(unary)
-            unary.append(0.0)
-        return place[element]
-    for i, b in enumerate(found):
-        if i:
-            edges[i - 1, i] = NEIGHBOUR
-        child = i
-        for depth, element in enumerate(reversed(b.path[-3:])):     # the three nearest elements
-            parent = node(element)
-            edges[min(child, parent), max(child, parent)] = CONTAINER / (depth + 1)
-            child = parent
+def graph(page: Page, weights=WEIGHTS) -> tuple[list[float], dict]:
+    """Costs and edges: blocks first, then the elements that hold them.  The
+    page itself is content, so what it holds pays for being boilerplate."""
+    blocks, parent, evidence = page.blocks, page.parent, page.evidence
+    held = [0] * len(parent)
+    for b in blocks:
+        held[b.holder] += 1
+    for e in range(len(parent) - 1, 0, -1):              # a parent has a smaller number than its children
+        held[parent[e]] += held[e]
+    unary = [cost(b, weights) for b in blocks]
+    worth = [max(0.0, u) + 2 * NEIGHBOUR for u in unary]     # most that the node's being content can save
+    node: list = [None] * len(parent)                    # of the nearest element around that is a node
+    up: list = [None] * len(blocks)                      # node of what holds a node; None: the page itself
+    for e in range(1, len(parent)):
+        node[e] = node[parent[e]]
+        if held[e] > 1 or held[e] and evidence[e]:       # else it says nothing and stands for its one block
+            up.append(node[e])
+            node[e] = len(unary)
+            unary.append(evidence[e] * held[e])
+            worth.append(max(0.0, unary[-1]))
+    for i, b in enumerate(blocks):
+        up[i] = node[b.holder]
+    for i in [*range(len(blocks)), *range(len(unary) - 1, len(blocks) - 1, -1)]:
+        if up[i] is not None:
+            worth[up[i]] += worth[i]
+    edges = {}
+    for i, holder in enumerate(up):
+        little = HOLDS if i < len(blocks) else CONTAINS
+        if holder is None:
+            unary[i] += little
+        else:
+            edges[i, holder] = (worth[i] + 1.0, little)
+    for i in range(1, len(blocks)):
+        edges[i - 1, i] = (NEIGHBOUR, NEIGHBOUR)
     return unary, edges
 
 
-def main_text(html: str) -> str:
-    found = blocks(html)
-    if not found:
+def main_text(html: str, weights=WEIGHTS) -> str:
+    page = parse(html)
+    if not page.blocks:
         return ""
-    label = min_cut(*graph(found))
-    return "\n".join(b.text for b, keep in zip(found, label) if keep)
+    label = min_cut(*graph(page, weights))
+    return "\n".join(b.text for b, keep in zip(page.blocks, label) if keep)
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, text and n_chars, one row per page; no shuffle."""
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
+            weights: tuple[float, ...] | None = None) -> DataFrame:
+    """page_id, url, text and n_chars, one row per page; no shuffle.  Without
+    ``weights`` they are learned from the pages."""
+    weights = weights or learn(pages, html_col)
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
 
     def run(batches):
         for b in batches:
-            texts = [main_text(h) for h in as_text(b.column(2))]
+            texts = [main_text(h, weights) for h in as_text(b.column(2))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()),
                                               pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
     return rows.mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
