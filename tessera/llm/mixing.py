@@ -5,13 +5,16 @@ words and cut into blocks of ``BLOCK_WORDS``.  Slot t of the mix takes the van
 der Corput point of t, looks it up in the cumulative target shares, and so
 names a source; the k-th slot of a source takes that source's k-th block, and
 the stream starts again when it ends.  Every prefix of the mix is thus close
-to the weights.
+to the weights.  What a document gives is read off the join of slots with
+blocks; ``sequence`` is that join, the mix in its order.
 
 Targets: sources in code point order (null last) weigh 1, 2, 3, 1, ...; they
 share all words by weight; a target stops at ``MAX_REPEATS`` times the words
 of its source and the excess is shared again by weight.
 
-Scale: only (row, source, size) is shuffled, never texts.  A source's stream
+Scale: only (row, source, size) and, per block, (row, words) are shuffled, never
+texts; slots and blocks meet on (source, block number), which no source skews.
+The table of sources, one row each, is on the driver.  A source's stream
 is cut by hash into ranges, so word positions come from a window inside a
 (source, range) and a carry over ranges; slots are ranked inside fixed runs of
 slots with a carry over runs.  No window covers a whole source.
@@ -23,6 +26,8 @@ other in the stream, each with its own words; an empty table gives no rows.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,15 +70,15 @@ def schedule(spark, shares: list[tuple[int, float]], n_slots: int) -> DataFrame:
     # van der Corput in base 2: the bits of the slot number, mirrored
     point = F.reverse(F.lpad(F.conv(F.col("slot").cast("string"), 10, 2), 48, "0"))
     point = F.conv(point, 2, 10).cast("long") / F.lit(float(1 << 48))
-    source, at = F.lit(shares[-1][0]), 0.0
-    edges = []
-    for number, share in shares:
-        at += share
-        edges.append((at, number))
-    for edge, number in reversed(edges[:-1]):
-        source = F.when(F.col("point") < F.lit(edge), F.lit(number)).otherwise(source)
-    slots = spark.range(n_slots).select(F.col("id").alias("slot")).withColumn("point", point)
-    slots = slots.select("slot", source.cast("int").alias("source_no"), F.floor(F.col("slot") / SLOT_RUN).alias("run"))
+    numbers = np.array([n for n, _ in shares], np.int32)
+    edges = np.cumsum([share for _, share in shares])[:-1]       # the last source has what is left
+
+    def look_up(batches):
+        for b in batches:
+            at = np.searchsorted(edges, b.column(1).to_numpy(), "right")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(numbers[at], pa.int32())], ["slot", "source_no"])
+    slots = spark.range(n_slots).select(F.col("id").alias("slot"), point.alias("point")).mapInArrow(look_up, "slot long, source_no int")
+    slots = slots.withColumn("run", F.floor(F.col("slot") / SLOT_RUN))
     inside = Window.partitionBy("source_no", "run").orderBy("slot")
     # runs before this one: one row per (source, run)
     runs = slots.groupBy("source_no", "run").agg(F.count(F.lit(1)).alias("n"))
@@ -88,11 +93,31 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """(rows, slots).  rows: doc_id, source, tie, size, source_size, target,
     stream_start, taken, one per input row; slots: the schedule, with the block
     of the source's stream that each slot takes and the repeat it is from."""
+    rows, slots, given = _plan(docs, id_col, text_col, source_col, block_words, seed)
+    taken = given.groupBy("rid").agg(F.sum("words").alias("taken"))
+    rows = rows.join(taken, "rid", "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
+    first = F.col("rank") * block_words
+    slots = slots.select("slot", "source", (first % F.col("source_size")).alias("block_start"),
+                         F.floor(first / F.col("source_size")).alias("repeat"))
+    return rows.select("doc_id", "source", "tie", "size", "source_size", "target", "stream_start", "taken"), slots
+
+
+def sequence(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+             block_words: int = BLOCK_WORDS, seed: int = 7) -> DataFrame:
+    """The mix itself: (slot, at, source, doc_id, tie, first_word, words).  Slots
+    in order, and inside a slot its parts by ``at``, are the words of the mix."""
+    rows, _, given = _plan(docs, id_col, text_col, source_col, block_words, seed)
+    return given.join(rows.select("rid", "source", "doc_id", "tie"), "rid").select("slot", "at", "source", "doc_id", "tie", "first_word", "words")
+
+
+def _plan(docs: DataFrame, id_col, text_col, source_col, block_words, seed):
+    """rows, one per input row; slots (slot, source_no, rank, source, source_size);
+    and what the slots take: (rid, slot, at, first_word, words)."""
     spark = docs.sparkSession
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
                        F.xxhash64(F.coalesce(text, F.lit(""))).alias("tie"), n_words(text).alias("size"))
-    rows = rows.withColumn("place", F.xxhash64("doc_id", "tie", F.lit(seed)))
+    rows = rows.withColumn("place", F.xxhash64("doc_id", "tie", F.lit(seed))).withColumn("rid", F.monotonically_increasing_id())
     rows = materialize(rows, "mix-sizes")
     per_source = rows.groupBy("source").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("docs")).collect()
     sizes = {r["source"]: r["words"] for r in per_source}
@@ -101,7 +126,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     total = sum(goal.values())
     shares = [(i, goal[s] / total) for i, s in enumerate(names) if total > 0 and goal[s] > 0]
     n_slots = -(-int(total) // block_words) if shares else 0
-    slots = schedule(spark, shares, n_slots) if shares else spark.createDataFrame([], "slot long, source_no int, rank long")
+    slots = materialize(schedule(spark, shares, n_slots), "mix-slots") if shares else spark.createDataFrame([], "slot long, source_no int, rank long")
     # blocks each source gives: the ranks 0 .. n-1 of its slots
     counts = {r["source_no"]: r["n"] for r in slots.groupBy("source_no").agg(F.count(F.lit(1)).alias("n")).collect()}
     per = spark.createDataFrame(
@@ -120,19 +145,21 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
                          F.coalesce(F.sum("words").over(before), F.lit(0)).alias("outer"))
     rows = rows.join(parts, F.col("source").eqNullSafe(F.col("s_")) & (F.col("part") == F.col("p_")))
     rows = rows.join(per, F.col("source").eqNullSafe(F.col("source_")))
-    # blocks 0 .. slots-1 of the repeated stream, at most MAX_REPEATS times over
-    given = F.least(F.col("slots") * block_words, F.col("source_size") * MAX_REPEATS)
-    start = F.col("outer") + F.col("inner")
-    whole = F.when(F.col("source_size") > 0, F.floor(given / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    rest = given - whole * F.col("source_size")
-    taken = whole * F.col("size") + F.least(F.greatest(rest - start, F.lit(0)), F.col("size"))
-    rows = rows.select("doc_id", "source", "tie", "size", "source_size", "target", start.cast("long").alias("stream_start"),
-                       taken.cast("long").alias("taken"))
+    rows = rows.select("rid", "doc_id", "source", "tie", "size", "source_size", "target", "source_no", "slots",
+                       (F.col("outer") + F.col("inner")).cast("long").alias("stream_start"))
     slots = slots.join(per.select("source_no", F.col("source_").alias("source"), "source_size"), "source_no")
-    first = F.col("rank") * block_words
-    slots = slots.select("slot", "source", (first % F.col("source_size")).alias("block_start"),
-                         F.floor(first / F.col("source_size")).alias("repeat"))
-    return rows, slots
+    # every time the stream comes round, a document's words lie in these blocks
+    start = F.col("stream_start") + F.col("repeat") * F.col("source_size")
+    parts = rows.where("size > 0 and slots > 0").withColumn("repeat", F.explode(F.array(*map(F.lit, range(MAX_REPEATS)))))
+    parts = parts.select("rid", "source_no", "size", "slots", start.alias("start")).withColumn("low", F.expr(f"start div {block_words}"))
+    parts = parts.where("low < slots").withColumn("high", F.least(F.expr(f"(start + size - 1) div {block_words}"), F.col("slots") - 1))
+    parts = parts.select("rid", "source_no", "size", "start", F.explode(F.sequence("low", "high")).alias("rank"))
+    given = parts.join(slots.select("source_no", "rank", "slot"), ["source_no", "rank"])
+    low = F.greatest("start", F.col("rank") * block_words)
+    high = F.least(F.col("start") + F.col("size"), (F.col("rank") + 1) * block_words)
+    given = given.select("rid", "slot", (low - F.col("rank") * block_words).alias("at"), (low - F.col("start")).alias("first_word"),
+                         (high - low).alias("words"))
+    return rows, slots, given
 
 
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
