@@ -10,8 +10,8 @@ decides each.
 The items are sent to the tasks in blocks of about ``BLOCK_BYTES``; a larger
 item table means more passes over the documents, not a larger broadcast.
 
-Items whose normal form has under ``MIN_BYTES`` bytes must occur unchanged and
-as whole words; they count like the others.
+The rule is one for all lengths.  An item that is too short for any edit (under
+``BYTES_PER_ERROR`` bytes) must stand as whole words, as it may be part of many.
 
 Defined cases: null or empty texts match nothing, nor do items without a
 letter, digit or byte beyond ASCII (their normal form is empty); repeated
@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 from .common import as_text
 
 BYTES_PER_ERROR = 12
-MIN_BYTES = 40
 BLOCK_BYTES = 8 << 20
 _TO_SPACE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -39,7 +38,7 @@ def normal_form(text: str) -> str:
 
 
 def budget(n: int) -> int:
-    return n // BYTES_PER_ERROR if n >= MIN_BYTES else 0
+    return n // BYTES_PER_ERROR
 
 
 def whole_words(form: str, start: int, end: int) -> bool:
@@ -121,7 +120,7 @@ class Matcher:
             item_id, pattern, e, masks = self.items[item]
             m, best = len(pattern), None
             exact = next((s for s in starts if s >= 0 and form.startswith(pattern, s)
-                          and (m >= MIN_BYTES or whole_words(form, s, s + m))), None)
+                          and (e or whole_words(form, s, s + m))), None)
             if exact is not None:
                 best = (0, exact, exact + m)
             elif e:
