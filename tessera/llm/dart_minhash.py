@@ -400,6 +400,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         wanted = found.where(is_first).join(several, F.col("doc_id") == F.col("_keep_id")).groupBy("_keep_id", "group_key").agg(
             F.coalesce(F.min("words_key"), F.lit(_text_key([]))).alias("_keep_words"))
         rows = rows.join(wanted, (F.col(i).cast("long") == F.col("_keep_id")) & (F.col("_words") == F.col("_keep_words")), "left_semi")
-        rows = rows.dropDuplicates([i, "_words"]).select(*names).toDF(*docs.columns)
+        # of rows that differ in other columns only, always the same one
+        one = F.min_by(F.struct(*names), F.xxhash64(F.to_json(F.struct(*names))))
+        rows = rows.groupBy(i, "_words").agg(one.alias("_row")).select("_row.*").toDF(*docs.columns)
         stay = stay.unionByName(rows)
     return stay.unionByName(docs.where(F.col(id_col).isNull()))
