@@ -83,9 +83,12 @@ def test_secrets_link_only_where_parts_meet(spark, empty):
     split = "password: abc\n\nuser=alice"
     rows = [(1, near), (2, far), (3, split), (4, None), (5, ""), (6, "token = " + "a1" * 20), (6, "AKIA" + "A" * 12)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {(r["doc_id"], r["n_assign"], r["n_access"]): r for r in secrets.find_secrets(df).collect()}
+    got = {(r["doc_id"], r["n_assign"], r["n_access"]): r for r in secrets.find_secrets(df, reach=256).collect()}
     assert {s.split(":")[0] for s in got[1, 0, 0]["spans"].split(",")} == {"short", "user", "endpoint"}
     assert got[2, 0, 0]["spans"] == "" and got[3, 0, 0]["spans"] == ""
+    # without a reach the scope is the interval: parts link however far apart
+    whole = {r["doc_id"]: r["spans"] for r in secrets.find_secrets(df.where("doc_id < 4")).collect()}
+    assert {s.split(":")[0] for s in whole[2].split(",")} == {"short", "user"} and whole[3] == ""
     none = hashlib.sha256(b"").hexdigest()
     assert got[4, 0, 0]["base_sha256"] == none and got[5, 0, 0]["spans"] == ""
     assert got[6, 1, 0]["spans"] == "assign:0:48,hex:8:48" and got[6, 0, 1]["n_hex"] == 0
