@@ -4,6 +4,11 @@ Each stage takes (spark, docs, sf_dir), works on all rows that the stage
 before it kept, and returns a DataFrame; it is written as Parquet in the
 shared scratch folder and read again as the next stage's ``docs``.  All but
 the last return the columns of ``documents``.
+
+Defined cases, as the operators state them: null and empty texts are rejected by
+the quality rules; rows of one id with different words are told apart, rows equal
+in id and words become one; a row with a null id is kept by every stage that does
+not reject its text; an empty table goes through all stages and gives no rows.
 """
 
 from __future__ import annotations
@@ -46,7 +51,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("mix", mix), ("tokens", tokens)]
 
-#: Tokens and the similarity of texts are beyond SQL; tests/llm holds a brute-force version.
+#: Tokens and the similarity of texts are beyond SQL; tests/llm/test_brute_force.py has the stages in plain Python.
 ORACLE_SQL = None
 
 
