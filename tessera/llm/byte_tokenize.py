@@ -12,13 +12,11 @@ from __future__ import annotations
 
 import os
 import re
-import sys
-from array import array
 from operator import itemgetter
 
 import numpy as np
 
-from .tokenize import _ALPHABET, _OTHER
+from .tokenize import _ALPHABET, _OTHER, Remembered, id_bytes
 
 #: The pattern of the vocabulary's pre-tokenizer (a fixed value of its format).
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
@@ -29,44 +27,6 @@ GROUP = 64                 # texts coded together by the library
 _WORKERS: dict = {}
 
 
-class _Chunks(dict):
-    """Ids by chunk, learned when first asked for.  A chunk stands for itself
-    after one space; with a space before it, for itself without one.  When full,
-    the entries become the older ones, from which those in use come back."""
-
-    def __init__(self, library, code, kind: str, most: int):
-        self.library, self.code, self.kind, self.half, self.older = library, code, kind, most // 2, {}
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.older.get(chunk)
-        if ids is None:
-            ids = self.learn(chunk)
-        if len(chunk) <= LONGEST:
-            self[chunk] = ids
-        return ids
-
-    def turn(self):
-        if len(self) > self.half:
-            self.older = dict(self)
-            self.clear()
-
-    def learn(self, chunk: str) -> bytes:
-        if chunk.isascii() and chunk.isalpha():          # one piece of letters that stand for themselves
-            letters = "Ġ" + chunk
-        else:
-            text = chunk[1:] if chunk[:1] == " " else " " + chunk
-            if _OTHER.search(text):
-                return self.library([text])[0]
-            pieces = _PIECE.findall(text)
-            if len(pieces) != 1:
-                return b"".join([self[p[1:] if p[0] == " " else " " + p] for p in pieces])
-            letters = text.encode().decode("latin-1").translate(_ALPHABET)
-        ids = array(self.kind, [t.id for t in self.code(letters)])
-        if sys.byteorder == "big":
-            ids.byteswap()
-        return ids.tobytes()
-
-
 class ChunkCacheTokenizer:
     """Ids as little-endian bytes per text (``dtype``); equal to the library's ids."""
 
@@ -77,7 +37,9 @@ class ChunkCacheTokenizer:
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
-        self.chunks = _Chunks(self._library, self.tokenizer.model.tokenize, "H" if self.dtype == "<u2" else "I", max_chunks)
+        self.code, self.kind = self.tokenizer.model.tokenize, "H" if self.dtype == "<u2" else "I"
+        #: A chunk stands for itself after one space; with a space before it, for itself without one.
+        self.chunks = Remembered(self._learn, max_chunks, LONGEST)
 
     @classmethod
     def of_worker(cls, path: str) -> "ChunkCacheTokenizer":
@@ -88,6 +50,17 @@ class ChunkCacheTokenizer:
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, chunk: str) -> bytes:
+        if chunk.isascii() and chunk.isalpha():          # one piece of letters that stand for themselves
+            return id_bytes(self.code("Ġ" + chunk), self.kind)
+        text = chunk[1:] if chunk[:1] == " " else " " + chunk
+        if _OTHER.search(text):
+            return self._library([text])[0]
+        pieces = _PIECE.findall(text)
+        if len(pieces) != 1:
+            return b"".join([self.chunks[p[1:] if p[0] == " " else " " + p] for p in pieces])
+        return id_bytes(self.code(text.encode().decode("latin-1").translate(_ALPHABET)), self.kind)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list = [None] * len(texts)
         whole, known = [], self.chunks

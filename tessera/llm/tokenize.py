@@ -14,6 +14,7 @@ import os
 import re
 import sys
 from array import array
+from operator import itemgetter
 
 import numpy as np
 
@@ -27,40 +28,47 @@ _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _ALPHABET = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - _PRINTABLE))}
 _WORKERS: dict = {}
-GROUP = 64                 # texts whose new words are coded together
+GROUP = 64                 # texts coded together by the library
 
 
-class _Memory:
-    """Entries of two generations: when the younger is full it becomes the
-    older one, from which entries in use come back, so common words stay."""
+class Remembered(dict):
+    """Ids by key, learned when first asked for.  When full, the entries become
+    the older ones, from which those in use come back, so common keys stay."""
 
-    def __init__(self, most: int):
-        self.half, self.young, self.older = most // 2, {}, {}
+    def __init__(self, learn, most: int, longest: int = 64):
+        self.learn, self.half, self.longest, self.older = learn, most // 2, longest, {}
+
+    def __missing__(self, key: str) -> bytes:
+        ids = self.older.get(key)
+        if ids is None:
+            ids = self.learn(key)
+        if len(key) <= self.longest:
+            self[key] = ids
+        return ids
 
     def turn(self):
-        if len(self.young) > self.half:
-            self.young, self.older = {}, self.young
-
-    def missing(self, keys: set) -> list:
-        """The keys in neither generation; those of the older one come back."""
-        new = keys.difference(self.young)
-        older, out = self.older, []
-        for k in new:                 # word by word: a set operation would walk all of ``older``
-            if k in older:
-                self.young[k] = older[k]
-            else:
-                out.append(k)
-        return out
+        if len(self) > self.half:
+            self.older = dict(self)
+            self.clear()
+
+
+def id_bytes(tokens, kind: str = "H") -> bytes:
+    """Ids of a model's tokens as little-endian bytes."""
+    ids = array(kind, [t.id for t in tokens])
+    if sys.byteorder == "big":
+        ids.byteswap()
+    return ids.tobytes()
 
 
 class WordCacheTokenizer:
     """Ids as little-endian uint16 bytes per text; equal to the library's ids."""
 
-    def __init__(self, path: str, max_words: int = 500_000, max_pieces: int = 1_000_000):
+    def __init__(self, path: str, max_words: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)      # a special token's string in a text is that token, as the library has it
-        self.words, self.pieces = _Memory(max_words), _Memory(max_pieces)   # bounds of memory
+        self.code = self.tokenizer.model.tokenize
+        self.words = Remembered(self._learn, max_words)
 
     @classmethod
     def of_worker(cls, path: str) -> "WordCacheTokenizer":
@@ -72,37 +80,26 @@ class WordCacheTokenizer:
         for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
             yield np.asarray(e.ids, dtype="<u2").tobytes()
 
-    def _learn(self, words: list[str]) -> None:
-        cut = [_PIECE.findall(w) for w in words]
-        new = self.pieces.missing({p for ps in cut for p in ps})
-        code = self.tokenizer.model.tokenize
-        for p in new:                 # the pieces are normal already: only the byte alphabet and the merges are left
-            plain = p.isascii() and p.isprintable()         # then its letters stand for themselves
-            ids = [t.id for t in code(p if plain else p.encode().decode("latin-1").translate(_ALPHABET))]
-            a = array("H", ids)
-            if sys.byteorder == "big":
-                a.byteswap()
-            self.pieces.young[p] = a.tobytes()
-        get = self.pieces.young.__getitem__
-        self.words.young.update((w, get(ps[0]) if len(ps) == 1 else b"".join(map(get, ps))) for w, ps in zip(words, cut))
+    def _learn(self, word: str) -> bytes:
+        # the word is normal already: only the byte alphabet and the merges are left
+        if word.isascii() and word.isalpha():
+            return id_bytes(self.code(word))
+        pieces = _PIECE.findall(word)
+        if len(pieces) != 1 or pieces[0] != word:
+            return b"".join([self.words[p] for p in pieces])
+        plain = word.isascii() and word.isprintable()       # then its letters stand for themselves
+        return id_bytes(self.code(word if plain else word.encode().decode("latin-1").translate(_ALPHABET)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list = [None] * len(texts)
-        whole = []
-        for first in range(0, len(texts), GROUP):
-            held = []
-            for i in range(first, min(len(texts), first + GROUP)):
-                if _OTHER.search(texts[i]):
-                    whole.append(i)
-                else:
-                    held.append((i, texts[i].lower().split()))
-            if new := self.words.missing(set().union(*(w for _, w in held))):
-                self._learn(new)
-            get = self.words.young.__getitem__
-            for i, words in held:
-                out[i] = b"".join(map(get, words))
-            self.words.turn()
-            self.pieces.turn()
+        whole, known = [], self.words
+        for i, text in enumerate(texts):
+            if _OTHER.search(text):
+                whole.append(i)
+                continue
+            words = text.lower().split()
+            out[i] = b"".join(itemgetter(*words)(known)) if len(words) > 1 else b"".join(map(known.__getitem__, words))
+            known.turn()
         for i in range(0, len(whole), GROUP):
             part = whole[i:i + GROUP]
             for j, ids in zip(part, self._library([texts[k] for k in part])):
