@@ -12,8 +12,9 @@ customer to the parent.  ``SWEEPS`` Gibbs sweeps resample the tables of every
 dish given all others; the predictive probabilities of the last ``SAMPLES``
 are averaged.  In a sweep, restaurants of one level are resampled side by side
 from the same state, which is what lets them run in parallel.  The word
-contexts start with one table per pair, are swept under the parent that this
-gives, and the parent is seated again by the tables they end with.
+contexts start with one table per pair; then ``ROUNDS`` times the parent is
+seated by the tables of the contexts and the contexts are swept under the parent
+that this gives, and at last the parent is seated by the tables they end with.
 
 Unknown words are one outcome of ``score``, as they are of the smoothed
 unigram ``base_score`` that it stands beside (V + 1 outcomes each): the chance
@@ -57,6 +58,8 @@ WORD_STRENGTH = 10.0             # the discounts of words and pairs come from th
 PAIR_STRENGTH = 1.0
 BYTE_DISCOUNT, BYTE_STRENGTH = 0.6, 1.0
 SWEEPS, SAMPLES = 6, 3
+ROUNDS = 2                       # times that words and contexts are seated in turn
+BUCKET_BYTES = 32 << 20          # text for one bucket of words
 SEED = 20
 _PARTS = "kind string, bucket int, chunk long, a binary, b binary, c binary, n long, m long"
 
@@ -66,17 +69,22 @@ _PARTS = "kind string, bucket int, chunk long, a binary, b binary, c binary, n l
 def seat(customers: np.ndarray, open_weight: np.ndarray, discount: float, rng) -> np.ndarray:
     """Tables of each dish after seating its customers one after the other; a
     customer opens a table with weight ``open_weight`` against n - discount *
-    tables.  Beyond 64 customers, runs of up to n / 8 are drawn at once."""
+    tables.  The customers between two tables are passed over by a geometric
+    step at the present chance, which only falls until the next table; the
+    customer reached opens one with the share of that chance that is left."""
     c = np.asarray(customers, np.int64)
-    t = (c > 0).astype(np.int64)
-    at, n = np.flatnonzero(c > 1), 1
+    weight = np.asarray(open_weight, float)
+    t, n = (c > 0).astype(np.int64), np.ones(len(c), np.int64)
+    at = np.flatnonzero((c > 1) & (weight > 0))
     while len(at):
-        run = max(1, n // 8) if n >= 64 else 1
-        k = np.minimum(run, c[at] - n)
-        p = open_weight[at] / (open_weight[at] + n + (k - 1) / 2 - discount * t[at])
-        t[at] += (rng.random(len(at)) < p) if run == 1 else rng.binomial(k, np.clip(p, 0, 1))
-        n += run
-        at = at[c[at] > n]
+        w = weight[at]
+        chance = w / (w + n[at] - discount * t[at])
+        reached = n[at] + np.minimum(rng.geometric(np.maximum(chance, 1e-15)), c[at]) - 1
+        here = reached < c[at]
+        at, reached, chance, w = at[here], reached[here], chance[here], w[here]
+        t[at] += rng.random(len(at)) * chance < w / (w + reached - discount * t[at])
+        n[at] = reached + 1
+        at = at[n[at] < c[at]]
     return t
 
 
@@ -470,7 +478,7 @@ def _merge_pairs(buckets: int):
     return run
 
 
-def _seat_words(types: int, discount: float, last: bool):
+def _seat_words(types: int, discount: float, turn: int):
     """Rows 'l' and 'k' of a bucket -> row 'h': log base probability of each
     word, its customers (the tables of its contexts) and tables in each sample,
     its count; n: tables, summed; m: customers."""
@@ -483,7 +491,7 @@ def _seat_words(types: int, discount: float, last: bool):
             if r["kind"] == "k":
                 customers[np.cumsum(_from_planes(r["a"]))] += _from_planes(r["b"])
         weight = (WORD_STRENGTH + discount * types) * np.exp(log_h)
-        rng = np.random.default_rng([SEED, 1 << 20, int(last), row["bucket"]])
+        rng = np.random.default_rng([SEED, 1 << 20, turn, row["bucket"]])
         tables = np.stack([seat(customers, weight, discount, rng) for _ in range(SAMPLES)])
         return pa.Table.from_batches([_batch([_row("h", row["bucket"], -1, pack(log_h), pack(np.stack([customers, tables.sum(axis=0)])),
                                                    pack(c), int(tables.sum()), int(customers.sum()))])])
@@ -524,7 +532,7 @@ def seat_pairs(context: np.ndarray, c: np.ndarray, parent: np.ndarray, discount:
     return t, direct, share
 
 
-def _seat_pairs(buckets: int, discount: float):
+def _seat_pairs(buckets: int, discount: float, turn: int):
     """Rows 'm', 'i' and 'g' of a bucket -> rows 'k' as before with the tables
     of each word here, and 'a': per chunk the probabilities of its pairs
     without the parent's share, and that share in each of its contexts."""
@@ -540,7 +548,7 @@ def _seat_pairs(buckets: int, discount: float):
             odds, given = np.zeros(len(words)), {r["chunk"]: r["a"] for r in rows if r["kind"] == "g"}
             for to, at in by_bucket(words, buckets):
                 odds[at] = unpack(given[to], np.float32)
-            t, direct, share = seat_pairs(context, c, odds[word], discount, np.random.default_rng([SEED, 1 << 21, bucket]))
+            t, direct, share = seat_pairs(context, c, odds[word], discount, np.random.default_rng([SEED, 1 << 21, turn, bucket]))
             tables = np.bincount(word, weights=t).astype(np.int64)
             for to, at in by_bucket(words, buckets):
                 out.append(_row("k", to, bucket, _planes(np.diff(words[at] // buckets, prepend=0)), _planes(tables[at])))
@@ -612,7 +620,6 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and
     open_score (log10) of every row; learns from the rows that ``is_held`` refuses."""
     spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     made = []
 
     def store(df, name):
@@ -621,6 +628,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return spark.read.parquet(made[-1])
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     folder = scratch_path(spark, "lm-texts")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(size) // BUCKET_BYTES))     # a bucket stays as large as it is
     chunks = store(rows.mapInArrow(_to_chunks(buckets, is_held, folder), _PARTS), "lm-chunks")
     vocab = store(chunks.where("kind = 'w'").groupBy("bucket").applyInArrow(_merge_words(buckets), _PARTS), "lm-vocab")
     total = vocab.where("kind = 'v'").agg(F.sum("n"), F.sum("m")).first()
@@ -649,18 +658,22 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     once = pairs.where("kind = 'm'").agg(F.sum("n"), F.sum("m")).first()
     pair_discount = min(0.95, max(0.05, (once[0] or 0) / max(1, (once[0] or 0) + 2 * (once[1] or 0))))
 
-    def seated(links, last):
+    def seated(links, turn):
         """Rows 'h' by the tables in ``links``; customers and tables over all."""
-        h = words.unionByName(links).groupBy("bucket").applyInArrow(_seat_words(types, discount, last), _PARTS)
+        h = words.unionByName(links).groupBy("bucket").applyInArrow(_seat_words(types, discount, turn), _PARTS)
         h = store(h, "lm-seated")
         total = h.agg(F.sum("m"), F.sum("n")).first()
         return h, total[0] or 0, (total[1] or 0) / SAMPLES
     links = pairs.where("kind = 'k'")
-    h, customers, tables = seated(links, False)
-    odds = h.unionByName(links).groupBy("bucket").applyInArrow(_give_odds(customers, tables, discount), _PARTS).where("kind = 'g'")
-    contexts = pairs.where("kind in ('m', 'i')").unionByName(odds).groupBy("bucket").applyInArrow(_seat_pairs(buckets, pair_discount), _PARTS)
-    contexts = store(contexts, "lm-contexts")
-    h, customers, tables = seated(contexts.where("kind = 'k'"), True)
+    for turn in range(ROUNDS):                       # words by the tables of their contexts, contexts under the words
+        h, customers, tables = seated(links, turn)
+        odds = h.unionByName(links).groupBy("bucket").applyInArrow(_give_odds(customers, tables, discount), _PARTS).where("kind = 'g'")
+        contexts = pairs.where("kind in ('m', 'i')").unionByName(odds).groupBy("bucket").applyInArrow(_seat_pairs(buckets, pair_discount, turn), _PARTS)
+        contexts = store(contexts, "lm-contexts")
+        if turn:
+            drop_scratch(spark, made.pop(-3))        # the contexts of the turn before
+        links = contexts.where("kind = 'k'")
+    h, customers, tables = seated(links, ROUNDS)
     answers = numbers.unionByName(h).groupBy("bucket").applyInArrow(_answer(customers, tables, discount, known), _PARTS)
     parts = texts.unionByName(numbers).unionByName(contexts.where("kind = 'a'")).unionByName(answers)
     scored = parts.groupBy("chunk").applyInArrow(
