@@ -94,13 +94,14 @@ class FirstRows(StatefulProcessor):
         pass
 
 
-def first_rows(trials_stream: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """The first row of every (study, trial_number), all columns (append mode)."""
+def first_rows(trials_stream: DataFrame, slots: int = SLOTS, mode: str = "Append") -> DataFrame:
+    """The first row of every (study, trial_number), all columns; ``mode`` is the
+    output mode of the query it stands in."""
     # inside, columns go by place: the worker accepts only names that a Python tuple can have
     names = [f"c{i}" for i in range(len(trials_stream.columns))]
     schema = StructType([StructField(n, f.dataType) for n, f in zip(names, trials_stream.schema)])
     keyed = trials_stream.select(*[F.col(c).alias(n) for c, n in zip(trials_stream.columns, names)], F.col("study").alias("key"), *_places(slots))
-    rows = keyed.groupBy("key", "slot").transformWithStateInPandas(FirstRows(names), schema, "Append", "None")
+    rows = keyed.groupBy("key", "slot").transformWithStateInPandas(FirstRows(names), schema, mode, "None")
     return rows.toDF(*trials_stream.columns)
 
 

@@ -9,18 +9,11 @@ from tessera.operators.trials import TREND_EPS, TREND_WINDOW, scored
 from tessera.streaming.trial_state import SLOTS, first_rows, two_level_trend
 
 
-def once(trials_stream: DataFrame) -> DataFrame:
-    """The first row of every (study, trial_number).  Exact for rows of any
-    age: the state holds one key per trial, spread over the state partitions
-    by both columns, so no watermark drops a late new trial."""
-    return trials_stream.dropDuplicates(["study", "trial_number"])
-
-
 def stream_best(trials_stream: DataFrame) -> DataFrame:
     """Per study: completed count and best completed trial so far by
     composite score, earliest on ties (str_running_best).  Update mode.
-    A trial sent again is dropped; one without a score counts but is never best."""
-    s = scored(once(trials_stream))
+    A trial sent again is dropped, by runs of seen numbers; one without a score counts but is never best."""
+    s = scored(first_rows(trials_stream.select("study", "trial_number", "state", "divergence", "hits", "total"), mode="Update"))
     done = F.col("state") == "COMPLETE"
     key = F.when(done & F.col("score").isNotNull(), F.struct("score", "trial_number"))
     val = F.struct(F.col("trial_number").alias("best_trial"), F.col("divergence").alias("best_divergence"),

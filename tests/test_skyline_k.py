@@ -82,11 +82,11 @@ def test_a_trial_without_score_is_never_best(spark):
 
 
 def test_a_streamed_trial_without_score_is_never_best(spark, tmp_path):
-    from tessera.streaming.sinks import read_latest, run_updates
+    from tessera.streaming.sinks import read_latest, run_updates, stream_session
     from tessera.streaming.trials_stream import stream_best
     df = _log(spark)
-    df.write.parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
+    df.unionByName(df).write.parquet(f"{tmp_path}/in")
+    stream = stream_session(spark, 2).readStream.schema(df.schema).parquet(f"{tmp_path}/in")
     run_updates(stream_best(stream), f"{tmp_path}/out", f"{tmp_path}/ck")
     got = {r.study: (r.completed, r.best_trial) for r in read_latest(spark, f"{tmp_path}/out", ["study"]).collect()}
     assert got == {"s": (7, 7), "none": (1, None)}
