@@ -60,6 +60,13 @@ def id_bytes(tokens, kind: str = "H") -> bytes:
     return ids.tobytes()
 
 
+def odd(text: str) -> bool:
+    """Whether the text holds what ``_OTHER`` finds; in ASCII that is little to look for."""
+    if text.isascii():
+        return "<|" in text or any(c in text for c in "\x1c\x1d\x1e\x1f")
+    return _OTHER.search(text) is not None
+
+
 class WordCacheTokenizer:
     """Ids as little-endian uint16 bytes per text; equal to the library's ids."""
 
@@ -94,7 +101,7 @@ class WordCacheTokenizer:
         out: list = [None] * len(texts)
         whole, known = [], self.words
         for i, text in enumerate(texts):
-            if _OTHER.search(text):
+            if odd(text):
                 whole.append(i)
                 continue
             words = text.lower().split()
