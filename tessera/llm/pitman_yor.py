@@ -58,7 +58,7 @@ WORD_STRENGTH = 10.0             # the discounts of words and pairs come from th
 PAIR_STRENGTH = 1.0
 BYTE_DISCOUNT, BYTE_STRENGTH = 0.6, 1.0
 SWEEPS, SAMPLES = 6, 3
-ROUNDS = 2                       # times that words and contexts are seated in turn
+ROUNDS = 1                       # times that words and contexts are seated in turn
 BUCKET_BYTES = 32 << 20          # text for one bucket of words
 SEED = 20
 _PARTS = "kind string, bucket int, chunk long, a binary, b binary, c binary, n long, m long"
