@@ -1,14 +1,19 @@
 """State of the trial streams, kept small: seen trial numbers as runs, and the
 trend in two levels.
 
-A study's trials are dealt over ``SLOTS`` state groups by trial number modulo
+A study's trials are dealt over ``SLOTS`` slots by trial number modulo
 ``SLOTS``.  Inside a slot the numbers of a study that numbers its trials one
 after another are consecutive again (number div ``SLOTS``), so what was seen is
-one run however long the study lasts: the state of a study is ``SLOTS`` groups
-of a run each, plus one run per gap.  A study that holds most of the trials is
-``SLOTS`` groups, not one.
+one run however long the study lasts: the state of a study is a run in each
+slot, plus one run per gap.  A study that holds most of the trials is
+``SLOTS`` state groups, not one.
 
-Both operators use ``transformWithStateInPandas``; a session made by
+Studies share state groups: ``BUCKETS`` by the hash of the study in each slot.
+A call of Python and a trip to the state store cost about the same for one
+study as for thousands, so a batch costs as many of them as there are groups,
+and inside a group the studies are gone through as arrays.
+
+The operators use ``transformWithStateInPandas``; a session made by
 ``streaming.sinks.stream_session`` has the state store that this needs.
 """
 
@@ -18,63 +23,113 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
-from pyspark.sql.types import (ArrayType, DoubleType, LongType, StringType,
+from pyspark.sql.types import (ArrayType, BinaryType, DoubleType, LongType, StringType,
                                StructField, StructType)
 
 from tessera.functions.fmt import TREND_SYMBOLS
 from tessera.operators.trials import TREND_EPS, TREND_WINDOW, scored
 
 SLOTS = 8
-_RUN = StructType([StructField("lo", LongType()), StructField("hi", LongType())])
+BUCKETS = 128                   # fixed in a stream's checkpoint, like its state partitions
 _NONE = -(1 << 62)              # place of a row without trial number
 
 
+def first_places(runs, groups: np.ndarray, places: np.ndarray):
+    """Which (group, place) lie in none of ``runs`` and stand here for the first
+    time, and the runs with these added; runs that touch become one.  ``runs``:
+    arrays (group, lo, hi), disjoint, in the order of group and lo."""
+    n = len(runs[0])
+    group, lo, hi = (np.concatenate((r, x)) for r, x in zip(runs, (groups, places, places)))
+    order = np.lexsort((lo, group))                        # stable: a run stands before a place at its start
+    group, lo, hi = group[order], lo[order], hi[order]
+    is_run, at = order < n, np.arange(len(order))
+    last = np.maximum.accumulate(np.where(is_run, at, -1))
+    inside = (last >= 0) & (group[last] == group) & (lo <= hi[last])
+    again = np.concatenate(([False], (group[1:] == group[:-1]) & (lo[1:] == lo[:-1])))
+    new = ~is_run & ~inside & ~again
+    mask = np.zeros(len(places), bool)
+    mask[order[new] - n] = True
+    group, lo, hi = (x[is_run | new] for x in (group, lo, hi))
+    start = np.concatenate(([True], (group[1:] != group[:-1]) | (lo[1:] > hi[:-1] + 1)))[:len(lo)]
+    end = np.append(start[1:], True)[:len(lo)]
+    return mask, (group[start], lo[start], hi[end])
+
+
+def _one_group(runs: list[tuple[int, int]]):
+    lo, hi = np.array(runs, np.int64).reshape(-1, 2).T
+    return np.zeros(len(lo), np.int64), lo, hi
+
+
 def unseen(runs: list[tuple[int, int]], places: np.ndarray) -> np.ndarray:
-    """Which of ``places`` lie in none of the sorted, disjoint ``runs``."""
-    if not runs:
-        return np.ones(len(places), bool)
-    lo, hi = np.array(runs, np.int64).T
-    at = np.searchsorted(lo, places, "right") - 1
-    return (at < 0) | (places > hi[at])
+    """Which of ``places``, each given once, lie in none of the sorted, disjoint ``runs``."""
+    return first_places(_one_group(runs), np.zeros(len(places), np.int64), places)[0]
 
 
 def add_places(runs: list[tuple[int, int]], places: np.ndarray) -> list[tuple[int, int]]:
-    """``runs`` with ``places`` (none of them in a run) added; runs that touch become one."""
-    both = np.array([*runs, *zip(places, places)], np.int64).reshape(-1, 2)
-    both = both[np.argsort(both[:, 0])]
-    new = np.concatenate(([True], both[1:, 0] > both[:-1, 1] + 1))
-    first = np.flatnonzero(new)
-    last = np.concatenate((first[1:] - 1, [len(both) - 1]))
-    return [(int(a), int(b)) for a, b in zip(both[first, 0], both[last, 1])]
+    """``runs`` with ``places`` added; runs that touch become one."""
+    _, (_, lo, hi) = first_places(_one_group(runs), np.zeros(len(places), np.int64), places)
+    return list(zip(lo.tolist(), hi.tolist()))
 
 
-def _places(slots: int):
-    """Slot of a trial number, and its place inside the slot."""
+def _places(slots: int, buckets: int):
+    """Bucket of a study, slot of a trial number, and its place inside the slot."""
     n = F.col("trial_number").cast("long")
-    return [F.coalesce(F.pmod(n, F.lit(slots)), F.lit(-1)).cast("int").alias("slot"),
+    return [F.pmod(F.xxhash64("study"), F.lit(buckets)).cast("int").alias("bucket"),
+            F.coalesce(F.pmod(n, F.lit(slots)), F.lit(-1)).cast("int").alias("slot"),
             F.coalesce(F.floor(n / slots).cast("long"), F.lit(_NONE)).alias("place")]
 
 
+class _Table:
+    """Rows of a state group as one value of Arrow bytes: a column ``study`` and others."""
+
+    def __init__(self, handle, name: str, **others):
+        import pyarrow as pa
+        self.schema = pa.schema({"study": pa.string(), **others})
+        self.value = handle.getValueState(name, StructType([StructField("rows", BinaryType())]))
+
+    def get(self) -> list[np.ndarray]:
+        import pyarrow as pa
+        if not self.value.exists():
+            return [np.array([], object if f.name == "study" else f.type.to_pandas_dtype()) for f in self.schema]
+        t = pa.ipc.open_stream(bytes(self.value.get()[0])).read_all()
+        return [c.to_numpy() for c in t.columns]
+
+    def put(self, columns) -> None:
+        import pyarrow as pa
+        arrays = [pa.array(c, f.type, from_pandas=f.name == "study") for c, f in zip(columns, self.schema)]
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, self.schema) as out:
+            out.write_batch(pa.RecordBatch.from_arrays(arrays, schema=self.schema))
+        self.value.update((sink.getvalue().to_pybytes(),))
+
+
+def _numbered(*studies):
+    """Numbers of the studies of several arrays in the order in which they come, and the studies by number."""
+    import pandas as pd
+    codes, names = pd.factorize(np.concatenate([np.asarray(s, object) for s in studies]), use_na_sentinel=False)
+    return np.split(codes, np.cumsum([len(s) for s in studies])[:-1]), names
+
+
 class _Seen:
-    """First rows of places not met before, batch by batch."""
+    """First rows of (study, place) not met before, batch by batch."""
 
     def __init__(self, handle):
-        self.runs = handle.getListState("seen", _RUN)
+        import pyarrow as pa
+        self.runs = _Table(handle, "seen", lo=pa.int64(), hi=pa.int64())
 
     def first_rows(self, rows):
-        runs = [(int(r[0]), int(r[1])) for r in self.runs.get()]
-        before = list(runs)
+        study, lo, hi = self.runs.get()
+        changed = False
         for pdf in rows:
             if pdf.empty:
                 continue
-            pdf = pdf.drop_duplicates("place")
-            places = pdf["place"].to_numpy()
-            new = unseen(runs, places)
+            (of_run, of_row), names = _numbered(study, pdf["key"])
+            new, (group, lo_, hi_) = first_places((of_run, lo, hi), of_row, pdf["place"].to_numpy())
             if new.any():
-                runs = add_places(runs, places[new])
+                changed, study, lo, hi = True, names[group], lo_, hi_
                 yield pdf[new]
-        if runs != before:
-            self.runs.put(runs)
+        if changed:
+            self.runs.put((study, lo, hi))
 
 
 class FirstRows(StatefulProcessor):
@@ -94,114 +149,101 @@ class FirstRows(StatefulProcessor):
         pass
 
 
-def first_rows(trials_stream: DataFrame, slots: int = SLOTS, mode: str = "Append") -> DataFrame:
+def _keyed(trials: DataFrame, columns, slots: int, buckets: int):
+    """``columns`` with the study as ``key`` and the place, by bucket and slot."""
+    return trials.select(*columns, F.col("study").alias("key"), *_places(slots, buckets)).groupBy("bucket", "slot")
+
+
+def first_rows(trials_stream: DataFrame, slots: int = SLOTS, mode: str = "Append", buckets: int = BUCKETS) -> DataFrame:
     """The first row of every (study, trial_number), all columns; ``mode`` is the
     output mode of the query it stands in."""
     # inside, columns go by place: the worker accepts only names that a Python tuple can have
     names = [f"c{i}" for i in range(len(trials_stream.columns))]
     schema = StructType([StructField(n, f.dataType) for n, f in zip(names, trials_stream.schema)])
-    keyed = trials_stream.select(*[F.col(c).alias(n) for c, n in zip(trials_stream.columns, names)], F.col("study").alias("key"), *_places(slots))
-    rows = keyed.groupBy("key", "slot").transformWithStateInPandas(FirstRows(names), schema, mode, "None")
-    return rows.toDF(*trials_stream.columns)
+    keyed = _keyed(trials_stream, [F.col(c).alias(n) for c, n in zip(trials_stream.columns, names)], slots, buckets)
+    return keyed.transformWithStateInPandas(FirstRows(names), schema, mode, "None").toDF(*trials_stream.columns)
 
 
 _SLOT_OUT = StructType([StructField("study", StringType()), StructField("slot", LongType()), StructField("completed", LongType()),
                         StructField("numbers", ArrayType(LongType())), StructField("scores", ArrayType(DoubleType()))])
-_SCORED = StructType([StructField("number", LongType()), StructField("score", DoubleType())])
-_COUNT = StructType([StructField("n", LongType())])
-_PART = StructType([StructField("completed", LongType()), StructField("numbers", ArrayType(LongType())),
-                    StructField("scores", ArrayType(DoubleType()))])
-
-
-def _optional(x):
-    return None if x is None or x != x else float(x)
 
 
 class SlotWindow(StatefulProcessor):
-    """Of one slot: how many trials completed, and the last ``w`` of them."""
+    """Of one slot: how many trials of each study completed, and the last ``w`` of them."""
 
     def __init__(self, w):
         self.w = w
 
     def init(self, handle):
+        import pyarrow as pa
         self.seen = _Seen(handle)
-        self.count = handle.getValueState("completed", _COUNT)
-        self.window = handle.getListState("window", _SCORED)
+        self.last = _Table(handle, "last", completed=pa.int64(), number=pa.int64(), score=pa.float64())
 
     def handleInputRows(self, key, rows, timerValues):
         import pandas as pd
-        completed = int(self.count.get()[0]) if self.count.exists() else 0
-        window = [(int(r[0]), _optional(r[1])) for r in self.window.get()]
-        changed = False
+        study, completed, number, score = self.last.get()   # a row for each trial kept; completed is the study's
+        touched = []
         for pdf in self.seen.first_rows(rows):
-            pdf = pdf[pdf["done"]]
-            if len(pdf):
-                changed, completed = True, completed + len(pdf)
-                top = pdf.nlargest(self.w, "trial_number")
-                window += [(int(t), _optional(s)) for t, s in zip(top["trial_number"], top["score"])]
-                window = sorted(window, key=lambda x: x[0])[-self.w:]
-        if changed:
-            self.count.update((completed,))
-            self.window.put(window)
-            yield pd.DataFrame({"study": [key[0]], "slot": [int(key[1])], "completed": [completed],
-                                "numbers": [[t for t, _ in window]], "scores": [[s for _, s in window]]})
+            pdf = pdf[pdf["done"] & pdf["trial_number"].notna()]
+            if pdf.empty:
+                continue
+            (old, new), names = _numbered(study, pdf["key"])
+            before = np.zeros(len(names), np.int64)
+            before[old] = completed
+            count = before + np.bincount(new, minlength=len(names))
+            group = np.concatenate((old, new))
+            number = np.concatenate((number, pdf["trial_number"].to_numpy(np.int64)))
+            score = np.concatenate((score, pdf["score"].to_numpy(np.float64, na_value=np.nan)))
+            order = np.lexsort((number, group))
+            group = group[order]
+            left = np.searchsorted(group, group, "right") - np.arange(len(group))     # rows of the study from here on
+            group, order = group[left <= self.w], order[left <= self.w]
+            study, completed, number, score = names[group], count[group], number[order], score[order]
+            touched.append(names[np.unique(new)])
+        if touched:
+            self.last.put((study, completed, number, score))
+            (group, at), _ = _numbered(study, np.concatenate(touched))
+            at = np.unique(at)
+            first, end = np.searchsorted(group, at), np.searchsorted(group, at, "right")
+            yield pd.DataFrame({"study": study[first], "slot": np.int64(key[1]), "completed": completed[first],
+                                "numbers": [number[a:b] for a, b in zip(first, end)], "scores": [score[a:b] for a, b in zip(first, end)]})
 
     def close(self):
         pass
 
 
-_TREND_OUT = StructType([
-    StructField("study", StringType()), StructField("completed", LongType()),
-    StructField("last_trial", LongType()), StructField("improvement", DoubleType()),
-    StructField("trend", StringType()), StructField("symbol", StringType())])
-
-
-def trend_label(window, completed: int, w: int, eps: float):
-    """(improvement, label) of the last ``w`` (number, score); scores that are
-    None do not count, as in the batch operator's averages."""
-    if completed < w or len(window) < w:
-        return None, "insufficient_data"
-    halves = [[s for _, s in half if s is not None] for half in (window[:w // 2], window[w // 2:])]
-    if not all(halves):
-        return None, "insufficient_data"
-    imp = sum(halves[0]) / len(halves[0]) - sum(halves[1]) / len(halves[1])
-    return imp, "improving" if imp > eps else "degrading" if imp < -eps else "stable"
-
-
-class StudyTrend(StatefulProcessor):
-    """Of one study: what its slots hold (at most ``slots`` lists of ``w``), and the label over them."""
-
-    def __init__(self, w, eps):
-        self.w, self.eps = w, eps
-
-    def init(self, handle):
-        self.parts = handle.getMapState("parts", StructType([StructField("slot", LongType())]), _PART)
-
-    def handleInputRows(self, key, rows, timerValues):
-        import pandas as pd
-        for pdf in rows:
-            for r in () if pdf.empty else pdf.itertuples(index=False):
-                self.parts.updateValue((int(r.slot),), (int(r.completed), [int(x) for x in r.numbers], [_optional(x) for x in r.scores]))
-        completed, window = 0, []
-        for _, part in self.parts.iterator():
-            completed += int(part[0])
-            window += [(int(t), _optional(s)) for t, s in zip(part[1], part[2])]
-        if not window:
-            return
-        window = sorted(window, key=lambda x: x[0])[-self.w:]
-        imp, label = trend_label(window, completed, self.w, self.eps)
-        yield pd.DataFrame({"study": [key[0]], "completed": [completed], "last_trial": [window[-1][0]], "improvement": pd.Series([imp], dtype="float64"),
-                            "trend": [label], "symbol": [TREND_SYMBOLS[label]]})
-
-    def close(self):
-        pass
+def _label(w: int, eps: float):
+    """(improvement, trend) of ``window``, the last ``w`` (number, score); scores that
+    are null do not count, as in the batch operator's averages."""
+    def mean(first, n):
+        have = F.filter(F.transform(F.slice("window", first, n), lambda x: x["score"]), lambda s: s.isNotNull())
+        return F.try_divide(F.aggregate(have, F.lit(0.0), lambda a, s: a + s), F.size(have))
+    enough = (F.col("completed") >= w) & (F.size("window") >= w)
+    imp = F.when(enough, mean(1, w // 2) - mean(w // 2 + 1, w - w // 2))
+    label = (F.when(F.col("improvement").isNull(), "insufficient_data").when(F.col("improvement") > eps, "improving")
+             .when(F.col("improvement") < -eps, "degrading").otherwise("stable"))
+    return imp, label
 
 
-def two_level_trend(trials_stream: DataFrame, w: int = TREND_WINDOW, eps: float = TREND_EPS, slots: int = SLOTS) -> DataFrame:
+def two_level_trend(trials_stream: DataFrame, w: int = TREND_WINDOW, eps: float = TREND_EPS, slots: int = SLOTS,
+                    buckets: int = BUCKETS) -> DataFrame:
     """Live trend label per study (update mode): the slots keep their last
-    ``w`` trials, a small state per study merges them.  Arrival order does not
+    ``w`` trials, a streaming aggregate keeps the newest state of each slot of a
+    study (the one with the most completed trials).  Arrival order does not
     change the label, a trial sent again does not count."""
     s = scored(trials_stream).select("study", F.col("trial_number").cast("long").alias("trial_number"), "score",
                                      F.col("state").eqNullSafe("COMPLETE").alias("done"))
-    parts = s.select("*", *_places(slots)).groupBy("study", "slot").transformWithStateInPandas(SlotWindow(w), _SLOT_OUT, "Update", "None")
-    return parts.groupBy("study").transformWithStateInPandas(StudyTrend(w, eps), _TREND_OUT, "Update", "None")
+    parts = _keyed(s, ["trial_number", "score", "done"], slots, buckets).transformWithStateInPandas(SlotWindow(w), _SLOT_OUT, "Update", "None")
+    part = F.struct("completed", F.arrays_zip("numbers", "scores").alias("last"))
+    names = [f"_s{i}" for i in range(slots)]
+    newest = parts.groupBy("study").agg(*[F.max_by(part, F.when(F.col("slot") == i, F.col("completed"))).alias(n) for i, n in enumerate(names)])
+    trials = F.flatten(F.array(*[F.coalesce(F.col(f"{n}.last"), F.expr("array()").cast("array<struct<numbers:bigint,scores:double>>")) for n in names]))
+    trials = F.transform(trials, lambda x: F.struct(x["numbers"].alias("number"), F.when(~F.isnan(x["scores"]), x["scores"]).alias("score")))
+    completed = sum((F.coalesce(F.col(f"{n}.completed"), F.lit(0)) for n in names), F.lit(0)).cast("long")
+    t = newest.select("study", completed.alias("completed"), F.array_sort(trials).alias("_all"))
+    t = t.select("study", "completed", F.slice("_all", F.greatest(F.size("_all") - w, F.lit(0)) + 1, w).alias("window"))
+    imp, label = _label(w, eps)
+    t = t.where(F.size("window") > 0).withColumn("improvement", imp).withColumn("trend", label)
+    symbol = F.create_map(*[F.lit(x) for kv in TREND_SYMBOLS.items() for x in kv])
+    return t.select("study", "completed", F.element_at("window", -1)["number"].alias("last_trial"), "improvement", "trend",
+                    symbol[F.col("trend")].alias("symbol"))

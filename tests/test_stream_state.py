@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from tessera.operators import trials as TR
 from tessera.streaming.event_time import late_trials, on_time, windowed_trials
 from tessera.streaming.sinks import read_latest, run_append, run_updates, stream_session
-from tessera.streaming.trial_state import add_places, two_level_trend, unseen
-from tessera.streaming.trials_stream import resume_stream
+from tessera.streaming.trial_state import BUCKETS, SLOTS, add_places, first_places, two_level_trend, unseen
+from tessera.streaming.trials_stream import resume_stream, stream_best
 
 SCHEMA = ("study string, trial_number int, state string, divergence double, hits int, total int, "
           "params map<string,map<string,double>>, finished_at timestamp_ntz")
@@ -99,3 +99,34 @@ def test_a_stream_changes_no_setting_of_its_session(spark):
     own = stream_session(spark, 3)
     assert own.conf.get("spark.sql.shuffle.partitions") == "3" and own.conf.get("spark.sql.session.timeZone") == before[1]
     assert (spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.session.timeZone")) == before
+
+
+def test_runs_of_many_studies_hold_what_was_seen():
+    r = random.Random(5)
+    for _ in range(100):
+        runs, seen = (np.array([], np.int64),) * 3, set()
+        for _ in range(r.randrange(1, 6)):
+            rows = [(r.randrange(5), r.choice([-(1 << 62), *range(30)])) for _ in range(r.randrange(1, 60))]
+            new, runs = first_places(runs, *np.array(rows, np.int64).T)
+            first = {x: i for i, x in reversed(list(enumerate(rows)))}
+            assert [i for i, x in enumerate(new) if x] == sorted(i for x, i in first.items() if x not in seen)
+            seen |= set(rows)
+            held = list(zip(*(x.tolist() for x in runs)))
+            assert {(g, x) for g, a, b in held for x in range(a, b + 1)} == seen and held == sorted(held)
+            assert all(g != h or b + 1 < c for (g, _, b), (h, c, _) in zip(held, held[1:]))
+
+
+def many_studies(spark, n=3000):
+    t = log(spark, 4 * n).withColumn("study", F.expr(f"cast((trial_number - 1) div 4 as string)"))
+    return t.withColumn("trial_number", F.expr("(trial_number - 1) % 4 + 1"))
+
+
+def test_resume_of_many_studies_takes_a_bounded_number_of_state_groups(spark, tmp_path):
+    t = many_studies(spark)
+    src, out, ck = (f"{tmp_path}/{x}" for x in ("in", "out", "ck"))
+    for part, keep in enumerate(("trial_number <> 2", "true")):
+        t.where(keep).repartition(2).write.parquet(f"{src}/part={part}")
+        q = run_append(resume_stream(stream_session(spark, 3).readStream.schema(t.schema).parquet(src)), out, ck)
+    got, same = spark.read.parquet(out), ["study", "trial_number", "divergence", "finished_at", F.to_json("params").alias("p")]
+    assert got.count() == t.count() and got.select(same).exceptAll(t.select(same)).count() == 0
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] <= BUCKETS * SLOTS
