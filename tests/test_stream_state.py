@@ -130,3 +130,32 @@ def test_resume_of_many_studies_takes_a_bounded_number_of_state_groups(spark, tm
     got, same = spark.read.parquet(out), ["study", "trial_number", "divergence", "finished_at", F.to_json("params").alias("p")]
     assert got.count() == t.count() and got.select(same).exceptAll(t.select(same)).count() == 0
     assert q.lastProgress["stateOperators"][0]["numRowsTotal"] <= BUCKETS * SLOTS
+
+
+def test_best_of_many_studies_takes_a_bounded_number_of_state_groups(spark, tmp_path):
+    t = many_studies(spark)
+    src, out, ck = (f"{tmp_path}/{x}" for x in ("in", "out", "ck"))
+    t.repartition(2).write.parquet(f"{src}/sent=1")
+    t.repartition(2).write.parquet(f"{src}/sent=2")
+    q = run_updates(stream_best(stream_session(spark, 3).readStream.schema(t.schema).option("maxFilesPerTrigger", 2).parquet(src)), out, ck)
+    live = {r.study: (r.completed, r.best_trial) for r in read_latest(spark, out, ["study"]).collect()}
+    done = TR.scored(t).where("state = 'COMPLETE'")
+    best = F.min_by("trial_number", F.when(F.col("score").isNotNull(), F.struct("score", "trial_number")))
+    want = {r.study: (r.n, r.b) for r in done.groupBy("study").agg(F.count(F.lit(1)).alias("n"), best.alias("b")).collect()}
+    assert len(live) == 3000 and all(live[s] == x for s, x in want.items())
+    seen, agg = sorted(o["numRowsTotal"] for o in q.lastProgress["stateOperators"])
+    assert seen <= BUCKETS * SLOTS and agg == 3000
+
+
+def test_trend_of_many_studies_takes_a_bounded_number_of_state_groups(spark, tmp_path):
+    t = many_studies(spark).unionByName(log(spark, 300))
+    src, out, ck = (f"{tmp_path}/{x}" for x in ("in", "out", "ck"))
+    for part, keep in enumerate(("trial_number % 5 <> 2", "true")):
+        t.where(keep).repartition(2).write.parquet(f"{src}/part={part}")
+    q = run_updates(two_level_trend(stream_session(spark, 3).readStream.schema(t.schema).parquet(src), w=4), out, ck)
+    live = {r.study: (r.completed, r.last_trial, None if r.improvement is None else round(r.improvement, 9), r.trend)
+            for r in read_latest(spark, out, ["study"]).collect()}
+    b = TR.trend(t, 4).groupBy("study").agg(F.max_by(F.struct("seq", "trial_number", "improvement", "trend"), "seq").alias("x")).select("study", "x.*")
+    assert live == {r.study: (r.seq, r.trial_number, None if r.improvement is None else round(r.improvement, 9), r.trend) for r in b.collect()}
+    slots, studies = sorted(o["numRowsTotal"] for o in q.lastProgress["stateOperators"])
+    assert slots <= 2 * BUCKETS * SLOTS and studies <= 3001
