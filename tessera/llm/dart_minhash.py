@@ -116,25 +116,35 @@ def signatures(elements: list[np.ndarray], weights: list[np.ndarray] | None = No
     while len(todo):
         mine = np.isin(doc, todo) if len(todo) < n_docs else slice(None)
         d, c, lim = doc[mine], cell[mine], limit[mine]
-        at, number = np.zeros(len(d)), 0
+        whole = bool((lim == 1).all())          # then every dart lies below the weight
+        at, to, number = np.zeros(len(d)), rank_to[d], 0
         got_key, got_rank, got_dart = [], [], []
         while len(d):
             number += 1
             dart = mix64(c + np.array([number], np.uint64) * _ODD)
             at = at - np.log(_unit(dart))
-            near = at <= rank_to[d]
-            d, c, lim, at, dart = d[near], c[near], lim[near], at[near], dart[near]
+            near = np.flatnonzero(at <= to)
+            d, c, at, to, dart = d[near], c[near], at[near], to[near], dart[near]
             place = mix64(dart ^ _ODD)
-            ok = _unit(place) <= lim
-            got_key.append(d[ok] * k + (mix64(place + _ODD)[ok] % np.uint64(k)).astype(np.int64))
-            got_rank.append(at[ok])
-            got_dart.append(dart[ok])
+            key, rank, hit = d * k, at, dart
+            key += (mix64(place + _ODD) % np.uint64(k)).view(np.int64)
+            if not whole:
+                lim = lim[near]
+                ok = _unit(place) <= lim
+                key, rank, hit = key[ok], rank[ok], hit[ok]
+            got_key.append(key)
+            got_rank.append(rank)
+            got_dart.append(hit)
         key, rank, dart = map(np.concatenate, (got_key, got_rank, got_dart))
-        order = np.lexsort((dart, rank, key))
-        key, dart = key[order], dart[order]
-        first = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.zeros(0, bool)
-        filled = np.bincount(key[first] // k, minlength=n_docs)
-        sig.reshape(-1)[key[first]] = dart[first]
+        # the earliest dart of each coordinate, of equally early ones the smallest
+        best = np.full(n_docs * k, np.inf)
+        np.minimum.at(best, key, rank)
+        first = np.flatnonzero(rank == best[key])
+        key, dart = key[first], dart[first]
+        flat = sig.reshape(-1)
+        flat[key] = np.uint64(2 ** 64 - 1)
+        np.minimum.at(flat, key, dart)
+        filled = (best < np.inf).reshape(n_docs, k).sum(axis=1)
         todo = todo[filled[todo] < k]
         rank_to[todo] *= 2
     return sig

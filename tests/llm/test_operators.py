@@ -195,6 +195,40 @@ def test_dart_signatures_estimate_weighted_jaccard():
     assert abs((sig[0] == sig[1]).mean() - true) < 0.05
 
 
+def test_dart_signatures_are_the_earliest_dart_of_each_coordinate():
+    k, darts = 16, 40                                   # few darts: some texts go on at twice the rank
+    m64, unit, odd = dart_minhash.mix64, dart_minhash._unit, dart_minhash._ODD
+
+    def plain(e, w):
+        cells = [(x, c, min(1.0, v - c)) for x, v in zip(e, w) for c in range(int(np.ceil(v)))]
+        to = darts / sum(lim for _, _, lim in cells)
+        while True:
+            best = {}
+            for x, c, lim in cells:
+                cell = m64(np.array([x], np.uint64) ^ m64(np.array([c], np.uint64) + odd))
+                at, number = 0.0, 0
+                while True:
+                    number += 1
+                    dart = m64(cell + np.array([number], np.uint64) * odd)
+                    at = at - np.log(unit(dart))[0]
+                    if at > to:
+                        break
+                    place = m64(dart ^ odd)
+                    if unit(place)[0] <= lim:
+                        at_k = int(m64(place + odd)[0] % np.uint64(k))
+                        best[at_k] = min(best.get(at_k, (np.inf, 0)), (at, int(dart[0])))
+            if len(best) == k:
+                return [best[i][1] for i in range(k)]
+            to *= 2
+    r = np.random.default_rng(4)
+    bags = [r.integers(0, 9, n).astype(np.uint64) for n in (1, 2, 7, 30)]
+    sets = [np.unique(b, return_counts=True) for b in bags]
+    assert dart_minhash.signatures(bags, k=k, darts=darts).tolist() == [plain(*x) for x in sets]
+    weights = [r.uniform(0.1, 3, len(e)) for e, _ in sets]
+    got = dart_minhash.signatures([e for e, _ in sets], weights, k=k, darts=darts)
+    assert got.tolist() == [plain(e, w) for (e, _), w in zip(sets, weights)]
+
+
 def test_toxicity(spark, docs, empty):
     assert toxicity.Grammar({}).features(b"you are an idiot.")[0] > toxicity.Grammar({}).features(b"you are not an idiot.")[0]
     assert toxicity.Grammar({}).features(b"he said you idiot.")[0] < toxicity.Grammar({}).features(b"he saw you idiot.")[0]
