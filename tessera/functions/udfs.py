@@ -59,8 +59,26 @@ def tokenize(df: DataFrame, text_col: str, tokenizer, out: str = "tokens",
     return df.withColumn(out, _enc(F.col(text_col)))
 
 
-_CHUNKS = ArrayType(StructType([StructField("chunk_no", LongType()), StructField("start_token", LongType()),
-                                StructField("n_tokens", LongType()), StructField("text", StringType())]))
+_CHUNK = StructType([StructField("chunk_no", LongType()), StructField("start_token", LongType()),
+                     StructField("n_tokens", LongType()), StructField("text", StringType())])
+CHARS_AT_ONCE = 1 << 20         # of texts encoded together, of windows decoded together, of text in a batch
+TEXTS_AT_ONCE = 256
+
+
+def slices(column, most_rows: int = TEXTS_AT_ONCE, most_bytes: int = CHARS_AT_ONCE) -> Iterator[tuple[int, int]]:
+    """Parts (first, rows) of a string column of an Arrow batch, of at most
+    ``most_rows`` rows and ``most_bytes`` bytes, or of one larger text."""
+    import pyarrow.compute as pc
+    first = room = 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
+        if i > first and (n > room or i - first >= most_rows):
+            yield first, i - first
+            first = i
+        if i == first:
+            room = most_bytes
+        room -= n
+    if len(column):
+        yield first, len(column) - first
 
 
 def token_chunks(df: DataFrame, text_col: str, tokenizer, size: int = 1024, overlap: int = 128,
@@ -68,36 +86,66 @@ def token_chunks(df: DataFrame, text_col: str, tokenizer, size: int = 1024, over
     """Chunks of a caller tokenizer: encode, cut into windows of ``size``
     tokens that share ``overlap``, decode each window (udf_tokenizer).
 
-    ``tokenizer`` is a zero-argument factory (built once per worker) whose
+    ``tokenizer`` is a zero-argument factory (built once per task) whose
     result has ``encode(str) -> list`` and ``decode(list) -> str``, or batch
     forms ``encode_batch`` / ``decode_batch``, which are preferred.  A text of
     at most ``size`` tokens keeps its own text; one under ``min_n`` tokens or
     null gives no chunk.  Returns ``keep``, chunk_no, start_token, n_tokens, text.
+
+    Tokens are much larger than text, so a worker holds those of
+    ``CHARS_AT_ONCE`` bytes of text (or of one larger text), however many rows
+    a batch has, and hands chunks on as they come.
     """
     if not 0 <= overlap < size:
         raise ValueError("overlap must be at least 0 and under size")
     step = size - overlap
+    rows = df.select(*keep, F.col(text_col))
+    n_keep = len(rows.columns) - 1
+    names = [f"c{i}" for i in range(n_keep)]
+    schema = StructType([StructField(n, f.dataType) for n, f in zip(names, rows.schema)] + _CHUNK.fields)
 
-    @F.pandas_udf(_CHUNKS)
-    def _cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches):
+        import pyarrow as pa
         tok = tokenizer()
         encode = getattr(tok, "encode_batch", None) or (lambda xs: [tok.encode(x) for x in xs])
         decode = getattr(tok, "decode_batch", None) or (lambda xs: [tok.decode(x) for x in xs])
-        for s in batches:
-            texts = s[s.notna()]
-            out = pd.Series([[] for _ in range(len(s))], index=s.index, dtype=object)
-            for i, text, ids in zip(texts.index, texts, encode(list(texts))):
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
+
+        def chunks(part):
+            """(row, chunk_no, start_token, n_tokens, text) of the texts of ``part``."""
+            texts = [(i, t) for i, t in enumerate(part.to_pylist()) if t is not None]
+            for (i, text), ids in zip(texts, encode([t for _, t in texts])):
                 n = len(ids)
                 if n < min_n:
                     continue
-                starts = [0] if n <= size else range(0, n - overlap, step)
-                windows = [ids[at:at + size] for at in starts]
-                parts = [text] if n <= size else decode(windows)
-                out[i] = [{"chunk_no": k, "start_token": at, "n_tokens": len(w), "text": t}
-                          for k, (at, w, t) in enumerate(zip(starts, windows, parts))]
-            yield out
-
-    return df.select(*keep, F.inline(_cut(F.col(text_col))))
+                if n <= size:
+                    yield i, 0, 0, n, text
+                    continue
+                starts = range(0, n - overlap, step)
+                at_once = max(CHARS_AT_ONCE // (8 * size), 1)
+                for k in range(0, len(starts), at_once):
+                    windows = [ids[at:at + size] for at in starts[k:k + at_once]]
+                    for j, (at, w, t) in enumerate(zip(starts[k:k + at_once], windows, decode(windows)), k):
+                        yield i, j, at, len(w), t
+
+        def batch(part, found):
+            row, *columns = zip(*found)
+            kept = [c.take(pa.array(row, pa.int32())) for c in part.columns[:n_keep]]
+            return pa.RecordBatch.from_arrays(kept + [pa.array(c, t) for c, t in zip(columns, types)], names + _CHUNK.names)
+
+        for b in batches:
+            for first, n in slices(b.column(n_keep)):
+                part, found, held = b.slice(first, n), [], 0
+                for chunk in chunks(part.column(n_keep)):
+                    found.append(chunk)
+                    held += len(chunk[-1])
+                    if held >= CHARS_AT_ONCE:
+                        yield batch(part, found)
+                        found, held = [], 0
+                if found:
+                    yield batch(part, found)
+
+    return rows.mapInArrow(run, schema).toDF(*rows.columns[:-1], *_CHUNK.names)
 
 
 class WhitespaceTokenizer:

@@ -74,3 +74,28 @@ def test_match_report_counts(spark):
     b = spark.createDataFrame([(2,), (3,), (3,), (4,)], "prompt_id long")
     assert match_report(a, b).first().asDict() == {"matched": 2, "left_only": 1, "right_only": 1,
                                                    "left_repeated": 1, "right_repeated": 1}
+
+
+def test_token_chunks_hold_the_tokens_of_a_bounded_piece_of_a_batch(spark):
+    from tessera.functions import udfs
+
+    class Careful:
+        def encode_batch(self, texts):
+            if len(texts) > 1 and (len(texts) > udfs.TEXTS_AT_ONCE or sum(map(len, texts)) > udfs.CHARS_AT_ONCE):
+                raise MemoryError(f"{len(texts)} texts at once")
+            return [t.split() for t in texts]
+
+        def decode_batch(self, windows):
+            if sum(map(len, windows)) > udfs.CHARS_AT_ONCE:
+                raise MemoryError(f"{len(windows)} windows at once")
+            return [" ".join(w) for w in windows]
+
+    rows = [(i, None if i % 7 == 0 else f"w{i} " * (i % 5 * 10)) for i in range(1500)] + [(1500, "ab " * 400_000), (None, "x y"), (1501, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = sorted(map(tuple, udfs.token_chunks(df, "text", Careful, 20, 5, 1, ["doc_id"]).collect()), key=str)
+    want = []
+    for i, t in rows:
+        w = (t or "").split()
+        for k, at in enumerate([0] if 0 < len(w) <= 20 else range(0, len(w) - 5, 15)):
+            want.append((i, k, at, len(w[at:at + 20]), t if len(w) <= 20 else " ".join(w[at:at + 20])))
+    assert got == sorted(want, key=str)
