@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, StringType, StructField, StructType
 
@@ -22,7 +23,7 @@ from tessera.sources.corpus import cohort_counts, load_prompts, load_slice, pick
 from tessera.sources.sinks import write_examples
 from tessera.sources.text_files import open_path, read_text_files
 from tessera.streaming.responses_stream import stream_corpus
-from tessera.streaming.sinks import run_append
+from tessera.streaming.sinks import run_append, session_like
 
 ORDER = ["doc_id", "segment_no", "chunk_no"]
 
@@ -53,29 +54,43 @@ DOC_END = "\f"          # stands after each document; the tables' texts hold non
 _SUFFIX = [".txt", ".MD", ".markdown"]
 
 
+def store_files(batches, path: str, odd: bool = False):
+    """Write (file, text) rows, which come in the order of the files, as files of
+    texts; yields the number of each file when it is written."""
+    def store(k, texts):
+        data = "".join(t + DOC_END for t in texts).encode()
+        suffix = ".log" if odd and k % 5 == 4 else _SUFFIX[k % 3]
+        if odd and k % 6 == 5:
+            data = data[:10] + b"\xff" + data[10:]
+        files, root = open_path(path)
+        files.create_dir(f"{root}/d{k % 7}", recursive=True)
+        with files.open_output_stream(f"{root}/d{k % 7}/f{k}{suffix}", compression=None) as f:
+            f.write(data)
+        return pa.RecordBatch.from_arrays([pa.array([k], pa.int64())], ["file"])
+    at, texts = None, []
+    for b in batches:
+        for k, text in zip(b.column(0).to_pylist(), b.column(1)):
+            if texts and k != at:
+                yield store(at, texts)
+                texts = []
+            at = k
+            texts.append(text.as_py())
+    if texts:
+        yield store(at, texts)
+
+
 def stage_documents_as_files(spark, sf, odd: bool = False):
     """The documents as a folder tree of text files, ``FILE_DOCS`` in each; every
-    task writes its own files.  With ``odd`` some files are not UTF-8 and some
-    have a suffix that a corpus does not take."""
+    task writes its own files, in turn: it holds a small batch and the file that
+    it is at.  With ``odd`` some files are not UTF-8 and some have a suffix that a
+    corpus does not take."""
     path = scratch_path(spark, "docs_as_files")
     n = F.col("doc_id").cast("long")
     file = F.floor(n / FILE_DOCS).alias("file")
-    docs = T(spark, sf, "documents").where("text is not null").groupBy(file).agg(
-        F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("docs"))       # at most FILE_DOCS
-
-    def write(batches):
-        for b in batches:
-            for k, rows in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                data = "".join(r["text"] + DOC_END for r in rows).encode()
-                suffix = ".log" if odd and k % 5 == 4 else _SUFFIX[k % 3]
-                if odd and k % 6 == 5:
-                    data = data[:10] + b"\xff" + data[10:]
-                files, root = open_path(path)
-                files.create_dir(f"{root}/d{k % 7}", recursive=True)
-                with files.open_output_stream(f"{root}/d{k % 7}/f{k}{suffix}", compression=None) as f:
-                    f.write(data)
-            yield b.select(["file"])
-    docs.mapInArrow(write, "file long").write.format("noop").mode("overwrite").save()
+    own = session_like(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": 4 * FILE_DOCS})
+    docs = T(own, sf, "documents").where("text is not null").select(file, "doc_id", "text")
+    docs = docs.repartition("file").sortWithinPartitions("file", "doc_id", "text").select("file", "text")
+    docs.mapInArrow(lambda batches: store_files(batches, path, odd), "file long").write.format("noop").mode("overwrite").save()
     return path
 
 

@@ -26,7 +26,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 FORMAT = "tessera_text"
 SCHEMA = "path string, part long, text string, bytes long, reason string"
 BYTES_PER_TASK = 32 << 20
-ROWS_PER_BATCH = 1024
+ROWS_PER_BATCH, BYTES_PER_BATCH = 1024, 1 << 20     # a batch ends with the file that reaches one of them
 
 
 def open_path(uri: str):
@@ -117,8 +117,9 @@ def read_files(uri: str, files, separator: str | None, on_error: str):
         for row in found:
             for c, v in zip(rows, row):
                 c.append(v)
+        del found
         held += size
-        if len(rows[0]) >= ROWS_PER_BATCH or held >= BYTES_PER_TASK:
+        if len(rows[0]) >= ROWS_PER_BATCH or held >= BYTES_PER_BATCH:
             yield batch()
             held = 0
     if rows[0]:

@@ -14,21 +14,27 @@ from pyspark.sql import functions as F
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def stream_session(spark: SparkSession, state_partitions: int | None = None) -> SparkSession:
-    """A session for streams that shares the context, catalog cache and shared
-    folder of ``spark`` and starts with its settings, so what a stream needs
-    changes nothing for other queries: the state store on disk, and
-    ``state_partitions`` (fixed in a stream's checkpoint when it first starts;
-    the cluster's default parallelism, if not given)."""
+def session_like(spark: SparkSession, settings: dict) -> SparkSession:
+    """A session that shares the context, catalog cache and shared folder of
+    ``spark`` and starts with its settings, then takes ``settings``: they change
+    nothing for other queries."""
     own = spark.newSession()
     for k, v in spark.conf.getAll.items():
         if spark.conf.isModifiable(k):
             own.conf.set(k, v)
-    own.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    own.conf.set("spark.sql.shuffle.partitions", str(state_partitions or spark.sparkContext.defaultParallelism))
+    for k, v in settings.items():
+        own.conf.set(k, str(v))
     return own
 
 
+def stream_session(spark: SparkSession, state_partitions: int | None = None) -> SparkSession:
+    """A session for streams: the state store on disk, and ``state_partitions``
+    (fixed in a stream's checkpoint when it first starts; the cluster's default
+    parallelism, if not given)."""
+    return session_like(spark, {"spark.sql.streaming.stateStore.providerClass": STATE_STORE,
+                                "spark.sql.shuffle.partitions": state_partitions or spark.sparkContext.defaultParallelism})
+
+
 def _run(writer, available_now: bool):
     q = (writer.trigger(availableNow=True) if available_now else writer).start()
     if available_now:

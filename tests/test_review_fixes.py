@@ -99,3 +99,25 @@ def test_token_chunks_hold_the_tokens_of_a_bounded_piece_of_a_batch(spark):
         for k, at in enumerate([0] if 0 < len(w) <= 20 else range(0, len(w) - 5, 15)):
             want.append((i, k, at, len(w[at:at + 20]), t if len(w) <= 20 else " ".join(w[at:at + 20])))
     assert got == sorted(want, key=str)
+
+
+def test_staging_and_reading_hold_one_file_and_a_small_batch(spark, tmp_path):
+    import pyarrow as pa
+
+    from tessera.plans.corpus_queries import DOC_END, store_files
+    from tessera.sources import text_files as tf
+
+    texts = [(k, f"{k} {i} " + "x" * 3000) for k in range(40) for i in range(50)]
+    asked = []
+
+    def batches():
+        for at in range(0, len(texts), 30):
+            asked.append((at, len(tf.list_files(str(tmp_path), [".txt", ".md", ".markdown"]))))
+            k, t = zip(*texts[at:at + 30])
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(t)], ["file", "text"])
+    assert [k for b in store_files(batches(), str(tmp_path)) for k in b.column(0).to_pylist()] == list(range(40))
+    assert all(written >= max(at - 1, 0) // 50 for at, written in asked)            # a whole file is written before the next batch
+    files = tf.list_files(str(tmp_path), [".txt", ".md", ".markdown"])
+    found = list(tf.read_files(str(tmp_path), files, DOC_END, "raise"))
+    assert sorted(t for b in found for t in b.column(2).to_pylist()) == sorted(t for _, t in texts)
+    assert max(b.nbytes for b in found) <= 2 * tf.BYTES_PER_BATCH
